@@ -9,7 +9,7 @@ def quality_counts_ctes() -> str:
     """CTEs up to ``counted``: doc_id and all counts, one row per document."""
     return r"""
 d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
-toks as (select r, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), x -> x <> '') as w from d),
+toks as (select r, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from d),
 pos as (select r, unnest(w) as word, generate_subscripts(w, 1) as i from toks),
 win as (select r, i, word as a, lead(word) over o as b, lead(word, 2) over o as c from pos window o as (partition by r order by i)),
 dup as (select r, i from (select r, i, count(*) over (partition by r, a, b, c) as k from win where c is not null) where k > 1),
