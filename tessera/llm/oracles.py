@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import license_scan as ls
 from . import quality_rules as qr
 
 
@@ -55,3 +56,36 @@ def quality_rules_sql() -> str:
         "select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, "
         "(not base_failed and p_good >= 0.5) as kept, round(p_good, 6) as p_good from judged"
     )
+
+
+def license_scan_sql() -> str:
+    rules = ",\n".join(f"({n}, '{k}', '{label}', {p}, '{text}')" for n, k, label, p, text in ls.rules())
+    keys = ", ".join(f"'{k}'" for k in sorted({r[1] for r in ls.rules()} | {b[1][0] for b in ls.BASE}))
+    base = " union all ".join(
+        f"select r, i, '{label}' as label from w4 where " + " and ".join(f"{c} = '{part}'" for c, part in zip(("a", "b", "c"), parts, strict=False))
+        for label, parts in ls.BASE
+    )
+    gate = " or ".join(f"contains(lower(t), '{g}')" for g in ls.GATES)
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    return f"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+ws as (select r, doc_id, t, regexp_extract_all(translate(t, '{ls.UPPER}', '{ls.LOWER}'), '{word}') as w from d),
+gated as (select * from ws where {gate}),
+pos as (select r, w, unnest(w) as a, generate_subscripts(w, 1) - 1 as i from gated),
+w4 as (select r, i, a, w[i + 2] as b, w[i + 3] as c, array_to_string(w[i + 1 : i + {ls.REACH}], ' ') || ' ' as x from pos where a in ({keys})),
+based as ({base}),
+rules(n, k, label, p, re) as (values {rules}),
+hits as (
+  select r, i as s, i + len(string_split(regexp_extract(x, re, 1), ' ')) as e, p, n, label
+  from w4 join rules on w4.a = rules.k where regexp_matches(x, re)),
+kept as (
+  select * from hits x where not exists (
+    select 1 from hits y where y.r = x.r and y.s <= x.s and y.e >= x.e
+      and (y.p > x.p or (y.p = x.p and (y.e - y.s > x.e - x.s or (y.e - y.s = x.e - x.s and y.n < x.n)))))),
+b1 as (select r, count(*) as n, min(i) as f, max(i) as l, string_agg(distinct label, ',' order by label) as s from based group by r),
+l1 as (select r, string_agg(distinct label, ',' order by label) as s from (select r, label from based union all select r, label from kept) group by r),
+k1 as (select r, max(p) as p, list({{'start': s::int, 'end': e::int, 'label': label, 'priority': p::int}} order by s, e, p, n) as det from kept group by r)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(b1.n, 0) as bigint) as n_base, cast(b1.f as bigint) as first_word,
+  cast(b1.l as bigint) as last_word, coalesce(b1.s, '') as base_labels, coalesce(l1.s, '') as labels,
+  greatest(case when b1.n > 0 then 50 else 0 end, coalesce(k1.p, 0)) / 100.0::double as score
+from ws left join b1 using (r) left join l1 using (r) left join k1 using (r)"""

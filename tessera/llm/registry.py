@@ -6,8 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import oracles
-from . import quality_rules
+from . import license_scan, oracles, quality_rules
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,13 +17,19 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_documents(spark, sf_dir))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_documents(spark, sf_dir)).drop("detections")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality_rules": op2_quality_rules,
+        "op3_license_scan": op3_license_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_quality_rules": oracles.quality_rules_sql(),
+        "op3_license_scan": oracles.license_scan_sql(),
     }
