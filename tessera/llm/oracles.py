@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import license_scan as ls
 from . import quality_rules as qr
+from . import secret_scan as ss
 
 
 def quality_counts_ctes() -> str:
@@ -89,3 +90,29 @@ select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(b1.n, 0) as bigi
   cast(b1.l as bigint) as last_word, coalesce(b1.s, '') as base_labels, coalesce(l1.s, '') as labels,
   greatest(case when b1.n > 0 then 50 else 0 end, coalesce(k1.p, 0)) / 100.0::double as score
 from ws left join b1 using (r) left join l1 using (r) left join k1 using (r)"""
+
+
+def secret_spans_ctes() -> str:
+    """CTEs up to ``spans(r, o, s, e)``: matches of all rules, in code points."""
+    out = ["d as (select row_number() over () as r, doc_id, coalesce(text, '') as t, translate(coalesce(text, ''), chr(1) || chr(2), chr(3) || chr(3)) as x from documents)"]
+    for o, rule in enumerate(ss.RULES):
+        e = rule.expression.replace("'", "''")
+        size = f"length(regexp_extract(p, '{e}', {rule.group}))" if rule.group else "length(p)"
+        out.append(f"f{o} as (select r, string_split_regex(regexp_replace(x, '{e}', chr(1) || '\\0' || chr(2), 'g'), '[\\x01\\x02]') as ps from d where regexp_matches(x, '{e}'))")
+        out.append(f"u{o} as (select r, unnest(ps) as p, generate_subscripts(ps, 1) as k from f{o})")
+        out.append(f"c{o} as (select *, sum(length(p)) over (partition by r order by k) as e from u{o})")
+        out.append(f"s{o} as (select r, {o} as o, cast(e - length(p) as bigint) as s, cast(e as bigint) as e from c{o} where k % 2 = 0 and {size} >= {rule.least})")
+    return ",\n".join(out) + ",\nspans as (" + " union all ".join(f"select * from s{o}" for o in range(len(ss.RULES))) + ")"
+
+
+def secret_scan_sql() -> str:
+    kinds = "[" + ", ".join(f"'{r.kind}'" for r in ss.RULES) + "]"
+    text = f"{kinds}[o + 1] || ':' || s || ':' || e"
+    base = len(ss.BASE)
+    counts = ", ".join(f"count(*) filter (o = {k}) as n{k}" for k in range(base))
+    return f"""
+with {secret_spans_ctes()},
+g as (select r, {counts}, string_agg({text}, ',' order by s, o) filter (o < {base}) as b, string_agg({text}, ',' order by s, o, e) as a from spans group by r)
+select doc_id, {", ".join(f"cast(coalesce(n{k}, 0) as bigint) as n_{r.kind}" for k, r in enumerate(ss.BASE))},
+  sha256(coalesce(b, '')) as base_sha256, coalesce(a, '') as spans
+from d left join g using (r)"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, oracles, quality_rules
+from . import license_scan, oracles, quality_rules, secret_scan
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,10 +21,15 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_documents(spark, sf_dir)).drop("detections")
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality_rules": op2_quality_rules,
         "op3_license_scan": op3_license_scan,
+        "op6_secret_scan": op6_secret_scan,
     }
 
 
@@ -32,4 +37,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_quality_rules": oracles.quality_rules_sql(),
         "op3_license_scan": oracles.license_scan_sql(),
+        "op6_secret_scan": oracles.secret_scan_sql(),
     }
