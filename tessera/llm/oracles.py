@@ -116,3 +116,22 @@ g as (select r, {counts}, string_agg({text}, ',' order by s, o) filter (o < {bas
 select doc_id, {", ".join(f"cast(coalesce(n{k}, 0) as bigint) as n_{r.kind}" for k, r in enumerate(ss.BASE))},
   sha256(coalesce(b, '')) as base_sha256, coalesce(a, '') as spans
 from d left join g using (r)"""
+
+
+def source_mix_sql(alpha: float = 0.5, seed: int = 0) -> str:
+    u = f"cast(('0x' || substr(md5('{seed}|n|' || i || '|' || mix_id), 1, 13)) as bigint)::double / 4503599627370496.0"
+    return f"""
+with recursive d as (select row_number() over () as r, *, coalesce(doc_id::varchar, '') || '|' || md5(coalesce(text, '')) as mix_id from documents),
+sz as (select source, sum(greatest(coalesce(length(text), 0), 1))::bigint as n from d group by source),
+sh as (select source, n, pow(n::double, {alpha}) as w from sz),
+rt as (select source, w / (select sum(w) from sh) * (select sum(n)::double from sh) / n as rate from sh),
+pt as (select r, mix_id, rate / greatest(ceil(rate / 8), 1) as m, unnest(range(1, greatest(ceil(rate / 8), 1)::bigint + 1)) as i
+  from d join rt on d.source is not distinct from rt.source),
+us as (select r, m, i, {u} as u from pt),
+cdf(m, k, p, c) as (
+  select distinct m, 0, exp(-m), exp(-m) from pt
+  union all select m, k + 1, p * m / (k + 1), c + p * m / (k + 1) from cdf where k < 47),
+dr as (select us.r, us.i, count(*) filter (us.u >= cdf.c) as k from us join cdf using (m) group by us.r, us.i),
+nn as (select r, sum(k)::bigint as n from dr group by r)
+select doc_id, text, lang, source, n_chars, k as copy_no, md5('{seed}|o|' || k || '|' || mix_id) as mix_key
+from (select d.*, unnest(range(0, nn.n)) as k from d join nn using (r))"""

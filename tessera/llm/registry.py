@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, oracles, quality_rules, secret_scan
+from . import byte_bpe, license_scan, oracles, quality_rules, secret_scan, source_mix
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix(_documents(spark, sf_dir))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_documents(spark, sf_dir))
 
@@ -25,16 +29,26 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(_documents(spark, sf_dir))
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = byte_bpe.read_ranks(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return byte_bpe.round_trip(_documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_source_mix": op1_source_mix,
         "op2_quality_rules": op2_quality_rules,
         "op3_license_scan": op3_license_scan,
         "op6_secret_scan": op6_secret_scan,
+        "op7_byte_bpe": op7_byte_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_source_mix": oracles.source_mix_sql(),
         "op2_quality_rules": oracles.quality_rules_sql(),
         "op3_license_scan": oracles.license_scan_sql(),
         "op6_secret_scan": oracles.secret_scan_sql(),
