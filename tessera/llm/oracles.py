@@ -135,3 +135,21 @@ dr as (select us.r, us.i, count(*) filter (us.u >= cdf.c) as k from us join cdf
 nn as (select r, sum(k)::bigint as n from dr group by r)
 select doc_id, text, lang, source, n_chars, k as copy_no, md5('{seed}|o|' || k || '|' || mix_id) as mix_key
 from (select d.*, unnest(range(0, nn.n)) as k from d join nn using (r))"""
+
+
+def near_copies_ctes(size: int = 5, num: int = 4, den: int = 5) -> str:
+    """CTEs up to ``classed(doc_id, class_id)``: components of documents of similar shingle sets."""
+    return f"""
+nd as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+ni as (select doc_id, w, unnest(range(1, greatest(len(w) - {size - 1}, least(len(w), 1)) + 1)) as i from nd),
+nsh as (select distinct doc_id, array_to_string(w[i : i + {size - 1}], ' ') as s from ni),
+nn as (select doc_id, count(*) as n from nsh group by doc_id),
+np as (select a.doc_id as a, b.doc_id as b, count(*) as i from nsh a join nsh b on a.s = b.s and a.doc_id < b.doc_id group by all),
+nl as (select a, b from np join nn x on x.doc_id = a join nn y on y.doc_id = b where {den} * i >= {num} * (x.n + y.n - i)),
+ne as (select a, b from nl union all select b, a from nl),
+nr(a, b) as (select doc_id, doc_id from documents union select nr.a, ne.b from nr join ne on nr.b = ne.a),
+classed as (select a as doc_id, min(b) as class_id from nr group by a)"""
+
+
+def dart_minhash_sql() -> str:
+    return f"with recursive {near_copies_ctes()}\nselect doc_id, class_id, doc_id = class_id as kept from classed"

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, license_scan, oracles, quality_rules, secret_scan, source_mix
+from . import byte_bpe, dart_minhash, license_scan, oracles, quality_rules, secret_scan, source_mix
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_documents(spark, sf_dir)).drop("detections")
 
 
+def op4_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dart_minhash.classes(_documents(spark, sf_dir))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(_documents(spark, sf_dir))
 
@@ -41,6 +45,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_source_mix": op1_source_mix,
         "op2_quality_rules": op2_quality_rules,
         "op3_license_scan": op3_license_scan,
+        "op4_dart_minhash": op4_dart_minhash,
         "op6_secret_scan": op6_secret_scan,
         "op7_byte_bpe": op7_byte_bpe,
     }
@@ -51,5 +56,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_source_mix": oracles.source_mix_sql(),
         "op2_quality_rules": oracles.quality_rules_sql(),
         "op3_license_scan": oracles.license_scan_sql(),
+        "op4_dart_minhash": oracles.dart_minhash_sql(),
         "op6_secret_scan": oracles.secret_scan_sql(),
     }
