@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, dart_minhash, license_scan, oracles, quality_rules, secret_scan, source_mix
+from . import byte_bpe, class_lm, dart_minhash, license_scan, oracles, quality_rules, secret_scan, source_mix
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(_documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
 
 
+def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.score(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_source_mix": op1_source_mix,
@@ -48,6 +52,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_dart_minhash": op4_dart_minhash,
         "op6_secret_scan": op6_secret_scan,
         "op7_byte_bpe": op7_byte_bpe,
+        "op10_class_lm": op10_class_lm,
     }
 
 
