@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, class_lm, dart_minhash, license_scan, oracles, quality_rules, secret_scan, source_mix
+from . import byte_bpe, class_lm, dart_minhash, license_scan, oracles, quality_rules, secret_scan, source_mix, suffix_dedup
+from .shared import ship_package
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -40,6 +42,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(_documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(_documents(spark, sf_dir)).drop("kept")
+
+
 def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_lm.score(_documents(spark, sf_dir))
 
@@ -52,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_dart_minhash": op4_dart_minhash,
         "op6_secret_scan": op6_secret_scan,
         "op7_byte_bpe": op7_byte_bpe,
+        "op8_suffix_dedup": op8_suffix_dedup,
         "op10_class_lm": op10_class_lm,
     }
 

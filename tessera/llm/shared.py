@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the executors, once an application, should they not have it."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        top = Path(__file__).resolve().parents[1]
+        base = Path(tempfile.mkdtemp(prefix="tessera-")) / "tessera"
+        spark.sparkContext.addPyFile(shutil.make_archive(str(base), "zip", top.parent, top.name))
+        _shipped.add(app)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
@@ -35,6 +50,16 @@ def to_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Ids that are broadcast at most (they are counted first); more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def rows_by_ids(docs: DataFrame, ids: DataFrame, id_col: str, how: str) -> DataFrame:
+    """Rows of ``docs`` whose id is (``left_semi``) or is not (``left_anti``) in ``ids(id_)``, nulls included."""
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, docs[id_col].eqNullSafe(ids["id_"]), how)
+
+
 def connected_components(edges: DataFrame, name: str, rounds: int = 50) -> DataFrame:
     """Smallest node that each node of ``edges(src, dst)`` reaches, as ``(node, root)``.
 
