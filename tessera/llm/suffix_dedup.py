@@ -169,11 +169,12 @@ def _repeated(table: pa.Table) -> pa.Table:
 
 
 def suffix_array(text: np.ndarray, end: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of ``text`` in order of at least their first ``depth`` bytes.
+    """Suffixes of ``text`` in order; none is longer than ``depth``.
 
     ``end[i]`` is where the segment of place i ends; there a suffix stops.  Ranks are
     refined by doubling (Larsson and Sadakane): only groups that are still tied are sorted
-    again, by the ranks of what follows.
+    again, by the ranks of what follows.  Equal suffixes stand in order of place, as if each
+    segment had an end mark of its own, which Kasai's rule relies on.
     """
     n = len(text)
     key = np.zeros(n, np.int64)
@@ -248,7 +249,7 @@ def _strings(table: pa.Table, length: int) -> tuple[np.ndarray, ...]:
     sizes = np.diff(byte)
     seg = np.repeat(np.arange(len(sizes)), sizes)
     begin, end = byte[:-1][seg], byte[1:][seg]
-    sa = suffix_array(raw, end, length)
+    sa = suffix_array(raw, end, int(sizes.max(initial=0)))
     shared = common_prefixes(raw, begin, end, sa, length)
     sa = sa[end[sa] - sa >= length]
     # No shorter suffix stands between two equal strings: it would have to begin with them.
