@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, class_lm, dart_minhash, license_scan, oracles, quality_rules, secret_scan, source_mix, suffix_dedup
+from . import byte_bpe, class_lm, dart_minhash, license_scan, oracles, pairwise_quality, quality_rules, secret_scan, source_mix, suffix_dedup
 from .shared import ship_package
 
 
@@ -31,6 +31,10 @@ def op4_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart_minhash.classes(_documents(spark, sf_dir))
 
 
+def op5_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairwise_quality.classify(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(_documents(spark, sf_dir))
 
@@ -56,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_rules": op2_quality_rules,
         "op3_license_scan": op3_license_scan,
         "op4_dart_minhash": op4_dart_minhash,
+        "op5_pairwise_quality": op5_pairwise_quality,
         "op6_secret_scan": op6_secret_scan,
         "op7_byte_bpe": op7_byte_bpe,
         "op8_suffix_dedup": op8_suffix_dedup,
