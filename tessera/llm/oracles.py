@@ -153,3 +153,17 @@ classed as (select a as doc_id, min(b) as class_id from nr group by a)"""
 
 def dart_minhash_sql() -> str:
     return f"with recursive {near_copies_ctes()}\nselect doc_id, class_id, doc_id = class_id as kept from classed"
+
+
+def pq_dedup_sql(least: float = 0.98) -> str:
+    return f"""
+with recursive v as (select vec_id, label, cast(embedding as double[]) as x from embeddings),
+n as (select *, sqrt(list_dot_product(x, x)) as l from v where x is not null and label is not null and list_dot_product(x, x) > 0),
+p as (
+  select a.vec_id as a, b.vec_id as b from n a join n b on a.label = b.label and a.vec_id <> b.vec_id
+  where list_dot_product(a.x, b.x) / (a.l * b.l) >= {least}),
+k as (select a, count(*) as n from p group by a),
+r(a, b) as (select vec_id, vec_id from v union select r.a, p.b from r join p on r.b = p.a),
+c as (select a, min(b) as b from r group by a)
+select v.vec_id, cast(coalesce(k.n, 0) as bigint) as n_links, c.b as component_id, v.vec_id = c.b as kept
+from v join c on c.a = v.vec_id left join k on k.a = v.vec_id"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, class_lm, dart_minhash, license_scan, oracles, pairwise_quality, quality_rules, secret_scan, source_mix, suffix_dedup
+from . import byte_bpe, class_lm, dart_minhash, license_scan, oracles, pairwise_quality, pq_dedup, quality_rules, secret_scan, source_mix, suffix_dedup
 from .shared import ship_package
 
 
@@ -50,6 +50,11 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(_documents(spark, sf_dir)).drop("kept")
 
 
+def op9_pq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return pq_dedup.classes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_lm.score(_documents(spark, sf_dir))
 
@@ -64,12 +69,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_secret_scan": op6_secret_scan,
         "op7_byte_bpe": op7_byte_bpe,
         "op8_suffix_dedup": op8_suffix_dedup,
+        "op9_pq_dedup": op9_pq_dedup,
         "op10_class_lm": op10_class_lm,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op9_pq_dedup": oracles.pq_dedup_sql(),
         "op1_source_mix": oracles.source_mix_sql(),
         "op2_quality_rules": oracles.quality_rules_sql(),
         "op3_license_scan": oracles.license_scan_sql(),
