@@ -67,6 +67,7 @@ def block_pairs(rows: DataFrame, scope: str, fn: Callable[[pd.DataFrame, pd.Data
     others = F.explode(F.expr("sequence(0L, nb_ - 1)"))
     left = d.select("*", F.col("mine_").alias("i_"), others.alias("j_")).drop("mine_", "nb_")
     right = d.select("*", others.alias("i_"), F.col("mine_").alias("j_")).drop("mine_", "nb_")
+    right = right.toDF(*right.columns)  # columns of its own, as both sides come from the same rows
     return left.groupBy(scope, "i_", "j_").cogroup(right.groupBy(scope, "i_", "j_")).applyInPandas(fn, schema)
 
 
