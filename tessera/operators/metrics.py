@@ -127,7 +127,7 @@ def pearson(x: str, y: str) -> Column:
     both = F.col(x).isNotNull() & F.col(y).isNotNull()
     a, b = F.when(both, F.col(x)), F.when(both, F.col(y))
     fit = (F.count(F.when(both, 1)) >= 2) & (F.stddev_pop(a) > 1e-12) & (F.stddev_pop(b) > 1e-12)
-    return F.when(fit, F.corr(a, b))
+    return F.when(fit, F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
 
 
 def prediction_summary(values: DataFrame, pred: str = "pred", target: str = "target", mask: str = "mask", split: str = "split") -> DataFrame:
