@@ -175,4 +175,8 @@ def good_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     model = fit_on(counts(docs, id_col, text_col).selectExpr(*_votes()))
     failed = f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words"
     rows = counts(docs, id_col, text_col, keep_row=True).selectExpr("*", *_votes())
-    return rows.where(f"not ({failed}) and 1 / (1 + exp(-({model.logit_sql()}))) >= 0.5").select("doc_id.*")
+    good = F.expr(f"not ({failed}) and 1 / (1 + exp(-({model.logit_sql()}))) >= 0.5")
+    # A condition on the counts would be pushed down and work them out many times over; whether
+    # a generated row is there can't be.
+    kept = rows.select(F.explode_outer(F.when(good, F.array("doc_id"))).alias("row_"))
+    return kept.where("row_ is not null").select("row_.*")
