@@ -100,7 +100,7 @@ def from_file(path: str, preset: str | None = None) -> Config:
 
 
 def with_preset(cfg: Config, name: str) -> Config:
-    sizes = {"smoke": {"size": 8, "max_genes": 32}, "pdc": {"size": 256, "max_genes": 1200, "bins": 32}}
+    sizes = {"smoke": {"size": 8, "max_genes": 32}, "large": {"size": 256, "max_genes": 1200, "bins": 32}}
     if name not in sizes:
         raise ValueError(f"unknown preset {name!r}")
     return replace(cfg, model=replace(cfg.model, **sizes[name]))

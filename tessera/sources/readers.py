@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import clean_text, first_true
 
-#: Pairs of coordinate columns, in order of preference.
+# Pairs of coordinate columns in order of preference, and metadata columns.
 COORDINATES = (("x", "y"), ("x_centroid", "y_centroid"), ("cell_x_centroid", "cell_y_centroid"))
 METADATA = ("slide_id", "patient_id", "organ", "batch_id", "stain", "scanner")
 
