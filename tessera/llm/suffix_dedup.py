@@ -333,15 +333,34 @@ def removed(docs: DataFrame, length: int, spread: int = SPREAD) -> DataFrame:
                 first.append(i)
         row = np.array(first + again, np.int64)
         pieces = [m[1] for m in seen] + [None] * len(again)
-        return pa.table({"shard": shard[row], "key": key[row], "start": start[row], "stop": stop[row], "bytes": pa.array(pieces, pa.binary())})
+        return pa.table({"shard": shard[row], "key": key[row], "start": start[row], "stop": stop[row], "anchor": anchor[row], "bytes": pa.array(pieces, pa.binary())})
 
-    pieces = texts.groupBy("batch").cogroup(found.groupBy("batch")).applyInArrow(cut, "shard long, key long, start long, stop long, bytes binary")
+    pieces = texts.groupBy("batch").cogroup(found.groupBy("batch")).applyInArrow(cut, "shard long, key long, start long, stop long, anchor long, bytes binary")
     if n_hot:
         pieces = to_table(pieces, "suffix-segments")
 
     def sort(table: pa.Table) -> pa.Table:
         again = table.filter(pa.compute.is_null(table.column("bytes"))).select(["key", "start", "stop"])
         own = table.filter(pa.compute.is_valid(table.column("bytes")))
+        if not own.num_rows:
+            return again
+        # Equal segments of other batches are one as well; an anchor with a single segment left has
+        # no other context to be sorted against.
+        order = np.lexsort((np.asarray(own.column("start")), np.asarray(own.column("key"))))
+        anchor, data = own.column("anchor").to_pylist(), own.column("bytes").to_pylist()
+        seen: set[tuple[int, bytes]] = set()
+        contexts: dict[int, int] = {}
+        first, equal = [], []
+        for i in order.tolist():
+            mine = (anchor[i], data[i])
+            if mine in seen:
+                equal.append(i)
+            else:
+                seen.add(mine)
+                first.append(i)
+                contexts[anchor[i]] = contexts.get(anchor[i], 0) + 1
+        again = pa.concat_tables([again, own.take(pa.array(equal, pa.int64())).select(["key", "start", "stop"])])
+        own = own.take(pa.array([i for i in first if contexts[anchor[i]] > 1], pa.int64()))
         if not own.num_rows:
             return again
         _, _, key, start, number = _strings(own, length)
