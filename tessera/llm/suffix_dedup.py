@@ -33,7 +33,7 @@ GRAM = 40
 #: Anchors that a task gathers before it sends them on; text bytes of a batch; bytes of a shard.
 GATHER = 1_000_000
 BATCH_BYTES = 8_000_000
-SHARD_BYTES = 4_000_000
+SHARD_BYTES = 1_000_000
 #: Segments of an anchor beyond which it is spread over sub-shards of about this many.
 SPREAD = 20_000
 _P1, _P2 = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
@@ -333,7 +333,9 @@ def removed(docs: DataFrame, length: int, spread: int = SPREAD) -> DataFrame:
                 first.append(i)
         row = np.array(first + again, np.int64)
         pieces = [m[1] for m in seen] + [None] * len(again)
-        return pa.table({"shard": shard[row], "key": key[row], "start": start[row], "stop": stop[row], "anchor": anchor[row], "bytes": pa.array(pieces, pa.binary())})
+        # The others are only passed on, so they needn't meet the rest of their anchor.
+        to = np.concatenate([shard[row[: len(first)]], key[row[len(first) :]] % shards])
+        return pa.table({"shard": to, "key": key[row], "start": start[row], "stop": stop[row], "anchor": anchor[row], "bytes": pa.array(pieces, pa.binary())})
 
     pieces = texts.groupBy("batch").cogroup(found.groupBy("batch")).applyInArrow(cut, "shard long, key long, start long, stop long, anchor long, bytes binary")
     if n_hot:
