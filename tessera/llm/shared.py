@@ -61,26 +61,31 @@ def rows_by_ids(docs: DataFrame, ids: DataFrame, id_col: str, how: str) -> DataF
 
 
 def connected_components(edges: DataFrame, name: str, rounds: int = 50) -> DataFrame:
-    """Smallest node that each node of ``edges(src, dst)`` reaches, as ``(node, root)``.
-
-    Labels are the smallest ones of the neighbours, then the labels of these labels, until
-    none changes.  Edges and labels stay distributed; nodes with many edges are only ever
-    aggregated partially or dealt out by a splittable join.  Nulls in an edge drop the edge;
-    an empty input gives an empty result; if ``rounds`` don't suffice, RuntimeError.
+    """``(node, root)``: for each node of ``edges(src, dst)`` one node of its component, the same for all.
+
+    Every node goes to its neighbour of least hash, or stays if its own is less; edges are then drawn
+    between the nodes gone to, once each, and those within one node go.  As hashes are random, each
+    round has a fraction of the edges, long paths included.  When none is left, the rounds' maps are put together from the last to the first.
+    Edges and maps stay distributed; nodes with many edges are only ever aggregated partially or
+    dealt out by a splittable join.  Nulls in an edge drop the edge; an empty input gives an empty
+    result; if ``rounds`` don't suffice, RuntimeError.
     """
     e = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).where("a is not null and b is not null and a <> b")
-    e = e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    both = to_table(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))), f"{name}-edges")
-    labels = to_table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")), f"{name}-labels")
-    for _ in range(rounds):
-        near = (
-            both.join(labels.select(F.col("node").alias("b"), "root"), "b")
-            .groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        )
-        step = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        up = labels.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        step = to_table(step.join(up, "root").select("node", "old", F.least("root", "top").alias("root")), f"{name}-labels")
-        labels = step.select("node", "root")
-        if step.where("old <> root").limit(1).count() == 0:
-            return labels
-    raise RuntimeError(f"{name}: components did not settle in {rounds} rounds")
+    e = to_table(e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-edges")
+    maps: list[DataFrame] = []
+    while e.limit(1).count():
+        if len(maps) == rounds:
+            raise RuntimeError(f"{name}: components did not settle in {rounds} rounds")
+        ends = e.select(F.col("a").alias("node"), "b").unionByName(e.select(F.col("b").alias("node"), F.col("a").alias("b")))
+        least = ends.groupBy("node").agg(F.min(F.struct(F.xxhash64("b").alias("h"), "b")).alias("m"))
+        own = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("b"))
+        to = to_table(least.select("node", F.least("m", own)["b"].alias("root")), f"{name}-labels")
+        maps.append(to)
+        drawn = e.join(to.select(F.col("node").alias("a"), F.col("root").alias("x")), "a").join(to.select(F.col("node").alias("b"), F.col("root").alias("y")), "b")
+        e = to_table(drawn.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"{name}-edges")
+    if not maps:
+        return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out = maps.pop()
+    for to in reversed(maps):
+        out = to.join(out.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return to_table(out, f"{name}-roots")

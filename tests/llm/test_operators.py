@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import byte_bpe, class_lm, dart_minhash, license_scan, pairwise_quality, pq_dedup, quality_rules, secret_scan, source_mix, suffix_dedup
 from tessera.llm import words as W
+from tessera.llm.shared import connected_components
 
 RNG = random.Random(5)
 WORDS = ["the", "of", "and", "to"] + ["".join(RNG.choice("abcdefghié") for _ in range(RNG.randint(2, 8))) for _ in range(200)]
@@ -188,6 +189,23 @@ def test_near_copies(spark, weights):
     assert dart_minhash.one_of_each(d, dart_minhash.Settings(weights=weights)).count() == sum(find(i) == i for i in range(len(rows)))
 
 
+def test_components(spark):
+    rng = random.Random(8)
+    pairs = [(i, i + 1) for i in range(1000, 1060)] + [(2000, 2000 + i) for i in range(1, 40)] + [(3000 - i, 3000) for i in range(1, 40)]
+    pairs += [(rng.randrange(300), rng.randrange(300)) for _ in range(160)] + [(7, 7), (None, 5), (5, None)]
+    rng.shuffle(pairs)
+    root = {x: x for p in pairs if None not in p and p[0] != p[1] for x in p}
+    for _ in range(len(root)):
+        for a, b in pairs:
+            if a in root and b in root and a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    d = spark.createDataFrame(pairs, "src long, dst long")
+    got = {r.node: r.root for r in connected_components(d, "some").collect()}
+    assert got.keys() == root.keys() and all(root[r] == root[x] for x, r in got.items())
+    assert len(set(got.values())) == len(set(root.values()))
+    assert connected_components(d.limit(0), "none").count() == 0
+
+
 def test_pairwise_ranking(spark):
     rows, labels = [], []
     for i in range(600):
