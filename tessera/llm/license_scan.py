@@ -11,6 +11,8 @@ Only built-in functions are used and no row leaves its partition.
 
 from __future__ import annotations
 
+import re._constants as rc
+import re._parser as rp
 from functools import cache
 
 from pyspark.sql import Column, DataFrame
@@ -22,8 +24,8 @@ WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BASE = [("mit", ["mit", "license"]), ("apache", ["apache", "license"]), ("gpl", ["general", "public", "license"])]
 
-#: Each rule needs one of these in the lower-cased text.
-GATES = ["licen", "spdx", "copyright", "public domain", "creative commons", "cc-by", "cc by", "cc0", "all rights reserved"]
+#: Least length of a gate; shorter ones stand in most texts.
+GATE_LENGTH = 5
 #: Words that a signature may span.
 REACH = 24
 
@@ -79,6 +81,31 @@ def rules() -> list[tuple[int, str, str, int, str]]:
     return [(i, word, label, p, text) for i, (p, word, label, text) in enumerate(out)]
 
 
+def _runs(expression: str) -> list[str]:
+    """Letters and digits that stand in a row in every match of ``expression``, if there are enough of them."""
+    literal = [chr(arg) if op is rc.LITERAL else " " for op, arg in rp.parse(expression)]
+    return [run for run in "".join(literal).split() if len(run) >= GATE_LENGTH]
+
+
+def _gates() -> list[str]:
+    """Parts of single words, such that each rule and each base phrase needs one of them.
+
+    The part that most of the rules need comes first, then the one that most of the others need.
+    """
+    left = [_runs(text[2:-2]) for _, _, _, _, text in rules()] + [parts for _, parts in BASE]
+    if not all(left):
+        raise ValueError("a rule has no word that all its matches hold")
+    out = []
+    while left:
+        out.append(min({run for runs in left for run in runs}, key=lambda g: (-sum(any(g in run for run in runs) for runs in left), -len(g), g)))
+        left = [runs for runs in left if not any(out[-1] in run for run in runs)]
+    return out
+
+
+#: Each rule needs one of these in the lower-cased text, whatever stands between its words.
+GATES = _gates()
+
+
 def _rule_map() -> Column:
     by_word: dict[str, list[str]] = {}
     for i, word, label, p, text in rules():

@@ -135,6 +135,49 @@ def test_license_phrases(spark):
     assert got[5].labels == "gpl,lgpl" and [x.label for x in got[5].detections] == ["lgpl"]
 
 
+def license_text(items, take):
+    """A match of a parsed expression; ``take(n)`` chooses one of n ways at each choice."""
+    out = ""
+    for op, arg in items:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(arg)
+        elif name == "IN":
+            out += chr([c for k, v in arg for c in (range(v[0], v[1] + 1) if str(k) == "RANGE" else [v])][take(2)])
+        elif name == "SUBPATTERN":
+            out += license_text(arg[-1], take)
+        elif name == "BRANCH":
+            out += license_text(arg[1][take(len(arg[1]))], take)
+        elif name == "MAX_REPEAT":
+            out += "".join(license_text(arg[2], take) for _ in range(arg[0] if arg[0] == 1 or arg[0] == arg[1] else take(2)))
+        else:
+            assert name == "AT"
+    return out
+
+
+def license_cases():
+    """For each rule: its least match, two random ones, and the expression."""
+    rng = random.Random(3)
+    for text in sorted({r[4] for r in license_scan.rules()}):
+        parsed = re._parser.parse(text)
+        for take in (lambda n: 0, rng.randrange, rng.randrange):
+            yield license_text(parsed, take).strip(), text
+
+
+def test_license_gate_passes_each_rule(spark):
+    texts = sorted({t for t, _ in license_cases()} | {"public domain", "all rights reserved"})
+    texts = [t.title().replace(" ", by) for t in texts for by in (" ", "\n", "-")]
+    got = by_id(license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    # The same text after a word that opens every gate.
+    opened = by_id(license_scan.scan(spark.createDataFrame([(i, "unlicensable; " + t) for i, t in enumerate(texts)], "doc_id long, text string")))
+    for i, t in enumerate(texts):
+        assert got[i].labels == opened[i].labels and got[i].score == opened[i].score, t
+    want = {"Public\nDomain": "public-domain", "Public-Domain": "public-domain", "All\nRights\nReserved": "proprietary"}
+    assert {t: got[texts.index(t)].labels for t in want} == want
+    passages = {text[2:-2]: label for _, _, label, p, text in license_scan.rules() if p == 95}
+    assert len(passages) == 2 and all(got[texts.index(t.title())].labels == label for t, label in passages.items())
+
+
 def test_darts_estimate_weighted_similarity():
     rng = np.random.default_rng(0)
     for weighted in (False, True):
