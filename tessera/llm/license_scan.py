@@ -48,37 +48,65 @@ NAMES: list[tuple[str, str]] = [
 ]
 VERSION = r"(?:(?: version| v)? v?[0-9]+(?: [0-9]+)?)?"
 TERMS = r"(?: (?:under|by|to|with))?(?: the)?(?: (?:terms|conditions)(?: and conditions)? of)?(?: the)?"
-#: priority, opening word, what stands before the name, what stands after it.
-FORMS: list[tuple[int, str, str, str]] = [
-    (90, "licensed", "licensed" + TERMS + " ", r"(?: licen[cs]e)?" + VERSION),
-    (90, "released", "released" + TERMS + " ", r" licen[cs]e" + VERSION),
-    (90, "distributed", "distributed" + TERMS + " ", r" licen[cs]e" + VERSION),
-    (85, "available", "available" + TERMS + " ", r" licen[cs]e" + VERSION),
-    (80, "spdx", "spdx licen[cs]e identifier ", VERSION),
-    (70, "license", "licen[cs]e(?: is)?(?: the)? ", VERSION),
+#: priority, what stands before the name, what stands after it.
+FORMS: list[tuple[int, str, str]] = [
+    (90, "licensed" + TERMS + " ", r"(?: licen[cs]e)?" + VERSION),
+    (90, "released" + TERMS + " ", r" licen[cs]e" + VERSION),
+    (90, "distributed" + TERMS + " ", r" licen[cs]e" + VERSION),
+    (85, "available" + TERMS + " ", r" licen[cs]e" + VERSION),
+    (80, "spdx licen[cs]e identifier ", VERSION),
+    (70, "licen[cs]e(?: is)?(?: the)? ", VERSION),
 ]
-#: priority, opening word, label, whole signature.
-NOTICES: list[tuple[int, str, str, str]] = [
-    (60, "public", "public-domain", "public domain"),
-    (60, "all", "proprietary", "all rights reserved"),
-    (40, "copyright", "copyright", r"copyright(?: c)? [0-9]{4}"),
-    (95, "permission", "mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    (95, "redistribution", "bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
+#: priority, label, whole signature.
+NOTICES: list[tuple[int, str, str]] = [
+    (60, "public-domain", "public domain"),
+    (60, "proprietary", "all rights reserved"),
+    (40, "copyright", r"copyright(?: c)? [0-9]{4}"),
+    (95, "mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    (95, "bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
 ]
 
 
+def _heads(items, heads: set[str]) -> set[str]:
+    """``heads`` carried on through a parsed expression, each up to its first space."""
+    for op, arg in items:
+        done = {h for h in heads if " " in h}
+        if done == heads:
+            break
+        more = heads - done
+        if op is rc.LITERAL:
+            more = {h + chr(arg) for h in more}
+        elif op is rc.IN and all(kind is rc.LITERAL for kind, _ in arg):
+            more = {h + chr(c) for h in more for _, c in arg}
+        elif op is rc.SUBPATTERN:
+            more = _heads(arg[-1], more)
+        elif op is rc.BRANCH:
+            more = set().union(*[_heads(part, more) for part in arg[1]])
+        elif op is rc.MAX_REPEAT and arg[:2] == (0, 1):
+            more = more | _heads(arg[2], more)
+        else:
+            raise ValueError(f"an opening word can't have {op}")
+        heads = done | more
+    return heads
+
+
+def _openings(expression: str) -> list[str]:
+    """All words that a match of ``expression``, which is followed by a space, can begin with."""
+    words = {h.split(" ")[0] for h in _heads(rp.parse(expression + " "), {""})}
+    if not all(words):
+        raise ValueError(f"no opening word: {expression}")
+    return sorted(words)
+
+
 @cache
 def rules() -> list[tuple[int, str, str, int, str]]:
-    """(number, opening word, label, priority, expression), ordered; longer names before shorter ones."""
+    """(number, opening word, label, priority, expression), ordered; a rule stands there once for each of its opening words."""
     out = []
-    for priority, word, before, after in FORMS:
-        out += [(priority, word, label, f"^({before}{name}{after}) ") for label, name in NAMES]
-    for label, name in NAMES:
-        opening = name.split(" ")[0]
-        if opening.isalnum():
-            out.append((75, opening, label, f"^({name} licen[cs]e{VERSION}) "))
-    out += [(p, word, label, f"^({text}) ") for p, word, label, text in NOTICES]
-    return [(i, word, label, p, text) for i, (p, word, label, text) in enumerate(out)]
+    for priority, before, after in FORMS:
+        out += [(priority, label, before + name + after) for label, name in NAMES]
+    out += [(75, label, f"{name} licen[cs]e{VERSION}") for label, name in NAMES]
+    out += NOTICES
+    return [(i, word, label, p, f"^({text}) ") for i, (p, label, text) in enumerate(out) for word in _openings(text)]
 
 
 def _runs(expression: str) -> list[str]:

@@ -178,6 +178,28 @@ def test_license_gate_passes_each_rule(spark):
     assert len(passages) == 2 and all(got[texts.index(t.title())].labels == label for t, label in passages.items())
 
 
+def test_license_rules_under_each_opening(spark):
+    rules = sorted({(r[0], *r[2:]) for r in license_scan.rules()})
+    texts = sorted({t for t, _ in license_cases()} | {
+        "BSD 3-Clause License", "BSD 2-clause licence", "3 Clause BSD License 1.0", "SIL Open Font License", "Open Font Licence", "GPLv3 License", "gplv2 licence",
+        "Apache Software License 2.0", "Licence: BSD", "licence is the MIT", "LICENSE: Apache",
+    })
+    got = by_id(license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    for i, t in enumerate(texts):  # every rule at every word
+        w = re.findall("[a-z0-9]+", t.lower())
+        hits = []
+        for a in range(len(w)):
+            for n, label, p, text in rules:
+                if m := re.match(text, " ".join(w[a : a + license_scan.REACH]) + " "):
+                    hits.append((a, a + len(m[1].split(" ")), p, n, label))
+        kept = [x for x in hits if not any(y[0] <= x[0] and y[1] >= x[1] and (y[2], y[1] - y[0], -y[3]) > (x[2], x[1] - x[0], -x[3]) for y in hits)]
+        assert hits and [(x.start, x.end, x.priority, x.label) for x in got[i].detections] == [(a, b, p, label) for a, b, p, _, label in sorted(kept)], t
+    want = {"BSD 3-Clause License": "bsd-3-clause", "SIL Open Font License": "ofl", "GPLv3 License": "gpl", "Apache Software License 2.0": "apache", "Licence: BSD": "bsd"}
+    assert {t: got[texts.index(t)].labels for t in want} == want
+    with pytest.raises(ValueError):
+        license_scan._openings("[0-9]+ clause")
+
+
 def test_darts_estimate_weighted_similarity():
     rng = np.random.default_rng(0)
     for weighted in (False, True):
