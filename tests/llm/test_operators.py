@@ -308,6 +308,16 @@ def test_secrets(spark):
     assert masked[0] == "[secret]' x" and masked[5] is None and masked[1] == texts[1]
 
 
+def test_long_logins(spark):
+    logins = [f"://{'u' * a}:{'p' * b}@" for a, b in ((1, 1), (64, 64), (65, 1), (1, 65), (300, 9000))] + ["://me:github_pat_" + "a1B_" * 20 + "@"]
+    texts = [f"see https{x}host/x" for x in logins] + ["://" + "u" * 50_000, "://u:" + "p" * 50_000 + " @", "://u:@"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got, masked = by_id(secret_scan.report(d)), by_id(secret_scan.mask(d))
+    for i, t in enumerate(texts):
+        assert got[i].spans == (f"login:9:{9 + len(logins[i])}" if i < len(logins) else "")
+        assert masked[i].text == ("see https[secret]host/x" if i < len(logins) else t)
+
+
 def test_trigram_queries():
     assert secret_scan.trigram_query("[0-9a-f]{32,}") == [] and secret_scan.trigram_query("ab[xy]?") == []
     assert secret_scan.trigram_query("AKIA[A-Z0-9]+") == [[frozenset({"aki", "kia"})]]
