@@ -3,10 +3,12 @@
 Exchange clustering assigns words to classes so that the likelihood of the class bigrams is
 greatest; a text's probability is the product of class transitions and word emissions.
 
-Words with at least 1 / ``SHARE`` of the training tokens are exchanged between ``CLASSES``
-classes (there are at most ``SHARE`` such words, however large the corpus); every other word
-belongs to the open class of its form, by its last letter and length.  All counts are of the
-whole training part.  Word counts never meet in one place: documents are dealt into batches, a
+Words with at least 1 / ``SHARE`` of the training tokens, and the ``SEEDS`` most frequent ones
+anyway, are exchanged between ``CLASSES`` classes (there are at most ``SHARE`` or ``SEEDS`` such
+words, however large the corpus); every other known word then goes to the class where the
+likelihood gains most, by all its neighbours' classes.  Words not in the training part belong to
+the open class of their form, by last letter and length, for which known words of one occurrence
+stand in.  All counts are of the whole training part.  Word counts never meet in one place: documents are dealt into batches, a
 batch asks for the counts of its distinct words, the counts are made slice by slice of the
 hash range, and each batch gets back the counts of its own words together with its texts.
 """
@@ -26,6 +28,8 @@ from . import words as W
 from .shared import to_table
 
 SHARE = 4096
+#: So many words are exchanged at least, however flat the frequencies.
+SEEDS = 1024
 CLASSES = 48
 #: Sweeps of the exchange.
 SWEEPS = 3
@@ -218,18 +222,17 @@ def exchange(pairs: np.ndarray, words: int, classes: int, sweeps: int = SWEEPS)
 
 @dataclass
 class Model:
-    """All that scoring needs besides the counts of a batch's own words; its size is bounded."""
+    """What the exchange gives; its size is bounded."""
 
     tokens: int
     types: int
-    #: frequent words: sorted hashes and their classes
+    #: training texts
+    ends: int
+    #: exchanged words: sorted hashes and their classes
     words: np.ndarray
     of: np.ndarray
-    #: log10 of transition probabilities
-    move: np.ndarray
-    #: log10 of what the emissions of a class are divided by, and what is added to a count
-    total: np.ndarray
-    add: np.ndarray
+    #: successions of classes, with all words that were not exchanged in the classes of their forms
+    table: np.ndarray
 
     def classes_of(self, h: np.ndarray, form: np.ndarray, classes: int) -> np.ndarray:
         out = classes + 1 + form.astype(np.int64)
@@ -280,7 +283,8 @@ def _train(docs: DataFrame, answers: DataFrame, classes: int) -> Model:
         per += np.frombuffer(bytes(r["words"]), np.int64).reshape(2, FORMS)
     ends = docs.where("not held_out").count()
     tokens, types = int(per[1].sum()) + ends, int(per[0].sum()) + (ends > 0)
-    chosen = sorted((h for h, (c, _) in top.items() if c * SHARE >= tokens and c > 0), key=lambda h: (-top[h][0], h))
+    ranked = sorted((h for h, (c, _) in top.items() if c > 0), key=lambda h: (-top[h][0], h))
+    chosen = [h for i, h in enumerate(ranked) if i < SEEDS or top[h][0] * SHARE >= tokens]
     k = min(classes, max(1, len(chosen)))
     words = np.array(sorted(chosen), np.uint64)
     size = len(words) + 1 + FORMS
@@ -295,18 +299,140 @@ def _train(docs: DataFrame, answers: DataFrame, classes: int) -> Model:
     all_ = np.concatenate([of, np.arange(k, k + 1 + FORMS)])
     member = np.zeros((size, k + 1 + FORMS))
     member[np.arange(size), all_] = 1
-    table = member.T @ pairs @ member
-    seen = table.sum(0)
-    unigram = (seen + 1) / (seen.sum() + len(seen))
-    move = np.log10((table + ALPHA * unigram) / (table.sum(1, keepdims=True) + ALPHA))
-    rare = per[0].copy()
-    for h in chosen:
-        rare[top[h][1]] -= 1
-    total = np.where(np.arange(len(seen)) > k, seen + DELTA * (np.concatenate([np.zeros(k + 1), rare]) + 1), seen)
-    add = np.where(np.arange(len(seen)) > k, DELTA, 0.0)
-    if not ends:
-        total, add = np.maximum(total, 1), np.where(np.arange(len(seen)) == k, 1.0, add)
-    return Model(tokens, types, words, of, move, np.log10(np.maximum(total, 1e-300)), add)
+    return Model(tokens, types, ends, words, of, member.T @ pairs @ member)
+
+
+def gains(table: np.ndarray, classes: int, form: np.ndarray, left: np.ndarray, right: np.ndarray, self_: np.ndarray) -> np.ndarray:
+    """Log likelihood that each word would gain in each exchange class, up to a constant of the word.
+
+    ``table`` has the words in the classes ``form``; ``left[w, g]`` is how often class g stands before
+    w and ``right[w, g]`` after it, without the ``self_[w]`` times that w follows itself.  The words are
+    looked at one by one, each taken out of its class first.
+    """
+    xlogx = lambda x: x * np.log(np.maximum(x, 1))
+    inner = table[:classes, :classes]
+    out = np.zeros((len(form), classes))
+    for own, other, lines in ((right, left, table[:classes].T), (left, right, table[:, :classes])):
+        w, j = np.nonzero(own)
+        for lo in range(0, len(w), 20_000):
+            x, y = w[lo : lo + 20_000], j[lo : lo + 20_000]
+            was = lines[y] - np.where((y == form[x])[:, None], other[x, :classes], 0)
+            at = _runs(x)
+            out[x[at]] += np.add.reduceat(xlogx(was + own[x, y][:, None]) - xlogx(was), at)
+    corner, l, r = np.diag(inner), left[:, :classes], right[:, :classes]
+    out += xlogx(corner + l + r + self_[:, None]) + xlogx(corner) - xlogx(corner + l) - xlogx(corner + r)
+    for side, axis in ((right, 1), (left, 0)):
+        margin, n = table.sum(axis)[:classes], (side.sum(1) + self_)[:, None]
+        out -= xlogx(margin + n) - xlogx(margin)
+    return out
+
+
+def _contexts(docs: DataFrame, model: Model, slices: int) -> DataFrame:
+    """``(slice, batch, h, f, m, code, n)``: for the words of a batch that were not exchanged, how often they have which neighbours.
+
+    Codes are the class before, the class after (from the number of classes on), and the word itself
+    after; one more, with no count, names the words of texts held out.
+    """
+    shift = np.uint64(64 - slices.bit_length() + 1) if slices > 1 else None
+    size = len(model.table)
+    k = size - 1 - FORMS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have: list[tuple[np.ndarray, ...]] = []
+        n_have = 0
+
+        def send() -> Iterator[pa.RecordBatch]:
+            b, h, f, c, n = (np.concatenate(x) for x in zip(*have, strict=True))
+            order = np.lexsort((c, h, b))
+            b, h, f, c, n = b[order], h[order], f[order], c[order], n[order]
+            at = _runs(b, h, c)
+            n, b, h, f, c = _sums(n, at).astype(np.int64), b[at], h[at], f[at], c[at]
+            s = (h >> shift).astype(np.int64) if shift is not None else np.zeros(len(h), np.int64)
+            bounds = [*_runs(b, s).tolist(), len(b)]
+            for lo in range(0, len(bounds) - 1, 4096):
+                rows = []
+                for i, j in zip(bounds[lo : lo + 4096], bounds[lo + 1 : lo + 4097], strict=False):
+                    at = _runs(h[i:j])
+                    m = np.diff(np.append(at, j - i)).astype(np.uint16)
+                    rows.append((int(s[i]), int(b[i]), h[i:j][at].tobytes(), f[i:j][at].tobytes(), *(zlib.compress(x.tobytes(), 1) for x in (m, c[i:j], n[i:j]))))
+                cols = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in cols[:2]), *(pa.array(x, pa.binary()) for x in cols[2:])], names=["slice", "batch", "h", "f", "m", "code", "n"])
+
+        for batch in batches:
+            for part in W.chunks(batch, 2):
+                h, f, first = _tokens(part.column(2))
+                cls = model.classes_of(h, f, k)
+                text = np.diff(first)
+                train, b = np.repeat(np.asarray(part.column(0)).astype(bool), text), np.repeat(np.asarray(part.column(1)), text)
+                before, after = np.concatenate([[k], cls[:-1]]), np.append(cls[1:], k)
+                again = np.append(h[1:] == h[:-1], False)
+                rare = cls > k
+                for mask, code in (
+                    (rare & train & ~np.append(False, again[:-1]), before), (rare & train & ~again, size + after),
+                    (rare & train & again, np.full(len(h), 2 * size)), (rare & ~train, np.full(len(h), 2 * size + 1)),
+                ):
+                    have.append((b[mask].astype(np.int32), h[mask], f[mask], code[mask].astype(np.uint16), train[mask].astype(np.int32)))
+                    n_have += int(mask.sum())
+                if n_have >= GATHER // 4:
+                    yield from send()
+                    have.clear()
+                    n_have = 0
+        if n_have:
+            yield from send()
+
+    return docs.select(F.expr("cast(not held_out as int)").alias("train"), "batch", "t").mapInArrow(run, "slice long, batch long, h binary, f binary, m binary, code binary, n binary")
+
+
+def _assign(table: pa.Table, model: Model) -> pa.Table:
+    """``(batch, words)``: the classes of each batch's words, for one slice of the hash range."""
+    size = len(model.table)
+    k = size - 1 - FORMS
+    rows = table.to_pylist()
+    own = [np.frombuffer(r["h"], np.uint64) for r in rows]
+    m = [np.frombuffer(zlib.decompress(r["m"]), np.uint16) for r in rows]
+    h = np.concatenate([np.repeat(x, y) for x, y in zip(own, m, strict=True)])
+    f = np.concatenate([np.repeat(np.frombuffer(r["f"], np.uint8), y) for r, y in zip(rows, m, strict=True)])
+    code = np.concatenate([np.frombuffer(zlib.decompress(r["code"]), np.uint16) for r in rows]).astype(np.int64)
+    n = np.concatenate([np.frombuffer(zlib.decompress(r["n"]), np.int64) for r in rows])
+    order = np.lexsort((code, h))
+    h, f, code, n = h[order], f[order], code[order], n[order]
+    at = _runs(h, code)
+    n, h, f, code = _sums(n, at), h[at], f[at], code[at]
+    first = _runs(h)
+    types, form = h[first], k + 1 + f[first].astype(np.int64)
+    bounds = np.append(first, len(h))
+    of = np.empty(len(types), np.int64)
+    for lo in range(0, len(types), 2000):
+        hi = min(lo + 2000, len(types))
+        i, j = bounds[lo], bounds[hi]
+        dense = np.zeros((hi - lo, 2 * size + 2))
+        dense[np.repeat(np.arange(hi - lo), np.diff(bounds[lo : hi + 1])), code[i:j]] = n[i:j]
+        of[lo:hi] = np.argmax(gains(model.table, k, form[lo:hi], dense[:, :size], dense[:, size : 2 * size], dense[:, 2 * size]), axis=1)
+    packed = [_pack(x, of[np.searchsorted(types, x)], np.zeros(len(x), np.uint8)) for x in own]
+    return pa.table({"batch": table.column("batch"), "words": pa.array(packed, pa.binary())})
+
+
+def _class_pairs(coded: DataFrame, size: int) -> np.ndarray:
+    """Successions of classes in the training texts; known words of one occurrence count for their form's class too."""
+    k = size - 1 - FORMS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(size * size, np.int64)
+        for batch in batches:
+            code = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint16).astype(np.int64)
+            cls, form = code % size, code // size - 1
+            before, after = np.concatenate([[k], cls[:-1]]), np.append(cls[1:], k)
+            once = np.flatnonzero(form >= 0)
+            for a, b in ((before, cls), (before[once], k + 1 + form[once]), (k + 1 + form[once], after[once])):
+                table += np.bincount(a * size + b, minlength=size * size)
+        keys = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(keys // size), pa.array(keys % size), pa.array(table[keys])], names=["a", "b", "n"])
+
+    out = np.zeros((size, size))
+    sums = coded.where("not held_out").select("classes").mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    for r in sums.toLocalIterator():  # at most size ** 2
+        out[r["a"], r["b"]] = r["n"]
+    return out
 
 
 def score(docs: DataFrame, classes: int = CLASSES, fold: int = 7, held: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -326,34 +452,67 @@ def score(docs: DataFrame, classes: int = CLASSES, fold: int = 7, held: int = 2,
     d = d.withColumn("batch", F.pmod(F.xxhash64("doc_id", F.length("t"), F.substring("t", 1, 64)), F.lit(n_batches)))
     answers = to_table(_ask(d, slices).groupBy("slice").applyInArrow(lambda t: _answer(t), "batch long, words binary"), "lm-answers")
     model = _train(d, answers, classes)
-    k = len(model.move) - 1 - FORMS
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        parts = [_unpack(x) for x in right.column("words").to_pylist()]
-        own = np.concatenate([p[0] for p in parts] or [np.zeros(0, np.uint64)])
-        counts = np.concatenate([p[1] for p in parts] or [np.zeros(0, np.int64)])
-        order = np.argsort(own)
-        own, counts = own[order], counts[order]
+    size = len(model.table)
+    k = size - 1 - FORMS
+    places = _contexts(d, model, slices).groupBy("slice").applyInArrow(lambda t: _assign(t, model), "batch long, words binary")
+    answers = answers.where("batch >= 0").withColumn("kind", F.lit(0)).unionByName(places.withColumn("kind", F.lit(1)))
+    # Added to counts: DELTA in the open classes, and what keeps an end possible without training texts.
+    add = np.where(np.arange(size) > k, DELTA, 0.0)
+    add[k] = 0.0 if model.ends else 1.0
+
+    def known(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        parts = [_unpack(x) for x in table.column("words").to_pylist()]
+        h, n = (np.concatenate([p[i] for p in parts] or [np.zeros(0, t)]) for i, t in enumerate((np.uint64, np.int64)))
+        order = np.argsort(h)
+        return h[order], n[order]
+
+    def look_up(h: np.ndarray, own: np.ndarray, value: np.ndarray, default: np.ndarray) -> np.ndarray:
+        if not len(own):
+            return default
+        at = np.minimum(np.searchsorted(own, h), len(own) - 1)
+        return np.where(own[at] == h, value[at], default)
+
+    def code(left: pa.Table, right: pa.Table) -> pa.Table:
+        kind = np.asarray(right.column("kind"))
+        own, counts = known(right.filter(pa.array(kind == 0)))
+        rare, places = known(right.filter(pa.array(kind == 1)))
         out = []
         for batch in left.combine_chunks().to_batches():
             for part in W.chunks(batch, 2):
                 h, f, first = _tokens(part.column(2))
-                at = np.minimum(np.searchsorted(own, h), len(own) - 1)
-                c = np.where(own[at] == h, counts[at], 0)
+                c = look_up(h, own, counts, np.zeros(len(h), np.int64))
                 cls = model.classes_of(h, f, k)
-                before = np.concatenate([[k], cls[:-1]])
-                logp = model.move[before, cls] + np.log10(np.maximum(c + model.add[cls], 1e-300)) - model.total[cls]
-                ends = first[:-1]
-                n = np.diff(first)
-                base = np.add.reduceat(np.log10(c + 1.0), ends) - n * np.log10(model.tokens + (model.types + 1.0))
+                cls = np.where((cls > k) & (c > 0), look_up(h, rare, places, cls), cls)
+                n, begin = np.diff(first), first[:-1]
+                once = (c == 1) & (h != END) & ~np.repeat(np.asarray(part.column(1)).astype(bool), n)
+                coded = (cls + np.where(once, size * (1 + f.astype(np.int64)), 0)).astype(np.uint16).tobytes()
+                base = np.add.reduceat(np.log10(c + 1.0), begin) - n * np.log10(model.tokens + (model.types + 1.0))
                 out.append(pa.table({
-                    "doc_id": part.column(0), "held_out": part.column(1), "n_tokens": pa.array(n.astype(np.int64)),
-                    "n_known": pa.array(np.add.reduceat((c > 0).astype(np.int64), ends)), "train_tokens": pa.array(np.full(len(n), model.tokens, np.int64)),
-                    "base_score": pa.array(base), "score": pa.array(np.add.reduceat(logp, ends)),
+                    "doc_id": part.column(0), "held_out": pa.array(np.asarray(part.column(1)).astype(bool)), "n_tokens": pa.array(n.astype(np.int64)),
+                    "n_known": pa.array(np.add.reduceat((c > 0).astype(np.int64), begin)), "train_tokens": pa.array(np.full(len(n), model.tokens, np.int64)),
+                    "base_score": pa.array(base), "emitted": pa.array(np.add.reduceat(np.log10(np.maximum(c + add[cls], 1e-300)), begin)),
+                    "classes": pa.array([coded[2 * i : 2 * j] for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], pa.binary()),
                 }))
         return pa.concat_tables(out)
 
     id_type = d.schema["doc_id"].dataType.simpleString()
-    ddl = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    ddl = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double"
     texts = d.select("doc_id", "held_out", "t", "batch").groupBy("batch")
-    return texts.cogroup(answers.where("batch >= 0").groupBy("batch")).applyInArrow(run, ddl)
+    coded = to_table(texts.cogroup(answers.groupBy("batch")).applyInArrow(code, ddl + ", emitted double, classes binary"), "lm-classes")
+    table = _class_pairs(coded, size)
+    seen = table.sum(0)
+    unigram = (seen + 1) / (seen.sum() + size)
+    move = np.log10((table + ALPHA * unigram) / (table.sum(1, keepdims=True) + ALPHA))
+    total = np.log10(np.maximum(np.where(np.arange(size) > k, seen + DELTA * (seen + 1), seen), 1e-300 if model.ends else 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            cls = np.frombuffer(b"".join(batch.column("classes").to_pylist()), np.uint16).astype(np.int64) % size
+            logp = move[np.concatenate([[k], cls[:-1]]), cls] - total[cls]
+            begin = np.concatenate([[0], np.cumsum(np.asarray(batch.column("n_tokens")))[:-1]])
+            score_ = np.asarray(batch.column("emitted")) + np.add.reduceat(logp, begin)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(score_)], names=[*batch.schema.names[:6], "score"])
+
+    return coded.mapInArrow(run, ddl + ", score double")

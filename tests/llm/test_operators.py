@@ -434,6 +434,55 @@ def test_class_lm(docs):
         assert r.score < 0 and math.isfinite(r.score)
 
 
+def test_class_lm_against_brute_force(docs, spark, monkeypatch):
+    monkeypatch.setattr(class_lm, "SHARE", 20)
+    monkeypatch.setattr(class_lm, "SEEDS", 30, raising=False)
+    k, forms, low = 6, class_lm.FORMS, {c: c + 32 for c in range(65, 91)}
+    got = by_id(class_lm.score(docs, classes=k))
+    tokens, form, hash_ = {}, {}, {}
+    for i, t in ROWS:
+        tokens[i] = [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low)), None]
+        h, f, _ = class_lm._tokens(pa.array([t or ""]))
+        form |= dict(zip(tokens[i], f.tolist(), strict=True))
+        hash_ |= dict(zip(tokens[i], h.tolist(), strict=True))
+    train = [ws for i, ws in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    c = Counter(w for ws in train for w in ws)
+    words = sorted((w for w in c if w), key=lambda w: (-c[w], hash_[w]))
+    seeds, rest = words[:30], words[30:]
+    assert len(rest) > 100
+    bigrams = Counter((a, b) for ws in train for a, b in zip([None, *ws], ws, strict=False))
+    unit = {w: i for i, w in enumerate(seeds)} | {None: 30} | {w: 31 + form[w] for w in rest}
+    pairs = np.zeros((31 + forms, 31 + forms))
+    for (a, b), n in bigrams.items():
+        pairs[unit[a], unit[b]] += n
+    of = dict(zip(seeds, class_lm.exchange(pairs, 30, k).tolist(), strict=True)) | {None: k} | {w: k + 1 + form[w] for w in rest}
+
+    def likelihood(of):
+        t = np.zeros((k + 1 + forms, k + 1 + forms))
+        for (a, b), n in bigrams.items():
+            t[of[a], of[b]] += n
+        x = lambda v: float((v * np.log(np.maximum(v, 1))).sum())
+        return x(t) - x(t.sum(0)) - x(t.sum(1))
+
+    best = {w: int(np.argmax([round(likelihood(of | {w: g}), 6) for g in range(k)])) for w in rest}
+    of |= best
+    size = k + 1 + forms
+    table = np.zeros((size, size))
+    for ws in train:
+        for a, b, d in zip([None, *ws], ws, [*ws[1:], None], strict=False):
+            table[of[a], of[b]] += 1
+            if c[b] == 1 and b:
+                table[of[a], k + 1 + form[b]] += 1
+                table[k + 1 + form[b], of[d]] += 1
+    seen, rows = table.sum(0), table.sum(1)
+    uni = (seen + 1) / (seen.sum() + size)
+    for i, ws in tokens.items():
+        cls = [of[w] if c[w] else k + 1 + form[w] for w in ws]
+        p = [(table[a, b] + class_lm.ALPHA * uni[b]) / (rows[a] + class_lm.ALPHA) for a, b in zip([k, *cls], cls, strict=False)]
+        e = [c[w] / seen[g] if c[w] else class_lm.DELTA / (seen[g] + class_lm.DELTA * (seen[g] + 1)) for w, g in zip(ws, cls, strict=True)]
+        assert math.isclose(got[i].score, sum(map(math.log10, p + e)), rel_tol=1e-6), (i, got[i].score)
+
+
 def test_exchange_finds_the_classes():
     rng, kinds, seq = random.Random(2), 3, []
     for _ in range(6000):
