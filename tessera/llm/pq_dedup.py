@@ -8,8 +8,11 @@ lookup tables of the query's subspace distances to the codewords (asymmetric, th
 is not coded); each code carries the length of its error, so pruning by it is safe, and
 the survivors get their exact cosine in double precision.
 
-Centroids and codewords are fitted on a bounded sample; every vector is indexed.  Lists are cut
-into blocks, and a query visits all blocks of a list, so no task holds a whole large list.
+Centroids and codewords are fitted on a bounded sample; every vector is indexed.  Lists grow in
+number with the vectors as far as the sample can tell centroids apart; beyond that they grow in
+length, and lists are cut into blocks and a query visits all blocks of a list, so no task holds a
+whole large list.  Vectors travel in their own element type and are brought to length one in double
+precision where they are used.
 """
 
 from __future__ import annotations
@@ -23,12 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, to_table
+from ..tables import drop_tables, to_table
+from .shared import connected_components
 
 #: Vectors that centroids and codewords are fitted on (the least by hash).
 SAMPLE = 16_384
-#: Vectors of one label in a list, on average; lists at most; vectors of a block.
-LIST, LISTS, BLOCK = 256, 1024, 1024
+#: Vectors of one label in a list, on average; vectors of the sample for each centroid at least; vectors of a block.
+LIST, PER_CENTROID, BLOCK = 512, 4, 1024
+#: Distances to centroids that are worked out at once.
+AT_ONCE = 2_000_000
 SUBSPACES, WORDS, SWEEPS = 8, 64, 8
 
 
@@ -50,8 +56,9 @@ def _squares(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
 
 def _nearest(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
     out = np.empty(len(x), np.int64)
-    for a in range(0, len(x), 4096):
-        out[a : a + 4096] = _squares(x[a : a + 4096], centre).argmin(1)
+    step = max(1, AT_ONCE // len(centre))
+    for a in range(0, len(x), step):
+        out[a : a + step] = _squares(x[a : a + step], centre).argmin(1)
     return out
 
 
@@ -81,10 +88,16 @@ class Index:
 
     def probes(self, x: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray]:
         """(vector, list) pairs: all lists that can hold a vector within ``r``, the own one included."""
-        d = _squares(x, self.centre)
-        own = d.argmin(1)
-        apart = np.sqrt(_squares(self.centre, self.centre))
-        return np.nonzero(d - d[np.arange(len(x)), own][:, None] <= 2 * r * apart[own] + 1e-9)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        step = max(1, AT_ONCE // len(self.centre))
+        for a in range(0, len(x), step):
+            d = _squares(x[a : a + step], self.centre)
+            own = d.argmin(1)
+            apart = np.sqrt(_squares(self.centre[own], self.centre))
+            q, c = np.nonzero(d - d[np.arange(len(d)), own][:, None] <= 2 * r * apart + 1e-9)
+            found.append((q + a, c))
+        q, c = zip(*found, strict=True)
+        return np.concatenate(q), np.concatenate(c)
 
     def near(self, q: np.ndarray, list_: int, code: np.ndarray, error: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray]:
         """(query, coded) pairs that may be within ``r``, by table lookups."""
@@ -97,6 +110,12 @@ class Index:
 
 def _unit(batch: pa.Array, dim: int) -> np.ndarray:
     x = np.asarray(batch.flatten()).astype(np.float64).reshape(-1, dim)
+    return _length_one(x)
+
+
+def _length_one(x: np.ndarray) -> np.ndarray:
+    """Rows at length one; the largest part is brought to one first, so no square leaves the range of numbers."""
+    x = x / np.abs(x).max(1, initial=0)[:, None]
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
@@ -116,25 +135,28 @@ def _groups(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 def classes(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept.
 
-    Linked are vectors of equal label (not null) and length whose cosine is at least ``least``.  Null,
-    empty and zero vectors, and those with null or non-finite parts, link with nothing.  Repeated
+    Linked are vectors of equal label (not null) and dimension whose cosine is at least ``least``, however
+    long or short they are.  Null, empty and zero vectors, and those with null or non-finite parts,
+    link with nothing.  Repeated
     rows are vectors of their own; a null id counts as greater than others, as a component's least
     id is of those that aren't null.  Other columns are not looked at; an empty table gives an
     empty one.
     """
     r = math.sqrt(2 - 2 * least)
-    v = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("x"))
+    kind = "float" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
+    v = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).cast(f"array<{kind}>").alias("x"))
     good = F.expr("label is not null and x is not null and size(x) > 0 and forall(x, e -> e is not null and not isnan(e) and abs(e) < double('inf')) and exists(x, e -> e <> 0)")
-    norm = F.expr("sqrt(aggregate(x, 0d, (a, e) -> a + e * e))")
-    v = v.withColumn("node", F.when(F.coalesce(good & norm.between(1e-150, 1e150), F.lit(False)), F.md5(F.concat_ws("|", F.col("label").cast("string"), F.array_join(F.transform("x", lambda e: (e + F.lit(0.0)).cast("string")), ",")).cast("binary"))))
+    digits = F.array_join(F.transform("x", lambda e: (e + F.lit(0.0)).cast("string")), ",")  # no negative zeros
+    v = v.withColumn("node", F.when(F.coalesce(good, F.lit(False)), F.unhex(F.md5(F.concat_ws("|", F.col("label").cast("string"), digits).cast("binary")))))
     v = to_table(v, "pq-vectors")
     # Equal vectors are one node with a weight.
     nodes = v.where("node is not null").groupBy("node").agg(F.first("label").alias("label"), F.first("x").alias("x"), F.count(F.lit(1)).alias("n"))
     nodes = to_table(nodes.withColumn("dim", F.size("x")), "pq-nodes")
-    links, edges = None, None
+    links, edges, parts = None, None, []
     for dim in sorted(r_["dim"] for r_ in nodes.select("dim").distinct().collect()):  # vector lengths in the table
         part = nodes.where(F.col("dim") == dim)
         found = _cells(part, dim, r, least)
+        parts.append(found)
         n = found.where("kind = 0").groupBy("node").agg(F.sum("n").alias("n_links"))
         e = found.where("kind = 1").select(F.col("node").alias("src"), F.col("other").alias("dst"))
         links = n if links is None else links.unionByName(n)
@@ -145,6 +167,7 @@ def classes(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id", vec
     named = nodes.select("node", "n").join(links, "node", "left").join(roots, "node", "left")
     named = named.select("node", (F.coalesce("n_links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"))
     rows = to_table(v.select("vec_id", "node").join(named, "node", "left"), "pq-rows")
+    drop_tables(v, nodes, roots, *parts)
     first = rows.where("root is not null").groupBy("root").agg(F.min("vec_id").alias("least"))
     out = rows.join(first, "root", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("least", "vec_id").alias("component_id"))
     return out.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
@@ -153,10 +176,10 @@ def classes(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id", vec
 def _cells(nodes: DataFrame, dim: int, r: float, least: float) -> DataFrame:
     """Links of ``nodes(node, label, x, n)``: kind 0 (node, n: its links), kind 1 (node, other: an edge)."""
     count = nodes.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("label").alias("labels")).first()
-    lists = min(LISTS, max(1, round(count["n"] / max(1, count["labels"]) / LIST)))
+    lists = min(SAMPLE // PER_CENTROID, max(1, round(count["n"] / max(1, count["labels"]) / LIST)))
     sample = nodes.orderBy("node").limit(SAMPLE).select("x").collect()  # nodes are digests
     x = np.array([s["x"] for s in sample]).reshape(-1, dim)
-    index = Index.fit(x / np.sqrt((x * x).sum(1))[:, None], lists)
+    index = Index.fit(_length_one(x), lists)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,7 +198,7 @@ def _cells(nodes: DataFrame, dim: int, r: float, least: float) -> DataFrame:
             )
 
     label_type = nodes.schema["label"].dataType.simpleString()
-    placed = nodes.select("node", "label", "x", "n").mapInArrow(place, f"node string, label {label_type}, x array<double>, n long, list long, code binary, error double")
+    placed = nodes.select("node", "label", "x", "n").mapInArrow(place, f"node binary, label {label_type}, x {nodes.schema['x'].dataType.simpleString()}, n long, list long, code binary, error double")
     placed = to_table(placed, "pq-placed")
     sizes = placed.groupBy("label", "list").agg(F.count("code").alias("coded"), F.count(F.lit(1)).alias("rows")).where("coded > 0")
     sizes = sizes.select("label", "list", F.ceil(F.col("coded") / BLOCK).alias("bs"), F.ceil((F.col("rows") - F.col("coded")) / BLOCK).alias("qs"))
@@ -189,29 +212,31 @@ def _cells(nodes: DataFrame, dim: int, r: float, least: float) -> DataFrame:
         table = table.combine_chunks()
         is_query = np.asarray(table.column("code").is_null())
         b, q = np.flatnonzero(~is_query), np.flatnonzero(is_query)
-        names = np.array(table.column("node").to_pylist(), object)
+        names = np.frombuffer(b"".join(table.column("node").to_pylist()), "V16")
         n = np.asarray(table.column("n"))
         if not len(b) or not len(q):
-            return pa.table({"kind": pa.array([], pa.int32()), "node": pa.array([], pa.string()), "other": pa.array([], pa.string()), "n": pa.array([], pa.int64())})
+            return pa.table({"kind": pa.array([], pa.int32()), "node": pa.array([], pa.binary()), "other": pa.array([], pa.binary()), "n": pa.array([], pa.int64())})
         u = _unit(table.column("x").combine_chunks(), dim)
         code = np.frombuffer(b"".join(table.column("code").take(pa.array(b)).to_pylist()), np.uint8).reshape(len(b), -1)
         i, j = index.near(u[q], int(table.column("list")[0].as_py()), code, np.asarray(table.column("error"))[b], r)
-        keep = names[q][i] != names[b][j]
+        all_, back = np.unique(names, return_inverse=True)
+        keep = back[q[i]] != back[b[j]]
         i, j = i[keep], j[keep]
         cos = np.einsum("ij,ij->i", u[q[i]], u[b[j]]) if len(i) else np.zeros(0)
         i, j = i[cos >= least], j[cos >= least]
         total = np.bincount(i, n[b[j]], len(q)).astype(np.int64) if len(i) else np.zeros(len(q), np.int64)
         has = np.flatnonzero(total)
         # The graph of a cell is passed on as one edge for each vector, to the least of its group.
-        all_, back = np.unique(names, return_inverse=True)
         group = _groups(back[q[i]], back[b[j]], len(all_))
         far = np.flatnonzero(group != np.arange(len(all_)))
         return pa.table({
-            "kind": pa.array([0] * len(has) + [1] * len(far), pa.int32()), "node": pa.array([*names[q[has]], *all_[far]], pa.string()),
-            "other": pa.array([None] * len(has) + list(all_[group[far]]), pa.string()), "n": pa.array([*total[has].tolist(), *[0] * len(far)], pa.int64()),
+            "kind": pa.array([0] * len(has) + [1] * len(far), pa.int32()), "node": pa.array([x.tobytes() for x in [*names[q[has]], *all_[far]]], pa.binary()),
+            "other": pa.array([None] * len(has) + [x.tobytes() for x in all_[group[far]]], pa.binary()), "n": pa.array([*total[has].tolist(), *[0] * len(far)], pa.int64()),
         })
 
-    return to_table(cells.groupBy("label", "list", "i", "j").applyInArrow(link, "kind int, node string, other string, n long"), "pq-links")
+    out = to_table(cells.groupBy("label", "list", "i", "j").applyInArrow(link, "kind int, node binary, other binary, n long"), "pq-links")
+    drop_tables(placed)
+    return out
 
 
 def recall(found: set[tuple[int, int]], all_: set[tuple[int, int]]) -> float:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import shutil
 import tempfile
-import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import drop_tables, to_table
 
 _shipped: set[str] = set()
 
@@ -24,40 +24,22 @@ def ship_package(spark: SparkSession) -> None:
         _shipped.add(app)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    A cluster names it in ``spark.checkpoint.dir``; a temporary one is set only where that
-    setting and the context's own checkpoint folder are both absent, as in local tests.
-    """
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        sc.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def to_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again.
-
-    This cuts lineage: a lost executor costs only the stage that was running, and loops
-    don't grow their plans.  The folder belongs to the application that made it.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Bytes of rows that are broadcast at most (they are measured first); more are joined by shuffle.
+BROADCAST_BYTES = 32_000_000
+#: What a row takes in a broadcast table besides its texts and binaries.
+ROW_BYTES = 48
 
 
-#: Ids that are broadcast at most (they are counted first); more are joined by shuffle.
-BROADCAST_IDS = 1_000_000
+def is_small(table: DataFrame) -> bool:
+    """Whether ``table`` may be broadcast, by the bytes of all its rows; read once to measure it."""
+    sized = [F.octet_length(c) if t in ("string", "binary") else F.octet_length(F.to_json(F.struct(c))) for c, t in table.dtypes if t not in ("long", "bigint", "int", "double", "boolean")]
+    each = sum((F.coalesce(s, F.lit(0)).cast("long") for s in sized), F.lit(ROW_BYTES).cast("long"))
+    return (table.agg(F.sum(each).alias("n")).first()["n"] or 0) <= BROADCAST_BYTES
 
 
 def rows_by_ids(docs: DataFrame, ids: DataFrame, id_col: str, how: str) -> DataFrame:
     """Rows of ``docs`` whose id is (``left_semi``) or is not (``left_anti``) in ``ids(id_)``, nulls included."""
-    few = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, docs[id_col].eqNullSafe(ids["id_"]), how)
+    return docs.join(F.broadcast(ids) if is_small(ids) else ids, docs[id_col].eqNullSafe(ids["id_"]), how)
 
 
 def connected_components(edges: DataFrame, name: str, rounds: int = 50) -> DataFrame:
@@ -81,11 +63,14 @@ def connected_components(edges: DataFrame, name: str, rounds: int = 50) -> DataF
         own = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("b"))
         to = to_table(least.select("node", F.least("m", own)["b"].alias("root")), f"{name}-labels")
         maps.append(to)
-        drawn = e.join(to.select(F.col("node").alias("a"), F.col("root").alias("x")), "a").join(to.select(F.col("node").alias("b"), F.col("root").alias("y")), "b")
+        last, drawn = e, e.join(to.select(F.col("node").alias("a"), F.col("root").alias("x")), "a").join(to.select(F.col("node").alias("b"), F.col("root").alias("y")), "b")
         e = to_table(drawn.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"{name}-edges")
+        drop_tables(last)
     if not maps:
         return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    out = maps.pop()
-    for to in reversed(maps):
+    out = maps[-1]
+    for to in reversed(maps[:-1]):
         out = to.join(out.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-    return to_table(out, f"{name}-roots")
+    out = to_table(out, f"{name}-roots")
+    drop_tables(e, *maps)
+    return out
