@@ -8,9 +8,11 @@ anyway, are exchanged between ``CLASSES`` classes (there are at most ``SHARE`` o
 words, however large the corpus); every other known word then goes to the class where the
 likelihood gains most, by all its neighbours' classes.  Words not in the training part belong to
 the open class of their form, by last letter and length, for which known words of one occurrence
-stand in.  All counts are of the whole training part.  Word counts never meet in one place: documents are dealt into batches, a
-batch asks for the counts of its distinct words, the counts are made slice by slice of the
-hash range, and each batch gets back the counts of its own words together with its texts.
+stand in.  All counts are of the whole training part.  Word counts never meet in one place:
+they are made slice by slice of the hash range, and only the most frequent words of each slice
+reach the driver.  Documents are dealt into batches; the contexts of all other words are gathered
+by slice, where each gets its count and its class, and each batch gets back those of its own
+words together with its texts.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .shared import to_table
+from ..tables import drop_tables, to_table
 
 SHARE = 4096
 #: So many words are exchanged at least, however flat the frequencies.
@@ -76,47 +78,39 @@ def _sums(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.add.reduceat(x, at) if len(at) else x[:0]
 
 
-def _ask(docs: DataFrame, slices: int) -> DataFrame:
-    """``(slice, batch, words)``: distinct words of each batch and their training counts."""
+def _count(docs: DataFrame, slices: int) -> DataFrame:
+    """``(slice, words)``: distinct words of the training texts with counts, added up as far as a task holds them."""
     shift = np.uint64(64 - slices.bit_length() + 1) if slices > 1 else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have: list[tuple[np.ndarray, ...]] = []
+        have: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
         def send() -> Iterator[pa.RecordBatch]:
-            b, h, f, n = (np.concatenate(x) for x in zip(*have, strict=True))
+            h, f = (np.concatenate(x) for x in zip(*have, strict=True))
             order = np.argsort(h)
-            order = order[np.argsort(b[order], kind="stable")]
-            b, h, f, n = b[order], h[order], f[order], n[order]
-            at = _runs(b, h)
-            n, b, h, f = _sums(n, at), b[at], h[at], f[at]
+            h, f = h[order], f[order]
+            at = _runs(h)
+            n = np.diff(np.append(at, len(h)))
+            h, f = h[at], f[at]
             s = (h >> shift).astype(np.int64) if shift is not None else np.zeros(len(h), np.int64)
-            cut = _runs(b, s)
-            bounds = [*cut.tolist(), len(b)]
-            for lo in range(0, len(cut), 4096):
-                part = range(lo, min(lo + 4096, len(cut)))
-                packed = [_pack(h[bounds[i] : bounds[i + 1]], n[bounds[i] : bounds[i + 1]], f[bounds[i] : bounds[i + 1]]) for i in part]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(s[cut[lo : lo + 4096]]), pa.array(b[cut[lo : lo + 4096]].astype(np.int64)), pa.array(packed, pa.binary())], names=["slice", "batch", "words"]
-                )
+            bounds = [*_runs(s).tolist(), len(h)]
+            packed = [_pack(h[i:j], n[i:j], f[i:j]) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(s[bounds[:-1]]), pa.array(packed, pa.binary())], names=["slice", "words"])
 
         for batch in batches:
-            for part in W.chunks(batch, 2):
-                h, f, first = _tokens(part.column(2))
-                train = np.asarray(part.column(0)).astype(np.int64)
-                b = np.asarray(part.column(1))
-                k = np.diff(first)
-                have.append((np.repeat(b, k), h, f, np.repeat(train, k)))
-                size += len(h)
+            for part in W.chunks(batch, 0):
+                h, f, _ = _tokens(part.column(0))
+                have.append((h[h != END], f[h != END]))
+                size += len(have[-1][0])
                 if size >= GATHER:
                     yield from send()
                     have.clear()
                     size = 0
-        if have:
+        if size:
             yield from send()
 
-    return docs.select(F.expr("cast(not held_out as int)").alias("train"), "batch", "t").mapInArrow(run, "slice long, batch long, words binary")
+    return docs.where("not held_out").select("t").mapInArrow(run, "slice long, words binary")
 
 
 def _pack(h: np.ndarray, n: np.ndarray, f: np.ndarray) -> bytes:
@@ -128,34 +122,15 @@ def _unpack(x: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(x, np.uint64, k, 8), np.frombuffer(zlib.decompress(x[8 + 9 * k :]), np.int64), np.frombuffer(x, np.uint8, k, 8 + 8 * k)
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    """Counts over all batches for one slice of the hash range.
-
-    Rows: for each batch its words with their counts; for batch -1 the slice's most frequent
-    words, for -2 types and tokens of each form.
-    """
-    parts = [_unpack(x) for x in table.column("words").to_pylist()]
-    b = np.repeat(np.asarray(table.column("batch")), [len(p[0]) for p in parts])
-    h, n, f = (np.concatenate([p[i] for p in parts]) for i in range(3))
+def _tops(table: pa.Table) -> pa.Table:
+    """For one slice of the hash range: its most frequent words (kind 0), and types and tokens of all its words (kind 1)."""
+    h, n, f = (np.concatenate(x) for x in zip(*[_unpack(x) for x in table.column("words").to_pylist()], strict=True))
     order = np.argsort(h)
     at = _runs(h[order])
     c = _sums(n[order], at)
-    types, forms = h[order][at], f[order][at]
-    each = np.empty(len(h), np.int64)
-    each[order] = np.repeat(c, np.diff(np.append(at, len(h))))
-    order = order[np.argsort(b[order], kind="stable")]
-    b, h, f, each = b[order], h[order], f[order], each[order]
-    at = _runs(b, h)
-    b, h, f, each = b[at], h[at], f[at], each[at]
-    cut = _runs(b)
-    bounds = [*cut.tolist(), len(b)]
-    rows = [(int(b[i]), _pack(h[i:j], each[i:j], f[i:j])) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
     top = np.argsort(-c, kind="stable")[:SHARE]
-    rows.append((-1, _pack(types[top], c[top], forms[top])))
-    known = c > 0
-    per = np.concatenate([np.bincount(forms[known & (types != END)], minlength=FORMS), np.bincount(forms[types != END], c[types != END], minlength=FORMS)]).astype(np.int64)
-    rows.append((-2, per.tobytes()))
-    return pa.table({"batch": pa.array([r[0] for r in rows], pa.int64()), "words": pa.array([r[1] for r in rows], pa.binary())})
+    rows = [_pack(h[order][at][top], c[top], f[order][at][top]), np.array([len(c), c.sum()], np.int64).tobytes()]
+    return pa.table({"kind": pa.array([0, 1], pa.int32()), "words": pa.array(rows, pa.binary())})
 
 
 def exchange(pairs: np.ndarray, words: int, classes: int, sweeps: int = SWEEPS) -> np.ndarray:
@@ -231,6 +206,8 @@ class Model:
     #: exchanged words: sorted hashes and their classes
     words: np.ndarray
     of: np.ndarray
+    #: and their counts
+    counts: np.ndarray
     #: successions of classes, with all words that were not exchanged in the classes of their forms
     table: np.ndarray
 
@@ -270,21 +247,20 @@ def _successions(docs: DataFrame, words: np.ndarray) -> DataFrame:
     return docs.where("not held_out").select("t").mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
-def _train(docs: DataFrame, answers: DataFrame, classes: int) -> Model:
-    top: dict[int, tuple[int, int]] = {}
-    for r in answers.where("batch = -1").toLocalIterator():  # at most SHARE words of each slice
-        for h, c, f in zip(*(x.tolist() for x in _unpack(bytes(r["words"]))), strict=True):
-            if h != int(END):
-                top[h] = (c, f)
+def _train(docs: DataFrame, tops: DataFrame, classes: int) -> Model:
+    top: dict[int, int] = {}
+    types = tokens = 0
+    for r in tops.toLocalIterator():  # at most SHARE words of each slice
+        if r["kind"] == 1:
+            types, tokens = (int(a) + b for a, b in zip(np.frombuffer(bytes(r["words"]), np.int64), (types, tokens), strict=True))
+            continue
+        top.update(zip(*(x.tolist() for x in _unpack(bytes(r["words"]))[:2]), strict=True))
         if len(top) > 16 * SHARE:  # only the most frequent ones can have a share of 1 / SHARE
-            top = dict(sorted(top.items(), key=lambda x: -x[1][0])[:SHARE])
-    per = np.zeros((2, FORMS), np.int64)
-    for r in answers.where("batch = -2").toLocalIterator():
-        per += np.frombuffer(bytes(r["words"]), np.int64).reshape(2, FORMS)
+            top = dict(sorted(top.items(), key=lambda x: -x[1])[:SHARE])
     ends = docs.where("not held_out").count()
-    tokens, types = int(per[1].sum()) + ends, int(per[0].sum()) + (ends > 0)
-    ranked = sorted((h for h, (c, _) in top.items() if c > 0), key=lambda h: (-top[h][0], h))
-    chosen = [h for i, h in enumerate(ranked) if i < SEEDS or top[h][0] * SHARE >= tokens]
+    tokens, types = tokens + ends, types + (ends > 0)
+    ranked = sorted(top, key=lambda h: (-top[h], h))
+    chosen = [h for i, h in enumerate(ranked) if i < SEEDS or top[h] * SHARE >= tokens]
     k = min(classes, max(1, len(chosen)))
     words = np.array(sorted(chosen), np.uint64)
     size = len(words) + 1 + FORMS
@@ -299,7 +275,7 @@ def _train(docs: DataFrame, answers: DataFrame, classes: int) -> Model:
     all_ = np.concatenate([of, np.arange(k, k + 1 + FORMS)])
     member = np.zeros((size, k + 1 + FORMS))
     member[np.arange(size), all_] = 1
-    return Model(tokens, types, ends, words, of, member.T @ pairs @ member)
+    return Model(tokens, types, ends, words, of, np.array([top[h] for h in words.tolist()], np.int64), member.T @ pairs @ member)
 
 
 def gains(table: np.ndarray, classes: int, form: np.ndarray, left: np.ndarray, right: np.ndarray, self_: np.ndarray) -> np.ndarray:
@@ -328,9 +304,10 @@ def gains(table: np.ndarray, classes: int, form: np.ndarray, left: np.ndarray, r
 
 
 def _contexts(docs: DataFrame, model: Model, slices: int) -> DataFrame:
-    """``(slice, batch, h, f, m, code, n)``: for the words of a batch that were not exchanged, how often they have which neighbours.
+    """``(slice, batch, contexts)``: for the words of a batch that were not exchanged, how often they have which neighbours.
 
-    Codes are the class before, the class after (from the number of classes on), and the word itself
+    Packed are hashes, forms and numbers of codes of the words, then the codes and how often each occurs (low bytes
+    first, as most are small).  Codes are the class before, the class after (from the number of classes on), and the word itself
     after; one more, with no count, names the words of texts held out.
     """
     shift = np.uint64(64 - slices.bit_length() + 1) if slices > 1 else None
@@ -354,9 +331,11 @@ def _contexts(docs: DataFrame, model: Model, slices: int) -> DataFrame:
                 for i, j in zip(bounds[lo : lo + 4096], bounds[lo + 1 : lo + 4097], strict=False):
                     at = _runs(h[i:j])
                     m = np.diff(np.append(at, j - i)).astype(np.uint16)
-                    rows.append((int(s[i]), int(b[i]), h[i:j][at].tobytes(), f[i:j][at].tobytes(), *(zlib.compress(x.tobytes(), 1) for x in (m, c[i:j], n[i:j]))))
+                    counts = n[i:j].astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+                    rest = zlib.compress(m.tobytes() + c[i:j].tobytes() + counts, 1)
+                    rows.append((int(s[i]), int(b[i]), len(at).to_bytes(4, "little") + h[i:j][at].tobytes() + f[i:j][at].tobytes() + rest))
                 cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in cols[:2]), *(pa.array(x, pa.binary()) for x in cols[2:])], names=["slice", "batch", "h", "f", "m", "code", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], names=["slice", "batch", "contexts"])
 
         for batch in batches:
             for part in W.chunks(batch, 2):
@@ -373,27 +352,30 @@ def _contexts(docs: DataFrame, model: Model, slices: int) -> DataFrame:
                 ):
                     have.append((b[mask].astype(np.int32), h[mask], f[mask], code[mask].astype(np.uint16), train[mask].astype(np.int32)))
                     n_have += int(mask.sum())
-                if n_have >= GATHER // 4:
+                if n_have >= GATHER // 2:
                     yield from send()
                     have.clear()
                     n_have = 0
         if n_have:
             yield from send()
 
-    return docs.select(F.expr("cast(not held_out as int)").alias("train"), "batch", "t").mapInArrow(run, "slice long, batch long, h binary, f binary, m binary, code binary, n binary")
+    return docs.select(F.expr("cast(not held_out as int)").alias("train"), "batch", "t").mapInArrow(run, "slice long, batch long, contexts binary")
 
 
 def _assign(table: pa.Table, model: Model) -> pa.Table:
-    """``(batch, words)``: the classes of each batch's words, for one slice of the hash range."""
+    """``(batch, words)``: each batch's words with their training counts and classes, for one slice of the hash range."""
     size = len(model.table)
     k = size - 1 - FORMS
-    rows = table.to_pylist()
-    own = [np.frombuffer(r["h"], np.uint64) for r in rows]
-    m = [np.frombuffer(zlib.decompress(r["m"]), np.uint16) for r in rows]
-    h = np.concatenate([np.repeat(x, y) for x, y in zip(own, m, strict=True)])
-    f = np.concatenate([np.repeat(np.frombuffer(r["f"], np.uint8), y) for r, y in zip(rows, m, strict=True)])
-    code = np.concatenate([np.frombuffer(zlib.decompress(r["code"]), np.uint16) for r in rows]).astype(np.int64)
-    n = np.concatenate([np.frombuffer(zlib.decompress(r["n"]), np.int64) for r in rows])
+    own, cols = [], []
+    for x in table.column("contexts").to_pylist():
+        k_ = int.from_bytes(x[:4], "little")
+        own.append(np.frombuffer(x, np.uint64, k_, 4))
+        rest = zlib.decompress(x[4 + 9 * k_ :])
+        m = np.frombuffer(rest, np.uint16, k_)
+        t = int(m.sum())
+        counts = np.frombuffer(rest, np.uint8, 4 * t, 2 * k_ + 2 * t).reshape(4, t).T.copy().view(np.uint32).ravel()
+        cols.append((np.repeat(own[-1], m), np.repeat(np.frombuffer(x, np.uint8, k_, 4 + 8 * k_), m), np.frombuffer(rest, np.uint16, t, 2 * k_).astype(np.int64), counts.astype(np.int64)))
+    h, f, code, n = (np.concatenate(x) for x in zip(*cols, strict=True))
     order = np.lexsort((code, h))
     h, f, code, n = h[order], f[order], code[order], n[order]
     at = _runs(h, code)
@@ -401,15 +383,24 @@ def _assign(table: pa.Table, model: Model) -> pa.Table:
     first = _runs(h)
     types, form = h[first], k + 1 + f[first].astype(np.int64)
     bounds = np.append(first, len(h))
-    of = np.empty(len(types), np.int64)
+    of, count = np.empty(len(types), np.uint8), np.empty(len(types), np.int64)
     for lo in range(0, len(types), 2000):
         hi = min(lo + 2000, len(types))
         i, j = bounds[lo], bounds[hi]
         dense = np.zeros((hi - lo, 2 * size + 2))
         dense[np.repeat(np.arange(hi - lo), np.diff(bounds[lo : hi + 1])), code[i:j]] = n[i:j]
+        # Each occurrence follows another word or itself.
+        count[lo:hi] = dense[:, :size].sum(1) + dense[:, 2 * size]
         of[lo:hi] = np.argmax(gains(model.table, k, form[lo:hi], dense[:, :size], dense[:, size : 2 * size], dense[:, 2 * size]), axis=1)
-    packed = [_pack(x, of[np.searchsorted(types, x)], np.zeros(len(x), np.uint8)) for x in own]
-    return pa.table({"batch": table.column("batch"), "words": pa.array(packed, pa.binary())})
+    of_batch: dict[int, list[np.ndarray]] = {}
+    for b, x in zip(table.column("batch").to_pylist(), own, strict=True):
+        of_batch.setdefault(b, []).append(x)
+    packed = []
+    for x in of_batch.values():
+        x = np.unique(np.concatenate(x))
+        at = np.searchsorted(types, x)
+        packed.append(_pack(x, count[at], of[at]))
+    return pa.table({"batch": pa.array(list(of_batch), pa.int64()), "words": pa.array(packed, pa.binary())})
 
 
 def _class_pairs(coded: DataFrame, size: int) -> np.ndarray:
@@ -436,7 +427,7 @@ def _class_pairs(coded: DataFrame, size: int) -> np.ndarray:
 
 
 def score(docs: DataFrame, classes: int = CLASSES, fold: int = 7, held: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: the base score and the class model's log10 probability.
+    """One row per row of ``docs``: the base score, the class model's log10 probability and its perplexity a token.
 
     Learned from rows whose crc32 of the id modulo ``fold`` is not ``held``.  Null and empty texts
     are an end alone; a null id counts as empty text; repeated rows are learned as often as they
@@ -450,39 +441,32 @@ def score(docs: DataFrame, classes: int = CLASSES, fold: int = 7, held: int = 2,
     n_batches = max(1, -(-size // BATCH_BYTES))
     slices = 1 << max(2, (n_batches // 2).bit_length())
     d = d.withColumn("batch", F.pmod(F.xxhash64("doc_id", F.length("t"), F.substring("t", 1, 64)), F.lit(n_batches)))
-    answers = to_table(_ask(d, slices).groupBy("slice").applyInArrow(lambda t: _answer(t), "batch long, words binary"), "lm-answers")
-    model = _train(d, answers, classes)
+    tops = to_table(_count(d, slices).groupBy("slice").applyInArrow(lambda t: _tops(t), "kind int, words binary"), "lm-tops")
+    model = _train(d, tops, classes)
+    drop_tables(tops)
     size = len(model.table)
     k = size - 1 - FORMS
     places = _contexts(d, model, slices).groupBy("slice").applyInArrow(lambda t: _assign(t, model), "batch long, words binary")
-    answers = answers.where("batch >= 0").withColumn("kind", F.lit(0)).unionByName(places.withColumn("kind", F.lit(1)))
     # Added to counts: DELTA in the open classes, and what keeps an end possible without training texts.
     add = np.where(np.arange(size) > k, DELTA, 0.0)
     add[k] = 0.0 if model.ends else 1.0
 
-    def known(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        parts = [_unpack(x) for x in table.column("words").to_pylist()]
-        h, n = (np.concatenate([p[i] for p in parts] or [np.zeros(0, t)]) for i, t in enumerate((np.uint64, np.int64)))
-        order = np.argsort(h)
-        return h[order], n[order]
-
-    def look_up(h: np.ndarray, own: np.ndarray, value: np.ndarray, default: np.ndarray) -> np.ndarray:
-        if not len(own):
-            return default
-        at = np.minimum(np.searchsorted(own, h), len(own) - 1)
-        return np.where(own[at] == h, value[at], default)
-
     def code(left: pa.Table, right: pa.Table) -> pa.Table:
-        kind = np.asarray(right.column("kind"))
-        own, counts = known(right.filter(pa.array(kind == 0)))
-        rare, places = known(right.filter(pa.array(kind == 1)))
+        # Slices of the hash range are apart, so all words of a batch are distinct.
+        own, counts, place = (np.concatenate([x, *y]) for x, y in zip(
+            (np.append(model.words, END), np.append(model.counts, model.ends), np.append(model.of, k)),
+            list(zip(*[_unpack(x) for x in right.column("words").to_pylist()], strict=True)) or [[]] * 3, strict=True,
+        ))
+        order = np.argsort(own)
+        own, counts, place = own[order], counts[order], place[order].astype(np.int64)
         out = []
         for batch in left.combine_chunks().to_batches():
             for part in W.chunks(batch, 2):
                 h, f, first = _tokens(part.column(2))
-                c = look_up(h, own, counts, np.zeros(len(h), np.int64))
-                cls = model.classes_of(h, f, k)
-                cls = np.where((cls > k) & (c > 0), look_up(h, rare, places, cls), cls)
+                at = np.minimum(np.searchsorted(own, h), len(own) - 1)
+                c = np.where(own[at] == h, counts[at], 0)
+                cls = np.where(c > 0, place[at], k + 1 + f.astype(np.int64))
+                cls[h == END] = k
                 n, begin = np.diff(first), first[:-1]
                 once = (c == 1) & (h != END) & ~np.repeat(np.asarray(part.column(1)).astype(bool), n)
                 coded = (cls + np.where(once, size * (1 + f.astype(np.int64)), 0)).astype(np.uint16).tobytes()
@@ -498,7 +482,7 @@ def score(docs: DataFrame, classes: int = CLASSES, fold: int = 7, held: int = 2,
     id_type = d.schema["doc_id"].dataType.simpleString()
     ddl = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double"
     texts = d.select("doc_id", "held_out", "t", "batch").groupBy("batch")
-    coded = to_table(texts.cogroup(answers.groupBy("batch")).applyInArrow(code, ddl + ", emitted double, classes binary"), "lm-classes")
+    coded = to_table(texts.cogroup(places.groupBy("batch")).applyInArrow(code, ddl + ", emitted double, classes binary"), "lm-classes")
     table = _class_pairs(coded, size)
     seen = table.sum(0)
     unigram = (seen + 1) / (seen.sum() + size)
@@ -515,4 +499,4 @@ def score(docs: DataFrame, classes: int = CLASSES, fold: int = 7, held: int = 2,
             score_ = np.asarray(batch.column("emitted")) + np.add.reduceat(logp, begin)
             yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(score_)], names=[*batch.schema.names[:6], "score"])
 
-    return coded.mapInArrow(run, ddl + ", score double")
+    return coded.mapInArrow(run, ddl + ", score double").withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
