@@ -6,18 +6,22 @@ text and trigram that some query asks for; intersecting postings gives the rules
 a text, and only those are run on it.  A rule without mandatory trigrams is run on every text.
 
 Only built-in functions are used.  Postings are rows, dealt out by text, so a trigram that
-stands in every text is never gathered in one place.
+stands in every text is never gathered in one place.  A text that no rule may match is not moved.
 """
 
 from __future__ import annotations
 
 import re._constants as rc
 import re._parser as rp
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import to_table
+from .shared import is_small
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -131,6 +135,23 @@ def trigram_query(expression: str) -> Query:
     return of(rp.parse(expression))
 
 
+#: Items of an array that are folded before what they give is added to the rest, so that the rest is seldom copied.
+FOLDED = 64
+
+
+def _fold(items: Column, start: list[Column], out: Column, step: Callable[[Column, Column], list[Column]], add: Callable[[Column, Column], Column]) -> Column:
+    """All arrays that ``add`` gives for (state, item), in a row; ``step`` gives the next state, which ``start`` begins."""
+    state = lambda cols, found: F.struct(*[c.alias(f"c{i}") for i, c in enumerate(cols)], found.alias("found"))
+    now = lambda a, n=len(start): [a[f"c{i}"] for i in range(n)]
+
+    def part(a: Column, k: Column) -> Column:
+        some = F.slice(items, k * FOLDED + 1, FOLDED)
+        return F.reduce(some, state(now(a), out), lambda b, x: state(step(b, x), F.concat(b["found"], add(b, x))), lambda b: state(now(b), F.concat(a["found"], b["found"])))
+
+    parts = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / FOLDED).cast("int"))
+    return F.when(F.size(items) > 0, F.reduce(parts, state(start, out), part, lambda a: a["found"])).otherwise(out)
+
+
 def _spans(text: Column, order: int, rule: Rule) -> Column:
     """Leftmost matches that do not overlap: array of (start, order, end), in code points.
 
@@ -140,15 +161,11 @@ def _spans(text: Column, order: int, rule: Rule) -> Column:
     pieces = F.split(F.regexp_replace(text, rule.expression, "\x01$0\x02"), "[\x01\x02]", -1)
     size = lambda p: F.length(F.regexp_extract(p, rule.expression, rule.group) if rule.group else p)
 
-    def step(a: Column, p: Column) -> Column:
-        one = F.array(F.struct(a["at"].alias("s"), F.lit(order).alias("o"), (a["at"] + F.length(p)).alias("e")))
-        return F.struct(
-            (a["at"] + F.length(p)).alias("at"), (~a["inside"]).alias("inside"),
-            F.when(a["inside"] & (size(p) >= rule.least), F.concat(a["found"], one)).otherwise(a["found"]).alias("found"),
-        )
-
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), empty.alias("found"))
-    return F.when(F.rlike(text, F.lit(rule.expression)), F.reduce(pieces, start, step, lambda a: a["found"])).otherwise(empty)
+    # The state: where the piece begins, and whether it is a match.
+    end = lambda a, p: a["c0"] + F.length(p)
+    one = lambda a, p: F.array(F.struct(a["c0"].alias("s"), F.lit(order).alias("o"), end(a, p).alias("e")))
+    spans = _fold(pieces, [F.lit(0), F.lit(False)], empty, lambda a, p: [end(a, p), ~a["c1"]], lambda a, p: F.when(a["c1"] & (size(p) >= rule.least), one(a, p)).otherwise(empty))
+    return F.when(F.rlike(text, F.lit(rule.expression)), spans).otherwise(empty)
 
 
 def postings(docs: DataFrame, queries: dict[int, Query]) -> DataFrame:
@@ -174,13 +191,16 @@ def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", rules:
     ``keep`` names the columns to carry (the id by default).  Null texts count as empty and
     hold nothing.  Ids may be null or repeated: postings are keyed by id and text together,
     so each row meets at most one row of candidates, and repeated rows get the same spans.
-    An empty table gives an empty one.
+    An empty table gives an empty one.  Candidates are written to the shared folder; up to
+    ``BROADCAST_BYTES`` of them are broadcast to the texts, beyond that texts are joined by key.
     """
     queries = {i: q for i, r in enumerate(rules) if (q := trigram_query(r.expression))}
     key = F.struct(F.coalesce(F.col("id_").cast("string"), F.lit("-")).alias("i"), F.xxhash64("t").alias("h"))
     row = F.struct(*[F.col(f"`{c}`") for c in (keep or [id_col])])
     d = docs.select(row.alias("row_"), F.col(id_col).alias("id_"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).select("row_", "t", key.alias("key"))
-    found = d.join(candidates(d.select("key", "t"), queries), "key", "left")
+    some = to_table(candidates(d.select("key", "t"), queries), "secret-candidates")
+    # Few texts are candidates as a rule: then they go to the texts, and no text is moved.
+    found = d.join(F.broadcast(some) if is_small(some) else some, "key", "left")
     clean = found.withColumn("x", F.when(F.rlike("t", F.lit("[\x01\x02]")), F.translate("t", "\x01\x02", "\x03\x03")).otherwise(F.col("t")))
     none = F.expr("cast(array() as array<struct<s int, o int, e int>>)")
     parts = []
@@ -212,14 +232,11 @@ def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by: st
     """
     found = scan(docs, text_col, id_col, keep=docs.columns)
 
-    def step(a: Column, s: Column) -> Column:
-        fresh = s["s"] >= a["at"]
-        return F.struct(
-            F.greatest(a["at"], s["e"]).alias("at"),
-            F.when(fresh, F.concat(a["out"], F.substring(F.col("t"), a["at"] + 1, s["s"] - a["at"]), F.lit(by))).otherwise(a["out"]).alias("out"),
-        )
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    masked = F.reduce("found", start, step, lambda a: F.concat(a["out"], F.substring(F.col("t"), a["at"] + 1, F.length("t"))))
+    # The state: where the last masked stretch ended.
+    end = lambda a, s: F.greatest(a["c0"], s["e"])
+    before = lambda a, s: F.array(F.substring(F.col("t"), a["c0"] + 1, s["s"] - a["c0"]), F.lit(by))
+    parts = _fold(F.col("found"), [F.lit(0)], F.expr("cast(array() as array<string>)"), lambda a, s: [end(a, s)], lambda a, s: F.when(s["s"] >= a["c0"], before(a, s)).otherwise(F.expr("cast(array() as array<string>)")))
+    last = F.array_max(F.transform("found", lambda s: s["e"]))
+    masked = F.concat(F.array_join(parts, ""), F.substring(F.col("t"), last + 1, F.length("t")))
     text = F.when(F.size("found") > 0, masked).otherwise(F.col(f"row_.`{text_col}`"))
     return found.select(*[(text if c == text_col else F.col(f"row_.`{c}`")).alias(c) for c in docs.columns])
