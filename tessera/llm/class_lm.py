@@ -352,7 +352,7 @@ def _contexts(docs: DataFrame, model: Model, slices: int) -> DataFrame:
                 ):
                     have.append((b[mask].astype(np.int32), h[mask], f[mask], code[mask].astype(np.uint16), train[mask].astype(np.int32)))
                     n_have += int(mask.sum())
-                if n_have >= GATHER // 2:
+                if n_have >= GATHER // 3:
                     yield from send()
                     have.clear()
                     n_have = 0
@@ -374,12 +374,13 @@ def _assign(table: pa.Table, model: Model) -> pa.Table:
         m = np.frombuffer(rest, np.uint16, k_)
         t = int(m.sum())
         counts = np.frombuffer(rest, np.uint8, 4 * t, 2 * k_ + 2 * t).reshape(4, t).T.copy().view(np.uint32).ravel()
-        cols.append((np.repeat(own[-1], m), np.repeat(np.frombuffer(x, np.uint8, k_, 4 + 8 * k_), m), np.frombuffer(rest, np.uint16, t, 2 * k_).astype(np.int64), counts.astype(np.int64)))
+        cols.append((np.repeat(own[-1], m), np.repeat(np.frombuffer(x, np.uint8, k_, 4 + 8 * k_), m), np.frombuffer(rest, np.uint16, t, 2 * k_), counts))
     h, f, code, n = (np.concatenate(x) for x in zip(*cols, strict=True))
+    del cols
     order = np.lexsort((code, h))
     h, f, code, n = h[order], f[order], code[order], n[order]
     at = _runs(h, code)
-    n, h, f, code = _sums(n, at), h[at], f[at], code[at]
+    n, h, f, code = _sums(n.astype(np.int64), at), h[at], f[at], code[at]
     first = _runs(h)
     types, form = h[first], k + 1 + f[first].astype(np.int64)
     bounds = np.append(first, len(h))
@@ -409,8 +410,8 @@ def _class_pairs(coded: DataFrame, size: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(size * size, np.int64)
-        for batch in batches:
-            code = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint16).astype(np.int64)
+        for part in (x for batch in batches for x in W.chunks(batch, 0)):
+            code = np.frombuffer(b"".join(part.column(0).to_pylist()), np.uint16).astype(np.int64)
             cls, form = code % size, code // size - 1
             before, after = np.concatenate([[k], cls[:-1]]), np.append(cls[1:], k)
             once = np.flatnonzero(form >= 0)
@@ -490,9 +491,7 @@ def score(docs: DataFrame, classes: int = CLASSES, fold: int = 7, held: int = 2,
     total = np.log10(np.maximum(np.where(np.arange(size) > k, seen + DELTA * (seen + 1), seen), 1e-300 if model.ends else 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in (x for y in batches for x in W.chunks(y, 7)):
             cls = np.frombuffer(b"".join(batch.column("classes").to_pylist()), np.uint16).astype(np.int64) % size
             logp = move[np.concatenate([[k], cls[:-1]]), cls] - total[cls]
             begin = np.concatenate([[0], np.cumsum(np.asarray(batch.column("n_tokens")))[:-1]])
