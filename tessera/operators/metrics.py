@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import valid_label
-from .neighbors import block_pairs, embedding_knn, matrix
+from .neighbors import Block, block_pairs, embedding_knn
 
 
 def scopes(rows: DataFrame, split: str = "split") -> DataFrame:
@@ -38,18 +38,17 @@ def retrieval(rows: DataFrame, ks: tuple[int, ...] = (1, 5)) -> DataFrame:
     """
     kind = rows.schema["id"].dataType.simpleString()
 
-    def better(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def better(left: Block, right: Block) -> pd.DataFrame:
         out = []
         first = right["id"].to_numpy()[None, :] < left["id"].to_numpy()[:, None]
         other = right["id"].to_numpy()[None, :] != left["id"].to_numpy()[:, None]
         for way, p, q in ((0, "a", "b"), (1, "b", "a")):
-            if len(left) and len(right):
-                x = matrix(left[p])
-                mine = np.einsum("ij,ij->i", x, matrix(left[q]))[:, None]
-                score = x @ matrix(right[q]).T
-                n = (other & ((score > mine + 1e-12) | ((np.abs(score - mine) <= 1e-12) & first))).sum(1)
-                out.append(pd.DataFrame({"scope": left["scope"], "id": left["id"], "way": way, "n": n}))
-        return pd.concat(out) if out else pd.DataFrame({"scope": [], "id": [], "way": [], "n": []})
+            x = left.matrix(p)
+            mine = np.einsum("ij,ij->i", x, left.matrix(q))[:, None]
+            score = x @ right.matrix(q).T
+            n = (other & ((score > mine + 1e-12) | ((np.abs(score - mine) <= 1e-12) & first))).sum(1)
+            out.append(pd.DataFrame({"scope": left["scope"], "id": left["id"], "way": np.int32(way), "n": n}))
+        return pd.concat(out)
 
     counts = block_pairs(rows.select("scope", "id", "a", "b"), "scope", better, f"scope string, id {kind}, way int, n long")
     ranks = counts.groupBy("scope", "id", "way").agg(F.sum("n").alias("before"))
@@ -95,10 +94,8 @@ def silhouette(rows: DataFrame, label: str) -> DataFrame:
     kind = rows.schema["id"].dataType.simpleString()
     d = rows.select("scope", "id", "vec", F.col(label).cast("string").alias("l"))
 
-    def sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"scope": [], "id": [], "l": [], "m": [], "s": [], "n": []})
-        x, y = matrix(left["vec"]), matrix(right["vec"])
+    def sums(left: Block, right: Block) -> pd.DataFrame:
+        x, y = left.matrix("vec"), right.matrix("vec")
         square = (x * x).sum(1)[:, None] - 2 * x @ y.T + (y * y).sum(1)[None, :]
         dist = np.sqrt(np.maximum(square, 0))
         other = left["id"].to_numpy()[:, None] != right["id"].to_numpy()[None, :]
@@ -148,16 +145,15 @@ def contrastive_loss(rows: DataFrame, temperature: float = 0.07) -> DataFrame:
     """``(scope, n, loss)``: symmetric cross entropy of matching a with b among all rows of the scope; 0 below two rows."""
     kind = rows.schema["id"].dataType.simpleString()
 
-    def sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def sums(left: Block, right: Block) -> pd.DataFrame:
         out = []
         for way, p, q in ((0, "a", "b"), (1, "b", "a")):
-            if len(left) and len(right):
-                x = matrix(left[p])
-                logit = x @ matrix(right[q]).T / temperature
-                top = logit.max(1)
-                mine = np.einsum("ij,ij->i", x, matrix(left[q])) / temperature
-                out.append(pd.DataFrame({"scope": left["scope"], "id": left["id"], "way": way, "top": top, "s": np.exp(logit - top[:, None]).sum(1), "mine": mine}))
-        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("scope", "id", "way", "top", "s", "mine")})
+            x = left.matrix(p)
+            logit = x @ right.matrix(q).T / temperature
+            top = logit.max(1)
+            mine = np.einsum("ij,ij->i", x, left.matrix(q)) / temperature
+            out.append(pd.DataFrame({"scope": left["scope"], "id": left["id"], "way": np.int32(way), "top": top, "s": np.exp(logit - top[:, None]).sum(1), "mine": mine}))
+        return pd.concat(out)
 
     part = block_pairs(rows.select("scope", "id", "a", "b"), "scope", sums, f"scope string, id {kind}, way int, top double, s double, mine double")
     peak = part.groupBy("scope", "id", "way").agg(F.max("top").alias("peak"), F.first("mine").alias("mine"))

@@ -1,4 +1,4 @@
-"""Nearest neighbours: in the plane by grids, among embeddings by blocks."""
+"""Nearest neighbours: in the plane by cells of like population, among embeddings by blocks."""
 
 from __future__ import annotations
 
@@ -7,60 +7,148 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Points of a grid cell, on average; rows of an embedding block.
-PER_CELL, BLOCK = 4, 1024
+from ..functions.scalars import finite
+from ..tables import drop_tables, to_table
+from .ranking import global_rank
 
+#: Points of a cell in the plane; rows of an embedding block, and how many of them are compared at once.
+PER_CELL, BLOCK, AT_ONCE = 256, 4096, 512
 
-def spatial_knn(points: DataFrame, k: int, id_col: str = "region_id") -> DataFrame:
+
+def _distances(q: pa.Table, d: pa.Table) -> np.ndarray:
+    """Distance of each row of ``q`` to each of ``d``; infinite to itself."""
+    x, y = (np.asarray(q.column(c))[:, None] - np.asarray(d.column(c))[None, :] for c in ("x", "y"))
+    out = np.sqrt(x * x + y * y)
+    mine, other = (t.column("id").to_pandas().to_numpy() for t in (q, d))
+    out[mine[:, None] == other[None, :]] = np.inf
+    return out
+
+
+def _cells(points: DataFrame, n: int, per_cell: int) -> DataFrame:
+    """``points`` with ``strip`` and ``cell``: strips of like population by x, in them cells by y."""
+    strips = max(1, math.isqrt(n // per_cell))
+    d = global_rank(points, "x", "id", "rx_", more=("y",)).withColumn("strip", F.expr(f"cast(rx_ * {strips} div {n} as int)"))
+    # A strip has about the root of n * per_cell points.
+    size = F.count(F.lit(1)).over(Window.partitionBy("strip"))
+    turn = F.row_number().over(Window.partitionBy("strip").orderBy("y", "x", "id")) - 1
+    d = d.withColumn("n_", size).withColumn("ry_", turn).withColumn("m_", F.greatest(F.expr(f"n_ div {per_cell}"), F.lit(1)))
+    return to_table(d.select("id", "x", "y", "strip", F.expr("cast(ry_ * m_ div n_ as int)").alias("cell")), "knn-cells")
+
+
+def spatial_knn(points: DataFrame, k: int, id_col: str = "region_id", per_cell: int = PER_CELL) -> DataFrame:
     """``(region_id, neighbor_id, rank, dist)``: the k nearest others (Euclid), ties to the lesser id.
 
-    Points meet the points of the 3 x 3 grid cells around them; whoever has k others within a
-    cell's width is done, the others go on with cells twice as wide.  Rows with coordinates
-    that aren't finite have no neighbours and are none.
+    The distance of a point's k-th neighbour in its own cell bounds the search; it then visits just
+    the cells that this circle meets, and each cell returns its k best.  At one place only the
+    k + 1 least ids can be anyone's neighbours, so the others take their answer from these and
+    crowds at one place cost nothing.  Rows with coordinates that aren't finite have no
+    neighbours and are none; ids tell rows apart.
     """
-    p = points.select(F.col(id_col).alias("id"), F.col("x").cast("double"), F.col("y").cast("double"))
-    p = p.where("x is not null and y is not null and abs(x) < double('inf') and abs(y) < double('inf') and not isnan(x) and not isnan(y)")
-    b = p.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
-    empty = p.sparkSession.createDataFrame([], f"region_id {p.schema['id'].dataType.simpleString()}, neighbor_id {p.schema['id'].dataType.simpleString()}, rank int, dist double")
-    k = min(k, (b["n"] or 0) - 1)
-    if k < 1:
-        return empty
-    span = max(b["x1"] - b["x0"], b["y1"] - b["y0"], 1e-9)
-    width = span / max(1.0, math.sqrt(b["n"] / max(PER_CELL, k)))
-    todo, out = p, None
+    p = points.select(F.col(id_col).alias("id"), F.col("x").cast("double"), F.col("y").cast("double")).where(finite("x") & finite("y"))
+    kind = p.schema["id"].dataType.simpleString()
+    turn = F.row_number().over(Window.partitionBy("x", "y").orderBy("id"))
+    few = to_table(p.withColumn("turn", turn).where(F.col("turn") <= k + 1), "knn-points")
+    n = few.count()
+    if n < 2 or k < 1:
+        return p.sparkSession.createDataFrame([], f"region_id {kind}, neighbor_id {kind}, rank int, dist double")
+    per_cell = max(per_cell, 2 * (k + 1))
+    data = _cells(few.select("id", "x", "y"), n, per_cell)
+    box = [f(c).alias(f"{c}{i}") for c in ("x", "y") for i, f in ((0, F.min), (1, F.max))]
+    strips = data.groupBy("strip").agg(*box[:2]).orderBy("strip").collect()  # the root of n / per_cell rows
+    low, high = (np.array([s[c] for s in strips]) for c in ("x0", "x1"))
+
+    def reach(table: pa.Table) -> pa.Table:
+        """Each point of a cell with the strips that its circle meets."""
+        r = np.empty(table.num_rows)
+        for a in range(0, len(r), AT_ONCE):
+            d = _distances(table.slice(a, AT_ONCE), table)
+            r[a : a + AT_ONCE] = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+        r = r * (1 + 1e-9) + 1e-300
+        x = np.asarray(table.column("x"))
+        first, last = np.searchsorted(high, x - r), np.searchsorted(low, x + r, side="right")
+        count = np.maximum(last - first, 0)
+        row = np.repeat(np.arange(len(r)), count)
+        strip = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
+        out = table.select(["id", "x", "y"]).take(pa.array(row))
+        return out.append_column("r", pa.array(r[row])).append_column("strip", pa.array(strip.astype(np.int32)))
+
+    asked = data.groupBy("strip", "cell").applyInArrow(reach, f"id {kind}, x double, y double, r double, strip int")
+
+    def visit(q: pa.Table, cells: pa.Table) -> pa.Table:
+        """Each point with the cells of one strip that its circle meets."""
+        y0, y1, x0, x1, cell = (np.asarray(cells.column(c)) for c in ("y0", "y1", "x0", "x1", "cell"))
+        order = np.argsort(cell)
+        y0, y1, x0, x1, cell = y0[order], y1[order], x0[order], x1[order], cell[order]
+        x, y, r = (np.asarray(q.column(c)) for c in ("x", "y", "r"))
+        first, last = np.searchsorted(y1, y - r), np.searchsorted(y0, y + r, side="right")
+        count = np.maximum(last - first, 0)
+        row = np.repeat(np.arange(len(y)), count)
+        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
+        dx, dy = (np.maximum(0, np.maximum(lo[at] - v[row], v[row] - hi[at])) for lo, hi, v in ((x0, x1, x), (y0, y1, y)))
+        near = dx * dx + dy * dy <= (r * r)[row] * (1 + 1e-9)
+        row, at = row[near], at[near]
+        out = q.select(["id", "x", "y", "strip"]).take(pa.array(row))
+        return out.append_column("cell", pa.array(cell[at]))
+
+    boxes = data.groupBy("strip", "cell").agg(*box)
+    visits = asked.groupBy("strip").cogroup(boxes.groupBy("strip")).applyInArrow(visit, f"id {kind}, x double, y double, strip int, cell int")
+
+    def best(q: pa.Table, d: pa.Table) -> pa.Table:
+        """The k nearest points of one cell for each that visits it."""
+        parts = []
+        d = d.sort_by("id")
+        for a in range(0, q.num_rows, AT_ONCE):
+            some = q.slice(a, AT_ONCE)
+            dist = _distances(some, d)
+            top = np.argsort(dist, axis=1, kind="stable")[:, :k]
+            value = np.take_along_axis(dist, top, 1).ravel()
+            ok = np.isfinite(value)
+            row = np.repeat(np.arange(some.num_rows), top.shape[1])[ok]
+            parts.append(pa.table({"region_id": some.column("id").take(pa.array(row)), "neighbor_id": d.column("id").take(pa.array(top.ravel()[ok])), "dist": pa.array(value[ok])}))
+        return pa.concat_tables(parts) if parts else pa.table({"region_id": q.column("id"), "neighbor_id": q.column("id"), "dist": pa.array([], pa.float64())})
+
+    found = visits.groupBy("strip", "cell").cogroup(data.groupBy("strip", "cell")).applyInArrow(best, f"region_id {kind}, neighbor_id {kind}, dist double")
     rank = Window.partitionBy("region_id").orderBy("dist", "neighbor_id")
-    while True:
-        cell = lambda c, low: F.floor((F.col(c) - F.lit(low)) / F.lit(width))  # noqa: E731, B023
-        data = p.select(F.col("id").alias("neighbor_id"), F.col("x").alias("nx"), F.col("y").alias("ny"), cell("x", b["x0"]).alias("cx"), cell("y", b["y0"]).alias("cy"))
-        near = todo.select(F.col("id").alias("region_id"), "x", "y", cell("x", b["x0"]).alias("ax"), cell("y", b["y0"]).alias("ay"))
-        near = near.withColumn("dx", F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))).withColumn("dy", F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)])))
-        near = near.select("region_id", "x", "y", (F.col("ax") + F.col("dx")).alias("cx"), (F.col("ay") + F.col("dy")).alias("cy"))
-        found = near.join(data, ["cx", "cy"]).where("region_id <> neighbor_id")
-        dx, dy = F.col("x") - F.col("nx"), F.col("y") - F.col("ny")
-        found = found.select("region_id", "neighbor_id", F.sqrt(dx * dx + dy * dy).alias("dist"))
-        found = found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
-        whole = width >= span
-        done = found.groupBy("region_id").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("far")).where(F.lit(whole) | ((F.col("n") == k) & (F.col("far") <= width)))
-        part = found.join(done.select("region_id"), "region_id").select("region_id", "neighbor_id", "rank", "dist")
-        out = part if out is None else out.unionByName(part)
-        if whole:
-            return out
-        todo = todo.join(done.select(F.col("region_id").alias("id")), "id", "left_anti")
-        if p.sparkSession.sparkContext.getCheckpointDir():  # a cluster names one in spark.checkpoint.dir
-            todo = todo.checkpoint()
-        if todo.limit(1).count() == 0:
-            return out
-        width *= 2
-
-
-def block_pairs(rows: DataFrame, scope: str, fn: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, block: int = BLOCK) -> DataFrame:
+    found = to_table(found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("region_id", "neighbor_id", "rank", "dist"), "knn-found")
+    # Whoever is not among the k + 1 least ids of a crowded place has the first k of them at distance 0.
+    crowds = few.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"), F.sort_array(F.collect_list("id")).alias("ids")).where(F.col("c") == k + 1)
+    rest = p.join(crowds, ["x", "y"]).where(~F.array_contains("ids", F.col("id")))
+    rest = rest.select(F.col("id").alias("region_id"), F.posexplode(F.slice("ids", 1, k)).alias("pos", "neighbor_id")).select("region_id", "neighbor_id", (F.col("pos") + 1).alias("rank"), F.lit(0.0).alias("dist"))
+    drop_tables(data)
+    return found.unionByName(rest)
+
+
+class Block:
+    """Rows of one block: columns as in a frame, vectors as matrices."""
+
+    def __init__(self, table: pa.Table) -> None:
+        vectors = [f.name for f in table.schema if pa.types.is_list(f.type) or pa.types.is_large_list(f.type)]
+        self._matrix = {}
+        for c in vectors:
+            flat = table.column(c).combine_chunks().flatten()
+            self._matrix[c] = np.asarray(flat).astype(np.float64).reshape(table.num_rows, -1 if table.num_rows else 0)
+        self.frame = table.drop_columns(vectors).to_pandas()
+
+    def __getitem__(self, name: str) -> pd.Series:
+        return self.frame[name]
+
+    def __len__(self) -> int:
+        return len(self.frame)
+
+    def matrix(self, name: str) -> np.ndarray:
+        return self._matrix[name]
+
+
+def block_pairs(rows: DataFrame, scope: str, fn: Callable[[Block, Block], pd.DataFrame], schema: str, block: int = BLOCK) -> DataFrame:
     """``fn(queries, data)`` over all pairs of blocks of each scope of ``rows``.
 
-    The number of pairs is quadratic, as the metrics are; but only what ``fn`` returns leaves a
-    task, and a task holds two blocks whatever the size of the scope.
+    The number of pairs is quadratic, as the metrics are; but a row is sent only once for each
+    block of the others, only what ``fn`` returns leaves a task, and a task holds two blocks
+    whatever the size of the scope.  ``fn`` gets ``AT_ONCE`` queries at a time, none of them empty.
     """
     n = rows.groupBy(scope).agg(F.ceil(F.count(F.lit(1)) / block).alias("nb_"))
     d = rows.join(n, scope).withColumn("mine_", F.pmod(F.xxhash64("id"), F.col("nb_")))
@@ -68,11 +156,18 @@ def block_pairs(rows: DataFrame, scope: str, fn: Callable[[pd.DataFrame, pd.Data
     left = d.select("*", F.col("mine_").alias("i_"), others.alias("j_")).drop("mine_", "nb_")
     right = d.select("*", others.alias("i_"), F.col("mine_").alias("j_")).drop("mine_", "nb_")
     right = right.toDF(*right.columns)  # columns of its own, as both sides come from the same rows
-    return left.groupBy(scope, "i_", "j_").cogroup(right.groupBy(scope, "i_", "j_")).applyInPandas(fn, schema)
+    names = [f.split()[0] for f in schema.split(",")]
 
+    def run(q: pa.Table, data: pa.Table) -> pa.Table:
+        parts = []
+        if q.num_rows and data.num_rows:
+            other = Block(data)
+            parts = [fn(Block(q.slice(a, AT_ONCE)), other) for a in range(0, q.num_rows, AT_ONCE)]
+        if not parts:
+            return q.slice(0, 0).select([]) if not names else pa.table({c: pa.nulls(0) for c in names})
+        return pa.Table.from_pandas(pd.concat(parts)[names], preserve_index=False)
 
-def matrix(column: pd.Series) -> np.ndarray:
-    return np.array(column.tolist(), dtype=np.float64)
+    return left.groupBy(scope, "i_", "j_").cogroup(right.groupBy(scope, "i_", "j_")).applyInArrow(run, schema)
 
 
 def embedding_knn(rows: DataFrame, k: int, scope: str = "scope", block: int = BLOCK) -> DataFrame:
@@ -83,15 +178,16 @@ def embedding_knn(rows: DataFrame, k: int, scope: str = "scope", block: int = BL
     rows = rows.select(scope, "id", "vec").where("vec is not null")
     kind = rows.schema["id"].dataType.simpleString()
 
-    def top(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        right = right.sort_values("id", ignore_index=True)
-        score = matrix(left["vec"]) @ matrix(right["vec"]).T if len(left) and len(right) else np.zeros((len(left), len(right)))
-        score[left["id"].to_numpy()[:, None] == right["id"].to_numpy()[None, :]] = -np.inf
+    def top(left: Block, right: Block) -> pd.DataFrame:
+        order = np.argsort(right["id"].to_numpy(), kind="stable")
+        ids = right["id"].to_numpy()[order]
+        score = left.matrix("vec") @ right.matrix("vec")[order].T
+        score[left["id"].to_numpy()[:, None] == ids[None, :]] = -np.inf
         best = np.argsort(-score, axis=1, kind="stable")[:, :k]
         value = np.take_along_axis(score, best, 1)
         out = pd.DataFrame({
             scope: np.repeat(left[scope].to_numpy(), best.shape[1]), "id": np.repeat(left["id"].to_numpy(), best.shape[1]),
-            "neighbor_id": right["id"].to_numpy()[best.ravel()], "score": value.ravel(),
+            "neighbor_id": ids[best.ravel()], "score": value.ravel(),
         })
         return out[np.isfinite(out["score"])]
 

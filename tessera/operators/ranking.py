@@ -1,27 +1,56 @@
-"""Global ranks without gathering a table in one task."""
+"""Global ranks and running totals without gathering a table in one task."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import to_table
+
+#: Rows of a range, on average; the driver gets one number for each range.
+PER_RANGE = 1_000_000
+#: ``monotonically_increasing_id`` has the partition above these bits and the row below them.
+ROW_BITS = 33
+
 
-def global_rank(df: DataFrame, value: str, tie: str, name: str = "rank0", parts: int = 64) -> DataFrame:
-    """``df`` with the rank (from 0) by value, then tie, nulls first.
+def _ordered(df: DataFrame, order: list[Column]) -> DataFrame:
+    """``df`` in ranges of the order, as a table, with the range ``part_`` and the place ``at_`` in it.
 
-    Rows are dealt to value ranges by approximate quantiles, ranked within their range and moved
-    up by the sizes of the ranges below; only the bounds and sizes (``parts`` of them) are
-    collected.
+    It is written, as the bounds of ranges come from a sample and may differ from run to run.
     """
-    cuts = sorted(set(df.approxQuantile(value, [i / parts for i in range(1, parts)], 0.5 / parts)))
-    part = F.lit(0)
-    for c in cuts:
-        part = part + F.when(F.col(value) > c, 1).otherwise(0)
-    dealt = df.withColumn("part_", part)
-    sizes = dict(dealt.groupBy("part_").agg(F.count(F.lit(1)).alias("n")).collect())
-    below, offset = 0, F.lit(0).cast("long")
-    for p in sorted(sizes):
-        offset = F.when(F.col("part_") == p, F.lit(below).cast("long")).otherwise(offset)
-        below += sizes[p]
-    order = Window.partitionBy("part_").orderBy(F.col(value).asc_nulls_first(), tie)
-    return dealt.withColumn(name, F.row_number().over(order) - 1 + offset).drop("part_")
+    parts = max(1, math.ceil(df.count() / PER_RANGE))
+    dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("place_", F.monotonically_increasing_id())
+    part, at = F.shiftright("place_", ROW_BITS).cast("int"), F.col("place_").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    return to_table(dealt.select(*df.columns, part.alias("part_"), at.alias("at_")), "ranges")
+
+
+def _below(table: DataFrame, value: Column) -> DataFrame:
+    """``(part_, below_)``: the total of all lower ranges."""
+    sums = sorted((r["part_"], r["s"]) for r in table.groupBy("part_").agg(F.sum(value).alias("s")).collect())
+    rows, total = [], 0
+    for part, s in sums:
+        rows.append((part, total))
+        total += s or 0
+    kind = table.select(F.sum(value).alias("s")).schema["s"].dataType.simpleString()
+    return F.broadcast(table.sparkSession.createDataFrame(rows, f"part_ int, below_ {kind}"))
+
+
+def global_rank(df: DataFrame, value: str, tie: str, name: str = "rank0", more: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with the rank (from 0) by value (nulls first), the columns ``more``, then tie.
+
+    Rows are dealt to ranges of the whole order, so equal values don't meet in one task; each
+    is sorted in its range and moved up by the sizes of the ranges below.
+    """
+    table = _ordered(df, [F.col(value).asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in more], F.col(tie).asc_nulls_first()])
+    ranked = table.join(_below(table, F.lit(1).cast("long")), "part_")
+    return ranked.select(*df.columns, (F.col("at_") + F.col("below_")).alias(name))
+
+
+def running_total(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over all rows before, by ``order``, which tells rows apart; 0 for the first."""
+    table = _ordered(df, [F.col(c).asc_nulls_first() for c in order])
+    before = F.sum(value).over(Window.partitionBy("part_").orderBy("at_").rowsBetween(Window.unboundedPreceding, -1))
+    summed = table.withColumn("before_", F.coalesce(before, F.lit(0))).join(_below(table, F.col(value)), "part_")
+    return summed.select(*df.columns, (F.col("before_") + F.col("below_")).alias(name))

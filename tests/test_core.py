@@ -81,6 +81,33 @@ def test_spatial_knn_is_exact(spark):
     assert neighbors.spatial_knn(d.limit(1), 5).count() == 0
 
 
+def brute_knn(p, ids, k):
+    p, ids = np.asarray(p), np.asarray(ids)
+    out = {}
+    for i in range(len(p)):
+        d = np.sqrt(((p - p[i]) ** 2).sum(1))
+        out[ids[i]] = [ids[j] for j in np.lexsort((ids, d)) if j != i][:k]
+    return out
+
+
+@pytest.mark.parametrize("shape", ["crowd", "line", "cloud"])
+def test_spatial_knn_in_small_cells(spark, shape):
+    """Crowds at one place, points of one line, and many cells."""
+    rng = np.random.default_rng(7)
+    p = {
+        "crowd": np.concatenate([np.zeros((60, 2)), np.ones((9, 2)), rng.normal(size=(40, 2))]),
+        "line": np.stack([np.full(150, 2.0), rng.permutation(150) // 2], 1),
+        "cloud": np.round(rng.normal(size=(300, 2)) * [30, 1], 1),
+    }[shape]
+    ids = [f"r{j:04d}" for j in rng.permutation(len(p))]
+    d = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in zip(ids, p)], "region_id string, x double, y double").repartition(3)
+    got = {}
+    for r in neighbors.spatial_knn(d, 4, per_cell=10).collect():
+        got.setdefault(r.region_id, {})[r["rank"]] = r.neighbor_id
+    want = brute_knn(p, ids, 4)
+    assert {i: [v[k] for k in sorted(v)] for i, v in got.items()} == want
+
+
 def test_embedding_metrics(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(40, 6))
