@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import unit, valid_label
+from ..functions.scalars import clean_text, hash_order, unit
 
 REQUIRED = {"region_id": "unknown", "x": 0.0, "y": 0.0, "structure_label": "unknown", "n_cells": 0, "qc_flag": "unknown"}
 
@@ -18,7 +18,7 @@ def linear_embed(values: DataFrame, size: int, seed: int = 0) -> DataFrame:
     Stands where a trained network would; it is no substitute for one.
     """
     # The weight of a gene in a dimension is a hash of the two, so no table of weights is needed.
-    weight = lambda j: F.pmod(F.xxhash64(F.lit(seed), F.col("gene"), F.lit(j)), F.lit(2_000_003)) / 1_000_001.0 - 1
+    weight = lambda j: F.conv(F.substring(hash_order(F.lit(seed), F.col("gene"), F.lit(j)), 1, 8), 16, 10).cast("double") / float(1 << 31) - 1
     v = F.log1p(F.greatest(F.col("value").cast("double"), F.lit(0.0)))
     d = values.groupBy("region_id").agg(*[F.sum(v * weight(j)).alias(f"e{j}") for j in range(size)])
     return d.select("region_id", unit(F.array(*[F.col(f"e{j}") for j in range(size)])).alias("vec"))
@@ -43,7 +43,12 @@ def widen(rows: DataFrame, size: int, vec: str = "vec") -> DataFrame:
     for c, v in REQUIRED.items():
         if c not in out.columns:
             out = out.withColumn(c, F.lit(v))
-    return out.select(*[c for c in out.columns if c != vec], *[F.get(vec, F.lit(i)).cast("float").alias(f"emb_{i}") for i in range(size)])
+    return widen_vector(out, size, vec)
+
+
+def widen_vector(rows: DataFrame, size: int, vec: str = "vec") -> DataFrame:
+    """``rows`` with ``emb_0`` .. in place of the vector."""
+    return rows.select(*[c for c in rows.columns if c != vec], *[F.get(vec, F.lit(i)).cast("float").alias(f"emb_{i}") for i in range(size)])
 
 
 def widen_genes(values: DataFrame, sizes: DataFrame, genes: list[str], most: int = 5000) -> DataFrame:
@@ -61,5 +66,24 @@ def embedding_columns(columns: list[str]) -> list[str]:
     return found or [c for c in columns if c not in ("region_id", "cell_id", "cluster", "structure_id", "structure_label")]
 
 
-def labelled(rows: DataFrame, label: str) -> DataFrame:
-    return rows.where(valid_label(label))
+# Columns of the image manifest, where regions have them.
+IMAGE_COLUMNS = ("region_id", "image_path", "patch_x", "patch_y", "patch_size", "source_image", "registration_transform")
+
+
+def image_manifest(regions: DataFrame) -> DataFrame:
+    """Those of ``IMAGE_COLUMNS`` that ``regions`` has."""
+    return regions.select(*[c for c in IMAGE_COLUMNS if c in regions.columns])
+
+
+def embedding_table(rows: DataFrame, size: int, labels: tuple[str, ...] = ("cluster", "structure_id", "structure_label"), vec: str = "vec") -> DataFrame:
+    """``region_id`` (else ``cell_id``), a column for each place of the vector, and the label columns that are there, as text."""
+    key = "region_id" if "region_id" in rows.columns else "cell_id"
+    places = [F.get(vec, F.lit(i)).cast("float").alias(str(i)) for i in range(size)]
+    return rows.select(F.col(key).cast("string").alias(key), *places, *[F.col(c).cast("string").alias(c) for c in labels if c in rows.columns])
+
+
+def cell_flags(cells: DataFrame, patches: DataFrame, images: DataFrame) -> DataFrame:
+    """``(cell_id, qc_flag)``: ``ok`` where a patch of the cell has an image that is there."""
+    there = patches.select(clean_text("cell_id").alias("cell_id"), "image_path").where("cell_id is not null").join(images.select("image_path").distinct(), "image_path", "left_semi")
+    covered = there.select("cell_id").distinct().withColumn("ok_", F.lit(True))
+    return cells.select(F.col("cell_id").cast("string").alias("cell_id")).join(covered, "cell_id", "left").select("cell_id", F.when(F.col("ok_"), "ok").otherwise("no_image").alias("qc_flag"))

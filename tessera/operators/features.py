@@ -6,15 +6,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_order, or_missing
+from .ranking import global_rank
+
+# Columns that can name genes, in order of preference.
+GENE_NAMES = ("feature_name", "gene_name", "name")
 
 
 def label_codes(regions: DataFrame, label: str, name: str = "code") -> DataFrame:
     """``regions`` with the 0-based number of its label among the sorted labels; null is ``unknown``."""
     d = regions.withColumn("l_", or_missing(label, "unknown"))
-    codes = d.select("l_").distinct().withColumn(name, F.dense_rank().over(Window.orderBy("l_")) - 1)  # a row a label
+    codes = global_rank(d.select("l_").distinct(), "l_", "l_", name)  # a row a label
     return d.join(codes, "l_").drop("l_")
 
 
+def vocabulary(genes: DataFrame, name: str | None = None, position: str = "gene_pos", row_name: str = "gene") -> DataFrame:
+    """``genes`` with ``vocab_name`` and ``vocab_id`` from the first naming column that is there, else from the row's own name."""
+    found = next((c for c in ((name,) if name else ()) + GENE_NAMES if c in genes.columns), row_name)
+    return unique_names(genes.withColumn(found, F.col(found).cast("string")), found, position)
+
+
+def check_vocabulary(mine: DataFrame, other: DataFrame) -> None:
+    """ValueError unless both ``(vocab_id, vocab_name)`` tables have the same names in the same order."""
+    a, b = (v.select("vocab_id", F.col("vocab_name").alias(n)) for v, n in ((mine, "a_"), (other, "b_")))
+    apart = a.join(b, "vocab_id", "full").where(~F.col("a_").eqNullSafe(F.col("b_"))).orderBy("vocab_id").limit(1).collect()
+    if apart:
+        raise ValueError(f"vocabularies differ from id {apart[0]['vocab_id']}: {apart[0]['a_']!r}, {apart[0]['b_']!r}")
+
+
 def unique_names(genes: DataFrame, name: str = "feature_name", position: str = "gene_pos") -> DataFrame:
     """``genes`` with ``vocab_name``: the n-th repeat of a name gets the suffix ``.n``, and ``vocab_id`` = position + 1."""
     turn = F.row_number().over(Window.partitionBy(name).orderBy(position)) - 1
@@ -51,11 +69,28 @@ def sample_cells(members: DataFrame, most: int, seed: int = 0) -> DataFrame:
     return members.withColumn("r_", F.row_number().over(order)).where(F.col("r_") <= most).drop("r_")
 
 
-def select_genes(values: DataFrame, most: int, seed: int = 0) -> DataFrame:
-    """At most ``most`` genes of each region: non-zero ones first, then by hash of seed, region and gene."""
+def select_genes(values: DataFrame, most: int, seed: int = 0, genes: DataFrame | None = None) -> DataFrame:
+    """At most ``most`` genes of each region: non-zero ones first, then by hash of seed, region and gene.
+
+    With ``genes(gene)``, all distinct genes there are, a region with fewer non-zero ones is filled up with
+    zeros: genes stand in a hashed order, and those after the region's own hashed place come first.
+    """
     key = hash_order(F.lit(seed), F.col("region_id"), F.col("gene"))
     order = Window.partitionBy("region_id").orderBy(F.when(F.col("value") > 0, 0).otherwise(1), key, "gene")
-    return values.withColumn("r_", F.row_number().over(order)).where(F.col("r_") <= most).drop("r_")
+    if genes is None:
+        return values.withColumn("r_", F.row_number().over(order)).where(F.col("r_") <= most).drop("r_")
+    some = values.where("value > 0").withColumn("r_", F.row_number().over(order)).where(F.col("r_") <= most).drop("r_")
+    names = global_rank(genes.select("gene").distinct().withColumn("k_", hash_order(F.lit(seed), F.col("gene"))), "k_", "gene", "i_").select("gene", "i_")
+    n = names.count()
+    have = values.groupBy("region_id").agg(F.sum((F.col("value") > 0).cast("long")).alias("n_")).where(F.col("n_") < most)
+    # Of n_ + (most - n_) genes in a row, n_ at most are non-zero: so many are looked at, however many genes there are.
+    place = F.pmod(F.conv(F.substring(hash_order(F.lit(seed), F.col("region_id")), 1, 8), 16, 10).cast("long"), F.lit(max(n, 1)))
+    near = have.select("region_id", "n_", place.alias("p_")).select("region_id", "n_", "p_", F.explode(F.sequence(F.lit(0), F.lit(max(min(most, n), 1) - 1))).alias("j_"))
+    near = near.withColumn("i_", F.pmod(F.col("p_") + F.col("j_"), F.lit(max(n, 1)))).join(names, "i_")
+    zero = near.join(some.select("region_id", "gene"), ["region_id", "gene"], "left_anti")
+    turn = F.row_number().over(Window.partitionBy("region_id").orderBy("j_"))
+    fill = zero.withColumn("r_", turn).where(F.col("r_") <= most - F.col("n_")).select("region_id", "gene", F.lit(0.0).alias("value"))
+    return some.select("region_id", "gene", F.col("value").cast("double")).unionByName(fill)
 
 
 def mask_genes(values: DataFrame, share: float, seed: int = 0) -> DataFrame:
@@ -73,8 +108,36 @@ def context_id(code: Column, on: bool) -> Column:
     return code + 1 if on else F.lit(0)
 
 
-def region_batches(values: DataFrame, max_genes: int, bins: int, share: float, seed: int = 0) -> DataFrame:
-    """One row a region: selected genes in order with log values, bins and masks, as one array of structs."""
-    d = mask_genes(expression_bins(select_genes(values, max_genes, seed), bins), share, seed)
-    token = F.struct("gene", F.log1p(F.greatest(F.col("value").cast("double"), F.lit(0.0))).alias("value"), "bin", "mask")
-    return d.groupBy("region_id").agg(F.array_sort(F.collect_list(token)).alias("tokens"))
+def region_items(regions: DataFrame, label: str = "structure_label", structure_context: bool = True) -> DataFrame:
+    """What a model gets of each region besides its genes: z-scored place, label code, context id, cells, image."""
+    d = label_codes(z_scores(regions), label)
+    d = d.withColumn("context_id", context_id(F.col("code"), structure_context))
+    return d.select("region_id", "x_z", "y_z", F.col("code").cast("long").alias("code"), F.col("context_id").cast("long").alias("context_id"), *[c for c in ("n_cells", "image_path") if c in d.columns])
+
+
+def region_batches(
+    values: DataFrame, max_genes: int, bins: int, share: float, seed: int = 0, genes: DataFrame | None = None, members: DataFrame | None = None,
+    expr: DataFrame | None = None, max_cells: int = 0,
+) -> DataFrame:
+    """One row a region: ``tokens``, ``padding`` and, with ``members`` and ``expr``, ``cells``.
+
+    Tokens are the selected genes in order, as structs: log value, the value as input (0 where
+    masked), bin and mask.  ``padding`` is the number of places up to ``max_genes`` that stay empty.  Cells are
+    sampled members in order, each with its log values at the tokens' places; a cell without any of the genes has zeros.
+    """
+    chosen = select_genes(values, max_genes, seed, genes)
+    d = mask_genes(expression_bins(chosen, bins), share, seed)
+    log = lambda v: F.log1p(F.greatest(v.cast("double"), F.lit(0.0)))
+    token = F.struct("gene", log(F.col("value")).alias("value"), F.when(F.col("mask"), 0.0).otherwise(log(F.col("value"))).alias("input"), "bin", "mask")
+    out = d.groupBy("region_id").agg(F.array_sort(F.collect_list(token)).alias("tokens")).withColumn("padding", F.lit(max_genes) - F.size("tokens"))
+    if members is None or expr is None or max_cells < 1:
+        return out
+    sampled = sample_cells(members.select("region_id", "cell_id"), max_cells, seed)
+    place = out.select("region_id", F.size("tokens").alias("n_"), F.posexplode(F.transform("tokens", lambda t: t["gene"])).alias("at_", "gene"))
+    hit = sampled.join(expr.select("cell_id", "gene", F.col("value").alias("v_")), "cell_id").join(place.select("region_id", "at_", "gene"), ["region_id", "gene"])
+    dense = hit.groupBy("region_id", "cell_id").agg(F.map_from_entries(F.collect_list(F.struct("at_", log(F.col("v_")).alias("v")))).alias("m_"))
+    cells = sampled.join(dense, ["region_id", "cell_id"], "left").join(out.select("region_id", F.size("tokens").alias("n_")), "region_id")
+    row = F.transform(F.sequence(F.lit(0), F.col("n_") - 1), lambda i: F.coalesce(F.try_element_at("m_", i), F.lit(0.0)))
+    cells = cells.groupBy("region_id").agg(F.array_sort(F.collect_list(F.struct("cell_id", row.alias("values")))).alias("cells"))
+    none = F.expr("cast(array() as array<struct<cell_id string, values array<double>>>)")
+    return out.join(cells, "region_id", "left").withColumn("cells", F.coalesce("cells", none))

@@ -135,6 +135,16 @@ def prediction_summary(values: DataFrame, pred: str = "pred", target: str = "tar
     return out.select(F.when(F.col("all_") == 1, "overall").otherwise(F.col(split)).alias("split"), "n_masked_values", "mse", "correlation")
 
 
+def scope_order(df: DataFrame, *more: str, scope: str = "scope") -> DataFrame:
+    """``df`` in the order of scopes: ``overall``, then the splits by name, then the columns ``more``."""
+    return df.orderBy(F.col(scope) != "overall", scope, *more)
+
+
+def validation_mean(terms: DataFrame) -> DataFrame:
+    """One row: the mean of each loss term over the validation batches, as ``val_<term>``."""
+    return terms.agg(*[F.avg(c).alias(f"val_{c}") for c in sorted(terms.columns)])
+
+
 def masked_mse(values: DataFrame, pred: str = "pred", target: str = "target", mask: str = "mask") -> DataFrame:
     """One row: the mean squared error over masked values, 0 if there are none."""
     err = F.col(pred) - F.col(target)

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import clean_text, normal_id
 
+# Metadata columns of a case, and columns that a region has from its patch.
+METADATA = ("slide_id", "patient_id", "organ", "batch_id", "stain", "scanner")
+PATCH_COLUMNS = ("patch_x", "patch_y", "patch_size", "source_image", "registration_transform", "bbox_level_xy", "bbox_level0_xy", "pyramid_level")
+
 
 def with_region_key(cells: DataFrame, region_col: str | None = "contour_id", structure_col: str | None = "structure_id") -> DataFrame:
     """``cells`` with ``region_id``: the contour, else ``region_<structure>``, else the cell itself."""
@@ -64,6 +68,16 @@ def look_up(df: DataFrame, table: DataFrame, key: str, columns: list[str], posit
     return df.join(keep_one(table, [key], position, last).select(key, *columns), key, "left")
 
 
+# Columns that an assignment table can name clusters and structures by, in order of preference.
+CLUSTERS, STRUCTURES = ("cluster", "cluster_id", "graphclust"), ("structure_id", "structure", "structure_label")
+
+
+def assignment_columns(columns: list[str], cluster: str = "cluster", structure: str = "structure_id") -> tuple[str, str] | None:
+    """The columns of an assignment table that are there, by preference; None if either is absent."""
+    a, b = (next((c for c in (own, *names) if c in columns), None) for own, names in ((cluster, CLUSTERS), (structure, STRUCTURES)))
+    return (a, b) if a and b else None
+
+
 def add_structure(cells: DataFrame, assignments: DataFrame, cluster_col: str, position: str) -> DataFrame:
     """``structure_id`` by cluster: the last assignment wins, unmatched ones get 0; kept if there is one."""
     if "structure_id" in cells.columns:
@@ -74,10 +88,15 @@ def add_structure(cells: DataFrame, assignments: DataFrame, cluster_col: str, po
 
 
 def add_contour(cells: DataFrame, mapping: DataFrame, position: str) -> DataFrame:
-    """Fill missing ``contour_id`` from a cell map: the first entry of a cell wins, valid ones stay."""
-    table = mapping.select("cell_id", F.col("contour_id").alias("m_"), F.col(position).alias("p_"))
-    named = look_up(cells, table, "cell_id", ["m_"], "p_")
-    return named.withColumn("contour_id", F.coalesce(clean_text("contour_id"), clean_text("m_"))).drop("m_")
+    """Fill missing ``contour_id`` from a cell map: the first entry of a cell wins, valid ones stay.
+
+    Structure columns of the map come along where the cells have none.
+    """
+    more = [c for c in ("structure_id", "structure_label") if c in mapping.columns and c not in cells.columns]
+    table = mapping.select("cell_id", F.col("contour_id").alias("m_"), *more, F.col(position).alias("p_"))
+    named = look_up(cells, table, "cell_id", ["m_", *more], "p_")
+    own = clean_text("contour_id") if "contour_id" in cells.columns else F.lit(None).cast("string")
+    return named.withColumn("contour_id", F.coalesce(own, clean_text("m_"))).drop("m_")
 
 
 def label_table(cells: DataFrame, id_col: str, label_col: str, position: str) -> DataFrame:
@@ -88,9 +107,9 @@ def label_table(cells: DataFrame, id_col: str, label_col: str, position: str) ->
 
 def region_rows(
     cells: DataFrame, patches: DataFrame | None = None, images: DataFrame | None = None, labels: DataFrame | None = None,
-    position: str = "row_pos", min_cells: int = 1, first_columns: tuple[str, ...] = ("structure_id", "cluster", "slide_id"),
+    position: str = "row_pos", min_cells: int = 1, first_columns: tuple[str, ...] = ("structure_id", "cluster", *METADATA),
 ) -> DataFrame:
-    """The region table: one row a region with centroid, structure, patch and image flag.
+    """The region table: one row a region with centroid, structure, patch, image flag, cluster and domains.
 
     The last patch of a contour wins.  The label is the patch's, else that of the structure, else
     the structure's id, else ``unknown``; ``qc_flag`` is ``ok`` where the patch's image is in
@@ -101,12 +120,13 @@ def region_rows(
     rows = base.join(first_non_null(cells, "region_id", have, position), "region_id", "left") if have else base
     if patches is not None:
         named = patches.withColumn("region_id", F.coalesce(clean_text("contour_id"), clean_text("region_id")) if "region_id" in patches.columns else clean_text("contour_id"))
-        keep = ["image_path", *[c for c in ("structure_label", "structure_name", "patch_x", "patch_y") if c in patches.columns]]
+        keep = [c for c in ("image_path", "structure_label", "structure_name", *PATCH_COLUMNS) if c in patches.columns]
         table = keep_one(named.select("region_id", position, *[F.col(c).alias(f"patch_{c}" if c.startswith("structure") else c) for c in keep]), ["region_id"], position, last=True)
         rows = rows.join(table.drop(position), "region_id", "left")
-    for c in ("image_path", "patch_structure_label", "patch_structure_name", "structure_id"):
+    for c in ("image_path", "patch_structure_label", "patch_structure_name", "structure_id", "cluster", *PATCH_COLUMNS):
         if c not in rows.columns:
             rows = rows.withColumn(c, F.lit(None).cast("string"))
+    rows = rows.withColumn("contour_id", F.col("region_id"))
     if labels is not None:
         rows = rows.withColumn("structure_id", normal_id("structure_id")).join(labels, "structure_id", "left")
     else:

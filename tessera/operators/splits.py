@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite, hash_order, or_missing
-from .ranking import global_rank
+from ..tables import to_table
+from .ranking import global_rank, running_total
 
 
 def rank_bins(df: DataFrame, value: str, bins: int, tie: str = "region_id", name: str = "bin") -> DataFrame:
@@ -59,38 +61,58 @@ def assign_splits(blocked: DataFrame, train: float = 0.7, val: float = 0.15, see
     else:
         blocks = blocks.withColumn("key_", hash_order(F.lit(seed), F.col("block_id")))
     # One row a block: the cumulative size is taken over blocks, not over regions.
-    before = F.coalesce(F.sum("n_").over(Window.orderBy("key_", "block_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = running_total(blocks, ["key_", "block_id"], "n_", "before_")
     total = blocks.agg(F.sum("n_").alias("t")).first()["t"] or 0
-    middle = before + F.col("n_") / 2
+    middle = F.col("before_") + F.col("n_") / 2
     split = F.when(middle < total * train, "train").when(middle < total * (train + val), "val").otherwise("test")
     return blocked.join(blocks.select("block_id", split.alias("split")), "block_id")
 
 
-def shuffled_blocks(names: list[str], seed: int) -> list[str]:
-    """Sorted distinct block names in NumPy's seeded order; for spatial blocks, of which there are at most 1024."""
-    import numpy as np
-
-    out = sorted(set(names))
-    return [out[i] for i in np.random.default_rng(seed).permutation(len(out))]
+def shuffled_blocks(blocked: DataFrame, seed: int, most: int = 1024) -> list[str]:
+    """Sorted distinct blocks in NumPy's seeded order; for spatial blocks, of which there are at most ``most``."""
+    names = [r["block_id"] for r in blocked.select("block_id").distinct().orderBy("block_id").limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"over {most} blocks: order them by hash")
+    return [names[i] for i in np.random.default_rng(seed).permutation(len(names))]
 
 
 def split_seed(split: int | None, training: int = 0, data: int = 0) -> int:
+    """The split's own seed, else the training's if it is not zero, else the data's."""
     return split if split is not None else training or data
 
 
 def make_splits(
-    regions: DataFrame, strategy: str = "spatial_block", group_col: str | None = None, train: float = 0.7, val: float = 0.15, seed: int = 0
+    regions: DataFrame, strategy: str = "spatial_block", group_col: str | None = None, train: float = 0.7, val: float = 0.15, seed: int | None = None,
+    training_seed: int = 0, data_seed: int = 0, order: str = "hash",
 ) -> DataFrame:
-    """``(region_id, split, split_strategy, split_group_key, block_id)`` by one of three strategies."""
+    """``(region_id, split, split_strategy, split_group_key, block_id)`` by one of three strategies.
+
+    The seed is resolved by ``split_seed``.  Blocks are ordered by ``hash``, or for spatial blocks as
+    NumPy's generator shuffles their sorted names (``numpy``).  Regions without coordinates are
+    blocks of their own, numbered in the order of their ids.  An empty table gives an empty one.
+    """
+    if strategy not in ("spatial_block", "group_holdout", "slide_holdout"):
+        raise ValueError(f"unknown strategy {strategy!r}")
+    seed = split_seed(seed, training_seed, data_seed)
     if strategy == "spatial_block":
-        d = spatial_blocks(regions) if {"x", "y"} <= set(regions.columns) else regions.withColumn("block_id", F.concat(F.lit("idx_"), F.col("region_id")))
+        if {"x", "y"} <= set(regions.columns):
+            d = spatial_blocks(regions)
+        else:
+            d = global_rank(regions, "region_id", "region_id", "rank_").withColumn("block_id", F.format_string("idx_%04d", "rank_"))
         d = d.withColumn("split_group_key", F.lit(None).cast("string"))
     else:
         d = group_blocks(regions, group_col, strategy)
-    d = assign_splits(d, train, val, seed)
+    d = to_table(d.select("region_id", "block_id", "split_group_key"), "blocks")
+    d = assign_splits(d, train, val, seed, shuffled_blocks(d, seed) if order == "numpy" else None)
     return d.select("region_id", "split", F.lit(strategy).alias("split_strategy"), "split_group_key", "block_id")
 
 
+def training_rows(regions: DataFrame, split: str = "split") -> tuple[DataFrame, DataFrame]:
+    """Rows to train and to validate on; all rows train where none is marked ``train``."""
+    train = regions.where(F.col(split) == "train")
+    return (train if train.limit(1).count() else regions), regions.where(F.col(split) == "val")
+
+
 def leaking_groups(splits: DataFrame, group: str = "block_id") -> DataFrame:
     """Groups that stand in more than one split; empty for a sound one."""
     return splits.groupBy(group).agg(F.count_distinct("split").alias("n_splits")).where("n_splits > 1")

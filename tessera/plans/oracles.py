@@ -39,7 +39,15 @@ SLIDES = f"{CUST}, b as (select region_id, slide_id as block_id from cust)"
 NATIONS = f"{CUST}, b as (select region_id, c_nationkey::varchar as block_id from cust)"
 NEAR = """near as (select a.region_id, b.region_id as neighbor_id, row_number() over (partition by a.region_id order by sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), b.region_id) as rank
   from cust a join cust b on a.region_id <> b.region_id{0} qualify rank <= {1})"""
-DOCS = f"docs as (select {SPLIT.format('doc_id')} as split, n_chars % 9 as n_cells, case when quality = 1 then source end as image, case when lang <> 'fr' then lang end as label from documents left join labels using (doc_id))"
+PATCHES = """patches as (select doc_id::varchar as contour_id, doc_id % 30 as structure_id, 'o' || doc_id as cell_id, 'img' || doc_id % 500 as image_path, case when lang = 'de' then source end as pl,
+  n_chars::double as patch_x, (n_chars % 7)::double as patch_y, (n_chars % 3)::double as patch_size, lang as source_image from documents),
+images as (select distinct 'img' || doc_id % 500 as image_path from labels)"""
+REGIONS = f"""{CELLS}, {PATCHES},
+r0 as (select region_id, count(*) as n_cells, avg(x) as x, avg(y) as y, arg_min(structure_id, row_pos) as structure_id, arg_min(slide_id, row_pos) as slide_id, arg_min(cluster, row_pos) as cluster from cells group by 1),
+lab as (select structure_id, arg_max(structure_label, row_pos) as l from cells group by 1),
+regs as (select r0.region_id, r0.region_id as contour_id, n_cells, x, y, r0.structure_id, coalesce(pl, l, r0.structure_id, 'unknown') as structure_label, slide_id, cluster, p.image_path,
+  case when i.image_path is not null then 'ok' else 'no_image' end as qc_flag, patch_x, patch_y, patch_size, source_image, null::varchar as registration_transform
+  from r0 left join patches p on p.contour_id = r0.region_id left join images i on i.image_path = p.image_path left join lab on lab.structure_id = r0.structure_id)"""
 MASK = "h as (select *, md5('1|' || region_id || '|' || gene) as k from vals), m as (select *, substr(k, 1, 8) as h8, min(substr(k, 1, 8) || gene) over (partition by region_id) as first from h)"
 
 
@@ -47,14 +55,7 @@ def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out["region_mean_expression"] = f"with {CELLS}, {EXPR}, {MEANS} select region_id, gene, round(value, 6) as value from means"
     out["region_table"] = f"with {CELLS} select region_id, count(*) as n_cells, round(avg(x), 7) as x, round(avg(y), 7) as y from cells group by 1 having count(*) >= 5"
-    out["region_rows"] = f"""with {CELLS},
-r as (select region_id, count(*) as n_cells, arg_min(structure_id, row_pos) as structure_id, arg_min(slide_id, row_pos) as slide_id, arg_min(cluster, row_pos) as cluster from cells group by 1),
-p as (select doc_id::varchar as region_id, 'img' || doc_id % 500 as image_path, case when lang = 'de' then source end as pl from documents),
-im as (select distinct 'img' || doc_id % 500 as image_path from labels),
-lab as (select structure_id, arg_max(structure_label, row_pos) as l from cells group by 1)
-select r.region_id, n_cells, r.structure_id, coalesce(pl, l, r.structure_id, 'unknown') as structure_label, slide_id, cluster, p.image_path,
-  case when im.image_path is not null then 'ok' else 'no_image' end as qc_flag
-from r left join p using (region_id) left join im on im.image_path = p.image_path left join lab on lab.structure_id = r.structure_id"""
+    out["region_rows"] = f"with {REGIONS} select region_id, contour_id, n_cells, round(x, 6) as x, round(y, 6) as y, structure_id, structure_label, slide_id, cluster, image_path, qc_flag, patch_x, patch_y, patch_size, source_image, registration_transform from regs"
     out["first_non_null_domain"] = f"""with {CELLS} select region_id, arg_min(cluster, row_pos) filter (row_pos % 3 <> 0) as cluster, arg_min(slide_id, row_pos) as slide_id from cells group by 1"""
     out["membership_edges"] = f"with {CELLS} select region_id, 'inner' as membership, count(*) as n_edges, count(*)::double as weight from cells group by 1"
     out["structure_counts"] = f"with {CELLS} select structure_label as label, count(*) as n from cells group by 1"
@@ -92,21 +93,59 @@ select (select count(*) from panel) as n_panel, (select count(*) from genes) as
     out["split_provenance"] = f"with {_blocks(0, 'slide_holdout', 'slide_id', '', SLIDES)} select split, count(*) as n_regions, string_agg(distinct block_id, ',' order by block_id) as blocks from made group by 1"
     out["image_qc_rollup"] = "select count(*) as n_regions, count(*) filter (quality = 1) as n_with_image, count(*) filter (quality is null or quality <> 1) as n_without_image, round(count(*) filter (quality = 1) / count(*), 4) as image_coverage from documents left join labels using (doc_id)"
     out["missing_images"] = "select doc_id, doc_id::varchar as image_path from documents anti join labels using (doc_id)"
-    out["failure_analysis"] = f"""with {DOCS}, a as (select coalesce(split, 'overall') as split, count(*)::double as n_regions, count(*) filter (n_cells <= 1)::double as low_cell_regions, count(*) filter (image is null)::double as regions_without_image,
-  round(count(image) / count(*), 6) as image_coverage, count(*) filter (label is null)::double as regions_without_label, count(distinct label)::double as n_labels from docs group by rollup (split)),
-u as (unpivot a on n_regions, low_cell_regions, regions_without_image, image_coverage, regions_without_label, n_labels into name metric value value),
-c as (select *, case metric when 'n_regions' then 'size' when 'low_cell_regions' then 'cells' when 'image_coverage' then 'image' when 'regions_without_image' then 'image' else 'label' end as category from u)
-select split, category, metric, value, category || ':' || metric as detail from c"""
-    out["structure_map_last_wins"] = f"""with {CELLS}, t as (select c_mktsegment as slide_id, arg_max(c_nationkey, c_custkey) as s from customer where c_custkey % 2 = 0 and c_mktsegment <> 'BUILDING' group by 1)
+    out["failure_analysis"] = f"""with {PATCHES}, {PANEL},
+rg as (select c_custkey::varchar as region_id, {SPLIT.format("c_custkey")} as split, (select count(*) from orders where o_custkey = c_custkey) as n_cells, c_mktsegment as slide_id, case when c_nationkey <> 3 then c_nationkey end as batch_id from customer),
+sc as (select 'overall' as scope, * from rg union all select split, * from rg),
+one as (select (select count(*) from rg) as n, (select count(*) from patches) as p, (select count(distinct contour_id) from patches semi join rg on contour_id = region_id) as c,
+  (select count(*) from patches anti join images using (image_path)) as m, (select count(*) from rg where n_cells <= 0) as l,
+  (select count(*) from panel) as pn, (select count(*) from panel anti join genes using (gene)) as pm, (select count(*) from genes anti join panel using (gene)) as po)
+select scope as split, 'split' as category, 'n_regions' as metric, count(*)::double as value, 'slide_holdout' as detail from sc group by 1
+union all select scope, 'domain', 'slide_id_unique_values', count(distinct slide_id), 'slide_id' from sc group by 1
+union all select scope, 'domain', 'batch_id_unique_values', count(distinct coalesce(batch_id, -1)), 'batch_id' from sc group by 1
+union all select 'overall', 'patch', 'patch_rows', p, 'Rows in patch manifest.' from one
+union all select 'overall', 'patch', 'region_image_coverage', round(c / greatest(n, 1), 6), 'Region-level patch coverage.' from one
+union all select 'overall', 'patch', 'missing_image_count', m, 'Patch image files missing on disk.' from one
+union all select 'overall', 'region', 'low_cell_region_count', l, 'Regions without member cells.' from one
+union all select 'overall', 'registration', 'has_patch_coordinates', 1, 'patch_x,patch_y' from one
+union all select 'overall', 'registration', 'has_registration_metadata', 0, 'no registration columns' from one
+union all select 'overall', 'panel', 'panel_gene_count', pn, 'Configured panel size.' from one
+union all select 'overall', 'panel', 'missing_from_data_count', pm, 'Configured panel genes absent from AnnData.' from one
+union all select 'overall', 'panel', 'outside_panel_count', po, 'AnnData genes absent from configured panel.' from one"""
+    figures = f"""{REGIONS}, {EXPR},
+fig as (select (select count(*) from cells)::double as n_cells, 0::double as missing_spatial_count, (select count(*) from regs)::double as n_regions, (select count(*) from regs where n_cells > 0)::double as regions_with_cells,
+  (select count(*) from regs where n_cells < 5)::double as low_cell_region_count, (select count(*) filter (qc_flag = 'ok') / count(*) from regs) as region_image_coverage,
+  (select count(*) filter (structure_label not in ('', 'nan', 'None', 'unknown')) / count(*) from regs) as structure_assignment_coverage, (select count(*) from part)::double as n_genes,
+  (select count(*) - count(distinct p_brand) from part)::double as duplicate_gene_count, (select count(*) from patches)::double as patch_count, (select count(distinct cell_id) from patches)::double as patch_cell_count,
+  (select count(distinct structure_id) from patches)::double as patch_structure_count, (select count(*) from patches anti join images using (image_path))::double as missing_image_count,
+  (select count(distinct s) filter (s in (select structure_id::varchar from patches)) / count(distinct s) from (select structure_id as s from regs)) as patch_structure_coverage,
+  (select min(x) from cells) as x_min, (select max(x) from cells) as x_max, (select min(y) from cells) as y_min, (select max(y) from cells) as y_max, 1::double as cell_assignment_coverage,
+  (select count(*) filter (value <> 0) from expr) / ((select count(*) from cells) * (select count(*) from part)) as matrix_density, (select count(*) filter (qc_flag = 'ok') / count(*) from regs) as patch_cell_coverage)"""
+    out["case_metrics"] = f"with {figures}, u as (unpivot fig on * into name metric value value) select metric, round(value, 6) as value from u"
+    out["verdict_rules"] = f"""with {figures}, {PANEL},
+p as (select (select count(*) from panel anti join genes using (gene)) as m, (select count(*) from genes anti join panel using (gene)) as o),
+t as (select unnest([
+  ('no_coordinates', 'fatal', false), ('coordinates_not_finite', 'fatal', missing_spatial_count > 0), ('duplicate_genes', 'warning', duplicate_gene_count > 0), ('panel_missing', 'warning', m > 0), ('panel_outside', 'warning', o > 0),
+  ('no_patches', 'warning', patch_count = 0), ('patch_coverage', 'warning', patch_count > 0 and region_image_coverage < 1 and patch_structure_coverage < 1), ('missing_images', 'warning', missing_image_count > 0),
+  ('no_patch_coordinates', 'warning', false), ('no_registration', 'warning', patch_count > 0), ('structure_coverage', 'warning', structure_assignment_coverage < 0.95), ('no_regions', 'fatal', n_regions = 0)]) as t from fig, p)
+select t[1] as rule, t[2] as level, t[3] as fired from t"""
+    out["manifest_domains"] = f"""with {REGIONS} select 'slide_id' as domain, slide_id as value, count(*) as n from regs group by 2
+union all select 'organ', case when n_cells % 2 = 0 then 'even' else 'missing' end, count(*) from regs group by 2 union all select 'cluster', cluster, count(*) from cells group by 2"""
+    out["patch_provenance"] = """select * from (values ('coordinate_columns', 'Patch_X'), ('coordinate_columns', 'center_y'), ('coordinate_columns', 'x_centroid'), ('image_columns', 'he_image_path'), ('registration_columns', 'affine'),
+('parameter_columns', 'Patch_X'), ('parameter_columns', 'level')) t(kind, name)"""
+    out["cell_flags"] = f"with {CELLS}, {PATCHES}, ok as (select distinct cell_id from patches semi join images using (image_path)) select 'o' || cells.cell_id as cell_id, case when ok.cell_id is null then 'no_image' else 'ok' end as qc_flag from cells left join ok on ok.cell_id = 'o' || cells.cell_id"
+    out["image_manifest"] = f"with {REGIONS} select region_id, image_path, patch_x, patch_size, source_image, registration_transform from regs"
+    out["manifest_records"] = """select event_id, 'r' || event_id as contour_id, event_type as image_path, (event_id % 5)::double as patch_x, 4::double as patch_y, '{"a":2,"b":1}' as registration_transform,
+  case when event_id % 5 = 0 then 9 else event_id % 5 end::double as patch_x_falsy from events where event_id % 6 <> 5"""
+    out["structure_map_last_wins"] = f"""with {CELLS}, t as (select c_mktsegment as slide_id, arg_max(c_nationkey, c_custkey) as s from customer group by 1)
 select cell_id, coalesce(s, 0)::int as structure_id from cells left join t using (slide_id)"""
-    out["contour_map_first_wins"] = f"""with {CELLS}, t as (select l_orderkey::varchar as cell_id, 's' || arg_min(l_suppkey, l_linenumber * 1000000 + l_suppkey) as c from lineitem where l_orderkey % 3 <> 0 group by 1)
-select cell_id, coalesce(case when row_pos % 4 = 0 then region_id end, c) as contour_id from cells left join t using (cell_id)"""
+    out["contour_map_first_wins"] = f"""with {CELLS}, t as (select l_orderkey::varchar as cell_id, 's' || arg_min(l_suppkey, l_linenumber * 1000000000000 + l_suppkey * 1000000 + l_partkey) as c, arg_min(l_partkey % 5, l_linenumber * 1000000000000 + l_suppkey * 1000000 + l_partkey)::varchar as s from lineitem group by 1)
+select cell_id, coalesce(case when row_pos % 4 = 0 then region_id end, c) as contour_id, s as structure_id from cells left join t using (cell_id)"""
     out["patch_left_join"] = f"""with {CELLS}, t as (select (doc_id % 700)::varchar as region_id, arg_max(source, doc_id) as image_path from documents group by 1)
 select region_id, count(*) as n_cells, image_path from cells left join t using (region_id) group by all"""
     out["label_lookup"] = f"with {CELLS} select structure_id, arg_max(structure_label, row_pos) as structure_label from cells group by 1"
     out["split_completeness"] = f"with {_blocks(0, 'slide_holdout', 'slide_id', '', SLIDES)} select split, count(*) as n from made group by 1"
     out["spatial_knn"] = f"with {CUST}, {NEAR.format('', 4)} select * from near"
-    out["neighbor_mean_expression"] = f"""with {CELLS}, {EXPR}, {MEANS}, {CUST}, {NEAR.format(" and a.c_nationkey < 5 and b.c_nationkey < 5", 3)}
+    out["neighbor_mean_expression"] = f"""with {CELLS}, {EXPR}, {MEANS}, {CUST}, {NEAR.format("", 3)}
 select near.region_id, gene, round(sum(value) / 3, 6) as value from near join means on lpad(means.region_id, 8, '0') = neighbor_id group by 1, 2"""
     out["global_rank"] = f"with {CUST} select region_id, row_number() over (order by x, region_id) - 1 as rank0 from cust"
     out["rank_bins"] = f"with {CUST}, r as (select region_id, row_number() over (order by x, region_id) - 1 as r, count(*) over () as n from cust) select region_id, least(r * 7 // n, 6)::bigint as bin from r"
@@ -121,8 +160,8 @@ select near.region_id, gene, round(sum(value) / 3, 6) as value from near join me
     out["cell_sample"] = f"with {CELLS} select region_id, cell_id from cells qualify row_number() over (partition by region_id order by md5('1|' || cell_id), cell_id) <= 3"
     out["gene_selection"] = f"with {VALUES} select region_id, gene from vals qualify row_number() over (partition by region_id order by case when value > 0 then 0 else 1 end, md5('1|' || region_id || '|' || gene), gene) <= 6"
     out["mask_selection"] = f"with {VALUES}, {MASK} select region_id, gene, h8 < '{int(0.15 * 2**32):08x}' or h8 || gene = first as mask from m"
-    out["corpus_union"] = """select c_custkey as cell_id, c_acctbal, null::varchar as c_name, 'one' as slide_id, 'one' as batch_id, 'one' as source from customer where c_mktsegment = 'BUILDING'
-union all select c_custkey, null, c_name, 'two', 'two', 'two' from customer where c_mktsegment = 'MACHINERY'"""
+    out["corpus_union"] = """with s as (select c_mktsegment as m, row_number() over (order by c_mktsegment) % 2 as odd from (select distinct c_mktsegment from customer))
+select c_custkey || '-' || m as cell_id, case when odd = 1 then c_acctbal end as c_acctbal, case when odd = 0 then c_name end as c_name, m as slide_id, m as batch_id, m as source from customer join s on m = c_mktsegment"""
     out["manifest_coalesce"] = "select event_id, coalesce(nullif(event_id % 2, 0), nullif(event_id % 3, 0), 9) as patch_x from events"
     out["manifest_json"] = "select event_id, nullif(nullif(nullif(props ->> '$.k', ''), 'nan'), 'None') as k from events"
     out["null_like_clean"] = """with t(id, v) as (values (1, 'a'), (2, ''), (3, 'nan'), (4, 'None'), (5, null), (6, 'unknown'), (7, '<NA>')), c as (select id, v, case when v not in ('', 'nan', 'None') then v end as cleaned from t)
@@ -135,5 +174,29 @@ c as (select scope, id, ln(sum(exp(ab - own))) as x, ln(sum(exp(ba - own))) as y
     out["loss_total"] = "select l_orderkey, l_linenumber, round(l_quantity + 0.5::double * l_discount + 0.25::double * l_tax + 0.001::double * l_extendedprice, 6) as total from lineitem"
     out["lr_cosine"] = "select range as step, round(case when range < 20 then (range + 1) / 20 else 0.1::double + 0.9::double * 0.5 * (1 + cos(pi() * least(1.0, (range - 20) / 180))) end, 9) as factor from range(200)"
     out["loss_warmup"] = "select range as step, round(0.3::double * least(1.0, range / 20), 9) as weight from range(50)"
-    out["gene_widening"] = f"with {VALUES}, s as (select region_id, count(*) as n_cells from cells group by 1) select region_id, n_cells, " + ", ".join(f"coalesce(max(value) filter (gene = '{g}'), 0) as \"gene_{g}\"" for g in ("Brand#11", "Brand#12", "Brand#13")) + " from s left join vals using (region_id) group by all"
+    brands = [f"Brand#{i}" for i in range(1, 26)]
+    out["gene_widening"] = f"with {VALUES}, s as (select region_id, count(*) as n_cells from cells group by 1) select region_id, n_cells, " + ", ".join(f"coalesce(max(value) filter (gene = '{g}'), 0) as \"gene_{g}\"" for g in brands) + " from s left join vals using (region_id) group by all"
+    digits = lambda text: f"('0x' || substr(md5({text}), 1, 8))::bigint"
+    out["linear_embed"] = f"""with {VALUES}, w as (select region_id, j as place, sum(ln(1 + greatest(value, 0)) * ({digits("'0|' || gene || '|' || j")} / 2147483648.0::double - 1)) as v from vals, range(8) t(j) group by 1, 2)
+select region_id, place::int as place, round(v / sqrt(sum(v * v) over (partition by region_id)), 6) as v from w"""
+    out["synthetic_case"] = f"""with g as (select c.range as id, g.range as gene from range(240) c, range(12) g),
+v as (select id, gene, floor(-ln(({digits("'5|' || id || '|' || gene")} + 1)::double / 4294967297) * case when gene % 3 = id % 12 % 3 then 4.0 else 0.7 end) as value from g)
+select 'contour_' || id % 12 as region_id, 'gene_' || gene as gene, round(sum(value) / 20, 6) as value from v where value > 0 group by id % 12, gene"""
+    filled = f"""{VALUES}, gs as (select gene, row_number() over (order by md5('1|' || gene), gene) - 1 as i, count(*) over () as n from (select distinct p_brand as gene from part)),
+have as (select region_id, count(*) filter (value > 0) as n0 from vals group by 1),
+own as (select region_id, gene, value from vals where value > 0 qualify row_number() over (partition by region_id order by md5('1|' || region_id || '|' || gene), gene) <= 20),
+zero as (select have.region_id, gs.gene, (gs.i - {digits("'1|' || region_id")} % gs.n + gs.n) % gs.n as j, n0 from have, gs where n0 < 20 and not exists (select 1 from own where own.region_id = have.region_id and own.gene = gs.gene)),
+sel as (select region_id, gene, value from own union all select region_id, gene, 0 from zero where j < 20 qualify row_number() over (partition by region_id order by j) <= 20 - n0)"""
+    out["gene_selection_filled"] = f"with {filled} select region_id, gene, value::double as value from sel"
+    tokens = f"""{filled},
+lg as (select *, ln(1 + greatest(value, 0)) as w, md5('1|' || region_id || '|' || gene) as k from sel),
+lm as (select *, max(ln(1 + w)) over (partition by region_id) as top, substr(k, 1, 8) as h8, min(substr(k, 1, 8) || gene) over (partition by region_id) as f from lg),
+tok as (select *, row_number() over (partition by region_id order by gene) - 1 as place, count(*) over (partition by region_id) as len, h8 < '{int(0.15 * 2**32):08x}' or h8 || gene = f as mask from lm)"""
+    out["region_batches"] = f"""with {tokens} select region_id, (20 - len)::int as padding, place::int as place, gene, round(w, 6) as value, round(case when mask then 0 else w end, 6) as input,
+  case when top > 0 then floor(ln(1 + w) / top * 7) else 0 end::bigint as bin, mask from tok"""
+    out["batch_cells"] = f"""with {tokens}, sc as (select region_id, cell_id from cells qualify row_number() over (partition by region_id order by md5('1|' || cell_id), cell_id) <= 3)
+select region_id, sc.cell_id, place::int as place, round(coalesce(ln(1 + greatest(e.value, 0)), 0), 6) as value from sc join tok using (region_id) left join expr e on e.cell_id = sc.cell_id and e.gene = tok.gene"""
+    out["region_items"] = f"""with {CUST}, s as (select avg(x) as mx, stddev_pop(x) as sx, avg(y) as my, stddev_pop(y) as sy from cust)
+select region_id, round((x - mx) / sx, 6) as x_z, round((y - my) / sy, 6) as y_z, dense_rank() over (order by slide_id) - 1 as code, dense_rank() over (order by slide_id) as context_id from cust, s"""
+    out["validation_mean"] = "select round(avg(l_discount), 9) as val_gene_loss, round(avg(l_tax), 9) as val_total_loss from lineitem"
     return out

@@ -53,15 +53,35 @@ def region_mean_expression(spark: SparkSession, d: str) -> DataFrame:
 
 
 def region_table(spark: SparkSession, d: str) -> DataFrame:
-    return regions.region_table(cells(spark, d), min_cells=5).select("region_id", "n_cells", F.round("x", 7).alias("x"), F.round("y", 7).alias("y"))
+    out = regions.region_table(cells(spark, d), min_cells=5)
+    return out.select("region_id", "n_cells", F.round("x", 7).alias("x"), F.round("y", 7).alias("y")).orderBy("region_id")
 
 
-def region_rows(spark: SparkSession, d: str) -> DataFrame:
+def _patches(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as patches of the customers of the same number."""
+    return _read(spark, d, "documents").select(
+        F.col("doc_id").cast("string").alias("contour_id"), F.concat(F.col("doc_id") % 30, F.lit(".0")).alias("structure_id"), F.concat(F.lit("o"), "doc_id").alias("cell_id"),
+        F.concat(F.lit("img"), F.col("doc_id") % 500).alias("image_path"), F.lit(None).cast("string").alias("structure_name"), F.when(F.col("lang") == "de", F.col("source")).alias("structure_label"),
+        F.col("n_chars").cast("double").alias("patch_x"), (F.col("n_chars") % 7).cast("double").alias("patch_y"), (F.col("n_chars") % 3).cast("double").alias("patch_size"), F.col("lang").alias("source_image"),
+        F.col("doc_id").alias("row_pos"),
+    )
+
+
+def _images(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "labels").select(F.concat(F.lit("img"), F.col("doc_id") % 500).alias("image_path"))
+
+
+def _regions(spark: SparkSession, d: str) -> DataFrame:
     c = cells(spark, d)
-    patches = _read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("contour_id"), F.concat(F.lit("img"), F.col("doc_id") % 500).alias("image_path"), F.lit(None).cast("string").alias("structure_name"), F.when(F.col("lang") == "de", F.col("source")).alias("structure_label"), F.col("doc_id").alias("row_pos"))
-    images = _read(spark, d, "labels").select(F.concat(F.lit("img"), F.col("doc_id") % 500).alias("image_path"))
-    out = regions.region_rows(c, patches, images, regions.label_table(c, "structure_id", "structure_label", "row_pos"))
-    return out.select("region_id", "n_cells", "structure_id", "structure_label", "slide_id", "cluster", "image_path", "qc_flag")
+    return regions.region_rows(c, _patches(spark, d), _images(spark, d), regions.label_table(c, "structure_id", "structure_label", "row_pos"))
+
+
+def region_rows(spark: SparkSession, d: str) -> DataFrame:
+    out = _regions(spark, d).select(
+        "region_id", "contour_id", "n_cells", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "structure_id", "structure_label", "slide_id", "cluster", "image_path", "qc_flag",
+        "patch_x", "patch_y", "patch_size", "source_image", "registration_transform",
+    )
+    return out.orderBy("region_id")
 
 
 def first_non_null_domain(spark: SparkSession, d: str) -> DataFrame:
@@ -120,12 +140,13 @@ def masked_mse_by_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pearson_by_split(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.prediction_summary(_predictions(spark, d)).select("split", F.round("correlation", 6).alias("correlation"))
+    return metrics.prediction_summary(_predictions(spark, d)).select("split", F.round("correlation", 6).alias("correlation")).orderBy("split")
 
 
 def retrieval_topk(spark: SparkSession, d: str) -> DataFrame:
     out = metrics.retrieval(metrics.scopes(embedded(spark, d)))
-    return out.select("scope", "k", "effective_k", "n_regions", F.round("a_to_b_topk", 6).alias("a_to_b_topk"), F.round("b_to_a_topk", 6).alias("b_to_a_topk"))
+    out = out.select("scope", "k", "effective_k", "n_regions", F.round("a_to_b_topk", 6).alias("a_to_b_topk"), F.round("b_to_a_topk", 6).alias("b_to_a_topk"))
+    return metrics.scope_order(out, "k")
 
 
 def same_label_hit(spark: SparkSession, d: str) -> DataFrame:
@@ -174,21 +195,73 @@ def missing_images(spark: SparkSession, d: str) -> DataFrame:
 
 
 def failure_analysis(spark: SparkSession, d: str) -> DataFrame:
-    docs = _read(spark, d, "documents").join(_read(spark, d, "labels"), "doc_id", "left")
-    split = F.when(F.col("doc_id") % 10 < 7, "train").when(F.col("doc_id") % 10 == 7, "val").otherwise("test")
-    rows = docs.select(split.alias("split"), (F.col("n_chars") % 9).alias("n_cells"), F.when(F.col("quality") == 1, F.col("source")).alias("image_path"), F.when(F.col("lang") != "fr", F.col("lang")).alias("structure_label"))
-    return quality.failure_analysis(rows).withColumn("value", F.round("value", 6))
+    size = _read(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n_cells"))
+    c = _read(spark, d, "customer").join(size, F.col("c_custkey") == F.col("o_custkey"), "left")
+    split = F.when(F.col("c_custkey") % 10 < 7, "train").when(F.col("c_custkey") % 10 == 7, "val").otherwise("test")
+    rows = c.select(
+        F.col("c_custkey").cast("string").alias("region_id"), split.alias("split"), F.coalesce("n_cells", F.lit(0)).alias("n_cells"), F.col("c_mktsegment").alias("slide_id"),
+        F.when(F.col("c_nationkey") != 3, F.col("c_nationkey").cast("string")).alias("batch_id"),
+    )
+    genes = _read(spark, d, "part").select(F.col("p_brand").alias("gene"))
+    out = quality.failure_analysis(rows, _patches(spark, d).drop("row_pos"), _images(spark, d), "slide_holdout", readers.read_panel(spark, None, PANEL), genes)
+    return metrics.scope_order(out.withColumn("value", F.round("value", 6)), "category", "metric", scope="split")
+
+
+def _case_row(spark: SparkSession, d: str) -> DataFrame:
+    c = cells(spark, d)
+    genes = _read(spark, d, "part").select(F.col("p_brand").alias("feature_name"))
+    return quality.case_metrics(c, _regions(spark, d), regions.membership(c), genes, expr(spark, d), _patches(spark, d), _images(spark, d), min_cells=5)
+
+
+def case_metrics(spark: SparkSession, d: str) -> DataFrame:
+    row = _case_row(spark, d)
+    return row.select(F.explode(F.map_from_entries(F.array(*[F.struct(F.lit(c), F.round(F.col(c).cast("double"), 6)) for c in row.columns]))).alias("metric", "value"))
+
+
+def verdict_rules(spark: SparkSession, d: str) -> DataFrame:
+    c = cells(spark, d)
+    genes = _read(spark, d, "part").select(F.col("p_brand").alias("feature_name"))
+    m = quality.case_manifest(c, _regions(spark, d), regions.membership(c), genes, expr(spark, d), _patches(spark, d), _images(spark, d), readers.read_panel(spark, None, PANEL), domains=regions.METADATA, min_cells=5)
+    return spark.createDataFrame([(rule, level, bool(hit)) for rule, level, hit, _ in quality.verdict_rules(m)], "rule string, level string, fired boolean")
+
+
+def manifest_domains(spark: SparkSession, d: str) -> DataFrame:
+    c, r = cells(spark, d), _regions(spark, d).withColumn("organ", F.when(F.col("n_cells") % 2 == 0, F.lit("even")))
+    return quality.domain_counts(r, ["slide_id", "organ"]).unionByName(quality.domain_counts(c, ["cluster"]))
+
+
+def patch_provenance(spark: SparkSession, d: str) -> DataFrame:
+    origin = quality.provenance(["Patch_X", "center_y", "level", "he_image_path", "affine", "note", "x_centroid"])
+    return spark.createDataFrame([(k, c) for k in ("coordinate_columns", "image_columns", "registration_columns", "parameter_columns") for c in origin[k]], "kind string, name string")
+
+
+def cell_flags(spark: SparkSession, d: str) -> DataFrame:
+    c = cells(spark, d).select(F.concat(F.lit("o"), "cell_id").alias("cell_id"))
+    return export.cell_flags(c, _patches(spark, d), _images(spark, d))
+
+
+def image_manifest(spark: SparkSession, d: str) -> DataFrame:
+    return export.image_manifest(_regions(spark, d).drop("patch_y"))
+
+
+def manifest_records(spark: SparkSession, d: str) -> DataFrame:
+    e = _read(spark, d, "events")
+    text = F.concat(F.lit('{"region_id": "r'), "event_id", F.lit('", "x": '), F.col("event_id") % 5, F.lit(', "patch": {"patch_x": 9, "image_path": "'), "event_type", F.lit('", "center_y": 4}, "transform": {"b": 1, "a": 2}}'))
+    text = F.when(F.col("event_id") % 6 == 5, F.lit('"no record"')).otherwise(text)
+    rows = e.select("event_id", F.parse_json(text).alias("record"))
+    plain, falsy = readers.patch_manifest(rows), readers.patch_manifest(rows, falsy_zero=True)
+    return plain.select("event_id", "contour_id", "image_path", "patch_x", "patch_y", "registration_transform").join(falsy.select("event_id", F.col("patch_x").alias("patch_x_falsy")), "event_id")
 
 
 def structure_map_last_wins(spark: SparkSession, d: str) -> DataFrame:
     c = cells(spark, d).drop("structure_id").select("cell_id", "slide_id")
-    table = _read(spark, d, "customer").where("c_custkey % 2 = 0 and c_mktsegment <> 'BUILDING'").select(F.col("c_mktsegment").alias("slide_id"), F.col("c_nationkey").alias("structure_id"), "c_custkey")
+    table = _read(spark, d, "customer").select(F.col("c_mktsegment").alias("slide_id"), F.col("c_nationkey").alias("structure_id"), "c_custkey")
     return regions.add_structure(c, table, "slide_id", "c_custkey").select("cell_id", "structure_id")
 
 
 def contour_map_first_wins(spark: SparkSession, d: str) -> DataFrame:
     c = cells(spark, d).select("cell_id", F.when(F.col("row_pos") % 4 == 0, F.col("region_id")).when(F.col("row_pos") % 4 == 1, F.lit("nan")).alias("contour_id"))
-    table = _read(spark, d, "lineitem").where("l_orderkey % 3 <> 0").select(F.col("l_orderkey").cast("string").alias("cell_id"), F.concat(F.lit("s"), "l_suppkey").alias("contour_id"), (F.col("l_linenumber") * 1_000_000 + F.col("l_suppkey")).alias("position"))
+    table = _read(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("cell_id"), F.concat(F.lit("s"), "l_suppkey").alias("contour_id"), (F.col("l_partkey") % 5).cast("string").alias("structure_id"), (F.col("l_linenumber") * 1_000_000_000_000 + F.col("l_suppkey") * 1_000_000 + F.col("l_partkey")).alias("position"))
     return regions.add_contour(c, table, "position")
 
 
@@ -218,7 +291,7 @@ def spatial_knn(spark: SparkSession, d: str) -> DataFrame:
 
 
 def neighbor_mean_expression(spark: SparkSession, d: str) -> DataFrame:
-    near = neighbors.spatial_knn(_customers(spark, d).where("c_nationkey < 5"), 3)
+    near = neighbors.spatial_knn(_customers(spark, d), 3)
     means = regions.mean_expression(expr(spark, d), cells(spark, d)).withColumn("region_id", F.lpad("region_id", 8, "0"))
     return regions.neighbor_mean(means, near).select("region_id", "gene", F.round("value", 6).alias("value"))
 
@@ -282,15 +355,44 @@ def mask_selection(spark: SparkSession, d: str) -> DataFrame:
     return features.mask_genes(_values(spark, d), 0.15, 1).select("region_id", "gene", "mask")
 
 
+def _genes(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "part").select(F.col("p_brand").alias("gene")).distinct()
+
+
+def gene_selection_filled(spark: SparkSession, d: str) -> DataFrame:
+    return features.select_genes(_values(spark, d), 20, 1, _genes(spark, d))
+
+
+def _batches(spark: SparkSession, d: str) -> DataFrame:
+    return features.region_batches(_values(spark, d), 20, 8, 0.15, 1, _genes(spark, d), cells(spark, d), expr(spark, d), 3)
+
+
 def region_batches(spark: SparkSession, d: str) -> DataFrame:
-    return features.region_batches(_values(spark, d), 6, 8, 0.15, 1)
+    out = _batches(spark, d).select("region_id", "padding", F.posexplode("tokens").alias("place", "t"))
+    return out.select("region_id", "padding", "place", "t.gene", F.round("t.value", 6).alias("value"), F.round("t.input", 6).alias("input"), F.col("t.bin").cast("long").alias("bin"), "t.mask")
+
+
+def batch_cells(spark: SparkSession, d: str) -> DataFrame:
+    out = _batches(spark, d).select("region_id", F.explode("cells").alias("c")).select("region_id", "c.cell_id", F.posexplode("c.values").alias("place", "value"))
+    return out.select("region_id", "cell_id", "place", F.round("value", 6).alias("value"))
+
+
+def region_items(spark: SparkSession, d: str) -> DataFrame:
+    out = features.region_items(_customers(spark, d), "slide_id")
+    return out.select("region_id", F.round("x_z", 6).alias("x_z"), F.round("y_z", 6).alias("y_z"), "code", "context_id")
+
+
+def validation_mean(spark: SparkSession, d: str) -> DataFrame:
+    terms = _read(spark, d, "lineitem").select(F.col("l_discount").alias("gene_loss"), F.col("l_tax").alias("total_loss"))
+    return metrics.validation_mean(terms).select(*[F.round(c, 9).alias(c) for c in ("val_gene_loss", "val_total_loss")])
 
 
 def corpus_union(spark: SparkSession, d: str) -> DataFrame:
+    """A case for each segment, every other one with its names in place of balances."""
     c = _read(spark, d, "customer")
-    a = c.where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("cell_id"), "c_acctbal")
-    b = c.where("c_mktsegment = 'MACHINERY'").select(F.col("c_custkey").alias("cell_id"), "c_name")
-    return readers.corpus_union({"one": a, "two": b})
+    names = sorted(r["c_mktsegment"] for r in c.select("c_mktsegment").distinct().collect())
+    cases = {n: c.where(F.col("c_mktsegment") == n).select(F.col("c_custkey").alias("cell_id"), "c_name" if i % 2 else "c_acctbal") for i, n in enumerate(names)}
+    return readers.corpus_union(cases, ("cell_id",))
 
 
 def manifest_coalesce(spark: SparkSession, d: str) -> DataFrame:
@@ -338,17 +440,18 @@ def loss_warmup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def linear_embed(spark: SparkSession, d: str) -> DataFrame:
-    return export.widen(export.linear_embed(_values(spark, d), 8), 8)
+    out = export.linear_embed(_values(spark, d), 8).select("region_id", F.posexplode("vec").alias("place", "v"))
+    return out.select("region_id", "place", F.round("v", 6).alias("v"))
 
 
 def gene_widening(spark: SparkSession, d: str) -> DataFrame:
     sizes = regions.region_table(cells(spark, d)).select("region_id", "n_cells")
-    return export.widen_genes(_values(spark, d), sizes, ["Brand#11", "Brand#12", "Brand#13"])
+    return export.widen_genes(_values(spark, d), sizes, sorted(r["gene"] for r in _genes(spark, d).collect()))
 
 
 def synthetic_case(spark: SparkSession, d: str) -> DataFrame:
     c, e = readers.synthetic_case(spark, 240, 12, 3, 5)
-    return regions.mean_expression(e, regions.with_region_key(c))
+    return regions.mean_expression(e, regions.with_region_key(c)).withColumn("value", F.round("value", 6))
 
 
 NAMES = [
@@ -359,6 +462,7 @@ NAMES = [
     "spatial_knn", "neighbor_mean_expression", "global_rank", "rank_bins", "spatial_blocks", "block_splits", "group_holdout", "leaking_groups", "label_codes", "unique_names",
     "expression_bins", "coord_zscore", "cell_sample", "gene_selection", "mask_selection", "region_batches", "corpus_union", "manifest_coalesce", "manifest_json",
     "null_like_clean", "id_normalise", "contrastive_loss", "masked_mse_zero", "loss_total", "lr_cosine", "loss_warmup", "linear_embed", "gene_widening", "synthetic_case",
+    "case_metrics", "verdict_rules", "manifest_domains", "patch_provenance", "cell_flags", "image_manifest", "manifest_records", "gene_selection_filled", "batch_cells", "region_items", "validation_mean",
 ]
 
 

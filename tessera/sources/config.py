@@ -11,13 +11,27 @@ from typing import Any
 
 @dataclass(frozen=True)
 class DataConfig:
+    #: "synthetic", "tables" (canonical tables in ``root``) or "corpus" (those in each of ``roots``)
     mode: str = "synthetic"
-    cells: str | None = None
-    genes: str | None = None
-    expr: str | None = None
+    root: str | None = None
+    roots: tuple[str, ...] = ()
     patches: str | None = None
     images: str | None = None
+    structures: str | None = None
+    contour_map: str | None = None
     panel: str | None = None
+    panel_genes: tuple[str, ...] = ()
+    region_key: str = "contour_id"
+    structure_key: str = "structure_id"
+    cluster_key: str = "cluster"
+    gene_name: str = "feature_name"
+    slide_id: str | None = None
+    patient_id: str | None = None
+    organ: str | None = None
+    batch_id: str | None = None
+    stain: str | None = None
+    scanner: str | None = None
+    structure_context: bool = True
     seed: int = 0
     n_cells: int = 24
     n_genes: int = 48
@@ -56,6 +70,7 @@ class SplitConfig:
 
 @dataclass(frozen=True)
 class Config:
+    case_name: str = "case"
     data: DataConfig = field(default_factory=DataConfig)
     model: ModelConfig = field(default_factory=ModelConfig)
     training: TrainingConfig = field(default_factory=TrainingConfig)
@@ -77,6 +92,9 @@ def expand(value: Any) -> Any:
 def from_mapping(values: dict[str, Any], preset: str | None = None) -> Config:
     out = Config()
     for section, given in expand(values).items():
+        if section == "case_name":
+            out = replace(out, case_name=str(given))
+            continue
         if section not in {f.name for f in fields(Config)}:
             raise ValueError(f"unknown section {section!r}")
         kind = getattr(out, section)

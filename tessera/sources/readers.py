@@ -4,14 +4,33 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import clean_text, first_true
+from ..functions.scalars import clean_text, first_true, hash_order
+from ..operators.regions import METADATA
 
-# Pairs of coordinate columns in order of preference, and metadata columns.
+# Pairs of coordinate columns in order of preference, and columns that hold row names.
 COORDINATES = (("x", "y"), ("x_centroid", "y_centroid"), ("cell_x_centroid", "cell_y_centroid"))
-METADATA = ("slide_id", "patient_id", "organ", "batch_id", "stain", "scanner")
+ROW_NAMES = ("__index_level_0__", "index")
+# Where a manifest's record has a field, in order of preference.
+MANIFEST = {
+    "cell_id": ("cell_id",),
+    "contour_id": ("contour_id", "region_id"),
+    "structure_id": ("structure_id",),
+    "structure_label": ("structure_label",),
+    "structure_name": ("structure_name",),
+    "image_path": ("image_path", "patch.image_path"),
+    "patch_x": ("patch_x", "x", "patch.patch_x", "patch.x", "patch.center_x"),
+    "patch_y": ("patch_y", "y", "patch.patch_y", "patch.y", "patch.center_y"),
+    "patch_size": ("patch_size", "patch.patch_size", "patch.patch_size_px"),
+    "source_image": ("source_image", "patch.source_image"),
+    "registration_transform": ("registration_transform", "transform", "patch.registration_transform"),
+    "bbox_level_xy": ("bbox_level_xy", "patch.bbox_level_xy"),
+    "bbox_level0_xy": ("bbox_level0_xy", "patch.bbox_level0_xy"),
+    "pyramid_level": ("pyramid_level", "patch.pyramid_level"),
+}
+MANIFEST_TYPES = {"patch_x": "double", "patch_y": "double", "patch_size": "int", "pyramid_level": "int", "bbox_level_xy": "array<double>", "bbox_level0_xy": "array<double>"}
 
 
 def read_table(spark: SparkSession, path: str, position: str | None = None) -> DataFrame:
@@ -26,11 +45,15 @@ def read_table(spark: SparkSession, path: str, position: str | None = None) -> D
 
 
 def normalize_cells(cells: DataFrame) -> DataFrame:
-    """``cells`` with text ``cell_id`` and double ``x``, ``y`` from the first pair that is there, else ValueError."""
+    """``cells`` with text ``cell_id`` and double ``x``, ``y`` from the first pair that is there, else ValueError.
+
+    Without ``cell_id`` the row's name stands for it, or its number where rows have none.
+    """
     pair = next((p for p in COORDINATES if set(p) <= set(cells.columns)), None)
     if pair is None:
         raise ValueError(f"no coordinates: none of {COORDINATES}")
-    named = cells if "cell_id" in cells.columns else cells.withColumn("cell_id", F.monotonically_increasing_id())
+    name = next((F.col(c) for c in ROW_NAMES if c in cells.columns), F.monotonically_increasing_id())
+    named = cells if "cell_id" in cells.columns else cells.withColumn("cell_id", name)
     named = named.withColumn("cell_id", F.col("cell_id").cast("string")).withColumns({c: F.col(p).cast("double") for c, p in zip("xy", pair, strict=True)})
     texts = [c for c, t in named.dtypes if t == "string" and c != "cell_id"]
     return named.withColumns({c: clean_text(c) for c in texts})
@@ -42,42 +65,59 @@ def stamp(cells: DataFrame, values: dict[str, str | None], source: str | None =
     return cells.withColumns({c: F.lit(values[c]) for c in METADATA if values.get(c) is not None and c not in cells.columns})
 
 
-def corpus_union(cases: dict[str, DataFrame]) -> DataFrame:
-    """Cases one under another with their ``source``, columns that one lacks as nulls; a single one as it is."""
+def normalize_genes(genes: DataFrame, name: str = "feature_name") -> DataFrame:
+    """``genes`` with text ``name``; where it is absent, the gene's own name (``gene`` or the row's name) stands for it."""
+    found = next((c for c in (name, "gene", *ROW_NAMES) if c in genes.columns), None)
+    if found is None:
+        raise ValueError(f"genes have neither {name!r} nor a name of their own")
+    return genes.withColumn(name, F.col(found).cast("string"))
+
+
+def corpus_union(cases: dict[str, DataFrame], suffix: tuple[str, ...] = ()) -> DataFrame:
+    """Cases one under another with their ``source``, columns that one lacks as nulls; a single one as it is.
+
+    Values of the columns ``suffix`` get ``-<source>``, so that equal ids of two cases stay apart.
+    """
     if len(cases) == 1:
         return next(iter(cases.values()))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [stamp(df, {}, name).withColumn("source", F.lit(name)) for name, df in cases.items()])
 
+    def one(name: str, df: DataFrame) -> DataFrame:
+        named = {c: F.concat(F.col(c).cast("string"), F.lit(f"-{name}")) for c in suffix if c in df.columns}
+        return stamp(df.withColumns(named) if named else df, {}, name).withColumn("source", F.lit(name))
 
-def patch_manifest(records: DataFrame, falsy_zero: bool = False) -> DataFrame:
-    """Rows of a manifest with nested ``patch`` and ``transform`` flattened to canonical columns.
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [one(name, df) for name, df in cases.items()])
 
-    A field comes from the patch, else from the record itself; with ``falsy_zero`` a zero or empty value
-    falls through too.
+
+def patch_manifest(records: DataFrame, record: str = "record", falsy_zero: bool = False) -> DataFrame:
+    """Records of a manifest, a column of variants, flattened to the canonical columns; others are carried along.
+
+    Only objects are records, whatever else is skipped.  A field is taken from the first place that
+    has it; with ``falsy_zero`` a zero or empty value falls through too.  Nested transforms become JSON
+    text with sorted keys.
     """
     pick = first_true if falsy_zero else F.coalesce
-    fields = {f.name: f.dataType for f in records.schema.fields}
-    nested = set(fields["patch"].names) if "patch" in fields and hasattr(fields["patch"], "names") else set()
-
-    def field(*names: str):  # noqa: ANN202
-        found = [F.col(f"patch.{n}") for n in names if n in nested] + [F.col(n) for n in names if n in fields]
-        return pick(*[f.cast("string") for f in found]) if found else F.lit(None).cast("string")
-
-    transform = F.to_json("transform") if "transform" in fields else F.lit(None).cast("string")
-    return records.select(
-        clean_text(field("cell_id")).alias("cell_id"), clean_text(field("contour_id", "id")).alias("contour_id"), clean_text(field("structure_id")).alias("structure_id"),
-        clean_text(field("structure_label", "structure_name")).alias("structure_label"), clean_text(field("image_path", "path")).alias("image_path"),
-        field("patch_x", "x").try_cast("double").alias("patch_x"), field("patch_y", "y").try_cast("double").alias("patch_y"), transform.alias("registration_transform"),
-    )
+
+    def field(name: str) -> Column:
+        kind = MANIFEST_TYPES.get(name, "string")
+        found = [F.try_variant_get(record, f"$.{place}", kind) for place in MANIFEST[name]]
+        if falsy_zero and kind.startswith("array"):
+            found = [F.when(F.size(c) > 0, c) for c in found]
+        elif kind in ("double", "int", "string"):
+            return pick(*found) if kind != "string" else clean_text(pick(*found))
+        return F.coalesce(*found)
+
+    others = [c for c in records.columns if c != record]
+    return records.where(F.schema_of_variant(record).startswith("OBJECT")).select(*others, *[field(c).alias(c) for c in MANIFEST])
 
 
-def read_patch_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV as it is; a JSON list, or an object with ``patches`` or ``records``, flattened."""
+def read_patch_manifest(spark: SparkSession, path: str, falsy_zero: bool = False) -> DataFrame:
+    """A CSV as it is; a JSON list, or an object with ``patches`` or ``records``, flattened; both with ``row_pos``."""
     if path.endswith(".csv"):
-        return spark.read.csv(path, header=True)
-    raw = spark.read.json(path, multiLine=True)
-    lists = [F.col(c) for c in ("patches", "records") if c in raw.columns]
-    return patch_manifest(raw.select(F.explode(F.coalesce(*lists)).alias("r")).select("r.*") if lists else raw)
+        return spark.read.csv(path, header=True).withColumn("row_pos", F.monotonically_increasing_id())
+    whole = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
+    items = F.when(F.schema_of_variant("v").startswith("ARRAY"), F.col("v")).otherwise(F.coalesce(*[F.try_variant_get("v", f"$.{c}", "variant") for c in ("patches", "records")]))
+    rows = spark.sql("select pos as row_pos, value as record from {t}, lateral variant_explode(items)", t=whole.select(items.alias("items")))
+    return patch_manifest(rows, falsy_zero=falsy_zero)
 
 
 def read_panel(spark: SparkSession, path: str | None, inline: list[str] | None = None) -> DataFrame:
@@ -105,9 +145,10 @@ def synthetic_case(spark: SparkSession, n_cells: int, n_genes: int, n_structures
         F.pmod(F.pmod("id", F.lit(regions)), F.lit(n_structures)).cast("string").alias("structure_id"),
         (F.pmod("id", F.lit(regions)) * 100 + F.randn(seed)).alias("x"), (F.floor(F.col("id") / regions) + F.randn(seed + 1)).alias("y"), F.col("id").alias("row_pos"),
     )
-    u = lambda salt: (F.pmod(F.xxhash64(F.lit(seed + salt), "id", "gene"), F.lit(1 << 30)) + 1) / float((1 << 30) + 1)
+    digest = F.substring(hash_order(F.lit(seed), F.col("id"), F.col("gene")), 1, 8)
+    u = (F.conv(digest, 16, 10).cast("double") + 1) / float((1 << 32) + 1)
     grid = ids.withColumn("gene", F.explode(F.sequence(F.lit(0), F.lit(n_genes - 1))))
     own = F.pmod(F.col("gene"), F.lit(n_structures)) == F.pmod(F.pmod("id", F.lit(regions)), F.lit(n_structures))
-    value = F.floor(-F.log(u(7)) * F.when(own, 4.0).otherwise(0.7))
+    value = F.floor(-F.log(u) * F.when(own, 4.0).otherwise(0.7))
     expr = grid.select(F.concat(F.lit("cell_"), "id").alias("cell_id"), F.concat(F.lit("gene_"), "gene").alias("gene"), value.cast("float").alias("value")).where("value > 0")
     return cells, expr

@@ -1,5 +1,6 @@
 """Core operators on tiny tables whose results are plain to see."""
 
+import dataclasses
 import math
 
 import numpy as np
@@ -8,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions.scalars import clean_text, normal_id
 from tessera.operators import export, features, metrics, neighbors, quality, ranking, regions, splits
-from tessera.sources import config, readers
+from tessera.plans import evaluation
+from tessera.sources import cases, config, readers, writers
 
 
 def cells(spark):
@@ -151,24 +153,187 @@ def test_scalars(spark):
     assert [r[0] for r in d.select(clean_text("v")).collect()] == ["7.0", None, None]
 
 
-def test_manifest_and_verdict(spark):
-    c = regions.with_region_key(cells(spark))
-    r = regions.region_rows(c)
-    genes = spark.createDataFrame([("g1",), ("g1",)], "feature_name string")
-    expr = spark.createDataFrame([("a", "g1", 1.0)], "cell_id string, gene string, value double")
-    m = quality.case_manifest(c, r, genes, expr)
-    assert (m["n_cells"], m["n_regions"], m["n_duplicates"], m["x_max"]) == (3, 1, 1, 9.0)
+def case(spark, n_cells=18, patches=None, **data):
+    cfg = config.from_mapping({"case_name": "c", "data": {"mode": "synthetic", "n_cells": n_cells, "n_genes": 24, "n_structures": 3, "seed": 7, **data}, "split": {"seed": 13}})
+    got = cases.load_case(spark, cfg.data)
+    return cfg, cases.build_regions(got if patches is None else dataclasses.replace(got, patches=patches), cfg.data)
+
+
+def test_verdict_rules(spark):
+    """Each rule by a case that breaks it, as fixtures of the quality checks do."""
+    cfg, c = case(spark)
+    m = cases.describe(spark, c, cfg)
+    assert (m["n_cells"], m["n_regions"], m["n_genes"], m["patch_count"], m["has_spatial"], m["cell_assignment_coverage"]) == (18, 12, 24, 0, True, 1.0)
+    assert m["structure_counts"] == {"0": 4, "1": 4, "2": 4} and m["split"]["seed"] == 13 and m["spatial_bounds"]["x_min"] is not None
+    fired = lambda m, context=True: {rule for rule, _, hit, _ in quality.verdict_rules(m, context) if hit}
+    assert fired(m) == {"no_patches"}
     report = quality.verdict(m)
-    assert report["status"] == "warn" and "repeated gene names" in report["warnings"]
-    assert quality.verdict({"n_regions": 0, "finite_coordinates": 1})["status"] == "fail"
-    assert "| n_cells | 3 |" in quality.render_markdown(report, m)
-    assert quality.panel_metrics(genes.select(F.col("feature_name").alias("gene")), genes.limit(0).select(F.col("feature_name").alias("gene"))).first().n_outside == 0
+    assert report["status"] == "pass" and len(report["warnings"]) == 1 and not report["fatal_errors"]
+    few = {"panel": m["panel"] | {"configured": True, "n_missing": 1, "n_outside": 3}, "duplicate_gene_count": 2, "structure_assignment_coverage": 0.94, "patch_count": 1, "region_image_coverage": 0.5, "missing_image_count": 1}
+    want = {"duplicate_genes", "panel_missing", "panel_outside", "patch_coverage", "missing_images", "no_patch_coordinates", "no_registration"}
+    assert fired(m | few) == want | {"structure_coverage"} and fired(m | few, False) == want
+    assert quality.verdict(m | few)["status"] == "pass"
+    for broken, rule in (({"has_spatial": False}, "no_coordinates"), ({"missing_spatial_count": 1}, "coordinates_not_finite"), ({"n_regions": 0}, "no_regions")):
+        assert rule in fired(m | broken) and quality.verdict(m | broken)["status"] == "fail"
+    text = quality.render_markdown(report, m)
+    assert "Status: **pass**" in text and "- n_cells: 18" in text and "- seed: 13" in text
+
+
+def test_panel_and_provenance(spark):
+    genes = spark.createDataFrame([("a",), ("b",), ("b",)], "gene string")
+    panel = readers.read_panel(spark, None, ["b", " z ", "b", ""])
+    r = quality.panel_metrics(genes, panel).first()
+    assert (r.n_panel, r.n_data, r.n_overlap, r.n_missing, r.n_outside, r.missing_first, r.outside_first) == (2, 2, 1, 1, 1, ["z"], ["a"])
+    r = quality.panel_metrics(genes, panel.limit(0)).first()
+    assert (r.n_panel, r.n_data, r.n_missing, r.n_outside, r.outside_first) == (0, 2, 0, 0, [])
+    p = quality.provenance(["X", "tile_y", "x_centroid", "WSI_path", "thumb_image", "affine2", "patch_size", "stride"])
+    assert (p["coordinate_columns"], p["image_columns"]) == (["X", "tile_y", "x_centroid"], ["WSI_path", "thumb_image"])
+    assert (p["registration_columns"], p["parameter_columns"]) == (["affine2"], ["patch_size", "stride"])
+    assert quality.provenance(["x_centroid"], narrow=True)["has_coordinates"] is False
+
+
+def test_failure_rows(spark):
+    r = spark.createDataFrame([("a", "train", 1, "s1"), ("b", "train", 0, None), ("c", "test", 2, "s1")], "region_id string, split string, n_cells long, slide_id string")
+    patches = spark.createDataFrame([("a", "one.png"), ("a", "two.png"), ("z", "gone.png"), (None, None)], "contour_id string, image_path string")
+    images = spark.createDataFrame([("one.png",), ("two.png",)], "image_path string")
+    genes = spark.createDataFrame([("g1",), ("g2",)], "gene string")
+    got = {(x.split, x.metric): x.value for x in quality.failure_analysis(r, patches, images, "spatial_block", readers.read_panel(spark, None, ["g1", "h"]), genes).collect()}
+    assert got == {
+        ("overall", "n_regions"): 3, ("train", "n_regions"): 2, ("test", "n_regions"): 1, ("overall", "slide_id_unique_values"): 2, ("train", "slide_id_unique_values"): 2,
+        ("test", "slide_id_unique_values"): 1, ("overall", "patch_rows"): 4, ("overall", "region_image_coverage"): 1 / 3, ("overall", "missing_image_count"): 1,
+        ("overall", "low_cell_region_count"): 1, ("overall", "has_patch_coordinates"): 0, ("overall", "has_registration_metadata"): 0, ("overall", "panel_gene_count"): 2,
+        ("overall", "missing_from_data_count"): 1, ("overall", "outside_panel_count"): 1,
+    }
+    assert quality.failure_analysis(r.limit(0), patches.limit(0), images, "x").where("metric = 'patch_rows'").first().value == 0
+
+
+def test_written_case(spark, tmp_path):
+    """A case from canonical tables through regions, quality, evidence and back from what was written."""
+    cells = spark.createDataFrame([("a", 1.0, 2.0, "k1", 0), ("b", 2.0, 3.0, "k1", 1), ("c", 5.0, 5.0, "k2", 2)], "cell_id string, x_centroid double, y_centroid double, cluster string, row_pos long")
+    cells.write.parquet(f"{tmp_path}/one/cells.parquet")
+    spark.createDataFrame([("g1",), ("g2",)], "gene string").write.parquet(f"{tmp_path}/one/genes.parquet")
+    spark.createDataFrame([("a", "g1", 1.0), ("b", "g2", 3.0), ("c", "g1", 4.0)], "cell_id string, gene string, value double").write.parquet(f"{tmp_path}/one/expr.parquet")
+    spark.createDataFrame([("a", "r1"), ("b", "r1"), ("c", "r2"), ("c", "r9")], "cell_id string, contour_id string").coalesce(1).write.parquet(f"{tmp_path}/one/cell_to_contour.parquet")
+    (tmp_path / "structures.csv").write_text("graphclust,structure\nk1,3\nk1,4\n")
+    (tmp_path / "patches.json").write_text('{"patches": [7, {"region_id": "r1", "image_path": "i.png", "registration_transform": {"b": 1, "a": 2}, "structure_id": "4.0"}]}')
+    cfg = config.from_mapping({"case_name": "one", "data": {"mode": "tables", "root": f"{tmp_path}/one", "structures": f"{tmp_path}/structures.csv", "patches": f"{tmp_path}/patches.json", "slide_id": "s"}, "split": {"strategy": "slide_holdout"}})
+    c = cases.build_regions(cases.load_case(spark, cfg.data), cfg.data)
+    assert {(r.region_id, r.n_cells, r.structure_id, r.slide_id, r.image_path, r.registration_transform) for r in c.regions.collect()} == {
+        ("r1", 2, "4", "s", "i.png", '{"a":2,"b":1}'), ("r2", 1, "0", "s", None, None),
+    }
+    out = str(tmp_path / "out")
+    short = writers.write_case(spark, c, cfg, out)
+    report = writers.write_quality(spark, c, cfg, out)
+    assert writers.read_json(spark, f"{out}/qc_report.json") == report and writers.read_json(spark, f"{out}/training_manifest.json")["n_regions"] == short["n_regions"] == 2
+    assert writers.read_json(spark, f"{out}/case_manifest.json")["domain_counts"] == {"slide_id": {"s": 2}}
+    made = readers.read_table(spark, f"{out}/splits.csv")
+    assert {(r.region_id, r.block_id) for r in regions.with_splits(c.regions.select("region_id"), made).join(made.select("region_id", "block_id"), "region_id").collect()} == {("r1", "s"), ("r2", "s")}
+    assert readers.read_table(spark, f"{out}/region_table.csv").count() == 2 and "# Quality report: one" in spark.read.text(f"{out}/qc_report.md", wholetext=True).first()[0]
+    places = writers.write_evidence(spark, c, export.linear_embed(c.region_expr, 4), 4, out, "one", ["g1", "g2"])
+    e = spark.read.parquet(places["region_embeddings"])
+    assert {"region_id", "x", "y", "structure_label", "n_cells", "qc_flag", "emb_3"} <= set(e.columns) and e.count() == 2
+    assert {tuple(r) for r in spark.read.parquet(places["region_molecular_summary"]).collect()} == {("r1", 2, 0.5, 1.5), ("r2", 1, 4.0, 0.0)}
+    assert spark.read.parquet(places["structure_summary"]).agg(F.sum("n_cells")).first()[0] == 3 and spark.read.json(places["region_image_manifest"]).count() == 2
+    assert writers.read_json(spark, places["region_qc_report"])["n_cells_assigned"] == 3 and writers.read_json(spark, places["evidence_manifest"])["artifacts"].keys() <= places.keys()
+    writers.write_embeddings(c.regions.join(export.linear_embed(c.region_expr, 4), "region_id"), 4, out)
+    assert spark.read.parquet(f"{out}/embeddings.parquet").columns[:2] == ["region_id", "0"] and spark.read.parquet(f"{out}/structure_id_embeddings.parquet").count() == 2
+    with pytest.raises(FileNotFoundError):
+        cases.load_case(spark, config.DataConfig(mode="tables", root=f"{tmp_path}/none"))
+    with pytest.raises(ValueError, match="canonical"):
+        cases.load_case(spark, config.DataConfig(mode="h5ad"))
+
+
+def test_corpus_keeps_equal_ids_apart(spark, tmp_path):
+    for name, gene in (("a", "g1"), ("b", "g2")):
+        spark.createDataFrame([("c1", 1.0, 2.0, "k")], "cell_id string, x double, y double, contour_id string").write.parquet(f"{tmp_path}/{name}/cells.parquet")
+        spark.createDataFrame([("g1",), (gene,)], "gene string").distinct().write.parquet(f"{tmp_path}/{name}/genes.parquet")
+        spark.createDataFrame([("c1", gene, 2.0)], "cell_id string, gene string, value double").write.parquet(f"{tmp_path}/{name}/expr.parquet")
+    cfg = config.DataConfig(mode="corpus", roots=(f"{tmp_path}/a", f"{tmp_path}/b"))
+    c = cases.build_regions(cases.load_case(spark, cfg), cfg)
+    assert {(r.region_id, r.n_cells, r.slide_id, r.batch_id) for r in c.regions.collect()} == {("k-a", 1, "a", "a"), ("k-b", 1, "b", "b")}
+    assert {(r.region_id, r.gene, r.value) for r in c.region_expr.collect()} == {("k-a", "g1", 2.0), ("k-b", "g2", 2.0)} and c.genes.count() == 2
+    one = config.DataConfig(mode="corpus", roots=(f"{tmp_path}/a",))
+    assert cases.load_case(spark, one).cells.first().cell_id == "c1"
+
+
+def test_json_safe():
+    got = writers.json_safe({1: [float("nan"), np.float64("inf"), np.int64(3), (1.5, None)], "k": {"x": np.bool_(True)}})
+    assert got == {"1": [None, None, 3, [1.5, None]], "k": {"x": True}}
+
+
+def test_vocabulary(spark):
+    g = spark.createDataFrame([("x", "a", 0), ("y", "b", 1), ("z", "a", 2)], "gene string, name string, gene_pos int")
+    v = features.vocabulary(g)
+    assert [(r.vocab_name, r.vocab_id) for r in v.orderBy("gene_pos").collect()] == [("a", 1), ("b", 2), ("a.1", 3)]
+    assert [r.vocab_name for r in features.vocabulary(g.drop("name")).orderBy("gene_pos").collect()] == ["x", "y", "z"]
+    features.check_vocabulary(v, v)
+    with pytest.raises(ValueError, match="from id 3"):
+        features.check_vocabulary(v, v.where("vocab_id < 3"))
+    assert [r.feature_name for r in readers.normalize_genes(g).orderBy("gene_pos").collect()] == ["x", "y", "z"]
+
+
+def test_zero_fill_and_batches(spark):
+    v = spark.createDataFrame([("r", "g1", 2.0), ("r", "g2", 1.0), ("q", "g3", 1.0), ("z", "g1", 0.0)], "region_id string, gene string, value double")
+    genes = spark.createDataFrame([(f"g{i}",) for i in range(6)], "gene string")
+    got = {}
+    for r in features.select_genes(v, 4, 3, genes).collect():
+        got.setdefault(r.region_id, {})[r.gene] = r.value
+    assert {k: (len(x), {g for g, y in x.items() if y}) for k, x in got.items()} == {"r": (4, {"g1", "g2"}), "q": (4, {"g3"}), "z": (4, set())}
+    assert features.select_genes(v, 9, 3, genes).groupBy("region_id").count().where("count <> 6").count() == 0
+    members = spark.createDataFrame([("r", "c1"), ("r", "c2"), ("q", "c3")], "region_id string, cell_id string")
+    expr = spark.createDataFrame([("c1", "g1", 3.0), ("c3", "g0", 1.0)], "cell_id string, gene string, value double")
+    rows = {r.region_id: r for r in features.region_batches(v, 4, 8, 0.0, 3, genes, members, expr, 5).collect()}
+    r = rows["r"]
+    assert r.padding == 0 and [t.gene for t in r.tokens] == sorted(got["r"]) and sum(t.mask for t in r.tokens) == 1 and all(t.input == (0.0 if t.mask else t.value) for t in r.tokens)
+    at = [t.gene for t in r.tokens].index("g1")
+    assert [c.cell_id for c in r.cells] == ["c1", "c2"] and math.isclose(r.cells[0]["values"][at], math.log(4)) and r.cells[1]["values"] == [0.0] * 4 and rows["z"].cells == []
+
+
+def test_split_seed_and_orders(spark):
+    assert [splits.split_seed(*a) for a in ((0, 5, 7), (None, 5, 7), (None, 0, 7))] == [0, 5, 7]
+    d = spark.createDataFrame([(f"r{i:02d}", float(i), float(i % 5)) for i in range(40)], "region_id string, x double, y double")
+    s = splits.make_splits(d, seed=3, order="numpy")
+    assert s.count() == 40 and splits.leaking_groups(s).count() == 0
+    assert {r.block_id for r in splits.make_splits(d.drop("x")).collect()} == {f"idx_{i:04d}" for i in range(40)}
+    assert splits.make_splits(d.limit(0)).count() == 0
+    train, val = splits.training_rows(s)
+    assert train.count() + val.count() < 40 and splits.training_rows(s.where("split = 'val'"))[0].count() == s.where("split = 'val'").count()
+
+
+def test_running_total_over_ranges(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "PER_RANGE", 7)
+    d = spark.createDataFrame([(f"{i:02d}", float(i // 9) if i % 10 else None, i) for i in range(50)], "k string, v double, n long").repartition(3)
+    got = {r.k: (r.rank0, r.before) for r in ranking.running_total(ranking.global_rank(d, "v", "k"), ["rank0"], "n", "before").collect()}
+    rows = sorted(d.collect(), key=lambda r: (r.v is not None, r.v or 0, r.k))
+    total = 0
+    for i, r in enumerate(rows):
+        assert got[r.k] == (i, total)
+        total += r.n
+
+
+def test_evaluation_tables(spark):
+    rng = np.random.default_rng(5)
+    unit = lambda: (lambda v: (v / np.linalg.norm(v)).tolist())(rng.normal(size=4))
+    rows = spark.createDataFrame([(i, "train" if i % 3 else "test", unit(), unit(), unit(), f"l{i % 2}", "one", f"s{i % 4}") for i in range(24)], "id long, split string, vec array<double>, a array<double>, b array<double>, structure_label string, cluster string, slide_id string")
+    pred = spark.createDataFrame([("train", 1.0, 2.0, True), ("test", 2.0, 2.5, True)], "split string, pred double, target double, mask boolean")
+    fail = quality.failure_analysis(rows.select(F.col("id").cast("string").alias("region_id"), "split", F.lit(1).alias("n_cells")), spark.createDataFrame([], "contour_id string"), spark.createDataFrame([], "image_path string"), "x")
+    tables = evaluation.evaluate(rows, pred, fail)
+    p = evaluation.payload(tables, {"case_name": "c"})
+    assert {r.label_column for r in tables["embedding_qc"].collect()} == {"structure_label"} and {r.batch_column for r in tables["batch_mixing_metrics"].collect()} == {"slide_id"}
+    assert [r.scope for r in tables["retrieval_metrics"].collect()] == ["overall"] * 2 + ["test"] * 2 + ["train"] * 2
+    assert p["overall_prediction_summary"]["n_masked_values"] == 2 and len(p["overall_label_retrieval_metrics"]) == 2 and p["n_embedding_qc_rows"] == 3 and p["case_name"] == "c"
+    flags = export.cell_flags(spark.createDataFrame([("a",), ("b",)], "cell_id string"), spark.createDataFrame([("a", "i"), ("b", "gone")], "cell_id string, image_path string"), spark.createDataFrame([("i",)], "image_path string"))
+    assert {tuple(r) for r in flags.collect()} == {("a", "ok"), ("b", "no_image")}
+    assert metrics.validation_mean(spark.createDataFrame([(1.0, 2.0), (3.0, 4.0)], "b double, a double")).first().asDict() == {"val_a": 3.0, "val_b": 2.0}
 
 
 def test_readers(spark, tmp_path):
     (tmp_path / "p.json").write_text('{"patches": [{"contour_id": "c1", "patch": {"image_path": "i.png", "patch_x": 0}, "transform": {"a": 1}}, {"contour_id": "nan"}]}')
     rows = readers.read_patch_manifest(spark, str(tmp_path / "p.json")).collect()
-    assert [(r.contour_id, r.image_path, r.patch_x) for r in rows] == [("c1", "i.png", 0.0), (None, None, None)]
+    assert [(r.contour_id, r.image_path, r.patch_x, r.registration_transform) for r in rows] == [("c1", "i.png", 0.0, '{"a":1}'), (None, None, None, None)]
+    (tmp_path / "l.json").write_text('[1, null, "x", {"x": 0, "patch": {"center_x": 4, "image_path": "j"}, "contour_id": "", "region_id": "r"}]')
+    first, falsy = (readers.read_patch_manifest(spark, str(tmp_path / "l.json"), z).first() for z in (False, True))
+    assert (first.patch_x, falsy.patch_x, falsy.contour_id, falsy.image_path) == (0.0, 4.0, "r", "j")
     (tmp_path / "g.csv").write_text("gene\n b \na\nb\n")
     assert {r.gene for r in readers.read_panel(spark, str(tmp_path / "g.csv"), ["a", " c "]).collect()} == {"a", "b", "c"}
     with pytest.raises(ValueError, match="coordinates"):
@@ -179,7 +344,7 @@ def test_readers(spark, tmp_path):
 
 def test_config(monkeypatch):
     monkeypatch.setenv("SOME_ROOT", "/data")
-    assert config.from_mapping({"data": {"cells": "$SOME_ROOT/c", "genes": "$NOT_SET_X/g"}}).data == config.DataConfig(cells="/data/c", genes=None)
+    assert config.from_mapping({"data": {"root": "$SOME_ROOT/c", "patches": "$NOT_SET_X/g"}}).data == config.DataConfig(root="/data/c", patches=None)
     with pytest.raises(ValueError, match="unknown keys"):
         config.from_mapping({"data": {"cell": 1}})
     assert not config.with_ablation(config.Config(), "no_image").model.use_image
