@@ -50,7 +50,7 @@ MORE = (
     Rule("npm", r"npm_[A-Za-z0-9]{36}"),
     Rule("pem", r"-----BEGIN (?:RSA |EC |DSA |OPENSSH |ENCRYPTED )?PRIVATE KEY-----"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("login", r"://[A-Za-z0-9._%+-]++:[A-Za-z0-9._%+!$*-]++@"),
+    Rule("login", r"://[A-Za-z0-9._%+-]+:[A-Za-z0-9._%+!$*-]+@"),
     Rule("bearer", r"[Bb]earer [A-Za-z0-9._~+/-]{20,}"),
 )
 RULES = BASE + MORE
