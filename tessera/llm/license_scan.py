@@ -18,6 +18,8 @@ from functools import cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .license_rules import FORMS, NAMES, PASSAGES
+
 # Fixed values of the contract.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -29,43 +31,6 @@ GATE_LENGTH = 5
 #: Words that a signature may span.
 REACH = 24
 
-#: label and the words that name the licence, as they stand between separators.
-NAMES: list[tuple[str, str]] = [
-    ("mit", "mit"), ("mit", "expat"), ("x11", "x11"), ("apache", "apache(?: software)?"), ("apache", "asl"),
-    ("gpl", "gnu general public"), ("gpl", "general public"), ("gpl", "gnu gpl"), ("gpl", "gpl"), ("gpl", "gplv[23]"),
-    ("lgpl", "gnu lesser general public"), ("lgpl", "lesser general public"), ("lgpl", "gnu lgpl"), ("lgpl", "lgpl"),
-    ("lgpl", "gnu library general public"), ("agpl", "gnu affero general public"), ("agpl", "affero general public"), ("agpl", "agpl"),
-    ("bsd", "bsd"), ("bsd", "berkeley software distribution"), ("bsd-2-clause", "(?:bsd 2|2) clause(?: bsd)?"),
-    ("bsd-3-clause", "(?:bsd 3|3) clause(?: bsd)?"), ("mpl", "mozilla public"), ("mpl", "mpl"), ("epl", "eclipse public"), ("epl", "epl"),
-    ("cddl", "common development and distribution"), ("cddl", "cddl"), ("eupl", "european union public"), ("eupl", "eupl"),
-    ("isc", "isc"), ("zlib", "zlib"), ("boost", "boost software"), ("artistic", "artistic"), ("python", "python software foundation"),
-    ("postgresql", "postgresql"), ("openssl", "openssl"), ("ofl", "(?:sil )?open font"), ("odbl", "open database"), ("ncsa", "ncsa"),
-    ("wtfpl", "wtfpl"), ("unlicense", "unlicense"), ("afl", "academic free"), ("osl", "open software"), ("upl", "universal permissive"),
-    ("cc0", "cc0"), ("cc0", "creative commons zero"), ("cc-by", "cc by"), ("cc-by-sa", "cc by sa"), ("cc-by-nc", "cc by nc"),
-    ("cc-by-nd", "cc by nd"), ("cc-by-nc-sa", "cc by nc sa"), ("cc-by-nc-nd", "cc by nc nd"), ("cc-by", "creative commons attribution"),
-    ("cc-by-sa", "creative commons attribution share ?alike"), ("cc-by-nc", "creative commons attribution non ?commercial"),
-    ("cc-by-nd", "creative commons attribution no ?deriv(?:s|atives)"), ("gfdl", "gnu free documentation"), ("gfdl", "gfdl"),
-]
-VERSION = r"(?:(?: version| v)? v?[0-9]+(?: [0-9]+)?)?"
-TERMS = r"(?: (?:under|by|to|with))?(?: the)?(?: (?:terms|conditions)(?: and conditions)? of)?(?: the)?"
-#: priority, what stands before the name, what stands after it.
-FORMS: list[tuple[int, str, str]] = [
-    (90, "licensed" + TERMS + " ", r"(?: licen[cs]e)?" + VERSION),
-    (90, "released" + TERMS + " ", r" licen[cs]e" + VERSION),
-    (90, "distributed" + TERMS + " ", r" licen[cs]e" + VERSION),
-    (85, "available" + TERMS + " ", r" licen[cs]e" + VERSION),
-    (80, "spdx licen[cs]e identifier ", VERSION),
-    (70, "licen[cs]e(?: is)?(?: the)? ", VERSION),
-]
-#: priority, label, whole signature.
-NOTICES: list[tuple[int, str, str]] = [
-    (60, "public-domain", "public domain"),
-    (60, "proprietary", "all rights reserved"),
-    (40, "copyright", r"copyright(?: c)? [0-9]{4}"),
-    (95, "mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    (95, "bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
-]
-
 
 def _heads(items, heads: set[str]) -> set[str]:
     """``heads`` carried on through a parsed expression, each up to its first space."""
@@ -101,11 +66,9 @@ def _openings(expression: str) -> list[str]:
 @cache
 def rules() -> list[tuple[int, str, str, int, str]]:
     """(number, opening word, label, priority, expression), ordered; a rule stands there once for each of its opening words."""
-    out = []
+    out = [(priority, label, text) for label, priority, text in PASSAGES]
     for priority, before, after in FORMS:
         out += [(priority, label, before + name + after) for label, name in NAMES]
-    out += [(75, label, f"{name} licen[cs]e{VERSION}") for label, name in NAMES]
-    out += NOTICES
     return [(i, word, label, p, f"^({text}) ") for i, (p, label, text) in enumerate(out) for word in _openings(text)]
 
 

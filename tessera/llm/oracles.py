@@ -66,13 +66,11 @@ def license_scan_sql() -> str:
         f"select r, i, '{label}' as label from w4 where " + " and ".join(f"{c} = '{part}'" for c, part in zip(("a", "b", "c"), parts, strict=False))
         for label, parts in ls.BASE
     )
-    gate = " or ".join(f"contains(lower(t), '{g}')" for g in ls.GATES)
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     return f"""
 with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
 ws as (select r, doc_id, t, regexp_extract_all(translate(t, '{ls.UPPER}', '{ls.LOWER}'), '{word}') as w from d),
-gated as (select * from ws where {gate}),
-pos as (select r, w, unnest(w) as a, generate_subscripts(w, 1) - 1 as i from gated),
+pos as (select r, w, unnest(w) as a, generate_subscripts(w, 1) - 1 as i from ws),
 w4 as (select r, i, a, w[i + 2] as b, w[i + 3] as c, array_to_string(w[i + 1 : i + {ls.REACH}], ' ') || ' ' as x from pos where a in ({keys})),
 based as ({base}),
 rules(n, k, label, p, re) as (values {rules}),

@@ -150,6 +150,8 @@ def license_text(items, take):
             out += license_text(arg[1][take(len(arg[1]))], take)
         elif name == "MAX_REPEAT":
             out += "".join(license_text(arg[2], take) for _ in range(arg[0] if arg[0] == 1 or arg[0] == arg[1] else take(2)))
+        elif name == "ANY":
+            out += "q"
         else:
             assert name == "AT"
     return out
@@ -174,12 +176,15 @@ def test_license_gate_passes_each_rule(spark):
         assert got[i].labels == opened[i].labels and got[i].score == opened[i].score, t
     want = {"Public\nDomain": "public-domain", "Public-Domain": "public-domain", "All\nRights\nReserved": "proprietary"}
     assert {t: got[texts.index(t)].labels for t in want} == want
-    passages = {text[2:-2]: label for _, _, label, p, text in license_scan.rules() if p == 95}
-    assert len(passages) == 2 and all(got[texts.index(t.title())].labels == label for t, label in passages.items())
+    # The least text of each hand-written signature has its label, or one of greater priority that holds it.
+    assert len(license_scan.PASSAGES) > 140
+    for label, p, text in license_scan.PASSAGES:
+        r = got[texts.index(license_text(re._parser.parse(text), lambda n: 0).strip().title())]
+        assert label in r.labels.split(",") or r.score > p / 100, text
 
 
 def test_license_rules_under_each_opening(spark):
-    rules = sorted({(r[0], *r[2:]) for r in license_scan.rules()})
+    rules = [(n, label, p, re.compile(text)) for n, label, p, text in sorted({(r[0], *r[2:]) for r in license_scan.rules()})]
     texts = sorted({t for t, _ in license_cases()} | {
         "BSD 3-Clause License", "BSD 2-clause licence", "3 Clause BSD License 1.0", "SIL Open Font License", "Open Font Licence", "GPLv3 License", "gplv2 licence",
         "Apache Software License 2.0", "Licence: BSD", "licence is the MIT", "LICENSE: Apache",
@@ -190,7 +195,7 @@ def test_license_rules_under_each_opening(spark):
         hits = []
         for a in range(len(w)):
             for n, label, p, text in rules:
-                if m := re.match(text, " ".join(w[a : a + license_scan.REACH]) + " "):
+                if m := text.match(" ".join(w[a : a + license_scan.REACH]) + " "):
                     hits.append((a, a + len(m[1].split(" ")), p, n, label))
         kept = [x for x in hits if not any(y[0] <= x[0] and y[1] >= x[1] and (y[2], y[1] - y[0], -y[3]) > (x[2], x[1] - x[0], -x[3]) for y in hits)]
         assert hits and [(x.start, x.end, x.priority, x.label) for x in got[i].detections] == [(a, b, p, label) for a, b, p, _, label in sorted(kept)], t
