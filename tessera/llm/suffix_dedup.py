@@ -10,13 +10,14 @@ every repeated anchor the bytes that its strings can cover are cut out as a segm
 holds all segments of its anchors, sorts their suffixes by Larsson-Sadakane refinement and
 takes common prefixes of neighbours by Kasai's rule.  An anchor with very many segments is
 spread over sub-shards with suffix arrays of their own; these then merge: the sorted strings of
-each are looked up by binary search among the earliest ones of all.  Copies of whole documents
-and equal segments of a batch are one before any of this.
+each, byte by byte, are looked up by binary search among the earliest ones of all.  Copies of
+whole documents and equal segments of a batch are one before any of this.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,17 +27,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .shared import rows_by_ids, to_table
+from ..tables import to_table
+from .shared import rows_by_ids
 
 #: Bytes of an anchor's gram.
 GRAM = 40
 #: Anchors that a task gathers before it sends them on; text bytes of a batch; bytes of a shard.
 GATHER = 1_000_000
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 4_000_000
 SHARD_BYTES = 1_000_000
 #: Segments of an anchor beyond which it is spread over sub-shards of about this many.
-SPREAD = 20_000
-_P1, _P2 = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
+SPREAD = 5_000
+#: Batches or shards of a partition, on average.
+PER_PART = 2
+_P1 = 0xD6E8FEB86659FD93
 _TOP = np.uint64((1 << 64) - 1)
 
 
@@ -337,7 +341,8 @@ def removed(docs: DataFrame, length: int, spread: int = SPREAD) -> DataFrame:
         to = np.concatenate([shard[row[: len(first)]], key[row[len(first) :]] % shards])
         return pa.table({"shard": to, "key": key[row], "start": start[row], "stop": stop[row], "anchor": anchor[row], "bytes": pa.array(pieces, pa.binary())})
 
-    pieces = texts.groupBy("batch").cogroup(found.groupBy("batch")).applyInArrow(cut, "shard long, key long, start long, stop long, anchor long, bytes binary")
+    parts = max(1, n // PER_PART)
+    pieces = texts.repartition(parts, "batch").groupBy("batch").cogroup(found.repartition(parts, "batch").groupBy("batch")).applyInArrow(cut, "shard long, key long, start long, stop long, anchor long, bytes binary")
     if n_hot:
         pieces = to_table(pieces, "suffix-segments")
 
@@ -370,7 +375,7 @@ def removed(docs: DataFrame, length: int, spread: int = SPREAD) -> DataFrame:
         o = order[late]
         return pa.concat_tables([again, _spans(key[o], start[o], length)])
 
-    spans = pieces.groupBy("shard").applyInArrow(sort, "key long, start long, stop long")
+    spans = pieces.repartition(max(1, shards // PER_PART), "shard").groupBy("shard").applyInArrow(sort, "key long, start long, stop long")
     if not n_hot:
         return spans
 
@@ -378,35 +383,40 @@ def removed(docs: DataFrame, length: int, spread: int = SPREAD) -> DataFrame:
         """Earliest place of each distinct string of a sub-shard, by slices of the string's hash."""
         own = table.filter(pa.compute.is_valid(table.column("bytes")))
         if not own.num_rows:
-            return pa.table({"slice": pa.array([], pa.int64()), "strings": pa.array([], pa.binary())})
+            return pa.table({"slice": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "strings": pa.array([], pa.binary())})
         raw, sa, key, start, number = _strings(own, length)
         order, late = _earlier(key, start, number)
         o = order[~late]
-        a, b = _window_hash(raw, length, _P1, 31)[sa[o]], _window_hash(raw, length, _P2, 32)[sa[o]]
-        to = (a >> np.uint64(65 - slices.bit_length())).astype(np.int64)
-        o2 = np.argsort(to, kind="stable")
+        to = (_window_hash(raw, length, _P1, 31)[sa[o]] >> np.uint64(65 - slices.bit_length())).astype(np.int64)
+        o2 = np.argsort(to, kind="stable")  # the order of strings stays within a slice
         at = np.searchsorted(to[o2], np.arange(slices + 1))
-        packed = [np.stack([a[x].view(np.int64), b[x].view(np.int64), key[o][x], start[o][x]]).tobytes() for i in range(slices) for x in [o2[at[i] : at[i + 1]]]]
-        return pa.table({"slice": np.arange(slices), "strings": pa.array(packed, pa.binary())})
+        packed = []
+        for i in range(slices):
+            x = o[o2[at[i] : at[i + 1]]]
+            strings = raw[sa[x][:, None] + np.arange(length)]
+            packed.append(np.stack([key[x], start[x]]).tobytes() + zlib.compress(strings.tobytes(), 1))
+        return pa.table({"slice": np.arange(slices), "n": np.diff(at), "strings": pa.array(packed, pa.binary())})
 
     def merge(table: pa.Table) -> pa.Table:
         """Strings of sub-shards looked up among the earliest ones of all."""
-        lists_ = [np.frombuffer(x, np.int64).reshape(4, -1) for x in table.column("strings").to_pylist()]
-        a, b, key, start = np.concatenate(lists_, axis=1)
-        order = np.lexsort((start, key, b, a))
-        a, b, key, start = a[order], b[order], key[order], start[order]
-        lead = np.ones(len(a), bool)
-        lead[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        name = np.rec.fromarrays([a[lead], b[lead]])
+        lists_ = []
+        for n_, x in zip(table.column("n").to_pylist(), table.column("strings").to_pylist(), strict=True):
+            lists_.append((np.frombuffer(zlib.decompress(x[16 * n_ :]), f"S{length}", n_), *np.frombuffer(x, np.int64, 2 * n_).reshape(2, -1)))
+        string, key, start = (np.concatenate(x) for x in zip(*lists_, strict=True))
+        order = np.lexsort((start, key, string))
+        string, key, start = string[order], key[order], start[order]
+        lead = np.ones(len(string), bool)
+        lead[1:] = string[1:] != string[:-1]
+        string, key, start = string[lead], key[lead], start[lead]  # the earliest of each
         out_key, out_start = [], []
-        for x in lists_:
-            at = np.searchsorted(name, np.rec.fromarrays([x[0], x[1]]))
-            late = (key[lead][at] != x[2]) | (start[lead][at] != x[3])
-            out_key.append(x[2][late])
-            out_start.append(x[3][late])
+        for x, own_key, own_start in lists_:
+            at = np.searchsorted(string, x)
+            late = (key[at] != own_key) | (start[at] != own_start)
+            out_key.append(own_key[late])
+            out_start.append(own_start[late])
         return _spans(np.concatenate(out_key), np.concatenate(out_start), length)
 
-    hot_lists = pieces.where("shard < 0").groupBy("shard").applyInArrow(lists, "slice long, strings binary")
+    hot_lists = pieces.where("shard < 0").groupBy("shard").applyInArrow(lists, "slice long, n long, strings binary")
     return spans.unionByName(hot_lists.groupBy("slice").applyInArrow(merge, "key long, start long, stop long"))
 
 
@@ -473,9 +483,10 @@ def dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col:
         })
 
     batch = F.pmod(F.xxhash64("key"), F.lit(n))
-    work = rows_by_ids(own, touched, "key", "left_semi").select("key", "doc_id", "t", batch.alias("batch")).groupBy("batch")
+    work = rows_by_ids(own, touched, "key", "left_semi").select("key", "doc_id", "t", batch.alias("batch"))
     ddl = f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    done = work.cogroup(spans.select("*", batch.alias("batch")).groupBy("batch")).applyInArrow(strip, ddl)
+    parts = max(1, n // PER_PART)
+    done = work.repartition(parts, "batch").groupBy("batch").cogroup(spans.select("*", batch.alias("batch")).repartition(parts, "batch").groupBy("batch")).applyInArrow(strip, ddl)
 
     def whole(df: DataFrame, copies: bool) -> DataFrame:
         n_bytes = F.octet_length("t").cast("long")
