@@ -169,14 +169,14 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def good_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs``, all columns, that :func:`judge` keeps.
 
-    The verdict is taken in the row itself, so repeated or null ids are no matter and no text
-    is shuffled: the model is fitted first, then applied to the counts of each row.
+    Counts and rows are written together once: the model is fitted on the votes, then the verdict
+    is read beside each row, so repeated or null ids are no matter and no text is shuffled.
+    Null texts count as empty and go; equal texts stay or go together; an empty table gives an
+    empty one.
     """
-    model = fit_on(counts(docs, id_col, text_col).selectExpr(*_votes()))
     failed = f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words"
-    rows = counts(docs, id_col, text_col, keep_row=True).selectExpr("*", *_votes())
-    good = F.expr(f"not ({failed}) and 1 / (1 + exp(-({model.logit_sql()}))) >= 0.5")
-    # A condition on the counts would be pushed down and work them out many times over; whether
-    # a generated row is there can't be.
-    kept = rows.select(F.explode_outer(F.when(good, F.array("doc_id"))).alias("row_"))
-    return kept.where("row_ is not null").select("row_.*")
+    seen = counts(docs, id_col, text_col, keep_row=True).selectExpr("doc_id as row_", f"({failed}) as failed_", *_votes())
+    seen = to_table(seen, "quality-rows")
+    model = fit_on(seen)
+    kept = seen.where(F.expr(f"not failed_ and 1 / (1 + exp(-({model.logit_sql()}))) >= 0.5"))
+    return kept.select(*[F.col(f"row_.`{c}`") for c in docs.columns])
