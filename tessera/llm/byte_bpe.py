@@ -19,7 +19,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -187,6 +186,8 @@ class Codec:
 
     def __init__(self, ranks: bytes, pattern: str) -> None:
         self.vocabulary = Vocabulary(ranks)
+        import regex
+
         self.pieces = regex.compile(pattern).findall
         self.known: dict[str, tuple[int, ...]] = {}
 

@@ -1,4 +1,8 @@
-"""The numbered queries over the shared tables, with their SQL where SQL can say them."""
+"""The numbered queries over the shared tables, with their SQL where SQL can say them.
+
+Each gives one row for each row of its table (op1: for each copy drawn), an empty table for an
+empty one; other columns are not looked at but for op1, which carries them along.
+"""
 
 from __future__ import annotations
 
@@ -16,30 +20,37 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as often as drawn, with copy_no and mix_key, in a random order; a null source is one of its own, a null text one character."""
     return source_mix.mix(_documents(spark, sf_dir))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, posterior and verdict of each document; a null text has no words and fails, equal texts fare alike."""
     return quality_rules.judge(_documents(spark, sf_dir))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base phrases and labels of each document; a null text has no words and no labels, first_word and last_word are then null."""
     return license_scan.scan(_documents(spark, sf_dir)).drop("detections")
 
 
 def op4_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of each document; null and blank texts are classes of their own, equal words are one class, null ids come last."""
     return dart_minhash.classes(_documents(spark, sf_dir))
 
 
 def op5_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for each document; null labels teach nothing, a null text has a score like an empty one."""
     return pairwise_quality.classify(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, digest and spans of each document; a null text holds none, repeated rows have the same ones."""
     return secret_scan.report(_documents(spark, sf_dir))
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of each document and the digest of the bytes that they decode to; a null text has no ids."""
     import public_tokenizers
 
     ranks = byte_bpe.read_ranks(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -47,15 +58,18 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes removed from each document; a null text has none, equal rows are one document, null ids come last."""
     return suffix_dedup.dedup(_documents(spark, sf_dir)).drop("kept")
 
 
 def op9_pq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of each vector; vectors that are null, zero or not finite, and those without a label, stand alone."""
     ship_package(spark)
     return pq_dedup.classes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
 def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of each document; a null text is an end alone, repeated rows are learned as often as they stand there."""
     return class_lm.score(_documents(spark, sf_dir))
 
 
