@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import to_table
+from ..tables import drop_tables, to_table
 
 #: Up to so many sources their rates are broadcast; beyond, they are joined by source.
 BROADCAST_SOURCES = 10_000
@@ -81,6 +81,7 @@ def mix(
     names = [f"{c}_in" if c in ("copy_no", "mix_key") else c for c in docs.columns]
     by_source = to_table(sizes(docs, source_col, text_col), "mix-sizes")
     table = to_table(rates(by_source, weights, alpha, epochs).where("rate > 0"), "mix-rates")
+    drop_tables(by_source)
     few = table.count() <= BROADCAST_SOURCES
     table = table.select(F.col("source").alias("mix_source"), F.col("rate").alias("mix_rate"))
     d = docs.toDF(*names)

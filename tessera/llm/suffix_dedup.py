@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from ..tables import to_table
+from ..tables import drop_tables, to_table
 from .shared import rows_by_ids
 
 #: Bytes of an anchor's gram.
@@ -288,14 +288,14 @@ def _spans(key: np.ndarray, start: np.ndarray, length: int) -> pa.Table:
 
 
 def removed(docs: DataFrame, length: int, spread: int = SPREAD) -> DataFrame:
-    """``(key, start, stop)``: stretches of ``docs(key, t)`` to be removed, not yet joined.
+    """``(key, start, stop)``, a table: stretches of ``docs(key, t)`` to be removed, not yet joined.
 
     ``key`` is a long and tells documents apart and orders them.
     """
     size = docs.agg(F.sum(F.octet_length("t").cast("long")).alias("n")).first()["n"] or 0
     n = max(1, -(-size // BATCH_BYTES))
     slices = 1 << max(2, (n // 2).bit_length())
-    found = to_table(_gather(docs, slices, length).groupBy("slice").applyInArrow(lambda t: _repeated(t), "key long, pos long, anchor long"), "suffix-anchors")
+    found = gathered = to_table(_gather(docs, slices, length).groupBy("slice").applyInArrow(lambda t: _repeated(t), "key long, pos long, anchor long"), "suffix-anchors")
     ids = to_table(found.select(F.col("key").alias("id_")).distinct(), "suffix-keys")
     texts = to_table(rows_by_ids(docs.select("key", "t"), ids, "key", "left_semi").withColumn("batch", F.pmod(F.xxhash64("key"), F.lit(n))), "suffix-texts")
     hot = to_table(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > spread), "suffix-hot")
@@ -377,7 +377,9 @@ def removed(docs: DataFrame, length: int, spread: int = SPREAD) -> DataFrame:
 
     spans = pieces.repartition(max(1, shards // PER_PART), "shard").groupBy("shard").applyInArrow(sort, "key long, start long, stop long")
     if not n_hot:
-        return spans
+        out = to_table(spans, "suffix-spans")
+        drop_tables(gathered, ids, texts, hot)
+        return out
 
     def lists(table: pa.Table) -> pa.Table:
         """Earliest place of each distinct string of a sub-shard, by slices of the string's hash."""
@@ -417,7 +419,9 @@ def removed(docs: DataFrame, length: int, spread: int = SPREAD) -> DataFrame:
         return _spans(np.concatenate(out_key), np.concatenate(out_start), length)
 
     hot_lists = pieces.where("shard < 0").groupBy("shard").applyInArrow(lists, "slice long, n long, strings binary")
-    return spans.unionByName(hot_lists.groupBy("slice").applyInArrow(merge, "key long, start long, stop long"))
+    out = to_table(spans.unionByName(hot_lists.groupBy("slice").applyInArrow(merge, "key long, start long, stop long")), "suffix-spans")
+    drop_tables(gathered, ids, texts, hot, pieces)
+    return out
 
 
 def dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", spread: int = SPREAD) -> DataFrame:
@@ -446,7 +450,7 @@ def dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col:
     lead = keyed.groupBy("md5").agg(F.min("key").alias("lead"), F.count(F.lit(1)).alias("k")).where("k > 1")
     later = to_table(keyed.join(lead, "md5").where("key > lead").select(F.col("key").alias("id_")), "suffix-copies")
     own = rows_by_ids(d, later, "key", "left_anti")
-    spans = to_table(removed(own, length, spread), "suffix-spans")
+    spans = removed(own, length, spread)
     touched = to_table(spans.select(F.col("key").alias("id_")).distinct(), "suffix-touched")
     size = keyed.agg(F.sum("n")).first()[0] or 0
     n = max(1, -(-size // BATCH_BYTES))
