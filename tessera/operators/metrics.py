@@ -177,12 +177,32 @@ def total_loss(gene: Column, neighbor: Column, contrast: Column, structure: Colu
     return gene + F.lit(w_neighbor) * neighbor + F.lit(w_contrast) * contrast + F.lit(w_structure) * structure
 
 
-def cosine_schedule(steps: DataFrame, total: int, warmup: int, floor: float = 0.0) -> DataFrame:
-    """``(step, factor)``: linear warm-up, then half a cosine down to ``floor``."""
+def structure_loss(rows: DataFrame, logits: str = "logits", label: str = "label") -> DataFrame:
+    """One row: mean cross entropy of the label (its place among the logits, from 0); rows without a label or logits don't count; 0 if none does."""
+    top = F.array_max(logits)
+    spread = F.log(F.aggregate(F.transform(logits, lambda v: F.exp(v.cast("double") - top)), F.lit(0.0), lambda a, v: a + v))
+    return rows.agg(F.coalesce(F.avg(top + spread - F.get(logits, F.col(label))), F.lit(0.0)).alias("structure_loss"))
+
+
+def cosine_schedule(steps: DataFrame, total: int, warmup: int, least: float = 1e-8) -> DataFrame:
+    """``(step, factor)``, steps from 0: linear warm-up, then half a cosine down to ``least``; 1 after a warm-up that takes all steps."""
+    now = F.col("step").cast("double") + 1
+    done = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (now - warmup) / max(1, total - warmup)))
+    down = F.greatest(F.lit(least), 0.5 * (1 + F.cos(F.lit(math.pi) * done))) if total > warmup else F.lit(1.0)
+    return steps.select("step", F.when(now <= warmup, F.greatest(F.lit(least), now / max(1, warmup))).otherwise(down).alias("factor"))
+
+
+def one_cycle_schedule(steps: DataFrame, total: int, warmup: int, start: float = 1 / 25, end: float = 1 / 250_000) -> DataFrame:
+    """``(step, factor)``, steps from 0: half a cosine from ``start`` up to 1, then one down to ``end`` at the last step.
+
+    The way up takes the warm-up's share of all steps, between 1 and 95 in a hundred.
+    """
+    peak = min(0.95, max(0.01, warmup / max(1, total))) * total - 1
     s = F.col("step").cast("double")
-    done = F.least(F.lit(1.0), (s - warmup) / max(1, total - warmup))
-    down = F.lit(floor) + (1 - floor) * 0.5 * (1 + F.cos(F.lit(math.pi) * done))
-    return steps.select("step", F.when(F.col("step") < warmup, (s + 1) / max(1, warmup)).otherwise(down).alias("factor"))
+    curve = lambda a, b, part: F.lit(b) + F.lit((a - b) / 2) * (1 + F.cos(F.lit(math.pi) * part))
+    up = curve(start, 1.0, s / peak) if peak > 0 else F.lit(1.0)
+    last = total - 1 - peak
+    return steps.select("step", F.when(s <= peak, up).otherwise(curve(1.0, end, (s - peak) / last) if last > 0 else F.lit(1.0)).alias("factor"))
 
 
 def warmup_weight(step: Column, target: float, warmup: int) -> Column:

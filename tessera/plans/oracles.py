@@ -172,7 +172,9 @@ select id::bigint as id, case when d is not null and not isnan(d) and abs(d) < 9
 c as (select scope, id, ln(sum(exp(ab - own))) as x, ln(sum(exp(ba - own))) as y from s group by all) select scope, count(*) as n, round(avg((x + y) / 2), 6) as loss from c group by 1"""
     out["masked_mse_zero"] = f"with {PRED} select round(mse, 4) as masked_mse from g where split = 'overall'"
     out["loss_total"] = "select l_orderkey, l_linenumber, round(l_quantity + 0.5::double * l_discount + 0.25::double * l_tax + 0.001::double * l_extendedprice, 6) as total from lineitem"
-    out["lr_cosine"] = "select range as step, round(case when range < 20 then (range + 1) / 20 else 0.1::double + 0.9::double * 0.5 * (1 + cos(pi() * least(1.0, (range - 20) / 180))) end, 9) as factor from range(200)"
+    out["lr_cosine"] = "select range as step, round(case when range + 1 <= 20 then (range + 1) / 20 else greatest(1e-8, 0.5 * (1 + cos(pi() * (range + 1 - 20) / 180))) end, 9) as factor from range(200)"
+    out["lr_one_cycle"] = """select range as step, round(case when range <= 19 then 1 + (0.04::double - 1) / 2 * (1 + cos(pi() * range / 19)) else 0.000004::double + (1 - 0.000004::double) / 2 * (1 + cos(pi() * (range - 19) / 180)) end, 9) as factor from range(200)"""
+    out["structure_loss"] = "with l as (select embedding[1:10]::double[] as x, label from embeddings) select round(avg(ln(list_sum(list_transform(x, lambda v: exp(v)))) - x[label + 1]), 7) as structure_loss from l"
     out["loss_warmup"] = "select range as step, round(0.3::double * least(1.0, range / 20), 9) as weight from range(50)"
     brands = [f"Brand#{i}" for i in range(1, 26)]
     out["gene_widening"] = f"with {VALUES}, s as (select region_id, count(*) as n_cells from cells group by 1) select region_id, n_cells, " + ", ".join(f"coalesce(max(value) filter (gene = '{g}'), 0) as \"gene_{g}\"" for g in brands) + " from s left join vals using (region_id) group by all"

@@ -431,7 +431,16 @@ def loss_total(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lr_cosine(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.cosine_schedule(spark.range(200).select(F.col("id").alias("step")), 200, 20, 0.1).select("step", F.round("factor", 9).alias("factor"))
+    return metrics.cosine_schedule(spark.range(200).select(F.col("id").alias("step")), 200, 20).select("step", F.round("factor", 9).alias("factor"))
+
+
+def lr_one_cycle(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.one_cycle_schedule(spark.range(200).select(F.col("id").alias("step")), 200, 20).select("step", F.round("factor", 9).alias("factor"))
+
+
+def structure_loss(spark: SparkSession, d: str) -> DataFrame:
+    e = _read(spark, d, "embeddings").select(F.slice(F.col("embedding").cast("array<double>"), 1, 10).alias("logits"), "label")
+    return metrics.structure_loss(e).select(F.round("structure_loss", 7).alias("structure_loss"))
 
 
 def loss_warmup(spark: SparkSession, d: str) -> DataFrame:
@@ -462,7 +471,7 @@ NAMES = [
     "spatial_knn", "neighbor_mean_expression", "global_rank", "rank_bins", "spatial_blocks", "block_splits", "group_holdout", "leaking_groups", "label_codes", "unique_names",
     "expression_bins", "coord_zscore", "cell_sample", "gene_selection", "mask_selection", "region_batches", "corpus_union", "manifest_coalesce", "manifest_json",
     "null_like_clean", "id_normalise", "contrastive_loss", "masked_mse_zero", "loss_total", "lr_cosine", "loss_warmup", "linear_embed", "gene_widening", "synthetic_case",
-    "case_metrics", "verdict_rules", "manifest_domains", "patch_provenance", "cell_flags", "image_manifest", "manifest_records", "gene_selection_filled", "batch_cells", "region_items", "validation_mean",
+    "case_metrics", "verdict_rules", "manifest_domains", "patch_provenance", "cell_flags", "image_manifest", "manifest_records", "gene_selection_filled", "batch_cells", "lr_one_cycle", "structure_loss", "region_items", "validation_mean",
 ]
 
 
