@@ -135,7 +135,7 @@ def describe(spark: SparkSession, case: Case, cfg: Config, output: str | None =
         "region_id_key": d.region_key, "structure_key": d.structure_key, "include_structure_context": d.structure_context,
         "split": {
             "strategy": cfg.split.strategy, "group_key": cfg.split.group, "train_fraction": cfg.split.train, "val_fraction": cfg.split.val,
-            "test_fraction": round(1 - cfg.split.train - cfg.split.val, 12), "seed": S.split_seed(cfg.split.seed, cfg.training.seed, d.seed),
+            "test_fraction": cfg.split.test, "seed": S.split_seed(cfg.split.seed, cfg.training.seed, d.seed),
         },
     }
     return case_manifest(case.cells, case.regions, case.members, case.genes, case.expr, case.patches, case.images, panel, about, R.METADATA, d.min_cells, d.gene_name)

@@ -31,7 +31,7 @@ class DataConfig:
     batch_id: str | None = None
     stain: str | None = None
     scanner: str | None = None
-    structure_context: bool = True
+    structure_context: bool = False
     seed: int = 0
     n_cells: int = 24
     n_genes: int = 48
@@ -41,22 +41,36 @@ class DataConfig:
 
 @dataclass(frozen=True)
 class ModelConfig:
-    size: int = 16
-    bins: int = 8
-    max_genes: int = 64
+    size: int = 128
+    layers: int = 2
+    bins: int = 51
+    max_genes: int = 1200
+    max_cells: int = 64
+    use_expression: bool = True
     use_image: bool = True
     use_spatial: bool = True
-    use_context: bool = True
+    use_structure: bool = True
+    use_cells: bool = True
 
 
 @dataclass(frozen=True)
 class TrainingConfig:
     seed: int = 0
     mask: float = 0.15
+    neighborhood_k: int = 8
     image_gene_weight: float = 0.1
-    neighborhood_weight: float = 0.1
+    neighborhood_weight: float = 0.25
     structure_weight: float = 0.1
+    image_gene_warmup: int = 0
+    neighborhood_warmup: int = 0
+    structure_warmup: int = 0
+    #: "none", "cosine" or "onecycle"
+    schedule: str = "none"
+    max_steps: int = 1000
     warmup_steps: int = 0
+    device: str = "auto"
+    workers: int = 0
+    ablation: str | None = None
 
 
 @dataclass(frozen=True)
@@ -65,8 +79,13 @@ class SplitConfig:
     group: str | None = None
     train: float = 0.7
     val: float = 0.15
+    test: float = 0.15
     seed: int | None = None
 
+    def __post_init__(self) -> None:
+        if abs(self.train + self.val + self.test - 1) > 1e-6 or self.train <= 0 or min(self.val, self.test) < 0:
+            raise ValueError("shares of the splits must add up to 1, with some to train on")
+
 
 @dataclass(frozen=True)
 class Config:
@@ -118,23 +137,42 @@ def from_file(path: str, preset: str | None = None) -> Config:
 
 
 def with_preset(cfg: Config, name: str) -> Config:
-    sizes = {"smoke": {"size": 8, "max_genes": 32}, "large": {"size": 256, "max_genes": 1200, "bins": 32}}
-    if name not in sizes:
-        raise ValueError(f"unknown preset {name!r}")
-    return replace(cfg, model=replace(cfg.model, **sizes[name]))
-
-
-def with_ablation(cfg: Config, mode: str) -> Config:
+    """``smoke`` makes a run small and local, ``pdc`` asks for a GPU and two workers at least."""
     model, training = cfg.model, cfg.training
-    changes = {
-        "full": (model, training),
-        "no_image": (replace(model, use_image=False), replace(training, image_gene_weight=0.0)),
-        "no_spatial": (replace(model, use_spatial=False), training),
-        "no_context": (replace(model, use_context=False), replace(training, structure_weight=0.0)),
-        "no_neighborhood": (model, replace(training, neighborhood_weight=0.0)),
-        "gene_only": (replace(model, use_image=False, use_spatial=False, use_context=False), replace(training, image_gene_weight=0.0, neighborhood_weight=0.0, structure_weight=0.0)),
-    }
-    if mode not in changes:
+    if name == "smoke":
+        model = replace(model, size=min(model.size, 64), layers=min(model.layers, 2))
+        training = replace(training, device="cpu", workers=0, max_steps=min(training.max_steps, 2))
+    elif name == "pdc":
+        training = replace(training, device="cuda", workers=max(training.workers, 2))
+    else:
+        raise ValueError(f"unknown preset {name!r}")
+    return replace(cfg, model=model, training=training)
+
+
+# What a model sees in each ablation.
+ABLATIONS: dict[str, tuple[str, ...]] = {
+    "full": ("expression", "image", "spatial", "structure", "cells"),
+    "gene_only": ("expression",),
+    "image_only": ("image",),
+    "spatial_only": ("spatial",),
+    "image_gene": ("expression", "image"),
+    "image_gene_spatial": ("expression", "image", "spatial"),
+}
+
+
+def with_ablation(cfg: Config, mode: str | None) -> Config:
+    """The parts that a mode leaves out are switched off, and with them the losses that need them.
+
+    Images are matched with genes where both are there; neighbours need places too; structures count
+    only where they are seen.
+    """
+    if mode is None:
+        return cfg
+    name = mode.strip().lower()
+    if name not in ABLATIONS:
         raise ValueError(f"unknown ablation {mode!r}")
-    m, t = changes[mode]
-    return replace(cfg, model=m, training=t)
+    seen = set(ABLATIONS[name])
+    model = replace(cfg.model, **{f"use_{part}": part in seen for part in ABLATIONS["full"]})
+    needs = {"image_gene_weight": {"expression", "image"}, "neighborhood_weight": {"expression", "image", "spatial"}, "structure_weight": {"structure"}}
+    off = {weight: 0.0 for weight, parts in needs.items() if not parts <= seen}
+    return replace(cfg, model=model, training=replace(cfg.training, ablation=name, **off))

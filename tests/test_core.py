@@ -166,7 +166,7 @@ def test_verdict_rules(spark):
     assert (m["n_cells"], m["n_regions"], m["n_genes"], m["patch_count"], m["has_spatial"], m["cell_assignment_coverage"]) == (18, 12, 24, 0, True, 1.0)
     assert m["structure_counts"] == {"0": 4, "1": 4, "2": 4} and m["split"]["seed"] == 13 and m["spatial_bounds"]["x_min"] is not None
     fired = lambda m, context=True: {rule for rule, _, hit, _ in quality.verdict_rules(m, context) if hit}
-    assert fired(m) == {"no_patches"}
+    assert fired(m) == {"no_patches"} and not cfg.data.structure_context
     report = quality.verdict(m)
     assert report["status"] == "pass" and len(report["warnings"]) == 1 and not report["fatal_errors"]
     few = {"panel": m["panel"] | {"configured": True, "n_missing": 1, "n_outside": 3}, "duplicate_gene_count": 2, "structure_assignment_coverage": 0.94, "patch_count": 1, "region_image_coverage": 0.5, "missing_image_count": 1}
@@ -347,7 +347,18 @@ def test_config(monkeypatch):
     assert config.from_mapping({"data": {"root": "$SOME_ROOT/c", "patches": "$NOT_SET_X/g"}}).data == config.DataConfig(root="/data/c", patches=None)
     with pytest.raises(ValueError, match="unknown keys"):
         config.from_mapping({"data": {"cell": 1}})
-    assert not config.with_ablation(config.Config(), "no_image").model.use_image
+    weights = {m: tuple(w > 0 for w in (t.image_gene_weight, t.neighborhood_weight, t.structure_weight)) for m in config.ABLATIONS for t in [config.with_ablation(config.Config(), m).training]}
+    none = (False, False, False)
+    assert weights == {"full": (True, True, True), "gene_only": none, "image_only": none, "spatial_only": none, "image_gene": (True, False, False), "image_gene_spatial": (True, True, False)}
+    m = config.with_ablation(config.Config(), " Image_Gene ").model
+    assert (m.use_expression, m.use_image, m.use_spatial, m.use_structure, m.use_cells) == (True, True, False, False, False)
+    small = config.from_mapping({"case_name": "x", "training": {"workers": 4}}, "smoke")
+    assert (small.case_name, small.model.size, small.training.max_steps, small.training.workers) == ("x", 64, 2, 0)
+    for bad in ({"split": {"train": 0.9}}, {"split": {"train": 0.0, "val": 0.5, "test": 0.5}}):
+        with pytest.raises(ValueError, match="shares"):
+            config.from_mapping(bad)
+    with pytest.raises(ValueError, match="ablation"):
+        config.with_ablation(config.Config(), "no_image")
 
 
 def test_widening(spark):
