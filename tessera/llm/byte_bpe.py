@@ -22,12 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import words as W
+
 #: Longest piece, in bytes, whose tree is stacked with others.
 STACKED = 64
 #: Pieces whose ids a Python worker remembers, and the longest such piece in characters; a
 #: piece that is forgotten or never kept is encoded again when it comes up.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 LONGEST_REMEMBERED = 64
+#: Bytes of text that are encoded together.
+AT_ONCE = 1_000_000
 #: Pieces encoded in one stack.
 STACK = 20_000
 NONE = np.int64(1) << 40
@@ -223,18 +227,6 @@ def _codec(ranks: bytes, pattern: str) -> Codec:
     return _codecs[key]
 
 
-def _slices(texts: list[str], most: int = 1_000_000) -> Iterator[list[str]]:
-    part, size = [], 0
-    for t in texts:
-        part.append(t)
-        size += len(t)
-        if size >= most:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
-
-
 def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, ``ids`` and ``decoded`` (the bytes of these ids).
 
@@ -247,14 +239,11 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(ranks, pattern)
         for batch in batches:
-            at = 0
-            for texts in _slices(batch.column(1).to_pylist()):
-                ids = codec.encode(texts)
+            for part in W.chunks(batch, 1, AT_ONCE):
+                ids = codec.encode(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(texts)), pa.array(ids, pa.list_(pa.int32())), pa.array(map(codec.decode, ids), pa.binary())],
-                    names=["doc_id", "ids", "decoded"],
+                    [part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(map(codec.decode, ids), pa.binary())], names=["doc_id", "ids", "decoded"],
                 )
-                at += len(texts)
 
     return d.mapInArrow(run, schema)
 
