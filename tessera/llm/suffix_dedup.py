@@ -37,7 +37,7 @@ GATHER = 1_000_000
 BATCH_BYTES = 4_000_000
 SHARD_BYTES = 1_000_000
 #: Segments of an anchor beyond which it is spread over sub-shards of about this many.
-SPREAD = 5_000
+SPREAD = 20_000
 #: Batches or shards of a partition, on average.
 PER_PART = 2
 _P1 = 0xD6E8FEB86659FD93
