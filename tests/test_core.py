@@ -311,7 +311,7 @@ def test_running_total_over_ranges(spark, monkeypatch):
         total += r.n
 
 
-def test_evaluation_tables(spark):
+def test_evaluation_tables(spark, tmp_path):
     rng = np.random.default_rng(5)
     unit = lambda: (lambda v: (v / np.linalg.norm(v)).tolist())(rng.normal(size=4))
     rows = spark.createDataFrame([(i, "train" if i % 3 else "test", unit(), unit(), unit(), f"l{i % 2}", "one", f"s{i % 4}") for i in range(24)], "id long, split string, vec array<double>, a array<double>, b array<double>, structure_label string, cluster string, slide_id string")
@@ -322,6 +322,9 @@ def test_evaluation_tables(spark):
     assert {r.label_column for r in tables["embedding_qc"].collect()} == {"structure_label"} and {r.batch_column for r in tables["batch_mixing_metrics"].collect()} == {"slide_id"}
     assert [r.scope for r in tables["retrieval_metrics"].collect()] == ["overall"] * 2 + ["test"] * 2 + ["train"] * 2
     assert p["overall_prediction_summary"]["n_masked_values"] == 2 and len(p["overall_label_retrieval_metrics"]) == 2 and p["n_embedding_qc_rows"] == 3 and p["case_name"] == "c"
+    writers.write_evaluation(spark, tables, p, str(tmp_path))
+    assert writers.read_json(spark, f"{tmp_path}/evaluation_metrics.json")["n_retrieval_metrics_rows"] == 6
+    assert readers.read_table(spark, f"{tmp_path}/failure_analysis.csv").where("metric = 'n_regions'").count() == 3
     flags = export.cell_flags(spark.createDataFrame([("a",), ("b",)], "cell_id string"), spark.createDataFrame([("a", "i"), ("b", "gone")], "cell_id string, image_path string"), spark.createDataFrame([("i",)], "image_path string"))
     assert {tuple(r) for r in flags.collect()} == {("a", "ok"), ("b", "no_image")}
     assert metrics.validation_mean(spark.createDataFrame([(1.0, 2.0), (3.0, 4.0)], "b double, a double")).first().asDict() == {"val_a": 3.0, "val_b": 2.0}
