@@ -11,11 +11,15 @@ from pyspark.sql import functions as F
 
 from ..tables import drop_tables, to_table
 
+#: Rows that travel to and from Python together, where the session leaves it at Spark's default: texts are long.
+BATCH_ROWS, _ROWS = "1000", "spark.sql.execution.arrow.maxRecordsPerBatch"
 _shipped: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Give this package to the executors, once an application, should they not have it."""
+    """Give this package to the executors, once an application, should they not have it; keep Arrow batches small."""
+    if spark.conf.get(_ROWS, "10000") == "10000":
+        spark.conf.set(_ROWS, BATCH_ROWS)
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         top = Path(__file__).resolve().parents[1]
