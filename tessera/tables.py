@@ -29,15 +29,32 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one; it goes with what is written there when the application ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    fs, where = _file_system(spark, path)
+    fs.mkdirs(where)
+    fs.deleteOnExit(where)
+    return path
+
+
 def to_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 
     This cuts lineage: a lost executor costs only the stage that was running, and loops don't
-    grow their plans.  ``drop_tables`` removes tables that nothing reads any more.
+    grow their plans.  ``drop_tables`` removes tables that nothing reads any more; what is left goes
+    when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    fs, where = _file_system(spark, path)
+    fs.deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out._table_path = path
     return out
@@ -48,6 +65,6 @@ def drop_tables(*tables: DataFrame) -> None:
     for df in tables:
         path = df.__dict__.pop("_table_path", None)
         if path is not None:
-            spark = df.sparkSession
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            fs, where = _file_system(df.sparkSession, path)
+            fs.delete(where, True)
+            fs.cancelDeleteOnExit(where)
