@@ -9,8 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, class_lm, dart_minhash, license_scan, oracles, pairwise_quality, pq_dedup, quality_rules, secret_scan, source_mix, suffix_dedup
+from . import (
+    audit_oracles, byte_bpe, class_lm, dart_minhash, divergence, license_scan, merkle, oracles, pairwise_quality, pq_dedup, quality_rules, secret_scan, source_mix,
+    stratified_shards, suffix_dedup,
+)
 from .shared import ship_package
 
 
@@ -73,6 +77,23 @@ def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_lm.score(_documents(spark, sf_dir))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of each document; nulls are part of the leaf, a null source is a group, null ids come first."""
+    return merkle.manifest(_documents(spark, sf_dir))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of sources and the terms that set each apart; null text, lang and source are ''."""
+    return divergence.audit(_documents(spark, sf_dir))
+
+
+def op13_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of each document by the law of equal counts; a null text has no bytes, a null source is one."""
+    rows = stratified_shards.shards(_documents(spark, sf_dir))
+    law, grown = F.lit("rows").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return rows.select(F.col("id").alias("doc_id"), "size", "text_crc32", law, "shard", "slot", grown)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_source_mix": op1_source_mix,
@@ -85,6 +106,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_pq_dedup": op9_pq_dedup,
         "op10_class_lm": op10_class_lm,
+        "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_source_divergence": op12_source_divergence,
+        "op13_stratified_shards": op13_stratified_shards,
     }
 
 
@@ -96,4 +120,7 @@ def oracle_sql() -> dict[str, str]:
         "op3_license_scan": oracles.license_scan_sql(),
         "op4_dart_minhash": oracles.dart_minhash_sql(),
         "op6_secret_scan": oracles.secret_scan_sql(),
+        "op11_merkle_manifest": audit_oracles.merkle_sql(),
+        "op12_source_divergence": audit_oracles.divergence_sql(),
+        "op13_stratified_shards": audit_oracles.shards_sql(),
     }
