@@ -2,7 +2,7 @@
 
 A signature is (label, priority, expression).  Whole notices come before passages of licences,
 these before ways of naming one, and bare mentions come last; an expression begins with a
-word that is rare in prose, and none is longer than 24 words.
+word that is rare in prose; any part that repeats has a bound.
 """
 
 from __future__ import annotations
@@ -51,7 +51,7 @@ PASSAGES: list[tuple[str, int, str]] = [
     ("bsd", 94, "redistributions of source code must retain the above copyright notice"),
     ("bsd", 94, "redistributions in binary form must reproduce the above copyright notice"),
     ("bsd", 94, "redistributions of any form whatsoever must retain the following acknowledge?ments?"),
-    ("bsd-3-clause", 94, "neither the name of .{1,80} nor the names of (?:its|any|other) contributors may be used to endorse or promote"),
+    ("bsd-3-clause", 94, "neither the name of .{1,200} nor the names of (?:its|any|other) contributors may be used to endorse or promote"),
     ("bsd-4-clause", 95, "advertising materials mentioning features or use of this software must display the following acknowledge?ments?"),
     ("bsd", 90, "(?:released|distributed|available|published|provided|covered) under (?:the )?(?:terms of )?(?:the |a )?(?:new |modified |simplified |revised )?bsd(?: style)? licen[cs]e"),
     ("bsd", 88, "bsd (?:style|like|type) licen[cs]e"),
@@ -171,6 +171,9 @@ PASSAGES: list[tuple[str, int, str]] = [
     ("proprietary", 85, "confidential and proprietary"),
     ("proprietary", 85, "end user licen[cs]e agreement"),
     ("proprietary", 60, "all rights reserved"),
+    ("gpl", 85, "gpl version [123]"),
+    ("lgpl", 85, "lgpl version [23]"),
+    ("agpl", 85, "agpl version [123]"),
     ("copyright", 45, "copyright(?: c)? (?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2})?"),
     ("copyright", 40, "copyright(?: c)? [0-9]{4}"),
     ("copyright", 40, "copyrighted (?:material|work)s?"),

@@ -1,7 +1,7 @@
 """Licence scans by ordered signature rules.
 
 A document is a list of words; a rule is a regular expression that must match from a given
-word on.  Three gates keep the rules cheap: a document is looked at only if it holds one of a
+word on; as many words are looked at as its rules can span.  Three gates keep the rules cheap: a document is looked at only if it holds one of a
 few keywords, a word only if some rule starts with it, and then just the rules of that word
 are tried.  Overlapping detections are resolved by order: one that lies inside another of
 higher priority (or the same priority and more words, or else the earlier rule) is dropped.
@@ -28,8 +28,6 @@ BASE = [("mit", ["mit", "license"]), ("apache", ["apache", "license"]), ("gpl",
 
 #: Least length of a gate; shorter ones stand in most texts.
 GATE_LENGTH = 5
-#: Words that a signature may span.
-REACH = 24
 
 
 def _heads(items, heads: set[str]) -> set[str]:
@@ -63,6 +61,33 @@ def _openings(expression: str) -> list[str]:
     return sorted(words)
 
 
+def _spaces(items) -> int:
+    """Spaces that a match of a parsed expression can hold; of any characters, every second one may be a space."""
+    n = 0
+    for op, arg in items:
+        if op is rc.LITERAL:
+            n += arg == 32
+        elif op is rc.SUBPATTERN:
+            n += _spaces(arg[-1])
+        elif op is rc.BRANCH:
+            n += max(_spaces(part) for part in arg[1])
+        elif op is rc.MAX_REPEAT:
+            _, most, what = arg
+            any_ = what[0][0] is rc.ANY
+            each = 1 if any_ else _spaces(what)
+            if each and most is rc.MAXREPEAT:
+                raise ValueError("a signature has no bound")
+            n += (most + 1) // 2 if any_ else most * each if each else 0
+        elif op is not rc.AT and (op is not rc.IN or not all(kind in (rc.LITERAL, rc.RANGE) and value != 32 for kind, value in arg)):
+            raise ValueError(f"spaces of {op} can't be counted")
+    return n
+
+
+def reach(expression: str) -> int:
+    """Words that a match of ``expression`` can span, with the one after it."""
+    return _spaces(rp.parse(expression)) + 1
+
+
 @cache
 def rules() -> list[tuple[int, str, str, int, str]]:
     """(number, opening word, label, priority, expression), ordered; a rule stands there once for each of its opening words."""
@@ -104,6 +129,14 @@ def _rule_map() -> Column:
     return F.expr("map(" + ", ".join(f"'{w}', array({', '.join(r)})" for w, r in by_word.items()) + ")")
 
 
+def _reach_map() -> Column:
+    """How many words the longest rule of each opening word can span."""
+    by_word: dict[str, int] = {}
+    for _, word, _, _, text in rules():
+        by_word[word] = max(by_word.get(word, 0), reach(text))
+    return F.expr("map(" + ", ".join(f"'{w}', {n}" for w, n in by_word.items()) + ")")
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: words, base phrases, labels, score and the detections.
 
@@ -136,7 +169,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         return out
 
     based = F.filter(F.transform("c", lambda c: F.struct(c["i"].alias("i"), base_label(c).alias("label"))), lambda c: c["label"].isNotNull())
-    context = F.transform("c", lambda c: F.struct(c["k"].alias("k"), c["i"].alias("i"), F.concat(F.array_join(F.slice("w", c["i"] + 1, REACH), " "), F.lit(" ")).alias("x")))
+    span = _reach_map()
+    context = F.transform("c", lambda c: F.struct(c["k"].alias("k"), c["i"].alias("i"), F.concat(F.array_join(F.slice("w", c["i"] + 1, F.coalesce(F.try_element_at(span, c["k"]), F.lit(0))), " "), F.lit(" ")).alias("x")))
     d = d.select("doc_id", "n_words", based.alias("b"), context.alias("c"))
     table = _rule_map()
 

@@ -71,7 +71,7 @@ def license_scan_sql() -> str:
 with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
 ws as (select r, doc_id, t, regexp_extract_all(translate(t, '{ls.UPPER}', '{ls.LOWER}'), '{word}') as w from d),
 pos as (select r, w, unnest(w) as a, generate_subscripts(w, 1) - 1 as i from ws),
-w4 as (select r, i, a, w[i + 2] as b, w[i + 3] as c, array_to_string(w[i + 1 : i + {ls.REACH}], ' ') || ' ' as x from pos where a in ({keys})),
+w4 as (select r, i, a, w[i + 2] as b, w[i + 3] as c, array_to_string(w[i + 1 :], ' ') || ' ' as x from pos where a in ({keys})),
 based as ({base}),
 rules(n, k, label, p, re) as (values {rules}),
 hits as (

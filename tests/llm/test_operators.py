@@ -195,7 +195,7 @@ def test_license_rules_under_each_opening(spark):
         hits = []
         for a in range(len(w)):
             for n, label, p, text in rules:
-                if m := text.match(" ".join(w[a : a + license_scan.REACH]) + " "):
+                if m := text.match(" ".join(w[a:]) + " "):
                     hits.append((a, a + len(m[1].split(" ")), p, n, label))
         kept = [x for x in hits if not any(y[0] <= x[0] and y[1] >= x[1] and (y[2], y[1] - y[0], -y[3]) > (x[2], x[1] - x[0], -x[3]) for y in hits)]
         assert hits and [(x.start, x.end, x.priority, x.label) for x in got[i].detections] == [(a, b, p, label) for a, b, p, _, label in sorted(kept)], t
@@ -205,6 +205,32 @@ def test_license_rules_under_each_opening(spark):
         license_scan._openings("[0-9]+ clause")
 
 
+#: Notices as they stand in files, with the label that tells which licence it is.
+NOTICES = {
+    "ncsa": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
+(the "Software"), to deal with the Software without restriction, including without limitation the rights to use, copy, modify""",
+    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
+(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify""",
+    "isc": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
+provided that the above copyright notice and this permission notice appear in all copies.""",
+    "zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any
+damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial
+applications, and to alter it and redistribute it freely, subject to the following restrictions:""",
+    "bsd-3-clause": """Neither the name of the Regents of the University of Somewhere With a Rather Long Name, its School of Applied and
+Theoretical Computer Science, nor the names of its contributors may be used to endorse or promote products derived from this software""",
+    "gpl": "you may copy it under the GPL, version 2",
+}
+
+
+def test_license_notices_of_any_length(spark):
+    got = by_id(license_scan.scan(spark.createDataFrame(list(enumerate(NOTICES.values())), "doc_id long, text string")))
+    assert [set(got[i].labels.split(",")) & {label} for i, label in enumerate(NOTICES)] == [{label} for label in NOTICES]
+    assert "mit" not in got[0].labels.split(",")  # the longer rule of the same words holds it
+    assert license_scan.reach("a(?: .{1,40} )?b c{0,2}(?:d e f|g)") == 1 + (1 + 20 + 1) + 1 + 2
+    with pytest.raises(ValueError):
+        license_scan.reach("a .* b")
+
+
 def test_darts_estimate_weighted_similarity():
     rng = np.random.default_rng(0)
     for weighted in (False, True):
