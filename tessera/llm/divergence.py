@@ -19,8 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..tables import to_table
-from .shared import is_small
+from .shared import is_small, to_table
 from .words import chunks
 
 #: Documents of its language that a term must be in.

@@ -17,8 +17,9 @@ from dataclasses import dataclass, field as made
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import new_folder, to_table
+from ..tables import new_folder
 from .ordering import placed
+from .shared import to_table
 
 FAN = 16
 #: The columns of a document that its leaf covers, in this order.

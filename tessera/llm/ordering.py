@@ -7,8 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..tables import drop_tables, to_table
-from .shared import is_small
+from ..tables import drop_tables
+from .shared import is_small, to_table
 
 #: Rows of a run on average, should the session's shuffle partitions not make them smaller.
 RUN_ROWS = 500_000

@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import drop_tables, to_table
-from .shared import connected_components
+from ..tables import drop_tables
+from .shared import connected_components, to_table
 
 #: Vectors that centroids and codewords are fitted on (the least by hash).
 SAMPLE = 16_384

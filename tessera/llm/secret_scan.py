@@ -19,8 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import to_table
-from .shared import is_small
+from .shared import is_small, to_table
 
 
 @dataclass(frozen=True)

@@ -9,17 +9,16 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..tables import drop_tables, to_table
+from .. import tables
+from ..tables import drop_tables
 
-#: Rows that travel to and from Python together, where the session leaves it at Spark's default: texts are long.
-BATCH_ROWS, _ROWS = "1000", "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows that travel to and from Python together while a table is written: texts are long.
+BATCH_ROWS, _ROWS = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 _shipped: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Give this package to the executors, once an application, should they not have it; keep Arrow batches small."""
-    if spark.conf.get(_ROWS, "10000") == "10000":
-        spark.conf.set(_ROWS, BATCH_ROWS)
+    """Give this package to the executors, once an application, should they not have it."""
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         top = Path(__file__).resolve().parents[1]
@@ -28,6 +27,18 @@ def ship_package(spark: SparkSession) -> None:
         _shipped.add(app)
 
 
+def to_table(df: DataFrame, name: str) -> DataFrame:
+    """``tables.to_table`` with small Arrow batches; the session's own size is put back."""
+    conf = df.sparkSession.conf
+    rows = conf.get(_ROWS, "10000")
+    try:
+        if not 0 < int(rows) <= BATCH_ROWS:
+            conf.set(_ROWS, str(BATCH_ROWS))
+        return tables.to_table(df, name)
+    finally:
+        conf.set(_ROWS, rows)
+
+
 #: Bytes of rows that are broadcast at most (they are measured first); more are joined by shuffle.
 BROADCAST_BYTES = 32_000_000
 #: What a row takes in a broadcast table besides its texts and binaries.

@@ -14,7 +14,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import drop_tables, to_table
+from ..tables import drop_tables
+from .shared import to_table
 
 #: Up to so many sources their rates are broadcast; beyond, they are joined by source.
 BROADCAST_SOURCES = 10_000

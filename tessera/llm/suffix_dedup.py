@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from ..tables import drop_tables, to_table
-from .shared import rows_by_ids
+from ..tables import drop_tables
+from .shared import rows_by_ids, to_table
 
 #: Bytes of an anchor's gram.
 GRAM = 40

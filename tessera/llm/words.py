@@ -9,13 +9,15 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text looked at together; a longer text is looked at by itself.
-CHUNK = 2_000_000
+CHUNK = 500_000
 _P = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
 _P_INV = pow(_P, -1, 1 << 64)
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _LOW = np.arange(256, dtype=np.uint8)
 _LOW[0x41:0x5B] += 0x20
+#: Powers of a base up to this number are kept in a Python worker, which serves many tasks.
+KEPT = 1 << 19
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -38,7 +40,9 @@ def powers(base: int, n: int) -> np.ndarray:
             out[at : 2 * at] = out[:at] * np.uint64(step)
             step = step * step & (1 << 64) - 1
             at *= 2
-        have = _powers[base] = out
+        have = out
+        if size <= KEPT:
+            _powers[base] = out
     return have[:n]
 
 
