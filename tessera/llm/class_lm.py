@@ -9,8 +9,8 @@ words, however large the corpus); every other known word then goes to the class
 likelihood gains most, by all its neighbours' classes.  Words not in the training part belong to
 the open class of their form, by last letter and length, for which known words of one occurrence
 stand in.  All counts are of the whole training part.  Word counts never meet in one place:
-they are made slice by slice of the hash range, and only the most frequent words of each slice
-reach the driver.  Documents are dealt into batches; the contexts of all other words are gathered
+they are made slice by slice of the hash range; the driver gets the words to be exchanged, chosen
+over all slices, and no others.  Documents are dealt into batches; the contexts of all other words are gathered
 by slice, where each gets its count and its class, and each batch gets back those of its own
 words together with its texts.
 """
@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from ..tables import drop_tables, to_table
+from ..tables import drop_tables
+from .shared import to_table
 
 SHARE = 4096
 #: So many words are exchanged at least, however flat the frequencies.
@@ -123,14 +124,17 @@ def _unpack(x: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _tops(table: pa.Table) -> pa.Table:
-    """For one slice of the hash range: its most frequent words (kind 0), and types and tokens of all its words (kind 1)."""
+    """For one slice of the hash range: its most frequent words, and a row with types and tokens of all its words."""
     h, n, f = (np.concatenate(x) for x in zip(*[_unpack(x) for x in table.column("words").to_pylist()], strict=True))
     order = np.argsort(h)
     at = _runs(h[order])
     c = _sums(n[order], at)
-    top = np.argsort(-c, kind="stable")[:SHARE]
-    rows = [_pack(h[order][at][top], c[top], f[order][at][top]), np.array([len(c), c.sum()], np.int64).tobytes()]
-    return pa.table({"kind": pa.array([0, 1], pa.int32()), "words": pa.array(rows, pa.binary())})
+    top = np.argsort(-c, kind="stable")[: max(SHARE, SEEDS)]
+    none = [None] * len(top)
+    return pa.table({
+        "word": pa.array([*h[order][at][top].view(np.int64).tolist(), None], pa.int64()), "n": pa.array([*c[top].tolist(), None], pa.int64()),
+        "types": pa.array([*none, len(c)], pa.int64()), "tokens": pa.array([*none, int(c.sum())], pa.int64()),
+    })
 
 
 def exchange(pairs: np.ndarray, words: int, classes: int, sweeps: int = SWEEPS) -> np.ndarray:
@@ -248,19 +252,15 @@ def _successions(docs: DataFrame, words: np.ndarray) -> DataFrame:
 
 
 def _train(docs: DataFrame, tops: DataFrame, classes: int) -> Model:
-    top: dict[int, int] = {}
-    types = tokens = 0
-    for r in tops.toLocalIterator():  # at most SHARE words of each slice
-        if r["kind"] == 1:
-            types, tokens = (int(a) + b for a, b in zip(np.frombuffer(bytes(r["words"]), np.int64), (types, tokens), strict=True))
-            continue
-        top.update(zip(*(x.tolist() for x in _unpack(bytes(r["words"]))[:2]), strict=True))
-        if len(top) > 16 * SHARE:  # only the most frequent ones can have a share of 1 / SHARE
-            top = dict(sorted(top.items(), key=lambda x: -x[1])[:SHARE])
     ends = docs.where("not held_out").count()
-    tokens, types = tokens + ends, types + (ends > 0)
-    ranked = sorted(top, key=lambda h: (-top[h], h))
-    chosen = [h for i, h in enumerate(ranked) if i < SEEDS or top[h] * SHARE >= tokens]
+    sums = tops.agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens")).first()
+    tokens, types = (sums["tokens"] or 0) + ends, (sums["types"] or 0) + (ends > 0)
+    words_ = tops.where("word is not null").select("word", "n")
+    often = words_.where(F.col("n") * SHARE >= tokens)
+    best = words_.orderBy(F.desc("n"), "word").limit(SEEDS)
+    # at most SHARE and SEEDS words come to the driver, whatever the number of slices
+    top = {r["word"] & (1 << 64) - 1: r["n"] for r in often.unionByName(best).collect()}
+    chosen = sorted(top, key=lambda h: (-top[h], h))
     k = min(classes, max(1, len(chosen)))
     words = np.array(sorted(chosen), np.uint64)
     size = len(words) + 1 + FORMS
@@ -442,7 +442,7 @@ def score(docs: DataFrame, classes: int = CLASSES, fold: int = 7, held: int = 2,
     n_batches = max(1, -(-size // BATCH_BYTES))
     slices = 1 << max(2, (n_batches // 2).bit_length())
     d = d.withColumn("batch", F.pmod(F.xxhash64("doc_id", F.length("t"), F.substring("t", 1, 64)), F.lit(n_batches)))
-    tops = to_table(_count(d, slices).groupBy("slice").applyInArrow(lambda t: _tops(t), "kind int, words binary"), "lm-tops")
+    tops = to_table(_count(d, slices).groupBy("slice").applyInArrow(lambda t: _tops(t), "word long, n long, types long, tokens long"), "lm-tops")
     model = _train(d, tops, classes)
     drop_tables(tops)
     size = len(model.table)
