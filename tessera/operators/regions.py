@@ -111,28 +111,31 @@ def region_rows(
 ) -> DataFrame:
     """The region table: one row a region with centroid, structure, patch, image flag, cluster and domains.
 
-    The last patch of a contour wins.  The label is the patch's, else that of the structure, else
-    the structure's id, else ``unknown``; ``qc_flag`` is ``ok`` where the patch's image is in
-    ``images(image_path)``.
+    The last patch of a contour wins.  The structure is the patch's, else the first that a cell has,
+    as it stands there; the label is the patch's, else that of the structure (ids compared in normal
+    form), else the structure's id, else ``unknown``; ``qc_flag`` is ``ok`` where the patch's image is
+    in ``images(image_path)``.  Columns that neither cells nor patches have are null.
     """
     base = region_table(cells, "region_id", min_cells)
     have = [c for c in first_columns if c in cells.columns]
     rows = base.join(first_non_null(cells, "region_id", have, position), "region_id", "left") if have else base
     if patches is not None:
         named = patches.withColumn("region_id", F.coalesce(clean_text("contour_id"), clean_text("region_id")) if "region_id" in patches.columns else clean_text("contour_id"))
-        keep = [c for c in ("image_path", "structure_label", "structure_name", *PATCH_COLUMNS) if c in patches.columns]
+        keep = [c for c in ("image_path", "structure_id", "structure_label", "structure_name", *PATCH_COLUMNS) if c in patches.columns]
         table = keep_one(named.select("region_id", position, *[F.col(c).alias(f"patch_{c}" if c.startswith("structure") else c) for c in keep]), ["region_id"], position, last=True)
         rows = rows.join(table.drop(position), "region_id", "left")
-    for c in ("image_path", "patch_structure_label", "patch_structure_name", "structure_id", "cluster", *PATCH_COLUMNS):
+    for c in ("image_path", "patch_structure_id", "patch_structure_label", "patch_structure_name", "structure_id", "cluster", *METADATA, *PATCH_COLUMNS):
         if c not in rows.columns:
             rows = rows.withColumn(c, F.lit(None).cast("string"))
-    rows = rows.withColumn("contour_id", F.col("region_id"))
+    structure = F.coalesce(clean_text(F.col("patch_structure_id").cast("string")), clean_text(F.col("structure_id").cast("string")))
+    rows = rows.withColumn("contour_id", F.col("region_id")).withColumn("structure_id", structure)
     if labels is not None:
-        rows = rows.withColumn("structure_id", normal_id("structure_id")).join(labels, "structure_id", "left")
+        named = labels.select(F.col("structure_id").alias("s_"), "structure_label")
+        rows = rows.join(named, normal_id("structure_id") == F.col("s_"), "left").drop("s_")
     else:
         rows = rows.withColumn("structure_label", F.lit(None).cast("string"))
-    label = F.coalesce(clean_text("patch_structure_label"), clean_text("patch_structure_name"), "structure_label", clean_text("structure_id"), F.lit("unknown"))
-    rows = rows.withColumn("structure_label", label).drop("patch_structure_label", "patch_structure_name")
+    label = F.coalesce(clean_text("patch_structure_label"), clean_text("patch_structure_name"), "structure_label", "structure_id", F.lit("unknown"))
+    rows = rows.withColumn("structure_label", label).drop("patch_structure_id", "patch_structure_label", "patch_structure_name")
     if images is not None:
         there = images.select("image_path", F.lit(True).alias("there_")).dropDuplicates(["image_path"])
         rows = rows.join(there, "image_path", "left")

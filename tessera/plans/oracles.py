@@ -39,15 +39,16 @@ SLIDES = f"{CUST}, b as (select region_id, slide_id as block_id from cust)"
 NATIONS = f"{CUST}, b as (select region_id, c_nationkey::varchar as block_id from cust)"
 NEAR = """near as (select a.region_id, b.region_id as neighbor_id, row_number() over (partition by a.region_id order by sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), b.region_id) as rank
   from cust a join cust b on a.region_id <> b.region_id{0} qualify rank <= {1})"""
-PATCHES = """patches as (select doc_id::varchar as contour_id, doc_id % 30 as structure_id, 'o' || doc_id as cell_id, 'img' || doc_id % 500 as image_path, case when lang = 'de' then source end as pl,
+PATCHES = """patches as (select doc_id::varchar as contour_id, doc_id % 30 || '.0' as structure_id, 'o' || doc_id as cell_id, 'img' || doc_id % 500 as image_path, case when lang = 'de' then source end as pl,
   n_chars::double as patch_x, (n_chars % 7)::double as patch_y, (n_chars % 3)::double as patch_size, lang as source_image from documents),
 images as (select distinct 'img' || doc_id % 500 as image_path from labels)"""
 REGIONS = f"""{CELLS}, {PATCHES},
 r0 as (select region_id, count(*) as n_cells, avg(x) as x, avg(y) as y, arg_min(structure_id, row_pos) as structure_id, arg_min(slide_id, row_pos) as slide_id, arg_min(cluster, row_pos) as cluster from cells group by 1),
 lab as (select structure_id, arg_max(structure_label, row_pos) as l from cells group by 1),
-regs as (select r0.region_id, r0.region_id as contour_id, n_cells, x, y, r0.structure_id, coalesce(pl, l, r0.structure_id, 'unknown') as structure_label, slide_id, cluster, p.image_path,
-  case when i.image_path is not null then 'ok' else 'no_image' end as qc_flag, patch_x, patch_y, patch_size, source_image, null::varchar as registration_transform
-  from r0 left join patches p on p.contour_id = r0.region_id left join images i on i.image_path = p.image_path left join lab on lab.structure_id = r0.structure_id)"""
+regs as (select r0.region_id, r0.region_id as contour_id, n_cells, x, y, coalesce(p.structure_id, r0.structure_id) as structure_id, coalesce(pl, l, p.structure_id, r0.structure_id, 'unknown') as structure_label,
+  slide_id, cluster, p.image_path, case when i.image_path is not null then 'ok' else 'no_image' end as qc_flag, patch_x, patch_y, patch_size, source_image, null::varchar as registration_transform
+  from r0 left join patches p on p.contour_id = r0.region_id left join images i on i.image_path = p.image_path
+  left join lab on lab.structure_id::double = coalesce(p.structure_id, r0.structure_id)::double)"""
 MASK = "h as (select *, md5('1|' || region_id || '|' || gene) as k from vals), m as (select *, substr(k, 1, 8) as h8, min(substr(k, 1, 8) || gene) over (partition by region_id) as first from h)"
 
 
@@ -55,7 +56,9 @@ def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out["region_mean_expression"] = f"with {CELLS}, {EXPR}, {MEANS} select region_id, gene, round(value, 6) as value from means"
     out["region_table"] = f"with {CELLS} select region_id, count(*) as n_cells, round(avg(x), 7) as x, round(avg(y), 7) as y from cells group by 1 having count(*) >= 5"
-    out["region_rows"] = f"with {REGIONS} select region_id, contour_id, n_cells, round(x, 6) as x, round(y, 6) as y, structure_id, structure_label, slide_id, cluster, image_path, qc_flag, patch_x, patch_y, patch_size, source_image, registration_transform from regs"
+    out["region_rows"] = f"""with {REGIONS} select region_id, contour_id, n_cells, round(x, 6) as x, round(y, 6) as y, structure_id, structure_label, image_path, qc_flag, cluster, patch_x, patch_y, patch_size,
+  source_image, registration_transform, null::varchar as bbox_level_xy, null::varchar as bbox_level0_xy, null::varchar as pyramid_level, slide_id, null::varchar as patient_id, null::varchar as organ,
+  null::varchar as batch_id, null::varchar as stain, null::varchar as scanner from regs order by region_id"""
     out["first_non_null_domain"] = f"""with {CELLS} select region_id, arg_min(cluster, row_pos) filter (row_pos % 3 <> 0) as cluster, arg_min(slide_id, row_pos) as slide_id from cells group by 1"""
     out["membership_edges"] = f"with {CELLS} select region_id, 'inner' as membership, count(*) as n_edges, count(*)::double as weight from cells group by 1"
     out["structure_counts"] = f"with {CELLS} select structure_label as label, count(*) as n from cells group by 1"
@@ -117,7 +120,7 @@ fig as (select (select count(*) from cells)::double as n_cells, 0::double as mis
   (select count(*) filter (structure_label not in ('', 'nan', 'None', 'unknown')) / count(*) from regs) as structure_assignment_coverage, (select count(*) from part)::double as n_genes,
   (select count(*) - count(distinct p_brand) from part)::double as duplicate_gene_count, (select count(*) from patches)::double as patch_count, (select count(distinct cell_id) from patches)::double as patch_cell_count,
   (select count(distinct structure_id) from patches)::double as patch_structure_count, (select count(*) from patches anti join images using (image_path))::double as missing_image_count,
-  (select count(distinct s) filter (s in (select structure_id::varchar from patches)) / count(distinct s) from (select structure_id as s from regs)) as patch_structure_coverage,
+  (select count(distinct s) filter (s in (select structure_id::double from patches)) / count(distinct s) from (select structure_id::double as s from regs)) as patch_structure_coverage,
   (select min(x) from cells) as x_min, (select max(x) from cells) as x_max, (select min(y) from cells) as y_min, (select max(y) from cells) as y_max, 1::double as cell_assignment_coverage,
   (select count(*) filter (value <> 0) from expr) / ((select count(*) from cells) * (select count(*) from part)) as matrix_density, (select count(*) filter (qc_flag = 'ok') / count(*) from regs) as patch_cell_coverage)"""
     out["case_metrics"] = f"with {figures}, u as (unpivot fig on * into name metric value value) select metric, round(value, 6) as value from u"

@@ -78,8 +78,8 @@ def _regions(spark: SparkSession, d: str) -> DataFrame:
 
 def region_rows(spark: SparkSession, d: str) -> DataFrame:
     out = _regions(spark, d).select(
-        "region_id", "contour_id", "n_cells", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "structure_id", "structure_label", "slide_id", "cluster", "image_path", "qc_flag",
-        "patch_x", "patch_y", "patch_size", "source_image", "registration_transform",
+        "region_id", "contour_id", "n_cells", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "structure_id", "structure_label", "image_path", "qc_flag", "cluster",
+        *regions.PATCH_COLUMNS, *regions.METADATA,
     )
     return out.orderBy("region_id")
 

@@ -41,6 +41,18 @@ def test_region_rows_take_last_patch(spark):
     assert (row.image_path, row.qc_flag, row.structure_label) == ("two.png", "ok", "s1")
 
 
+def test_region_rows_take_structure_from_patch(spark):
+    c = regions.with_region_key(cells(spark)).withColumn("structure_id", F.lit("3"))
+    labels = spark.createDataFrame([("3", "lab3"), ("9", "lab9")], "structure_id string, structure_label string")
+    given = lambda value: spark.createDataFrame([("contour_a", value, 0)], "contour_id string, structure_id string, row_pos long")
+    row = lambda value: (lambda r: (r.structure_id, r.structure_label))(regions.region_rows(c, given(value), None, labels).where("region_id = 'contour_a'").first())
+    assert row("9") == ("9", "lab9") and row("9.0") == ("9.0", "lab9")
+    assert row("7.0") == ("7.0", "7.0") and row(None) == ("3", "lab3") and row("nan") == ("3", "lab3")
+    number = given("9").withColumn("structure_id", F.lit(9))
+    assert regions.region_rows(c, number, None, labels).where("region_id = 'contour_a'").first().structure_label == "lab9"
+    assert len(regions.region_rows(c).columns) == 24
+
+
 def test_with_splits_is_total(spark):
     r = spark.createDataFrame([("a",), ("b",)], "region_id string")
     s = spark.createDataFrame([("a", "train"), ("b", "test"), ("z", "val")], "cell_id string, split string")
