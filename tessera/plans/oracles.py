@@ -55,6 +55,7 @@ MASK = "h as (select *, md5('1|' || region_id || '|' || gene) as k from vals), m
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out["region_mean_expression"] = f"with {CELLS}, {EXPR}, {MEANS} select region_id, gene, round(value, 6) as value from means"
+    out["matrix_market_means"] = out["region_mean_expression"]
     out["region_table"] = f"with {CELLS} select region_id, count(*) as n_cells, round(avg(x), 7) as x, round(avg(y), 7) as y from cells group by 1 having count(*) >= 5"
     out["region_rows"] = f"""with {REGIONS} select region_id, contour_id, n_cells, round(x, 6) as x, round(y, 6) as y, structure_id, structure_label, image_path, qc_flag, cluster, patch_x, patch_y, patch_size,
   source_image, registration_transform, null::varchar as bbox_level_xy, null::varchar as bbox_level0_xy, null::varchar as pyramid_level, slide_id, null::varchar as patient_id, null::varchar as organ,

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import clean_text, first_true, normal_id, or_missing, unit, valid_label
 from ..operators import export, features, metrics, neighbors, quality, ranking, regions, splits
-from ..sources import readers
+from ..sources import matrix_market, readers
+from ..tables import new_folder
 
 PANEL = ["Brand#11", "Brand#12", "Brand#13", "Brand#99", " Brand#21 ", ""]
 
@@ -463,6 +464,15 @@ def synthetic_case(spark: SparkSession, d: str) -> DataFrame:
     return regions.mean_expression(e, regions.with_region_key(c)).withColumn("value", F.round("value", 6))
 
 
+def matrix_market_means(spark: SparkSession, d: str) -> DataFrame:
+    """The mean expression of all regions, of a case written as an instrument's folder and read from it."""
+    folder, c = new_folder(spark, "instrument"), cells(spark, d)
+    genes = ranking.global_rank(_genes(spark, d), "gene", "gene", "gene_pos")
+    matrix_market.write_case(c, genes, expr(spark, d), folder)
+    case = matrix_market.read_case(spark, folder)
+    return regions.mean_expression(case["expr"], case["cells"]).select("region_id", "gene", F.round("value", 6).alias("value"))
+
+
 NAMES = [
     "region_mean_expression", "region_table", "region_rows", "first_non_null_domain", "membership_edges", "structure_counts", "domain_counts", "distinct_coverage",
     "spatial_bounds", "matrix_density", "coverage_ratios", "structure_summary", "cluster_embedding_mean", "masked_mse_by_split", "pearson_by_split", "retrieval_topk",
@@ -472,6 +482,7 @@ NAMES = [
     "expression_bins", "coord_zscore", "cell_sample", "gene_selection", "mask_selection", "region_batches", "corpus_union", "manifest_coalesce", "manifest_json",
     "null_like_clean", "id_normalise", "contrastive_loss", "masked_mse_zero", "loss_total", "lr_cosine", "loss_warmup", "linear_embed", "gene_widening", "synthetic_case",
     "case_metrics", "verdict_rules", "manifest_domains", "patch_provenance", "cell_flags", "image_manifest", "manifest_records", "gene_selection_filled", "batch_cells", "lr_one_cycle", "structure_loss", "region_items", "validation_mean",
+    "matrix_market_means",
 ]
 
 

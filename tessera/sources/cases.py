@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..operators import regions as R
 from ..operators import splits as S
+from ..tables import exists
+from . import matrix_market
 from .config import Config, DataConfig
 from .readers import corpus_union, list_images, normalize_cells, normalize_genes, read_panel, read_patch_manifest, read_table, stamp, synthetic_case
 
@@ -33,15 +35,11 @@ class Case:
     region_expr: DataFrame | None = None
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether there is a file or folder, in whatever store Spark reads."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-
-
 def _tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """Canonical tables below ``root``; FileNotFoundError if one is not there."""
+    """Canonical tables below ``root``, or those of an instrument's folder there; FileNotFoundError if there is neither."""
     out = {}
+    if not exists(spark, f"{root.rstrip('/')}/{TABLES[-1]}.parquet") and matrix_market.find_folder(spark, root):
+        return matrix_market.read_case(spark, root)
     for name in TABLES:
         path = f"{root.rstrip('/')}/{name}.parquet"
         if not exists(spark, path):
@@ -57,7 +55,9 @@ def _one(spark: SparkSession, cfg: DataConfig, tables: dict[str, DataFrame], roo
     cells = stamp(normalize_cells(tables["cells"]), {c: getattr(cfg, c) for c in R.METADATA}, source)
     if cfg.region_key != "contour_id" and cfg.region_key in cells.columns:
         cells = cells.withColumn("contour_id", F.col(cfg.region_key))
-    map_path = cfg.contour_map or (f"{root.rstrip('/')}/{CELL_MAP}.parquet" if root else None)
+    here = root.rstrip("/") if root else None
+    beside = [f"{place}/{CELL_MAP}.parquet" for place in ([here, here.rpartition("/")[0]] if cfg.mode == "xenium" else [here])] if here else []
+    map_path = cfg.contour_map or next((p for p in beside if exists(spark, p)), None)
     if map_path and exists(spark, map_path):
         mapping = read_table(spark, map_path, POSITION)
         if {"cell_id", "contour_id"} <= set(mapping.columns):
@@ -86,6 +86,10 @@ def load_case(spark: SparkSession, cfg: DataConfig) -> Case:
         if not cfg.root:
             raise FileNotFoundError("mode 'tables' needs data.root")
         tables = _one(spark, cfg, _tables(spark, cfg.root), cfg.root, None)
+    elif cfg.mode == "xenium":
+        if not cfg.root:
+            raise FileNotFoundError("mode 'xenium' needs data.root")
+        tables = _one(spark, cfg, matrix_market.read_case(spark, cfg.root), cfg.root, None)
     elif cfg.mode == "corpus":
         if not cfg.roots:
             raise FileNotFoundError("mode 'corpus' needs data.roots")

@@ -11,7 +11,7 @@ from typing import Any
 
 @dataclass(frozen=True)
 class DataConfig:
-    #: "synthetic", "tables" (canonical tables in ``root``) or "corpus" (those in each of ``roots``)
+    #: "synthetic", "tables" (canonical tables in ``root``), "xenium" (an instrument's folder) or "corpus" (either in each of ``roots``)
     mode: str = "synthetic"
     root: str | None = None
     roots: tuple[str, ...] = ()

@@ -34,6 +34,12 @@ def _file_system(spark: SparkSession, path: str) -> tuple:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, in whatever store Spark reads."""
+    fs, where = _file_system(spark, path)
+    return fs.exists(where)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A new folder in the shared one; it goes with what is written there when the application ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
