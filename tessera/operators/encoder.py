@@ -20,6 +20,7 @@ from ..sources.images import tensor, with_pixels
 from . import network as N
 
 #: Columns of the network's inputs, as ``inputs`` gives them.
+TOKENS = "array<struct<gene: string, value: double, input: double, bin: int, mask: boolean, neighbor: double>>"
 COLUMNS = ("region_id", "tokens", "cells", "x_z", "y_z", "context_id", "code", "pixels")
 
 
@@ -57,7 +58,8 @@ def from_rows(table: DataFrame) -> Network:
 def inputs(batches: DataFrame, items: DataFrame, images: DataFrame | None = None, neighbors: DataFrame | None = None) -> DataFrame:
     """What the network gets of each region, a row each.
 
-    ``batches`` are those of ``features.region_batches``, ``items`` those of ``features.region_items``; ``images`` are
+    ``batches`` are those of ``features.region_batches``, ``items`` those of ``features.region_items`` (a region that
+    is only there has no tokens, one without items is left out); ``images`` are
     ``(image_path, pixels)`` and ``neighbors(region_id, gene, value)`` the neighbourhood's means, zero where absent.
     """
     if neighbors is None:
@@ -68,8 +70,10 @@ def inputs(batches: DataFrame, items: DataFrame, images: DataFrame | None = None
         token = F.struct("at_", F.col("t_").withField("neighbor", F.coalesce("n_", F.lit(0.0))).alias("t"))
         both = near.groupBy("region_id").agg(F.transform(F.array_sort(F.collect_list(token)), lambda s: s["t"]).alias("tokens"))
         tokens = batches.drop("tokens").join(both, "region_id")
-    cells = F.transform("cells", lambda c: c["values"]) if "cells" in batches.columns else F.expr("cast(array() as array<array<double>>)")
-    rows = tokens.select("region_id", "tokens", cells.alias("cells")).join(items, "region_id")
+    no_cells = F.array().cast("array<array<double>>")
+    cells = F.transform("cells", lambda c: c["values"]) if "cells" in batches.columns else no_cells
+    rows = items.join(tokens.select("region_id", "tokens", cells.alias("cells")), "region_id", "left")
+    rows = rows.withColumn("tokens", F.coalesce("tokens", F.array().cast(TOKENS))).withColumn("cells", F.coalesce("cells", no_cells))
     if images is not None and "image_path" in rows.columns:
         rows = with_pixels(rows, images)
     else:

@@ -42,10 +42,15 @@ class DataConfig:
 @dataclass(frozen=True)
 class ModelConfig:
     size: int = 128
+    heads: int = 4
     layers: int = 2
+    inner: int | None = None
     bins: int = 51
     max_genes: int = 1200
     max_cells: int = 64
+    image_size: int = 224
+    channels: int = 3
+    scales: tuple[int, ...] = (1,)
     use_expression: bool = True
     use_image: bool = True
     use_spatial: bool = True
@@ -68,6 +73,11 @@ class TrainingConfig:
     schedule: str = "none"
     max_steps: int = 1000
     warmup_steps: int = 0
+    batch: int = 16
+    rate: float = 1e-4
+    decay: float = 0.01
+    #: steps between states that are kept; None keeps the last and the best one
+    save_every: int | None = None
     device: str = "auto"
     workers: int = 0
     ablation: str | None = None

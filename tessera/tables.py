@@ -40,6 +40,14 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(where)
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the finished tables below ``path``, none where there is no such folder."""
+    fs, where = _file_system(spark, path)
+    if not fs.exists(where):
+        return []
+    return sorted(f.getPath().getName() for f in fs.listStatus(where) if f.isDirectory() and exists(spark, f"{f.getPath()}/_SUCCESS"))
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A new folder in the shared one; it goes with what is written there when the application ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
