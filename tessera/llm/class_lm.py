@@ -231,9 +231,17 @@ def _successions(docs: DataFrame, words: np.ndarray) -> DataFrame:
     """
     m = len(words)
 
+    size = m + 1 + FORMS
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = m + 1 + FORMS
         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        have: list[np.ndarray] = []
+
+        def added() -> tuple[np.ndarray, np.ndarray]:
+            new, n = np.unique(np.concatenate(have), return_counts=True)
+            both, back = np.unique(np.concatenate([keys, new]), return_inverse=True)
+            return both, np.bincount(back, np.concatenate([counts, n])).astype(np.int64)
+
         for batch in batches:
             for part in W.chunks(batch, 0):
                 h, f, first = _tokens(part.column(0))
@@ -243,12 +251,18 @@ def _successions(docs: DataFrame, words: np.ndarray) -> DataFrame:
                     unit = np.where(words[at] == h, at, unit)
                 unit[h == END] = m
                 before = np.concatenate([[m], unit[:-1]])  # a text begins after an end
-                new, n = np.unique(before * size + unit, return_counts=True)
-                keys, back = np.unique(np.concatenate([keys, new]), return_inverse=True)
-                counts = np.bincount(back, np.concatenate([counts, n])).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(keys // size), pa.array(keys % size), pa.array(counts)], names=["a", "b", "n"])
+                have.append(before * size + unit)
+                if sum(map(len, have)) >= GATHER // 4:
+                    keys, counts = added()
+                    have.clear()
+        if have:
+            keys, counts = added()
+        for i in range(0, len(keys), 100_000):
+            k = keys[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(k // size), pa.array(k % size), pa.array(counts[i : i + 100_000])], names=["a", "b", "n"])
 
-    return docs.where("not held_out").select("t").mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    pairs = docs.where("not held_out").select("t").mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return to_table(pairs, "lm-pairs")
 
 
 def _train(docs: DataFrame, tops: DataFrame, classes: int) -> Model:
@@ -265,8 +279,10 @@ def _train(docs: DataFrame, tops: DataFrame, classes: int) -> Model:
     words = np.array(sorted(chosen), np.uint64)
     size = len(words) + 1 + FORMS
     pairs = np.zeros((size, size))
-    for r in _successions(docs, words).toLocalIterator():  # at most (SHARE + 1 + FORMS) ** 2
+    found = _successions(docs, words)
+    for r in found.toLocalIterator():  # at most (SHARE + 1 + FORMS) ** 2
         pairs[r["a"], r["b"]] = r["n"]
+    drop_tables(found)
     # The exchange takes words by rank.
     rank = np.searchsorted(words, np.array(chosen, np.uint64)) if chosen else np.zeros(0, np.int64)
     order = np.concatenate([rank, np.arange(len(words), size)]).astype(np.int64)
