@@ -25,6 +25,11 @@ def vocabulary(genes: DataFrame, name: str | None = None, position: str = "gene_
     return unique_names(genes.withColumn(found, F.col(found).cast("string")), found, position)
 
 
+def colliding_names(vocabulary: DataFrame) -> DataFrame:
+    """``(vocab_name, n)`` of names that several genes still have: a suffix can give what another gene is called."""
+    return vocabulary.groupBy("vocab_name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
 def check_vocabulary(mine: DataFrame, other: DataFrame) -> None:
     """ValueError unless both ``(vocab_id, vocab_name)`` tables have the same names in the same order."""
     a, b = (v.select("vocab_id", F.col("vocab_name").alias(n)) for v, n in ((mine, "a_"), (other, "b_")))

@@ -134,8 +134,11 @@ t as (select unnest([
 select t[1] as rule, t[2] as level, t[3] as fired from t"""
     out["manifest_domains"] = f"""with {REGIONS} select 'slide_id' as domain, slide_id as value, count(*) as n from regs group by 2
 union all select 'organ', case when n_cells % 2 = 0 then 'even' else 'missing' end, count(*) from regs group by 2 union all select 'cluster', cluster, count(*) from cells group by 2"""
-    out["patch_provenance"] = """select * from (values ('coordinate_columns', 'Patch_X'), ('coordinate_columns', 'center_y'), ('coordinate_columns', 'x_centroid'), ('image_columns', 'he_image_path'), ('registration_columns', 'affine'),
-('parameter_columns', 'Patch_X'), ('parameter_columns', 'level')) t(kind, name)"""
+    out["patch_provenance"] = f"""with {PATCHES}, p as (select *, case when contour_id::bigint % 3 > 0 then patch_size end as level, case when contour_id::bigint % 7 = 0 then source_image end as affine from patches)
+select * from (select 'coordinate_columns' as kind, 'patch_x' as name, count(patch_x) as n_patches from p union all select 'coordinate_columns', 'patch_y', count(patch_y) from p
+union all select 'image_columns', 'image_path', count(image_path) from p union all select 'image_columns', 'source_image', count(source_image) from p union all select 'registration_columns', 'affine', count(affine) from p
+union all select 'parameter_columns', 'patch_x', count(patch_x) from p union all select 'parameter_columns', 'patch_y', count(patch_y) from p union all select 'parameter_columns', 'patch_size', count(patch_size) from p
+union all select 'parameter_columns', 'level', count(level) from p)"""
     out["cell_flags"] = f"with {CELLS}, {PATCHES}, ok as (select distinct cell_id from patches semi join images using (image_path)) select 'o' || cells.cell_id as cell_id, case when ok.cell_id is null then 'no_image' else 'ok' end as qc_flag from cells left join ok on ok.cell_id = 'o' || cells.cell_id"
     out["image_manifest"] = f"with {REGIONS} select region_id, image_path, patch_x, patch_size, source_image, registration_transform from regs"
     out["manifest_records"] = """select event_id, 'r' || event_id as contour_id, event_type as image_path, (event_id % 5)::double as patch_x, 4::double as patch_y, '{"a":2,"b":1}' as registration_transform,
@@ -168,26 +171,30 @@ select near.region_id, gene, round(sum(value) / 3, 6) as value from near join me
 select c_custkey || '-' || m as cell_id, case when odd = 1 then c_acctbal end as c_acctbal, case when odd = 0 then c_name end as c_name, m as slide_id, m as batch_id, m as source from customer join s on m = c_mktsegment"""
     out["manifest_coalesce"] = "select event_id, coalesce(nullif(event_id % 2, 0), nullif(event_id % 3, 0), 9) as patch_x from events"
     out["manifest_json"] = "select event_id, nullif(nullif(nullif(props ->> '$.k', ''), 'nan'), 'None') as k from events"
-    out["null_like_clean"] = """with t(id, v) as (values (1, 'a'), (2, ''), (3, 'nan'), (4, 'None'), (5, null), (6, 'unknown'), (7, '<NA>')), c as (select id, v, case when v not in ('', 'nan', 'None') then v end as cleaned from t)
-select id::bigint as id, cleaned, coalesce(cleaned, 'missing') as filled, coalesce(v not in ('', 'nan', 'None', 'unknown'), false) as is_label from c"""
-    out["id_normalise"] = """with t(id, v) as (values (1, '7.0'), (2, '7'), (3, '7.5'), (4, 'nan'), (5, 'inf'), (6, 'a1'), (7, null), (8, '1e3'), (9, '-2.0')), n as (select *, try_cast(v as double) as d from t)
-select id::bigint as id, case when d is not null and not isnan(d) and abs(d) < 9e15 and d = floor(d) then d::bigint::varchar else v end as normal from n"""
+    out["null_like_clean"] = """with t as (select event_id, case when event_id % 12 < 6 then (['', 'nan', 'None', null, 'unknown', '<NA>'])[event_id % 12 + 1] else event_type end as v from events),
+c as (select event_id, v, case when v not in ('', 'nan', 'None') then v end as cleaned from t)
+select event_id, cleaned, coalesce(cleaned, 'missing') as filled, coalesce(v not in ('', 'nan', 'None', 'unknown'), false) as is_label from c"""
+    out["id_normalise"] = """with t as (select l_orderkey, l_linenumber, case l_linenumber % 3 when 0 then l_quantity::varchar when 1 then l_discount::varchar else l_suppkey || 'e2' end as v from lineitem),
+n as (select *, try_cast(v as double) as d from t)
+select l_orderkey, l_linenumber, case when d is not null and not isnan(d) and abs(d) < 9e15 and d = floor(d) then d::bigint::varchar else v end as normal from n"""
     out["contrastive_loss"] = f"""with {EMB}, s as (select l.scope, l.id, list_dot_product(l.a, r.b) / 0.07 as ab, list_dot_product(l.b, r.a) / 0.07 as ba, list_dot_product(l.a, l.b) / 0.07 as own from e l join e r on l.scope = r.scope),
 c as (select scope, id, ln(sum(exp(ab - own))) as x, ln(sum(exp(ba - own))) as y from s group by all) select scope, count(*) as n, round(avg((x + y) / 2), 6) as loss from c group by 1"""
     out["masked_mse_zero"] = f"with {PRED} select round(mse, 4) as masked_mse from g where split = 'overall'"
     out["loss_total"] = "select l_orderkey, l_linenumber, round(l_quantity + 0.5::double * l_discount + 0.25::double * l_tax + 0.001::double * l_extendedprice, 6) as total from lineitem"
-    out["lr_cosine"] = "select range as step, round(case when range + 1 <= 20 then (range + 1) / 20 else greatest(1e-8, 0.5 * (1 + cos(pi() * (range + 1 - 20) / 180))) end, 9) as factor from range(200)"
-    out["lr_one_cycle"] = """select range as step, round(case when range <= 19 then 1 + (0.04::double - 1) / 2 * (1 + cos(pi() * range / 19)) else 0.000004::double + (1 - 0.000004::double) / 2 * (1 + cos(pi() * (range - 19) / 180)) end, 9) as factor from range(200)"""
+    out["lr_cosine"] = """select step, count(*) as n, round(case when step + 1 <= 20 then (step + 1) / 20 else greatest(1e-8, 0.5 * (1 + cos(pi() * (step + 1 - 20) / 180))) end, 9) as factor
+from (select l_partkey % 200 as step from lineitem) group by step"""
+    out["lr_one_cycle"] = """select step, count(*) as n, round(case when step <= 19 then 1 + (0.04::double - 1) / 2 * (1 + cos(pi() * step / 19)) else 0.000004::double + (1 - 0.000004::double) / 2 * (1 + cos(pi() * (step - 19) / 180)) end, 9) as factor
+from (select l_partkey % 200 as step from lineitem) group by step"""
     out["structure_loss"] = "with l as (select embedding[1:10]::double[] as x, label from embeddings) select round(avg(ln(list_sum(list_transform(x, lambda v: exp(v)))) - x[label + 1]), 7) as structure_loss from l"
-    out["loss_warmup"] = "select range as step, round(0.3::double * least(1.0, range / 20), 9) as weight from range(50)"
+    out["loss_warmup"] = "select step, count(*) as n, round(0.3::double * least(1.0, step / 20), 9) as weight from (select l_partkey % 50 as step from lineitem) group by step"
     brands = [f"Brand#{i}" for i in range(1, 26)]
     out["gene_widening"] = f"with {VALUES}, s as (select region_id, count(*) as n_cells from cells group by 1) select region_id, n_cells, " + ", ".join(f"coalesce(max(value) filter (gene = '{g}'), 0) as \"gene_{g}\"" for g in brands) + " from s left join vals using (region_id) group by all"
     digits = lambda text: f"('0x' || substr(md5({text}), 1, 8))::bigint"
     out["linear_embed"] = f"""with {VALUES}, w as (select region_id, j as place, sum(ln(1 + greatest(value, 0)) * ({digits("'0|' || gene || '|' || j")} / 2147483648.0::double - 1)) as v from vals, range(8) t(j) group by 1, 2)
 select region_id, place::int as place, round(v / sqrt(sum(v * v) over (partition by region_id)), 6) as v from w"""
-    out["synthetic_case"] = f"""with g as (select c.range as id, g.range as gene from range(240) c, range(12) g),
+    out["synthetic_case"] = f"""with g as (select c.range as id, g.range as gene from range((select count(*) from customer)) c, range(12) g), s as (select id % 12 as r, count(*) as n from range((select count(*) from customer)) t(id) group by 1),
 v as (select id, gene, floor(-ln(({digits("'5|' || id || '|' || gene")} + 1)::double / 4294967297) * case when gene % 3 = id % 12 % 3 then 4.0 else 0.7 end) as value from g)
-select 'contour_' || id % 12 as region_id, 'gene_' || gene as gene, round(sum(value) / 20, 6) as value from v where value > 0 group by id % 12, gene"""
+select 'contour_' || id % 12 as region_id, 'gene_' || gene as gene, round(sum(value) / any_value(n), 6) as value from v join s on r = id % 12 where value > 0 group by id % 12, gene"""
     filled = f"""{VALUES}, gs as (select gene, row_number() over (order by md5('1|' || gene), gene) - 1 as i, count(*) over () as n from (select distinct p_brand as gene from part)),
 have as (select region_id, count(*) filter (value > 0) as n0 from vals group by 1),
 own as (select region_id, gene, value from vals where value > 0 qualify row_number() over (partition by region_id order by md5('1|' || region_id || '|' || gene), gene) <= 20),
@@ -202,6 +209,11 @@ tok as (select *, row_number() over (partition by region_id order by gene) - 1 a
   case when top > 0 then floor(ln(1 + w) / top * 7) else 0 end::bigint as bin, mask from tok"""
     out["batch_cells"] = f"""with {tokens}, sc as (select region_id, cell_id from cells qualify row_number() over (partition by region_id order by md5('1|' || cell_id), cell_id) <= 3)
 select region_id, sc.cell_id, place::int as place, round(coalesce(ln(1 + greatest(e.value, 0)), 0), 6) as value from sc join tok using (region_id) left join expr e on e.cell_id = sc.cell_id and e.gene = tok.gene"""
+    out["epoch_batches"] = f"with {CUST}, o as (select region_id, row_number() over (order by md5('7|3|' || region_id), region_id) - 1 as r from cust) select region_id, r // 64 as batch, r % 64 as place from o"
+    out["neighbor_targets"] = f"""with {filled}, {CUST}, {NEAR.format("", 3)},
+nm as (select near.region_id, gene, sum(value) / 3 as value from near join vals on lpad(vals.region_id, 8, '0') = neighbor_id group by 1, 2)
+select lpad(sel.region_id, 8, '0') as region_id, sel.gene, round(ln(1 + greatest(coalesce(nm.value, 0), 0)), 6) as neighbor
+from sel left join nm on nm.region_id = lpad(sel.region_id, 8, '0') and nm.gene = sel.gene"""
     out["region_items"] = f"""with {CUST}, s as (select avg(x) as mx, stddev_pop(x) as sx, avg(y) as my, stddev_pop(y) as sy from cust)
 select region_id, round((x - mx) / sx, 6) as x_z, round((y - my) / sy, 6) as y_z, dense_rank() over (order by slide_id) - 1 as code, dense_rank() over (order by slide_id) as context_id from cust, s"""
     out["validation_mean"] = "select round(avg(l_discount), 9) as val_gene_loss, round(avg(l_tax), 9) as val_total_loss from lineitem"

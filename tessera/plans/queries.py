@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clean_text, first_true, normal_id, or_missing, unit, valid_label
-from ..operators import export, features, metrics, neighbors, quality, ranking, regions, splits
+from ..operators import encoder, epochs, export, features, metrics, neighbors, network, quality, ranking, regions, splits
 from ..sources import matrix_market, readers
-from ..tables import new_folder
+from ..tables import new_folder, to_table
 
 PANEL = ["Brand#11", "Brand#12", "Brand#13", "Brand#99", " Brand#21 ", ""]
 
@@ -232,8 +232,12 @@ def manifest_domains(spark: SparkSession, d: str) -> DataFrame:
 
 
 def patch_provenance(spark: SparkSession, d: str) -> DataFrame:
-    origin = quality.provenance(["Patch_X", "center_y", "level", "he_image_path", "affine", "note", "x_centroid"])
-    return spark.createDataFrame([(k, c) for k in ("coordinate_columns", "image_columns", "registration_columns", "parameter_columns") for c in origin[k]], "kind string, name string")
+    """What the columns of the patches say by their names, and how many patches have each."""
+    patches = _patches(spark, d).withColumns({"level": F.when(F.col("row_pos") % 3 > 0, F.col("patch_size")), "affine": F.when(F.col("row_pos") % 7 == 0, F.col("source_image"))})
+    origin = quality.provenance(patches.columns)
+    kinds = [(k, c) for k in ("coordinate_columns", "image_columns", "registration_columns", "parameter_columns") for c in origin[k]]
+    filled = patches.agg(*[F.count(c).alias(c) for c in patches.columns])
+    return filled.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(c).alias("name"), F.col(c).alias("n_patches")) for k, c in kinds])).alias("r")).select("r.*")
 
 
 def cell_flags(spark: SparkSession, d: str) -> DataFrame:
@@ -407,14 +411,18 @@ def manifest_json(spark: SparkSession, d: str) -> DataFrame:
 
 
 def null_like_clean(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(1, "a"), (2, ""), (3, "nan"), (4, "None"), (5, None), (6, "unknown"), (7, "<NA>")]
-    t = spark.createDataFrame(rows, "id long, v string")
-    return t.select("id", clean_text("v").alias("cleaned"), or_missing("v").alias("filled"), valid_label("v").alias("is_label"))
+    """Types of events, some of them written as missing values are."""
+    e = _read(spark, d, "events")
+    odd = F.get(F.array(*[F.lit(v) for v in ("", "nan", "None", None, "unknown", "<NA>")]), (F.col("event_id") % 12).cast("int"))
+    t = e.select("event_id", F.when(F.col("event_id") % 12 < 6, odd).otherwise(F.col("event_type")).alias("v"))
+    return t.select("event_id", clean_text("v").alias("cleaned"), or_missing("v").alias("filled"), valid_label("v").alias("is_label"))
 
 
 def id_normalise(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(1, "7.0"), (2, "7"), (3, "7.5"), (4, "nan"), (5, "inf"), (6, "a1"), (7, None), (8, "1e3"), (9, "-2.0")]
-    return spark.createDataFrame(rows, "id long, v string").select("id", normal_id("v").alias("normal"))
+    """Quantities, discounts and modes of lines as ids: whole numbers lose their fraction, others stay."""
+    line = _read(spark, d, "lineitem")
+    v = F.when(F.col("l_linenumber") % 3 == 0, F.col("l_quantity").cast("string")).when(F.col("l_linenumber") % 3 == 1, F.col("l_discount").cast("string")).otherwise(F.concat(F.col("l_suppkey"), F.lit("e2")))
+    return line.select("l_orderkey", "l_linenumber", normal_id(v).alias("normal"))
 
 
 def contrastive_loss(spark: SparkSession, d: str) -> DataFrame:
@@ -431,12 +439,19 @@ def loss_total(spark: SparkSession, d: str) -> DataFrame:
     return line.select("l_orderkey", "l_linenumber", F.round(total, 6).alias("total"))
 
 
+def _steps(spark: SparkSession, d: str, most: int) -> DataFrame:
+    """Steps of a run, one for each line."""
+    return _read(spark, d, "lineitem").select((F.col("l_partkey") % most).alias("step"))
+
+
 def lr_cosine(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.cosine_schedule(spark.range(200).select(F.col("id").alias("step")), 200, 20).select("step", F.round("factor", 9).alias("factor"))
+    out = metrics.cosine_schedule(_steps(spark, d, 200), 200, 20)
+    return out.groupBy("step").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("factor"), 9).alias("factor"))
 
 
 def lr_one_cycle(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.one_cycle_schedule(spark.range(200).select(F.col("id").alias("step")), 200, 20).select("step", F.round("factor", 9).alias("factor"))
+    out = metrics.one_cycle_schedule(_steps(spark, d, 200), 200, 20)
+    return out.groupBy("step").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("factor"), 9).alias("factor"))
 
 
 def structure_loss(spark: SparkSession, d: str) -> DataFrame:
@@ -445,8 +460,8 @@ def structure_loss(spark: SparkSession, d: str) -> DataFrame:
 
 
 def loss_warmup(spark: SparkSession, d: str) -> DataFrame:
-    steps = spark.range(50).select(F.col("id").alias("step"))
-    return steps.select("step", F.round(metrics.warmup_weight(F.col("step"), 0.3, 20), 9).alias("weight"))
+    weight = metrics.warmup_weight(F.col("step"), 0.3, 20)
+    return _steps(spark, d, 50).groupBy("step").agg(F.count(F.lit(1)).alias("n"), F.round(F.max(weight), 9).alias("weight"))
 
 
 def linear_embed(spark: SparkSession, d: str) -> DataFrame:
@@ -460,10 +475,33 @@ def gene_widening(spark: SparkSession, d: str) -> DataFrame:
 
 
 def synthetic_case(spark: SparkSession, d: str) -> DataFrame:
-    c, e = readers.synthetic_case(spark, 240, 12, 3, 5)
+    """A made-up case with a cell for each customer."""
+    c, e = readers.synthetic_case(spark, _read(spark, d, "customer").count(), 12, 3, 5)
     return regions.mean_expression(e, regions.with_region_key(c)).withColumn("value", F.round("value", 6))
 
 
+def epoch_batches(spark: SparkSession, d: str) -> DataFrame:
+    """The batch of each region in one epoch, and its place there."""
+    return epochs.epoch_order(_customers(spark, d), 3, 64, 7)
+
+
+def neighbor_targets(spark: SparkSession, d: str) -> DataFrame:
+    """What the network is to tell of each region's neighbourhood, at the places of its tokens."""
+    values = to_table(_values(spark, d), "values")
+    near = regions.neighbor_mean(values.withColumn("region_id", F.lpad("region_id", 8, "0")), neighbors.spatial_knn(_customers(spark, d), 3))
+    batches = features.region_batches(values, 20, 8, 0.15, 1, _genes(spark, d)).withColumn("region_id", F.lpad("region_id", 8, "0"))
+    rows = encoder.inputs(batches, features.region_items(_customers(spark, d), "slide_id"), None, near)
+    return rows.select("region_id", F.explode("tokens").alias("t")).select("region_id", "t.gene", F.round("t.neighbor", 6).alias("neighbor"))
+
+
+def region_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    """Embeddings of all regions by a seeded network, which has not been trained; they are checked against loops in the tests."""
+    genes = sorted(r["gene"] for r in _genes(spark, d).collect())
+    items = features.region_items(_customers(spark, d).withColumn("region_id", F.col("region_id").cast("int").cast("string")), "slide_id")
+    shape = network.Shape(size=16, heads=2, layers=1, bins=8, image_size=8, structures=5, use_image=False)
+    return encoder.embed(encoder.inputs(_batches(spark, d), items), encoder.new_network(shape, genes, 1)).select("region_id", "vec")
+
+
 def matrix_market_means(spark: SparkSession, d: str) -> DataFrame:
     """The mean expression of all regions, of a case written as an instrument's folder and read from it."""
     folder, c = new_folder(spark, "instrument"), cells(spark, d)
@@ -482,7 +520,7 @@ NAMES = [
     "expression_bins", "coord_zscore", "cell_sample", "gene_selection", "mask_selection", "region_batches", "corpus_union", "manifest_coalesce", "manifest_json",
     "null_like_clean", "id_normalise", "contrastive_loss", "masked_mse_zero", "loss_total", "lr_cosine", "loss_warmup", "linear_embed", "gene_widening", "synthetic_case",
     "case_metrics", "verdict_rules", "manifest_domains", "patch_provenance", "cell_flags", "image_manifest", "manifest_records", "gene_selection_filled", "batch_cells", "lr_one_cycle", "structure_loss", "region_items", "validation_mean",
-    "matrix_market_means",
+    "matrix_market_means", "epoch_batches", "neighbor_targets", "region_embeddings",
 ]
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass, replace
+from dataclasses import asdict, dataclass, fields, replace
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import regions as R
 from ..operators import splits as S
-from ..tables import exists
+from ..tables import exists, to_table
 from . import matrix_market
 from .config import Config, DataConfig
 from .readers import corpus_union, list_images, normalize_cells, normalize_genes, read_panel, read_patch_manifest, read_table, stamp, synthetic_case
@@ -127,6 +127,11 @@ def build_regions(case: Case, cfg: DataConfig) -> Case:
     return replace(case, cells=cells, regions=rows, members=R.membership(kept), region_expr=R.mean_expression(case.expr, kept))
 
 
+def settle(case: Case) -> Case:
+    """The case with all its tables written once, for uses that read them many times, as training does."""
+    return Case(**{f.name: None if (df := getattr(case, f.name)) is None else to_table(df, f"case-{f.name}") for f in fields(case)})
+
+
 def describe(spark: SparkSession, case: Case, cfg: Config, output: str | None = None) -> dict:
     """The manifest of a case with regions: figures, counts, panel, provenance, paths, metadata and split."""
     from ..operators.quality import case_manifest
