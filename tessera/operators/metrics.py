@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import valid_label
-from .neighbors import Block, block_pairs, embedding_knn
+from .neighbors import Block, block_pairs
+from .similarity import knn as nearest_rows
 
 
 def scopes(rows: DataFrame, split: str = "split") -> DataFrame:
@@ -65,7 +66,7 @@ def same_label_hit(rows: DataFrame, label: str, ks: tuple[int, ...] = (1, 5), kn
 
     Neighbours come from ``knn`` if it is there (of the greatest k), so that it serves several metrics.
     """
-    knn = embedding_knn(rows, max(ks)) if knn is None else knn
+    knn = nearest_rows(rows, max(ks)) if knn is None else knn
     tag = rows.select("scope", "id", F.col(label).alias("l"))
     near = knn.join(tag, ["scope", "id"]).join(tag.select("scope", F.col("id").alias("neighbor_id"), F.col("l").alias("m")), ["scope", "neighbor_id"])
     best = near.groupBy("scope", "id").agg(F.min(F.when(F.col("l") == F.col("m"), F.col("rank"))).alias("first"))
@@ -77,7 +78,7 @@ def same_label_hit(rows: DataFrame, label: str, ks: tuple[int, ...] = (1, 5), kn
 
 def batch_mixing(rows: DataFrame, batch: str, k: int = 5, knn: DataFrame | None = None) -> DataFrame:
     """``(scope, k, effective_k, n_regions, batch_mixing_entropy)``: mean entropy of the neighbours' batches over log of their number in scope; null with one batch or row."""
-    knn = embedding_knn(rows, k) if knn is None else knn.where(F.col("rank") <= k)
+    knn = nearest_rows(rows, k) if knn is None else knn.where(F.col("rank") <= k)
     tag = rows.select("scope", F.col("id").alias("neighbor_id"), F.col(batch).alias("m"))
     part = knn.join(tag, ["scope", "neighbor_id"]).groupBy("scope", "id", "m").agg(F.count(F.lit(1)).alias("c"))
     total = knn.groupBy("scope", "id").agg(F.count(F.lit(1)).alias("n"))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..tables import drop_tables, to_table
+from .neighbors import embedding_knn
 
 #: Vectors of a list on average; lists of a scope at most, and bytes of all centres (both go to every task).
 PER_LIST, LISTS, CENTRE_BYTES = 256, 2048, 64_000_000
@@ -26,6 +27,12 @@ FIRST = 3
 BLOCK, AT_ONCE = 4096, 512
 
 
+def knn(rows: DataFrame, k: int, scope: str = "scope") -> DataFrame:
+    """The k nearest of each row, by lists where a scope has more rows than a block, else within its block."""
+    largest = rows.groupBy(scope).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    return nearest(rows, k, scope) if largest > BLOCK else embedding_knn(rows, k, scope)
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return np.asarray(column.flatten()).astype(np.float64).reshape(len(column), -1 if len(column) else 0)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import metrics as M
-from ..operators import neighbors
+from ..operators import similarity
 from ..tables import to_table
 
 # Columns whose mixing among neighbours is looked at.
@@ -27,7 +27,7 @@ def evaluate(rows: DataFrame, predictions: DataFrame, failures: DataFrame) -> di
     labels = M.label_columns(rows)
     batches = [c for c in BATCHES if c in rows.columns]
     scoped = M.scopes(rows)
-    knn = to_table(neighbors.embedding_knn(scoped, max(*KS, K_BATCH)), "evaluation-knn") if labels or batches else None
+    knn = to_table(similarity.knn(scoped, max(*KS, K_BATCH)), "evaluation-knn") if labels or batches else None
     of = lambda df, name, column: df.withColumn(name, F.lit(column))
 
     def union(parts: list[DataFrame], empty: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clean_text, first_true, normal_id, or_missing, unit, valid_label
-from ..operators import encoder, epochs, export, features, metrics, neighbors, network, quality, ranking, regions, splits
+from ..operators import encoder, epochs, export, features, metrics, neighbors, network, quality, ranking, regions, similarity, splits
 from ..sources import matrix_market, readers
 from ..tables import new_folder, to_table
 
@@ -163,7 +163,7 @@ def silhouette_by_scope(spark: SparkSession, d: str) -> DataFrame:
 
 
 def embedding_knn(spark: SparkSession, d: str) -> DataFrame:
-    return neighbors.embedding_knn(metrics.scopes(embedded(spark, d)), 3).select("scope", "id", "neighbor_id", "rank")
+    return similarity.nearest(metrics.scopes(embedded(spark, d)), 3).select("scope", "id", "neighbor_id", "rank")
 
 
 def duplicate_names(spark: SparkSession, d: str) -> DataFrame:
