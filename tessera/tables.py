@@ -40,6 +40,16 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(where)
 
 
+def read_small(spark: SparkSession, path: str) -> str:
+    """The text of a small file, also of one that Spark's sources hide because of its name."""
+    fs, where = _file_system(spark, path)
+    stream = fs.open(where)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def folders(spark: SparkSession, path: str) -> list[str]:
     """Names of the finished tables below ``path``, none where there is no such folder."""
     fs, where = _file_system(spark, path)
