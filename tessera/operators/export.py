@@ -87,3 +87,22 @@ def cell_flags(cells: DataFrame, patches: DataFrame, images: DataFrame) -> DataF
     there = patches.select(clean_text("cell_id").alias("cell_id"), "image_path").where("cell_id is not null").join(images.select("image_path").distinct(), "image_path", "left_semi")
     covered = there.select("cell_id").distinct().withColumn("ok_", F.lit(True))
     return cells.select(F.col("cell_id").cast("string").alias("cell_id")).join(covered, "cell_id", "left").select("cell_id", F.when(F.col("ok_"), "ok").otherwise("no_image").alias("qc_flag"))
+
+
+def cell_table(cells: DataFrame, vectors: DataFrame, flags: DataFrame, size: int, structure: str = "structure_id", vec: str = "vec") -> DataFrame:
+    """A row for each cell with a vector: id, place, structure (``unknown`` without one), image flag and ``emb_0`` ..; cells without a place have nulls."""
+    id_ = F.col("cell_id").cast("string").alias("cell_id")
+    place = [F.col(c).cast("double").alias(c) if c in cells.columns else F.lit(None).cast("double").alias(c) for c in ("x", "y")]
+    label = F.coalesce(F.col(structure).cast("string"), F.lit("unknown")) if structure in cells.columns else F.lit("unknown")
+    rows = cells.select(id_, *place, label.alias("structure_label")).join(flags.select("cell_id", "qc_flag"), "cell_id", "left").withColumn("qc_flag", F.coalesce("qc_flag", F.lit("no_image")))
+    return widen_vector(rows.join(vectors.select(id_, vec), "cell_id"), size, vec)
+
+
+def cell_report(rows: DataFrame, case_name: str, network: str | None = None) -> dict:
+    """Figures of exported cells: with and without an image, their share to four places, cells of each structure."""
+    n = rows.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("qc_flag") == "ok", 1)).alias("ok")).first()
+    counts = rows.groupBy("structure_label").agg(F.count(F.lit(1)).alias("n")).orderBy("structure_label").collect()
+    return {
+        "case_name": case_name, "checkpoint": network, "n_cells_total": n["n"], "n_cells_with_image": n["ok"], "n_cells_no_image": n["n"] - n["ok"],
+        "image_coverage": round(n["ok"] / max(1, n["n"]), 4), "structure_counts": {str(r["structure_label"]): r["n"] for r in counts},
+    }

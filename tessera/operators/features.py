@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_order, or_missing
+from ..tables import to_table
 from .ranking import global_rank
 
 # Columns that can name genes, in order of preference.
@@ -130,7 +131,7 @@ def region_batches(
     masked), bin and mask.  ``padding`` is the number of places up to ``max_genes`` that stay empty.  Cells are
     sampled members in order, each with its log values at the tokens' places; a cell without any of the genes has zeros.
     """
-    chosen = select_genes(values, max_genes, seed, genes)
+    chosen = to_table(select_genes(values, max_genes, seed, genes), "tokens")  # read for bins, masks and tokens
     d = mask_genes(expression_bins(chosen, bins), share, seed)
     log = lambda v: F.log1p(F.greatest(v.cast("double"), F.lit(0.0)))
     token = F.struct("gene", log(F.col("value")).alias("value"), F.when(F.col("mask"), 0.0).otherwise(log(F.col("value"))).alias("input"), "bin", "mask")

@@ -53,6 +53,20 @@ def test_region_rows_take_structure_from_patch(spark):
     assert len(regions.region_rows(c).columns) == 24
 
 
+def test_cells_are_exported_and_reported(spark):
+    c = cells(spark)
+    patches = spark.createDataFrame([("a", "one.png"), ("b", "gone.png")], "cell_id string, image_path string")
+    flags = export.cell_flags(c, patches, spark.createDataFrame([("one.png",)], "image_path string"))
+    vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [0.5, 0.5])], "cell_id string, vec array<double>")
+    rows = export.cell_table(c, vectors, flags, 2)
+    assert rows.columns == ["cell_id", "x", "y", "structure_label", "qc_flag", "emb_0", "emb_1"]
+    assert {tuple(r) for r in rows.collect()} == {("a", 1.0, 2.0, "s1", "ok", 1.0, 0.0), ("b", 2.0, 3.0, "s1", "no_image", 0.0, 1.0), ("c", 9.0, 9.0, "unknown", "no_image", 0.5, 0.5)}
+    assert export.cell_report(rows, "one", "run/best") == {
+        "case_name": "one", "checkpoint": "run/best", "n_cells_total": 3, "n_cells_with_image": 1, "n_cells_no_image": 2, "image_coverage": 0.3333, "structure_counts": {"s1": 2, "unknown": 1},
+    }
+    assert export.cell_report(rows.limit(0), "none")["image_coverage"] == 0
+
+
 def test_with_splits_is_total(spark):
     r = spark.createDataFrame([("a",), ("b",)], "region_id string")
     s = spark.createDataFrame([("a", "train"), ("b", "test"), ("z", "val")], "cell_id string, split string")
@@ -237,7 +251,7 @@ def test_written_case(spark, tmp_path):
     short = writers.write_case(spark, c, cfg, out)
     report = writers.write_quality(spark, c, cfg, out)
     assert writers.read_json(spark, f"{out}/qc_report.json") == report and writers.read_json(spark, f"{out}/training_manifest.json")["n_regions"] == short["n_regions"] == 2
-    assert writers.read_json(spark, f"{out}/case_manifest.json")["domain_counts"] == {"slide_id": {"s": 2}}
+    assert writers.read_json(spark, f"{out}/case_manifest.json")["domain_counts"] == {"slide_id": {"s": 2}} | {c: {"missing": 2} for c in ("patient_id", "organ", "batch_id", "stain", "scanner")}
     made = readers.read_table(spark, f"{out}/splits.csv")
     assert {(r.region_id, r.block_id) for r in regions.with_splits(c.regions.select("region_id"), made).join(made.select("region_id", "block_id"), "region_id").collect()} == {("r1", "s"), ("r2", "s")}
     assert readers.read_table(spark, f"{out}/region_table.csv").count() == 2 and "# Quality report: one" in spark.read.text(f"{out}/qc_report.md", wholetext=True).first()[0]
