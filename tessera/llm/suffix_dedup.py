@@ -32,6 +32,8 @@ from .shared import rows_by_ids, to_table
 
 #: Bytes of an anchor's gram.
 GRAM = 40
+#: Text bytes whose anchors are looked for together.
+AT_ONCE = 2_000_000
 #: Anchors that a task gathers before it sends them on; text bytes of a batch; bytes of a shard.
 GATHER = 1_000_000
 BATCH_BYTES = 4_000_000
@@ -115,7 +117,7 @@ def _gather(docs: DataFrame, slices: int, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(slices)), pa.array(packed, pa.binary())], names=["slice", "anchors"])
 
         for batch in batches:
-            for part in W.chunks(batch, 1):
+            for part in W.chunks(batch, 1, AT_ONCE):
                 raw, byte = _bytes(part.column(1))
                 at, h = anchors(raw, byte, length)
                 doc = np.searchsorted(byte, at, side="right") - 1
