@@ -227,4 +227,4 @@ def test_rest_of_wide_buckets(spark, monkeypatch):
             for j in sets:
                 if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
                     root[i] = root[j] = min(root[i], root[j])
-    assert len(set(root.values())) < 90 and sum(got[i] == root[i] for i in root) >= 88
+    assert len(set(root.values())) < 90 and got == root
