@@ -29,7 +29,7 @@ from . import words as W
 STACKED = 64
 #: Pieces whose ids a Python worker remembers, and the longest such piece in characters; a
 #: piece that is forgotten or never kept is encoded again when it comes up.
-REMEMBERED = 300_000
+REMEMBERED = 800_000
 LONGEST_REMEMBERED = 64
 #: Bytes of text that are encoded together.
 AT_ONCE = 1_000_000
