@@ -22,7 +22,7 @@ PASSAGES: list[tuple[str, int, str]] = [
     ("isc", 92, "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted"),
     ("isc", 88, "isc (?:style )?licen[cs]e"),
     ("isc", 88, "internet systems consortium licen[cs]e"),
-    ("ncsa", 94, "permission is hereby granted free of charge to any person obtaining a copy of this software (?:.{1,60} )?to deal with the software without restriction"),
+    ("ncsa", 96, "permission is hereby granted free of charge to any person obtaining a copy of this software (?:.{1,60} )?to deal with the software without restriction"),
     ("ncsa", 88, "university of illinois ncsa open source licen[cs]e"),
     ("zlib", 95, "altered source versions must be plainly marked as such"),
     ("zlib", 93, "misrepresented you must not claim that you wrote the original software"),
