@@ -271,7 +271,7 @@ def _train(docs: DataFrame, tops: DataFrame, classes: int) -> Model:
     tokens, types = (sums["tokens"] or 0) + ends, (sums["types"] or 0) + (ends > 0)
     words_ = tops.where("word is not null").select("word", "n")
     often = words_.where(F.col("n") * SHARE >= tokens)
-    best = words_.orderBy(F.desc("n"), "word").limit(SEEDS)
+    best = words_.orderBy(F.desc("n"), F.col("word") < 0, "word").limit(SEEDS)  # hashes are unsigned
     # at most SHARE and SEEDS words come to the driver, whatever the number of slices
     top = {r["word"] & (1 << 64) - 1: r["n"] for r in often.unionByName(best).collect()}
     chosen = sorted(top, key=lambda h: (-top[h], h))
