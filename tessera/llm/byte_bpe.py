@@ -16,7 +16,6 @@ import base64
 import hashlib
 import os
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ from . import words as W
 STACKED = 64
 #: Pieces whose ids a Python worker remembers, and the longest such piece in characters; a
 #: piece that is forgotten or never kept is encoded again when it comes up.
-REMEMBERED = 800_000
+REMEMBERED = 200_000
 LONGEST_REMEMBERED = 64
 #: Bytes of text that are encoded together.
 AT_ONCE = 1_000_000
@@ -194,29 +193,23 @@ class Codec:
         import regex
 
         self.pieces = regex.compile(pattern).findall
-        #: pieces of late, and those before them, which go if they don't come up again
         self.known: dict[str, tuple[int, ...]] = {}
-        self.before: dict[str, tuple[int, ...]] = {}
 
-    def learn(self, texts: list[str]) -> tuple[list[list[str]], list[str]]:
-        """Pieces of each text, and those that were not known; ids of all of them are known afterwards."""
+    def learn(self, texts: list[str]) -> list[list[str]]:
+        """Pieces of each text; ids of all of them are known afterwards."""
         cut = [self.pieces(t) for t in texts]
-        if len(self.known) > REMEMBERED // 2:
-            self.before, self.known = self.known, {}
-        known, before = self.known, self.before
-        missing = set().union(*cut) - known.keys()
-        known.update((p, before[p]) for p in missing & before.keys())
-        new = list(missing - known.keys())
-        known.update(zip(new, map(tuple, self.vocabulary.encode_pieces(new)), strict=True))
-        return cut, new
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        new = [p for p in dict.fromkeys(p for c in cut for p in c) if p not in self.known]
+        self.known.update(zip(new, map(tuple, self.vocabulary.encode_pieces(new)), strict=True))
+        return cut
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        cut, new = self.learn(texts)
-        ids_of = self.known.__getitem__
-        out = [list(chain.from_iterable(map(ids_of, c))) for c in cut]
-        for p in new:
-            if len(p) > LONGEST_REMEMBERED:
-                del self.known[p]
+        cut = self.learn(texts)
+        known = self.known
+        out = [[i for p in c for i in known[p]] for c in cut]
+        for p in [p for p in known if len(p) > LONGEST_REMEMBERED]:
+            del known[p]
         return out
 
     def decode(self, ids: list[int]) -> bytes:

@@ -17,7 +17,7 @@ _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _LOW = np.arange(256, dtype=np.uint8)
 _LOW[0x41:0x5B] += 0x20
 #: Powers of a base up to this number are kept in a Python worker, which serves many tasks.
-KEPT = 1 << 21
+KEPT = 1 << 19
 _powers: dict[int, np.ndarray] = {}
 
 
