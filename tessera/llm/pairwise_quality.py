@@ -2,7 +2,9 @@
 
 A labelled good document is preferred to a labelled bad one.  The score of a document is linear
 in features of its text; the weights minimise the logistic loss of score differences over all
-pairs of a bounded sample of labelled documents.  The threshold is the quantile of the
+pairs of labelled documents.  The chance that a document loses against the other class depends
+on its score alone, so a pass over the labelled rows adds up counts and features by score, and
+sums over all pairs are sums over pairs of scores.  The threshold is the quantile of all
 training scores that leaves the training share of good documents above it; scores are mapped
 to (0, 1) so that the threshold falls on ``CUT``.
 
@@ -12,7 +14,7 @@ Features come from the text alone, in numpy over whole batches; Spark deals out
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,12 +24,14 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from ..tables import drop_tables
+from .ordering import drop_placed, placed
 from .shared import to_table
 
-#: Labelled rows of each class that are fitted at most (the least by digest of their id).
-SAMPLE = 2500
 CUT = 0.7
-STEPS = 300
+#: Newton steps at most, and the change of a weight below which they end.
+STEPS, SETTLED = 40, 1e-9
+#: Scores that sums are kept for; a row counts for the two nearest, by how near they are.
+GRID = np.linspace(-32, 32, 1025)
 _UPPER = np.zeros(256, bool)
 _UPPER[0x41:0x5B] = True
 _DIGIT = np.zeros(256, bool)
@@ -128,45 +132,147 @@ class Ranker:
         return 1 / (1 + np.exp(-np.clip(raw - self.threshold + math.log(CUT / (1 - CUT)), -500, 500)))
 
 
-def fit(good: np.ndarray, bad: np.ndarray, steps: int = STEPS, decay: float = 1e-3) -> Ranker:
-    """Weights by gradient steps on the mean logistic loss over all pairs of ``good`` and ``bad``.
+def _moments(x: np.ndarray, good: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """A row each for bad and good: number of rows, sums of the features and of their squares, from ``mean``."""
+    parts = [x[good == k] - mean for k in (False, True)]
+    return np.array([np.concatenate([[len(p)], p.sum(0), (p * p).sum(0)]) for p in parts])
 
-    With only one class there is no pair: all scores are then equal, on the side of that class.
+
+def _by_score(x: np.ndarray, good: np.ndarray, model: Ranker, curve: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and sums of the features at each score, bad ones first, and the features' products weighted by ``curve`` of class and score."""
+    z = _expand(x, model.mean, model.scale)
+    at = np.clip((z @ model.weight - GRID[0]) / (GRID[1] - GRID[0]), 0, len(GRID) - 1)
+    low = np.minimum(at.astype(np.int64), len(GRID) - 2)
+    part = at - low
+    first = good * len(GRID) + low
+    columns = [np.bincount(first, (1 - part) * v, 2 * len(GRID)) + np.bincount(first + 1, part * v, 2 * len(GRID)) for v in (np.ones(len(z)), *z.T)]
+    weight = (1 - part) * curve[first] + part * curve[first + 1]
+    return np.array(columns).T, z.T @ (weight[:, None] * z)
+
+
+def _learn(moments: Callable[[np.ndarray], np.ndarray], by_score: Callable[[Ranker, np.ndarray], tuple[np.ndarray, np.ndarray]], decay: float = 1e-3) -> Ranker:
+    """Weights by Newton steps on the mean logistic loss over all pairs, from passes over all labelled rows.
+
+    With only one class there is no pair: all scores are then equal, on the side of that class.  The
+    Hessian takes the last pass's curve, which changes the way to the minimum and not the minimum.
     """
-    both = np.concatenate([good, bad])
-    k = both.shape[1]
-    if not len(good) or not len(bad):
-        return Ranker(np.zeros(k), np.ones(k), np.zeros(3 * k), 0.0 if len(good) or not len(bad) else 1.0)
-    mean, scale = both.mean(0), np.maximum(both.std(0), 1e-6)
-    p, q = _expand(good, mean, scale), _expand(bad, mean, scale)
-    weight = np.zeros(p.shape[1])
-    m, v = np.zeros_like(weight), np.zeros_like(weight)
-    for t in range(1, steps + 1):
-        lose = 1 / (1 + np.exp(np.clip((p @ weight)[:, None] - (q @ weight)[None, :], -50, 50)))
-        grad = (q.T @ lose.sum(0) - p.T @ lose.sum(1)) / lose.size + decay * weight
-        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
-        weight -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
-    return Ranker(mean, scale, weight, 0.0)
+    k = len(NAMES)
+    m = moments(np.zeros(k))
+    n_bad, n_good = m[:, 0]
+    if not n_bad or not n_good:
+        return Ranker(np.zeros(k), np.ones(k), np.zeros(3 * k), 0.0 if n_good or not n_bad else 1.0)
+    mean = m[:, 1 : k + 1].sum(0) / m[:, 0].sum()
+    scale = np.sqrt(moments(mean)[:, k + 1 :].sum(0) / m[:, 0].sum())
+    model = Ranker(mean, np.maximum(scale, 1e-6), np.zeros(3 * k), 0.0)
+    behind = GRID[None, :] - GRID[:, None]  # of a good score, row, a bad one is ahead by so much
+    lose, loss = 1 / (1 + np.exp(-behind)), np.logaddexp(0, behind)
+    curve = np.repeat([0.25 / n_bad, 0.25 / n_good], len(GRID))
+    best, start = math.inf, model.weight
+    for _ in range(STEPS):
+        sums, products = by_score(model, curve)
+        (q_n, q), (p_n, p) = ((v[:, 0], v[:, 1:]) for v in (sums[: len(GRID)], sums[len(GRID) :]))
+        value = p_n @ loss @ q_n / (n_good * n_bad) + decay / 2 * (model.weight**2).sum()
+        if value > best * 1.001:  # too far
+            model.weight = (model.weight + start) / 2
+            continue
+        best, start = value, model.weight
+        grad = ((p_n @ lose) @ q - (lose @ q_n) @ p) / (n_good * n_bad) + decay * model.weight
+        bend = lose * (1 - lose)
+        cross = p.T @ bend @ q / (n_good * n_bad)
+        curve = np.concatenate([p_n @ bend, bend @ q_n]) / (n_good * n_bad)
+        step = np.linalg.solve(products - cross - cross.T + decay * np.eye(3 * k), grad)
+        model.weight = start - step
+        if np.abs(step).max() < SETTLED:
+            break
+    return model
+
+
+def fit(good: np.ndarray, bad: np.ndarray) -> Ranker:
+    """The ranker of labelled rows that are all at hand."""
+    x, of = np.concatenate([good, bad]), np.repeat([True, False], [len(good), len(bad)])
+    return _learn(lambda mean: _moments(x, of, mean), lambda model, curve: _by_score(x, of, model, curve))
+
+
+def _cut_rank(n: int, share: float) -> int:
+    """The rank from 0 of the training score below the threshold; the threshold is halfway to the next."""
+    return max(0, min(math.ceil((1 - share) * n - 1e-6) - 1, n - 2))
 
 
 def _threshold(raw_good: np.ndarray, raw_bad: np.ndarray, share: float) -> float:
-    """Quantile of the training scores, good ones weighted to their ``share``, that leaves it above."""
-    raw = np.concatenate([raw_good, raw_bad])
-    weight = np.concatenate([np.full(len(raw_good), share / max(len(raw_good), 1)), np.full(len(raw_bad), (1 - share) / max(len(raw_bad), 1))])
-    order = np.argsort(raw)
-    below = np.cumsum(weight[order])
-    i = min(int(np.searchsorted(below, 1 - share)), len(raw) - 2)
-    return float(raw[order][i] + raw[order][i + 1]) / 2
+    """Quantile of the training scores that leaves ``share`` of them above it."""
+    raw = np.sort(np.concatenate([raw_good, raw_bad]))
+    i = _cut_rank(len(raw), share)
+    return float(raw[i] + raw[i + 1]) / 2
+
+
+def _rows(batch: pa.RecordBatch) -> np.ndarray:
+    return np.asarray(batch.column(0).flatten()).reshape(len(batch), len(NAMES))
+
+
+def _total(taught: DataFrame, part: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> dict[int, np.ndarray]:
+    """Row by row, the sum over all of ``taught(x, good)`` of the matrices that ``part`` gives of some of it; rows of zeros are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if len(batch):
+                m = part(_rows(batch), np.asarray(batch.column(1).to_numpy(zero_copy_only=False)).astype(bool))
+                total = m if total is None else total + m
+        if total is not None:
+            at = np.flatnonzero(total.any(1))
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(list(total[at]), pa.list_(pa.float64()))], names=["at", "v"])
+
+    def add(table: pa.Table) -> pa.Table:
+        v = np.asarray(table.column("v").combine_chunks().flatten()).reshape(table.num_rows, -1).sum(0)
+        return pa.table({"at": table.column("at")[:1], "v": pa.array([v], pa.list_(pa.float64()))})
+
+    kind = "at long, v array<double>"
+    return {r["at"]: np.array(r["v"]) for r in taught.select("x", "good").mapInArrow(run, kind).groupBy("at").applyInArrow(add, kind).collect()}
+
+
+def _fill(rows: dict[int, np.ndarray], n: int, width: int) -> np.ndarray:
+    out = np.zeros((n, width))
+    for i, v in rows.items():
+        out[i] = v
+    return out
+
+
+def _learn_table(taught: DataFrame) -> Ranker:
+    """The ranker of ``taught(x, good)``; the driver gets sums by score, however many rows there are."""
+    k = len(NAMES)
+
+    def by_score(model: Ranker, curve: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def part(x: np.ndarray, good: np.ndarray) -> np.ndarray:
+            sums, products = _by_score(x, good, model, curve)
+            return np.concatenate([sums, np.pad(products, ((0, 0), (1, 0)))])
+
+        both = _fill(_total(taught, part), 2 * len(GRID) + 3 * k, 3 * k + 1)
+        return both[: 2 * len(GRID)], both[2 * len(GRID) :, 1:]
+
+    return _learn(lambda mean: _fill(_total(taught, lambda x, good: _moments(x, good, mean)), 2, 2 * k + 1), by_score)
+
+
+def _cut(taught: DataFrame, model: Ranker, share: float, n: int) -> float:
+    """``_threshold`` of all rows of ``taught``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_expand(_rows(batch), model.mean, model.scale) @ model.weight)], names=["raw"])
+
+    ranked = placed(taught.select("x").mapInArrow(run, "raw double"), [], ["raw"], "pairwise-raw")
+    i = _cut_rank(n, share)
+    low, high = (r["raw"] for r in ranked.where(F.col("place").isin(i, i + 1)).orderBy("place").collect())
+    drop_placed(ranked)
+    return (low + high) / 2
 
 
 def classify(
-    docs: DataFrame, labels: DataFrame, fold: int = 4, held: int = 2, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, labels: DataFrame, fold: int = 4, held: int = 2, id_col: str = "doc_id", text_col: str = "text",
     label_id_col: str = "doc_id", label_col: str = "quality",
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted.
 
-    Learned from labelled rows whose crc32 of the id modulo ``fold`` is not ``held``, at most
-    ``sample`` of each class (the least by MD5 of the id).  Null labels and ids teach nothing;
+    Learned from all labelled rows whose crc32 of the id modulo ``fold`` is not ``held``.  Null labels and ids teach nothing;
     several labels of a document count once each; a null or empty text has a score like any
     other; a null id is held out by the crc32 of the empty text; equal texts get equal scores;
     other columns are not looked at.  Without labels all scores are equal; an empty table of
@@ -177,17 +283,10 @@ def classify(
     taught = labels.select(F.col(label_id_col).alias("doc_id"), (F.col(label_col) > 0).alias("good")).where("doc_id is not null and good is not null")
     taught = to_table(x.join(taught.distinct(), "doc_id").where(~crc("doc_id")), "pairwise-taught")
     n = {r["good"]: r["n"] for r in taught.groupBy("good").agg(F.count(F.lit(1)).alias("n")).collect()}
-
-    def rows(good: bool) -> np.ndarray:
-        r = taught.where(F.col("good") == good).orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id", "x").limit(sample).select("x").collect()
-        return np.array([v["x"] for v in r]).reshape(-1, len(NAMES))
-
-    good, bad = rows(True), rows(False)
+    model = _learn_table(taught)
+    if len(n) == 2:
+        model.threshold = _cut(taught, model, n[True] / (n[True] + n[False]), n[True] + n[False])
     drop_tables(taught)
-    model = fit(good, bad)
-    if len(good) and len(bad):
-        p, q = (_expand(v, model.mean, model.scale) @ model.weight for v in (good, bad))
-        model.threshold = _threshold(p, q, n[True] / (n[True] + n[False]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

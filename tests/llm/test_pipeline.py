@@ -184,6 +184,28 @@ def test_pairwise_scores_against_brute_force(spark):
         assert math.isclose(got[i].score, want, abs_tol=1e-9) and got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) and got[i].predicted == int(want >= 0.7)
 
 
+def test_pairwise_learns_from_every_labelled_row():
+    rng = np.random.default_rng(4)
+    good, bad = rng.normal(0.3, 1, (6000, len(pairwise_quality.NAMES))), rng.normal(0, 1, (3000, len(pairwise_quality.NAMES)))
+    model = pairwise_quality.fit(good, bad)
+    p, q = (pairwise_quality._expand(v, model.mean, model.scale) for v in (good, bad))
+    lose = 1 / (1 + np.exp((p @ model.weight)[:, None] - (q @ model.weight)[None, :]))
+    slope = (q.T @ lose.sum(0) - p.T @ lose.sum(1)) / lose.size + 1e-3 * model.weight
+    assert np.abs(slope).max() < 1e-3  # that of all 18 million pairs is zero at the minimum
+
+
+def test_pairwise_model_of_parts(spark):
+    """Many rows of each class, dealt out: every one of them changes the model and the threshold as it does in one place."""
+    rng = np.random.default_rng(6)
+    x, good = rng.normal(size=(7000, len(pairwise_quality.NAMES))), rng.random(7000) < 0.7
+    x[good] += 0.4
+    taught = spark.createDataFrame([(v.tolist(), bool(g)) for v, g in zip(x, good, strict=True)], "x array<double>, good boolean").repartition(5)
+    one, many = pairwise_quality.fit(x[good], x[~good]), pairwise_quality._learn_table(taught)
+    assert np.abs(one.weight - many.weight).max() < 1e-7
+    raw = [pairwise_quality._expand(v, one.mean, one.scale) @ one.weight for v in (x[good], x[~good])]
+    assert math.isclose(pairwise_quality._threshold(*raw, good.mean()), pairwise_quality._cut(taught, many, good.mean(), len(x)), abs_tol=1e-6)
+
+
 def test_vectors_of_any_length_and_odd_ids(spark):
     big, small = [1e300, 1e-10, 0.0], [1e-310, 0.0, 0.0]
     rows = [(1, big, 0), (2, [2e200, 0.0, 0.0], 0), (None, small, 0), (3, [0.0, 1e-160, 0.0], 0), (3, [0.0, 5.0, 0.0], 0), (None, [0.0, 0.0, 0.0], 0), (7, [1.0, 0.0], 0)]
