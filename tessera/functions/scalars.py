@@ -50,8 +50,8 @@ def dot(a: Column, b: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """The vector at length one; as it is if its length is zero."""
-    length = F.sqrt(dot(a, a))
-    return F.transform(a, lambda v: F.when(length > 0, v.cast("double") / length).otherwise(v.cast("double")))
+    scaled = lambda n: F.transform(a, lambda v: F.when(n > 0, v.cast("double") / n).otherwise(v.cast("double")))
+    return F.get(F.transform(F.array(F.sqrt(dot(a, a))), scaled), F.lit(0))  # the length is taken once, not for each component
 
 
 def hash_order(*cols: Column) -> Column:

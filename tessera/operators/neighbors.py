@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite
@@ -17,6 +17,8 @@ from .ranking import global_rank
 
 #: Points of a cell in the plane; rows of an embedding block, and how many of them are compared at once.
 PER_CELL, BLOCK, AT_ONCE = 256, 4096, 512
+#: Blocks of a scope before they grow, and how far they do.
+MOST, LARGEST = 10, 32
 
 
 def _distances(q: pa.Table, d: pa.Table) -> np.ndarray:
@@ -143,31 +145,44 @@ class Block:
         return self._matrix[name]
 
 
-def block_pairs(rows: DataFrame, scope: str, fn: Callable[[Block, Block], pd.DataFrame], schema: str, block: int = BLOCK) -> DataFrame:
-    """``fn(queries, data)`` over all pairs of blocks of each scope of ``rows``.
+def tiles(n: int, m: int) -> Iterator[tuple[slice, slice]]:
+    """Stretches of ``n`` rows against stretches of ``m`` others that are compared at a time."""
+    for a in range(0, n, AT_ONCE):
+        for b in range(0, m, BLOCK):
+            yield slice(a, min(n, a + AT_ONCE)), slice(b, min(m, b + BLOCK))
 
-    The number of pairs is quadratic, as the metrics are; but a row is sent only once for each
-    block of the others, only what ``fn`` returns leaves a task, and a task holds two blocks
-    whatever the size of the scope.  ``fn`` gets ``AT_ONCE`` queries at a time, none of them empty.
+
+def block_count(n: Column, block: int) -> Column:
+    """Blocks of ``n`` rows: of ``block`` rows until there are ``MOST``, then larger ones up to ``LARGEST`` times that."""
+    return F.greatest(F.least(F.ceil(n / block), F.lit(MOST)), F.ceil(n / (LARGEST * block)))
+
+
+def block_pairs(
+    rows: DataFrame, scope: str, fn: Callable[[Block, Block, bool], pd.DataFrame], schema: str, block: int = BLOCK, left: list[str] | None = None,
+    right: list[str] | None = None, half: bool = False,
+) -> DataFrame:
+    """``fn(queries, data, same)`` over all pairs of blocks of each scope of ``rows``; ``same`` if both are one block.
+
+    The number of pairs is quadratic, as the metrics are, but what is sent is not: there are
+    ``MOST`` blocks of a scope, larger ones for more rows, so a row is sent that many times to each side, until
+    blocks have ``LARGEST`` times ``block`` rows, which bounds a task.  Only what ``fn`` returns leaves it; it should go
+    through its blocks in ``tiles``.  The sides get the columns ``left`` and ``right``, or all.  With ``half``, of two different
+    blocks only one is the queries and the other the data.
     """
-    n = rows.groupBy(scope).agg(F.ceil(F.count(F.lit(1)) / block).alias("nb_"))
+    n = rows.groupBy(scope).agg(block_count(F.count(F.lit(1)), block).alias("nb_"))
     d = rows.join(n, scope).withColumn("mine_", F.pmod(F.xxhash64("id"), F.col("nb_")))
-    others = F.explode(F.expr("sequence(0L, nb_ - 1)"))
-    left = d.select("*", F.col("mine_").alias("i_"), others.alias("j_")).drop("mine_", "nb_")
-    right = d.select("*", others.alias("i_"), F.col("mine_").alias("j_")).drop("mine_", "nb_")
-    right = right.toDF(*right.columns)  # columns of its own, as both sides come from the same rows
-    names = [f.split()[0] for f in schema.split(",")]
+    others = lambda first, last: F.explode(F.expr(f"sequence({first}, {last})"))
+    q = d.select(*(left or rows.columns), F.col("mine_").alias("i_"), others("mine_" if half else "0L", "nb_ - 1").alias("j_"))
+    other = d.select(*(right or rows.columns), others("0L", "mine_" if half else "nb_ - 1").alias("i_"), F.col("mine_").alias("j_"))
+    other = other.toDF(*other.columns)  # columns of its own, as both sides come from the same rows
+    kinds = rows.sparkSession.createDataFrame([], schema).toArrow().schema
 
     def run(q: pa.Table, data: pa.Table) -> pa.Table:
-        parts = []
-        if q.num_rows and data.num_rows:
-            other = Block(data)
-            parts = [fn(Block(q.slice(a, AT_ONCE)), other) for a in range(0, q.num_rows, AT_ONCE)]
-        if not parts:
-            return q.slice(0, 0).select([]) if not names else pa.table({c: pa.nulls(0) for c in names})
-        return pa.Table.from_pandas(pd.concat(parts)[names], preserve_index=False)
+        if not q.num_rows or not data.num_rows:
+            return kinds.empty_table()
+        return pa.Table.from_pandas(fn(Block(q), Block(data), q.column("i_")[0] == q.column("j_")[0])[kinds.names], schema=kinds, preserve_index=False)
 
-    return left.groupBy(scope, "i_", "j_").cogroup(right.groupBy(scope, "i_", "j_")).applyInArrow(run, schema)
+    return q.groupBy(scope, "i_", "j_").cogroup(other.groupBy(scope, "i_", "j_")).applyInArrow(run, schema)
 
 
 def embedding_knn(rows: DataFrame, k: int, scope: str = "scope", block: int = BLOCK) -> DataFrame:
@@ -178,17 +193,23 @@ def embedding_knn(rows: DataFrame, k: int, scope: str = "scope", block: int = BL
     rows = rows.select(scope, "id", "vec").where("vec is not null")
     kind = rows.schema["id"].dataType.simpleString()
 
-    def top(left: Block, right: Block) -> pd.DataFrame:
+    def top(left: Block, right: Block, same: bool) -> pd.DataFrame:
         order = np.argsort(right["id"].to_numpy(), kind="stable")
-        ids = right["id"].to_numpy()[order]
-        score = left.matrix("vec") @ right.matrix("vec")[order].T
-        score[left["id"].to_numpy()[:, None] == ids[None, :]] = -np.inf
-        best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-        value = np.take_along_axis(score, best, 1)
-        out = pd.DataFrame({
-            scope: np.repeat(left[scope].to_numpy(), best.shape[1]), "id": np.repeat(left["id"].to_numpy(), best.shape[1]),
-            "neighbor_id": ids[best.ravel()], "score": value.ravel(),
-        })
+        ids, y = right["id"].to_numpy()[order], right.matrix("vec")[order]
+        mine, x, out = left["id"].to_numpy(), left.matrix("vec"), []
+        for here, there in tiles(len(x), len(y)):
+            if there.start == 0:
+                value, near = np.empty((here.stop - here.start, 0)), np.empty((here.stop - here.start, 0), ids.dtype)
+            score = x[here] @ y[there].T
+            score[mine[here][:, None] == ids[there][None, :]] = -np.inf
+            best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            value = np.concatenate([value, np.take_along_axis(score, best, 1)], 1)
+            near = np.concatenate([near, ids[there][best]], 1)
+            best = np.argsort(-value, axis=1, kind="stable")[:, :k]  # lesser ids stand first
+            value, near = np.take_along_axis(value, best, 1), np.take_along_axis(near, best, 1)
+            if there.stop == len(y):
+                out.append(pd.DataFrame({scope: np.repeat(left[scope].to_numpy()[here], near.shape[1]), "id": np.repeat(mine[here], near.shape[1]), "neighbor_id": near.ravel(), "score": value.ravel()}))
+        out = pd.concat(out)
         return out[np.isfinite(out["score"])]
 
     found = block_pairs(rows, scope, top, f"{scope} string, id {kind}, neighbor_id {kind}, score double", block)

@@ -1,9 +1,10 @@
 """Pruned nearest neighbours against all pairs."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
-from tessera.operators import neighbors, similarity
+from tessera.operators import metrics, neighbors, similarity
 
 RNG = np.random.default_rng(2)
 
@@ -56,3 +57,42 @@ def test_same_as_blocks_and_empty(spark):
     order = lambda df: [tuple(r)[:4] for r in df.select("scope", "id", "neighbor_id", "rank").orderBy("id", "rank").collect()]
     assert order(similarity.nearest(rows, 3, per_list=20)) == order(neighbors.embedding_knn(rows, 3))
     assert similarity.nearest(rows.limit(0), 3).count() == 0
+
+
+@pytest.mark.parametrize("half", [False, True])
+def test_blocks_grow_and_their_number_does_not(spark, half):
+    """All pairs of rows meet, and a row of a large scope is sent no more often than one of a smaller."""
+    rows = frame(spark, [("a", i, v) for i, v in enumerate(clustered(400))])
+
+    def pairs(left, right, same):
+        return pd.DataFrame({"pairs": [len(left) * len(right) * (1 if same or not half else 2)]})
+
+    got = [r.pairs for r in neighbors.block_pairs(rows, "scope", pairs, "pairs long", block=8, half=half).collect()]
+    assert sum(got) == 400**2 and len(got) <= neighbors.MOST**2
+
+
+def test_metrics_of_many_blocks(spark, monkeypatch):
+    """Rounded products decide only where they are apart: equal to all pairs in full precision, ties and copies included."""
+    a, b = clustered(300, 9, 4), clustered(300, 9, 4)
+    b[:150] = a[:150]
+    rows = spark.createDataFrame([("s", i, x.tolist(), y.tolist(), f"l{i % 3}") for i, (x, y) in enumerate(zip(a, b, strict=True))], "scope string, id long, a array<double>, b array<double>, l string")
+    original = neighbors.block_pairs
+    monkeypatch.setattr(metrics, "block_pairs", lambda *args, **named: original(*args, **named, block=16))
+    score = a @ b.T
+    own = np.diag(score)
+    loss = np.mean([np.log(np.exp((s - own[:, None]) / 0.07).sum(1)) for s in (score, score.T)])
+    assert abs(metrics.contrastive_loss(rows).first().loss - loss) < 1e-9
+    ids = np.arange(300)
+    before = [((ids[None, :] != ids[:, None]) & ((s > own[:, None] + 1e-12) | ((np.abs(s - own[:, None]) <= 1e-12) & (ids[None, :] < ids[:, None])))).sum(1) for s in (score, score.T)]
+    got = {r.k: r for r in metrics.retrieval(rows).collect()}
+    assert all(abs(got[k].a_to_b_topk - np.mean(before[0] < k)) < 1e-12 and abs(got[k].b_to_a_topk - np.mean(before[1] < k)) < 1e-12 for k in (1, 5))
+    dist = np.sqrt(np.maximum((a * a).sum(1)[:, None] - 2 * score_of(a) + (a * a).sum(1)[None, :], 0))
+    np.fill_diagonal(dist, 0)
+    means = np.array([dist[:, ids % 3 == c].sum(1) / ((ids % 3 == c).sum() - (ids % 3 == c)) for c in range(3)])
+    inner = means[ids % 3, ids]
+    outer = np.where(np.arange(3)[:, None] == ids % 3, np.inf, means).min(0)
+    assert abs(metrics.silhouette(rows.withColumnRenamed("a", "vec"), "l").first().silhouette - np.mean((outer - inner) / np.maximum(inner, outer))) < 1e-9
+
+
+def score_of(a):
+    return a @ a.T
