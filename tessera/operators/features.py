@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_order, or_missing
-from ..tables import to_table
 from .ranking import global_rank
 
 # Columns that can name genes, in order of preference.
@@ -53,9 +52,8 @@ def expression_bins(values: DataFrame, bins: int, key: str = "region_id", value:
     ``logged`` first takes log1p of the non-negative value, as the batches do before binning.
     """
     v = F.greatest(F.col(value).cast("double"), F.lit(0.0))
-    d = values.withColumn("v_", F.log1p(F.log1p(v) if logged else v))
-    top = d.groupBy(key).agg(F.max("v_").alias("m_"))
-    d = d.join(top, key)
+    d = values.where(F.col(key).isNotNull()).withColumn("v_", F.log1p(F.log1p(v) if logged else v))
+    d = d.withColumn("m_", F.max("v_").over(Window.partitionBy(key)))
     return d.withColumn("bin", F.when(F.col("m_") > 0, F.floor(F.col("v_") / F.col("m_") * (bins - 1))).otherwise(0).cast("int")).drop("v_", "m_")
 
 
@@ -85,26 +83,33 @@ def select_genes(values: DataFrame, most: int, seed: int = 0, genes: DataFrame |
     order = Window.partitionBy("region_id").orderBy(F.when(F.col("value") > 0, 0).otherwise(1), key, "gene")
     if genes is None:
         return values.withColumn("r_", F.row_number().over(order)).where(F.col("r_") <= most).drop("r_")
-    some = values.where("value > 0").withColumn("r_", F.row_number().over(order)).where(F.col("r_") <= most).drop("r_")
     names = global_rank(genes.select("gene").distinct().withColumn("k_", hash_order(F.lit(seed), F.col("gene"))), "k_", "gene", "i_").select("gene", "i_")
     n = names.count()
-    have = values.groupBy("region_id").agg(F.sum((F.col("value") > 0).cast("long")).alias("n_")).where(F.col("n_") < most)
-    # Of n_ + (most - n_) genes in a row, n_ at most are non-zero: so many are looked at, however many genes there are.
+    names = F.broadcast(names)  # the vocabulary
     place = F.pmod(F.conv(F.substring(hash_order(F.lit(seed), F.col("region_id")), 1, 8), 16, 10).cast("long"), F.lit(max(n, 1)))
-    near = have.select("region_id", "n_", place.alias("p_")).select("region_id", "n_", "p_", F.explode(F.sequence(F.lit(0), F.lit(max(min(most, n), 1) - 1))).alias("j_"))
-    near = near.withColumn("i_", F.pmod(F.col("p_") + F.col("j_"), F.lit(max(n, 1)))).join(names, "i_")
-    zero = near.join(some.select("region_id", "gene"), ["region_id", "gene"], "left_anti")
-    turn = F.row_number().over(Window.partitionBy("region_id").orderBy("j_"))
-    fill = zero.withColumn("r_", turn).where(F.col("r_") <= most - F.col("n_")).select("region_id", "gene", F.lit(0.0).alias("value"))
-    return some.select("region_id", "gene", F.col("value").cast("double")).unionByName(fill)
+    # A row a region: all that follows stays where the region is.
+    own = F.when(F.col("value") > 0, F.struct(key.alias("k_"), "gene", F.col("value").cast("double").alias("value")))
+    rows = values.join(names, "gene", "left").groupBy("region_id").agg(F.collect_list(own).alias("own_"), F.collect_list(F.when(F.col("value") > 0, F.col("i_"))).alias("have_"))
+    rows = rows.select("region_id", "have_", F.size("own_").alias("n_"), place.alias("p_"), F.when(F.size("own_") <= most, F.col("own_")).otherwise(F.slice(F.sort_array("own_"), 1, most)).alias("own_"))
+    chosen = F.transform("own_", lambda g: F.struct(g["gene"].alias("gene"), g["value"].alias("value"), F.lit(None).cast("long").alias("i_")))
+    if n:
+        # Of n_ + (most - n_) genes in a row, n_ at most are non-zero: so many are looked at, however many genes there are.
+        ahead = F.sequence(F.lit(0).cast("long"), F.lit(max(min(most, n), 1) - 1).cast("long"))
+        free = F.array_except(ahead, F.transform("have_", lambda i: F.pmod(i - F.col("p_"), F.lit(n))))
+        fill = F.slice(free, 1, F.greatest(F.lit(most) - F.col("n_"), F.lit(0)))
+        name = lambda j: F.struct(F.lit(None).cast("string").alias("gene"), F.lit(0.0).alias("value"), F.pmod(F.col("p_") + j, F.lit(n)).alias("i_"))
+        chosen = F.concat(chosen, F.transform(fill, name))
+    # From a plain explode Spark infers a filter on the array's size and works the array out a second time for it.
+    flat = rows.select("region_id", F.explode_outer(chosen).alias("c_")).where("c_ is not null").select("region_id", "c_.*")
+    flat = flat.join(names.withColumnRenamed("gene", "name_"), "i_", "left")
+    return flat.select("region_id", F.coalesce("gene", "name_").alias("gene"), "value")
 
 
 def mask_genes(values: DataFrame, share: float, seed: int = 0) -> DataFrame:
     """``values`` with ``mask``: true for about ``share`` of a region's genes, for one at least."""
     key = hash_order(F.lit(seed), F.col("region_id"), F.col("gene"))
-    d = values.withColumn("h_", F.substring(key, 1, 8))
-    first = d.groupBy("region_id").agg(F.min(F.struct("h_", "gene")).alias("f_"))
-    d = d.join(first, "region_id")
+    d = values.where("region_id is not null").withColumn("h_", F.substring(key, 1, 8))
+    d = d.withColumn("f_", F.min(F.struct("h_", "gene")).over(Window.partitionBy("region_id")))
     limit = f"{min(int(share * 2**32), 2**32 - 1):08x}"
     return d.withColumn("mask", (F.col("h_") < limit) | (F.col("gene") == F.col("f_.gene"))).drop("h_", "f_")
 
@@ -131,19 +136,19 @@ def region_batches(
     masked), bin and mask.  ``padding`` is the number of places up to ``max_genes`` that stay empty.  Cells are
     sampled members in order, each with its log values at the tokens' places; a cell without any of the genes has zeros.
     """
-    chosen = to_table(select_genes(values, max_genes, seed, genes), "tokens")  # read for bins, masks and tokens
-    d = mask_genes(expression_bins(chosen, bins), share, seed)
+    d = mask_genes(expression_bins(select_genes(values, max_genes, seed, genes), bins), share, seed)
     log = lambda v: F.log1p(F.greatest(v.cast("double"), F.lit(0.0)))
     token = F.struct("gene", log(F.col("value")).alias("value"), F.when(F.col("mask"), 0.0).otherwise(log(F.col("value"))).alias("input"), "bin", "mask")
-    out = d.groupBy("region_id").agg(F.array_sort(F.collect_list(token)).alias("tokens")).withColumn("padding", F.lit(max_genes) - F.size("tokens"))
+    out = d.groupBy("region_id").agg(F.sort_array(F.collect_list(token)).alias("tokens")).withColumn("padding", F.lit(max_genes) - F.size("tokens"))
     if members is None or expr is None or max_cells < 1:
         return out
+    # What a sampled cell has comes to it by its id, and then to the region in one row a cell.
     sampled = sample_cells(members.select("region_id", "cell_id"), max_cells, seed)
-    place = out.select("region_id", F.size("tokens").alias("n_"), F.posexplode(F.transform("tokens", lambda t: t["gene"])).alias("at_", "gene"))
-    hit = sampled.join(expr.select("cell_id", "gene", F.col("value").alias("v_")), "cell_id").join(place.select("region_id", "at_", "gene"), ["region_id", "gene"])
-    dense = hit.groupBy("region_id", "cell_id").agg(F.map_from_entries(F.collect_list(F.struct("at_", log(F.col("v_")).alias("v")))).alias("m_"))
-    cells = sampled.join(dense, ["region_id", "cell_id"], "left").join(out.select("region_id", F.size("tokens").alias("n_")), "region_id")
-    row = F.transform(F.sequence(F.lit(0), F.col("n_") - 1), lambda i: F.coalesce(F.try_element_at("m_", i), F.lit(0.0)))
-    cells = cells.groupBy("region_id").agg(F.array_sort(F.collect_list(F.struct("cell_id", row.alias("values")))).alias("cells"))
+    had = sampled.join(expr.select("cell_id", "gene", F.col("value").cast("double").alias("v_")), "cell_id", "left").groupBy("region_id", "cell_id", "gene").agg(F.sum("v_").alias("v_"))
+    entry = F.when(F.col("gene").isNotNull(), F.struct("gene", log(F.col("v_")).alias("v")))
+    cells = had.groupBy("region_id", "cell_id").agg(F.collect_list(entry).alias("m_")).groupBy("region_id").agg(F.sort_array(F.collect_list(F.struct("cell_id", "m_"))).alias("cells"))
+    named = F.transform("cells", lambda c: F.struct(c["cell_id"].alias("cell_id"), F.map_from_entries(c["m_"]).alias("m")))
+    row = lambda c: F.transform("tokens", lambda t: F.coalesce(F.try_element_at(c["m"], t["gene"]), F.lit(0.0)))
     none = F.expr("cast(array() as array<struct<cell_id string, values array<double>>>)")
-    return out.join(cells, "region_id", "left").withColumn("cells", F.coalesce("cells", none))
+    dense = F.transform(named, lambda c: F.struct(c["cell_id"].alias("cell_id"), row(c).alias("values")))
+    return out.join(cells, "region_id", "left").withColumn("cells", F.coalesce(dense, none))

@@ -315,6 +315,19 @@ def test_zero_fill_and_batches(spark):
     assert [c.cell_id for c in r.cells] == ["c1", "c2"] and math.isclose(r.cells[0]["values"][at], math.log(4)) and r.cells[1]["values"] == [0.0] * 4 and rows["z"].cells == []
 
 
+def test_batches_work_where_the_region_is(spark):
+    v = spark.createDataFrame([("r", "g1", 2.0), ("r", "g2", 1.0), ("q", "g3", 1.0)], "region_id string, gene string, value double")
+    genes = spark.createDataFrame([(f"g{i}",) for i in range(6)], "gene string")
+    members = spark.createDataFrame([("r", "c1"), ("q", "c3")], "region_id string, cell_id string")
+    expr = spark.createDataFrame([("c1", "g1", 3.0), ("c1", "g1", 1.0), ("c3", "g0", 1.0)], "cell_id string, gene string, value double")
+    shuffles = lambda df: df._jdf.queryExecution().sparkPlan().toString().count("SortMergeJoin")
+    assert shuffles(features.mask_genes(features.expression_bins(v, 8), 0.1)) == 0  # one by the region before, and one more
+    out = features.region_batches(v, 4, 8, 0.0, 3, genes, members, expr, 5)
+    assert shuffles(out) <= 2
+    r = next(r for r in out.collect() if r.region_id == "r")  # what stands there twice is added up
+    assert math.isclose(r.cells[0]["values"][[t.gene for t in r.tokens].index("g1")], math.log(5))
+
+
 def test_split_seed_and_orders(spark):
     assert [splits.split_seed(*a) for a in ((0, 5, 7), (None, 5, 7), (None, 0, 7))] == [0, 5, 7]
     d = spark.createDataFrame([(f"r{i:02d}", float(i), float(i % 5)) for i in range(40)], "region_id string, x double, y double")
