@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.images import tensor, with_pixels
@@ -65,11 +65,17 @@ def inputs(batches: DataFrame, items: DataFrame, images: DataFrame | None = None
     if neighbors is None:
         tokens = batches.withColumn("tokens", F.transform("tokens", lambda t: t.withField("neighbor", F.lit(0.0))))
     else:
-        flat = batches.select("region_id", F.posexplode("tokens").alias("at_", "t_")).withColumn("gene", F.col("t_.gene"))
-        near = flat.join(neighbors.select("region_id", "gene", F.log1p(F.greatest(F.col("value").cast("double"), F.lit(0.0))).alias("n_")), ["region_id", "gene"], "left")
-        token = F.struct("at_", F.col("t_").withField("neighbor", F.coalesce("n_", F.lit(0.0))).alias("t"))
-        both = near.groupBy("region_id").agg(F.transform(F.array_sort(F.collect_list(token)), lambda s: s["t"]).alias("tokens"))
-        tokens = batches.drop("tokens").join(both, "region_id")
+        # Tokens and neighbours' genes of a region meet by gene where the region is.
+        near = neighbors.groupBy("region_id").agg(F.collect_list(F.struct("gene", F.log1p(F.greatest(F.col("value").cast("double"), F.lit(0.0))).alias("n_"))).alias("near_"))
+        both = batches.select("region_id", F.transform("tokens", lambda t: t["gene"]).alias("own_")).join(near, "region_id")
+        no_place, no_value = F.lit(None).cast("int"), F.lit(None).cast("double")
+        own = F.transform("own_", lambda g, i: F.struct(g.alias("gene"), i.alias("at_"), no_value.alias("n_")))
+        other = F.transform("near_", lambda n: F.struct(n["gene"].alias("gene"), no_place.alias("at_"), n["n_"].alias("n_")))
+        flat = both.select("region_id", F.explode_outer(F.concat(own, other)).alias("t_")).select("region_id", "t_.*")
+        met = flat.withColumn("n_", F.max("n_").over(Window.partitionBy("region_id", "gene"))).where("at_ is not null")
+        found = met.groupBy("region_id").agg(F.sort_array(F.collect_list(F.struct("at_", "n_"))).alias("found_"))  # one for each token, in their order
+        value = lambda i: F.coalesce(F.get("found_", i)["n_"], F.lit(0.0))
+        tokens = batches.join(found, "region_id", "left").withColumn("tokens", F.transform("tokens", lambda t, i: t.withField("neighbor", value(i)))).drop("found_")
     no_cells = F.array().cast("array<array<double>>")
     cells = F.transform("cells", lambda c: c["values"]) if "cells" in batches.columns else no_cells
     rows = items.join(tokens.select("region_id", "tokens", cells.alias("cells")), "region_id", "left")

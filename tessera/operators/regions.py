@@ -6,7 +6,7 @@ non-zero values only.  Everything is one shuffle by the grouping key with partia
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clean_text, normal_id
@@ -164,7 +164,10 @@ def with_splits(regions: DataFrame, splits: DataFrame) -> DataFrame:
 
 def neighbor_mean(region_expr: DataFrame, neighbors: DataFrame) -> DataFrame:
     """``(region_id, gene, value)``: mean over each region's neighbours, absent genes as zero."""
-    k = neighbors.groupBy("region_id").agg(F.count(F.lit(1)).alias("k"))
-    values = region_expr.select(F.col("region_id").alias("neighbor_id"), "gene", "value")
-    total = neighbors.join(values, "neighbor_id").groupBy("region_id", "gene").agg(F.sum("value").alias("total"))
-    return total.join(k, "region_id").select("region_id", "gene", (F.col("total") / F.col("k")).alias("value"))
+    near = neighbors.select("region_id", "neighbor_id", F.count(F.lit(1)).over(Window.partitionBy("region_id")).alias("k"))
+    # A region's values travel in one row to each that is its neighbour, and are added up where that one is.
+    packed = region_expr.groupBy(F.col("region_id").alias("neighbor_id")).agg(F.collect_list(F.struct("gene", "value")).alias("v_"))
+    dealt = near.join(packed, "neighbor_id").select("region_id", "k", "v_").repartition("region_id")
+    rows = dealt.select("region_id", "k", F.explode("v_").alias("v_")).select("region_id", "k", "v_.gene", "v_.value")
+    total = rows.groupBy("region_id", "k", "gene").agg(F.sum("value").alias("total"))
+    return total.select("region_id", "gene", (F.col("total") / F.col("k")).alias("value"))

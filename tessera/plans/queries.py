@@ -492,7 +492,7 @@ def neighbor_targets(spark: SparkSession, d: str) -> DataFrame:
     near = regions.neighbor_mean(values.withColumn("region_id", F.lpad("region_id", 8, "0")), neighbors.spatial_knn(_customers(spark, d), 3))
     batches = features.region_batches(values, 20, 8, 0.15, 1, _genes(spark, d)).withColumn("region_id", F.lpad("region_id", 8, "0"))
     rows = encoder.inputs(batches, features.region_items(_customers(spark, d), "slide_id"), None, near)
-    return rows.select("region_id", F.explode("tokens").alias("t")).select("region_id", "t.gene", F.round("t.neighbor", 6).alias("neighbor"))
+    return rows.select("region_id", F.explode_outer("tokens").alias("t")).where("t is not null").select("region_id", "t.gene", F.round("t.neighbor", 6).alias("neighbor"))
 
 
 def region_embeddings(spark: SparkSession, d: str) -> DataFrame:

@@ -2,13 +2,14 @@
 
 import dataclasses
 import math
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import clean_text, normal_id
-from tessera.operators import export, features, metrics, neighbors, quality, ranking, regions, splits
+from tessera.operators import encoder, export, features, metrics, neighbors, quality, ranking, regions, splits
 from tessera.plans import evaluation
 from tessera.sources import cases, config, readers, writers
 
@@ -328,6 +329,20 @@ def test_batches_work_where_the_region_is(spark):
     assert math.isclose(r.cells[0]["values"][[t.gene for t in r.tokens].index("g1")], math.log(5))
 
 
+def test_neighbours_values_travel_in_rows(spark):
+    v = spark.createDataFrame([("a", "g1", 2.0), ("b", "g1", 1.0), ("b", "g2", 4.0)], "region_id string, gene string, value double")
+    near = spark.createDataFrame([("a", "b"), ("a", "x"), ("b", "a")], "region_id string, neighbor_id string")
+    out = regions.neighbor_mean(v, near)
+    assert "SortAggregate" not in (plan := out._jdf.queryExecution().sparkPlan().toString()) and plan.count("Join") == 1
+    assert {(r.region_id, r.gene): r.value for r in out.collect()} == {("a", "g1"): 0.5, ("a", "g2"): 2.0, ("b", "g1"): 2.0}
+    genes = spark.createDataFrame([("g1",), ("g2",), ("g3",)], "gene string")
+    items = spark.createDataFrame([("a", 0.0, 0.0, 0, 0), ("b", 0.0, 0.0, 0, 0)], "region_id string, x_z double, y_z double, context_id long, code long")
+    rows = encoder.inputs(features.region_batches(v, 3, 4, 0.0, 1, genes), items, None, out)
+    assert not re.search(r"Join \[region_id#\d+, gene", rows._jdf.queryExecution().sparkPlan().toString())  # a region's genes meet where it is
+    got = {(r.region_id, t.gene): t.neighbor for r in rows.collect() for t in r.tokens}
+    assert len(got) == 6 and all(math.isclose(got["a", g], math.log1p(x)) for g, x in (("g1", 0.5), ("g2", 2.0), ("g3", 0.0))) and math.isclose(got["b", "g1"], math.log1p(2))
+
+
 def test_split_seed_and_orders(spark):
     assert [splits.split_seed(*a) for a in ((0, 5, 7), (None, 5, 7), (None, 0, 7))] == [0, 5, 7]
     d = spark.createDataFrame([(f"r{i:02d}", float(i), float(i % 5)) for i in range(40)], "region_id string, x double, y double")
