@@ -172,6 +172,19 @@ def _repeated(table: pa.Table) -> pa.Table:
     return pa.table({"key": key[o], "pos": pos[o], "anchor": h[o].view(np.int64)})
 
 
+def _in_order(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stable order of ``values`` (of so many bits, not negative), and the values in it.
+
+    Where there is room, a value and its place are sorted as one number, which is much faster.
+    """
+    place = len(values).bit_length()
+    if bits + place > 63:
+        order = np.argsort(values, kind="stable")
+        return order, values[order]
+    both = np.sort(values << place | np.arange(len(values)))
+    return both & ((1 << place) - 1), both >> place
+
+
 def suffix_array(text: np.ndarray, end: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes of ``text`` in order; none is longer than ``depth``.
 
@@ -181,14 +194,22 @@ def suffix_array(text: np.ndarray, end: np.ndarray, depth: int) -> np.ndarray:
     segment had an end mark of its own, which Kasai's rule relies on.
     """
     n = len(text)
-    key = np.zeros(n, np.int64)
     here = np.arange(n)
-    for j in range(7):
-        at = here + j
-        key = key * 512 + np.where(at < end, text[np.minimum(at, n - 1)].astype(np.int64) + 1, 0)
-    sa = np.argsort(key, kind="stable")
+    used = np.flatnonzero(np.bincount(text, minlength=256))
+    code = np.zeros(256, np.int64)
+    code[used] = np.arange(1, len(used) + 1)  # 0: past the end
+    code = code[text]
+    width = len(used).bit_length()
+    first = min(7, (63 - n.bit_length()) // width)
+    key = np.zeros(n, np.int64)
+    for j in range(first):
+        key <<= width
+        if j >= n:
+            continue
+        key[: n - j] |= np.where(here[j:] < end[: n - j], code[j:], 0)
+    sa, key = _in_order(key, width * first)
     new = np.ones(n, bool)
-    new[1:] = key[sa][1:] != key[sa][:-1]
+    new[1:] = key[1:] != key[:-1]
     rank = np.zeros(n + 1, np.int64)
     group = np.maximum.accumulate(np.where(new, here, 0))
     rank[sa] = group + 1
@@ -198,14 +219,16 @@ def suffix_array(text: np.ndarray, end: np.ndarray, depth: int) -> np.ndarray:
     tied[1:] |= ~new[1:]
     tied &= ~(new & np.append(new[1:], True))
     slot = np.flatnonzero(tied)
-    h = 7
+    h = first
+    bits = n.bit_length()
     while h < depth and len(slot):
         p = sa[slot]
         after = p + h
         second = np.where(after < end[p], rank[np.minimum(after, n)], 0)
-        both = rank[p] * (n + 1) + second
-        order = np.argsort(both, kind="stable")
-        p, both = p[order], both[order]
+        own = rank[p]
+        lead = np.cumsum(np.append(False, own[1:] != own[:-1]))  # tied groups stand in order
+        order, both = _in_order(lead << bits | second, int(lead[-1]).bit_length() + bits)
+        p = p[order]
         sa[slot] = p
         fresh = np.ones(len(p), bool)
         fresh[1:] = both[1:] != both[:-1]
@@ -267,19 +290,27 @@ def _strings(table: pa.Table, length: int) -> tuple[np.ndarray, ...]:
 
 
 def _earlier(key: np.ndarray, start: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by string, key and start; and which of them do not come first."""
-    order = np.lexsort((start, key, number))
-    k, s, g = key[order], start[order], number[order]
-    lead = np.ones(len(g), bool)
-    lead[1:] = g[1:] != g[:-1]
-    at = np.maximum.accumulate(np.where(lead, np.arange(len(g)), 0))
-    return order, (k != k[at]) | (s != s[at])
+    """Order by string, in which they stand; and which of them aren't at the string's earliest place."""
+    order = np.arange(len(number))
+    if not len(number):
+        return order, np.zeros(0, bool)
+    at = np.flatnonzero(np.append(True, number[1:] != number[:-1]))
+    n = np.diff(np.append(at, len(number)))
+    later = key != np.repeat(np.minimum.reduceat(key, at), n)
+    least = np.minimum.reduceat(np.where(later, np.iinfo(np.int64).max, start), at)
+    return order, later | (start != np.repeat(least, n))
 
 
 def _spans(key: np.ndarray, start: np.ndarray, length: int) -> pa.Table:
     """Starts of repeated strings as joined stretches (key, start, stop)."""
-    order = np.lexsort((start, key))
-    key, start = key[order], start[order]
+    bits = int(start.max(initial=0)).bit_length()
+    low = int(key.min(initial=0))
+    if int(key.max(initial=0)) - low < 1 << (63 - bits):
+        both = np.sort((key - low) << bits | start)
+        key, start = (both >> bits) + low, both & ((1 << bits) - 1)
+    else:
+        order = np.lexsort((start, key))
+        key, start = key[order], start[order]
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (start[1:] > start[:-1] + length)
     at = np.flatnonzero(new)

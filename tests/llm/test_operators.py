@@ -532,3 +532,23 @@ def test_word_hashes():
     assert np.diff(first).tolist() == [2, 0, 0, 1, 1, 2] and (s[:2] == s[-2:]).all()
     cut = list(W.chunks(pa.RecordBatch.from_arrays([t], names=["t"]), 0, most=8))
     assert sum(len(x) for x in cut) == 6 and len(cut) > 1
+
+
+def test_suffixes_are_sorted_with_their_places():
+    rng = np.random.default_rng(5)
+    for bits in (10, 62):  # with room for the place, and without
+        v = rng.integers(0, 1 << 4, 500)
+        order, ordered = suffix_dedup._in_order(v, bits)
+        assert (order == np.argsort(v, kind="stable")).all() and (ordered == np.sort(v)).all()
+    for used in (1, 3, 256):
+        sizes = rng.integers(1, 30, 40)
+        text = rng.integers(0, used, sizes.sum()).astype(np.uint8)
+        end = np.repeat(np.cumsum(sizes), sizes)
+        want = sorted(range(len(text)), key=lambda i: (text[i : end[i]].tobytes(), i))  # noqa: B023
+        assert suffix_dedup.suffix_array(text, end, 30).tolist() == want
+    key, start, number = np.array([5, 2, 2, 9]), np.array([0, 7, 3, 1]), np.array([1, 1, 1, 2])
+    order, late = suffix_dedup._earlier(key, start, number)
+    assert order[late].tolist() == [0, 1]
+    for low in (0, -(1 << 62)):  # keys too far apart to be sorted as one number with the start
+        t = suffix_dedup._spans(np.array([4, 1 << 62, low, low]), np.array([3, 9, 250, 7]), 100)
+        assert t.column("start").to_pylist()[:2] == [7, 250] and t.column("stop").to_pylist() == [107, 350, 103, 109]
