@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +35,9 @@ def _below(table: DataFrame, value: Column) -> DataFrame:
         rows.append((part, total))
         total += s or 0
     kind = table.select(F.sum(value).alias("s")).schema["s"].dataType.simpleString()
-    return F.broadcast(table.sparkSession.createDataFrame(rows, f"part_ int, below_ {kind}"))
+    ranges = pa.table({"part_": [p for p, _ in rows], "below_": [b for _, b in rows]}) if rows else pa.table({"part_": pa.array([], "int32"), "below_": pa.array([], "int64")})
+    below = table.sparkSession.createDataFrame(ranges)  # by Arrow, which needs no Python worker
+    return F.broadcast(below.select(F.col("part_").cast("int").alias("part_"), F.col("below_").cast(kind).alias("below_")))
 
 
 def global_rank(df: DataFrame, value: str, tie: str, name: str = "rank0", more: tuple[str, ...] = ()) -> DataFrame:

@@ -34,12 +34,15 @@ def region_table(cells: DataFrame, region_col: str = "region_id", min_cells: int
     return named.groupBy("region_id").agg(F.count(F.lit(1)).alias("n_cells"), F.avg("x").alias("x"), F.avg("y").alias("y")).where(F.col("n_cells") >= min_cells)
 
 
-def mean_expression(expr: DataFrame, cells: DataFrame, region_col: str = "region_id") -> DataFrame:
-    """``(region_id, gene, value)``: sum over members by the number of *all* members, zeros included."""
-    member = cells.select("cell_id", clean_text(region_col).alias("region_id")).where("region_id is not null")
+def mean_expression(expr: DataFrame, cells: DataFrame, region_col: str = "region_id", key: str = "cell_id") -> DataFrame:
+    """``(region_id, gene, value)``: sum over members by the number of *all* members, zeros included.
+
+    ``key`` tells cells apart in both tables.  The number goes with the members, which are fewer than the sums.
+    """
+    member = cells.select(key, clean_text(region_col).alias("region_id")).where("region_id is not null")
     size = member.groupBy("region_id").agg(F.count(F.lit(1)).alias("n_cells"))
-    total = expr.join(member, "cell_id").groupBy("region_id", "gene").agg(F.sum("value").alias("total"))
-    return total.join(size, "region_id").select("region_id", "gene", (F.col("total") / F.col("n_cells")).alias("value"))
+    total = expr.join(member.join(size, "region_id"), key).groupBy("region_id", "gene").agg(F.sum("value").alias("total"), F.max("n_cells").alias("n_cells"))
+    return total.select("region_id", "gene", (F.col("total") / F.col("n_cells")).alias("value"))
 
 
 def first_non_null(cells: DataFrame, key: str, columns: list[str], position: str) -> DataFrame:

@@ -509,7 +509,8 @@ def matrix_market_means(spark: SparkSession, d: str) -> DataFrame:
     genes = ranking.global_rank(_genes(spark, d), "gene", "gene", "gene_pos")
     matrix_market.write_case(c, genes, expr(spark, d), folder)
     case = matrix_market.read_case(spark, folder)
-    return regions.mean_expression(case["expr"], case["cells"]).select("region_id", "gene", F.round("value", 6).alias("value"))
+    members = to_table(case["cells"].select("row_pos", "region_id"), "members")
+    return regions.mean_expression(case["entries"], members, key="row_pos").select("region_id", "gene", F.round("value", 6).alias("value"))
 
 
 NAMES = [

@@ -10,12 +10,12 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.features import unique_names
 from ..operators.ranking import global_rank
-from ..tables import exists, to_table
+from ..tables import exists, to_table, write_small
 
 # Names of the format's files, where they can lie, and the features that are genes.
 MATRIX, BARCODES, FEATURES = "matrix.mtx", "barcodes.tsv", "features.tsv"
@@ -63,10 +63,20 @@ def _read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select("value", meta["file_path"].alias("file_"), meta["file_block_start"].alias("block_"), F.monotonically_increasing_id().alias("id_"))
 
 
-def _names(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """``(line, fields)`` of a file of tab-separated fields."""
+def _names(spark: SparkSession, path: str, name: str) -> tuple[DataFrame, int]:
+    """``(line, fields)`` of a file of tab-separated fields, and how many there are."""
     lines = to_table(_read(spark, path), f"mtx-{name}")  # written, as blocks may be dealt out otherwise when read again
-    return numbered_lines(lines).select("line", F.split("value", "\t").alias("fields"))
+    return numbered_lines(lines).select("line", F.split("value", "\t").alias("fields")), lines.count()
+
+
+def _fields(value: Column) -> Column:
+    """The fields of a line between white space.
+
+    Most lines have single blanks, which are found without a regular expression.
+    """
+    odd = [value.contains(c) for c in ("  ", "\t", "\x0b", "\f")]
+    plain = F.when(odd[0] | odd[1] | odd[2] | odd[3], F.regexp_replace(value, r"\s+", " ")).otherwise(value)
+    return F.split(F.trim(plain), " ")
 
 
 def read_matrix(spark: SparkSession, path: str) -> tuple[DataFrame, int, int]:
@@ -77,7 +87,7 @@ def read_matrix(spark: SparkSession, path: str) -> tuple[DataFrame, int, int]:
     which is how the format adds them up.
     """
     raw = _read(spark, path)
-    parts = F.split(F.trim("value"), r"\s+")
+    parts = _fields(F.col("value"))
     head = F.col("value").startswith("%%")
     rows = raw.where((F.trim("value") != "") & (head | ~F.col("value").startswith("%")))
     rows = rows.select(
@@ -85,57 +95,68 @@ def read_matrix(spark: SparkSession, path: str) -> tuple[DataFrame, int, int]:
         F.get(parts, F.lit(1)).try_cast("long").alias("j"), F.get(parts, F.lit(2)).try_cast("double").alias("v"), F.size(parts).alias("n"),
     )
     table = to_table(rows, "mtx-entries")
-    place = F.struct("file_", "block_", "id_")
-    found = table.agg(F.min_by("banner", F.when(F.col("banner").isNotNull(), place)).alias("banner"), F.min(F.when(F.col("banner").isNull(), place)).alias("at")).first()
-    kind = re.fullmatch(r"%%MatrixMarket\s+matrix\s+coordinate\s+(integer|real|pattern)\s+general\s*", found["banner"] or "", re.IGNORECASE)
+    entry, placed = F.col("banner").isNull(), (F.col("i") > 0) & (F.col("j") > 0)
+    good = {2: placed & (F.col("n") == 2), 3: placed & (F.col("n") == 3) & F.col("v").isNotNull()}
+    # One pass: a row for each block, of numbers only.
+    blocks = table.groupBy("file_", "block_").agg(
+        F.min(F.when(~entry, F.col("id_"))).alias("banner_at"), F.min(F.when(entry, F.col("id_"))).alias("at"), F.count(F.when(entry, 1)).alias("n"),
+        *[F.count(F.when(entry & g, 1)).alias(f"good{k}") for k, g in good.items()], F.max(F.when(entry, F.col("i"))).alias("i"), F.max(F.when(entry, F.col("j"))).alias("j"),
+    )
+    place = F.struct("file_", "block_")
+    found = to_table(blocks, "mtx-blocks").agg(
+        F.min_by("banner_at", F.when(F.col("banner_at").isNotNull(), place)).alias("banner_at"), F.min_by("at", F.when(F.col("at").isNotNull(), place)).alias("at"),
+        *[F.sum(c).alias(c) for c in ("n", "good2", "good3")], F.max("i").alias("i"), F.max("j").alias("j"),
+    ).first()
+    banner = table.where(F.col("id_") == found["banner_at"]).first()["banner"] if found["banner_at"] is not None else ""
+    kind = re.fullmatch(r"%%MatrixMarket\s+matrix\s+coordinate\s+(integer|real|pattern)\s+general\s*", banner, re.IGNORECASE)
     if kind is None:
-        raise ValueError(f"{path}: not a general coordinate matrix: {found['banner']!r}")
-    entries = table.where("banner is null")
+        raise ValueError(f"{path}: not a general coordinate matrix: {banner!r}")
     if found["at"] is None:
         raise ValueError(f"{path}: no size line")
-    is_size = (F.col("file_") == found["at"]["file_"]) & (F.col("block_") == found["at"]["block_"]) & (F.col("id_") == found["at"]["id_"])
-    size = entries.where(is_size).first()
-    entries = entries.where(~is_size)
+    is_size = F.col("id_") == found["at"]  # tells all rows of the table apart
     fields = 2 if kind[1].lower() == "pattern" else 3
+    size = table.where(is_size).select("*", good[fields].alias("good")).first()
+    entries = table.where(entry & ~is_size)
     n_rows, n_columns, n_entries = size["i"], size["j"], int(size["v"] if size["v"] is not None else -1)
-    inside = F.col("i").between(1, n_rows) & F.col("j").between(1, n_columns) & (F.col("n") == fields)
-    if fields == 3:
-        inside = inside & F.col("v").isNotNull()
-    c = entries.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.coalesce(inside, F.lit(False)), 1)).alias("good")).first()
-    if c["n"] != n_entries or c["good"] != c["n"]:
-        raise ValueError(f"{path}: {n_entries} entries of {n_rows} by {n_columns} are announced, {c['n']} are there, {c['n'] - c['good']} of them malformed or outside")
+    n, fit = found["n"] - 1, found[f"good{fields}"] - bool(size["good"])
+    if n and (n_rows is None or n_columns is None or found["i"] > n_rows or found["j"] > n_columns):  # some are outside
+        fit = entries.where(good[fields] & (F.col("i") <= n_rows) & (F.col("j") <= n_columns)).count()
+    if n != n_entries or fit != n:
+        raise ValueError(f"{path}: {n_entries} entries of {n_rows} by {n_columns} are announced, {n} are there, {n - fit} of them malformed or outside")
     value = F.lit(1.0) if fields == 2 else F.col("v")
     return entries.select((F.col("i") - 1).alias("i"), (F.col("j") - 1).alias("j"), value.alias("value")).where("value <> 0"), n_rows, n_columns
 
 
 def read_case(spark: SparkSession, root: str, types: tuple[str, ...] = GENE_TYPES) -> dict[str, DataFrame]:
-    """``cells``, ``genes`` and ``expr`` of an instrument's folder; FileNotFoundError if files of the matrix are not there.
+    """``cells``, ``genes``, ``expr`` and ``entries`` of an instrument's folder; FileNotFoundError if files of the matrix are not there.
 
     Genes are the features of ``types`` (all, if the file has no third column), numbered in order; a gene
     goes by its name, made unique.  Cells are the barcodes in order (``row_pos``), with the columns that
-    the file of cells has for them; ValueError if files and matrix differ in length.
+    the file of cells has for them; ValueError if files and matrix differ in length.  ``entries`` is ``expr`` by
+    ``row_pos`` instead of the cell's name, as the matrix has it.
     """
     folder = find_folder(spark, root)
     if folder is None:
         raise FileNotFoundError(f"no {MATRIX}, {BARCODES} and {FEATURES} in {root}")
     triplets, n_rows, n_columns = read_matrix(spark, folder.matrix)
     field = lambda k: F.get("fields", F.lit(k))
-    features = _names(spark, folder.features, "features").select("line", field(0).alias("feature_id"), F.coalesce(field(1), field(0)).alias("feature_name"), field(2).alias("feature_type"))
-    barcodes = _names(spark, folder.barcodes, "barcodes").select(F.col("line").alias("row_pos"), field(0).alias("cell_id"))
-    for path, table, n in ((folder.features, features, n_rows), (folder.barcodes, barcodes, n_columns)):
-        lines = table.count()
+    feature_lines, n_features = _names(spark, folder.features, "features")
+    barcode_lines, n_barcodes = _names(spark, folder.barcodes, "barcodes")
+    features = feature_lines.select("line", field(0).alias("feature_id"), F.coalesce(field(1), field(0)).alias("feature_name"), field(2).alias("feature_type"))
+    barcodes = barcode_lines.select(F.col("line").alias("row_pos"), field(0).alias("cell_id"))
+    for path, lines, n in ((folder.features, n_features, n_rows), (folder.barcodes, n_barcodes, n_columns)):
         if lines != n:
             raise ValueError(f"{path}: {lines} lines, the matrix has {n}")
     kept = features.where(F.col("feature_type").isNull() | F.col("feature_type").isin(*types))
     genes = to_table(unique_names(global_rank(kept, "line", "feature_id", "gene_pos")), "mtx-genes")
     genes = genes.withColumnRenamed("vocab_name", "gene").drop("vocab_id")
-    expr = triplets.join(genes.select(F.col("line").alias("i"), "gene"), "i").join(barcodes.withColumnRenamed("row_pos", "j"), "j")
+    entries = triplets.join(genes.select(F.col("line").alias("i"), "gene"), "i").select(F.col("j").alias("row_pos"), "gene", F.col("value").cast("float").alias("value"))
     cells = barcodes
     if folder.cells:
         about = spark.read.parquet(folder.cells) if folder.cells.endswith(".parquet") else spark.read.csv(folder.cells, header=True)
         about = about.withColumn("cell_id", F.col("cell_id").cast("string"))
         cells = barcodes.join(about.drop("row_pos"), "cell_id", "left")
-    return {"cells": cells, "genes": genes.drop("line"), "expr": expr.select("cell_id", "gene", F.col("value").cast("float").alias("value"))}
+    return {"cells": cells, "genes": genes.drop("line"), "expr": entries.join(barcodes, "row_pos").select("cell_id", "gene", "value"), "entries": entries}
 
 
 def write_case(cells: DataFrame, genes: DataFrame, expr: DataFrame, path: str, cell_position: str = "row_pos", gene_position: str = "gene_pos") -> None:
@@ -145,14 +166,15 @@ def write_case(cells: DataFrame, genes: DataFrame, expr: DataFrame, path: str, c
     are in neither are left out.
     """
     spark, base = cells.sparkSession, f"{path.rstrip('/')}/{FOLDERS[0]}"
-    c = to_table(global_rank(cells.select("cell_id", F.col(cell_position).alias("p_")), "p_", "cell_id", "j"), "mtx-cells")
+    about = cells.withColumn("p_", F.col(cell_position)).drop(cell_position, "row_pos").withColumnRenamed("p_", "row_pos")  # which a reader numbers anew
+    about.write.parquet(f"{path.rstrip('/')}/{CELLS[0]}")
+    kept = spark.read.schema(about.schema).parquet(f"{path.rstrip('/')}/{CELLS[0]}")  # what is ranked is read from there, so ``cells`` is worked out once
+    c = global_rank(kept.select("cell_id", "row_pos"), "row_pos", "cell_id", "j")
     g = to_table(global_rank(genes.select("gene", F.col(gene_position).alias("p_")), "p_", "gene", "i"), "mtx-genes")
-    entries = to_table(expr.join(c.select("cell_id", "j"), "cell_id").join(g.select("gene", "i"), "gene").select("i", "j", "value"), "mtx-entries")
-    size = f"{g.count()} {c.count()} {entries.count()}"
-    head = spark.createDataFrame([("%%MatrixMarket matrix coordinate real general\n%\n" + size,)], "value string").coalesce(1)
-    body = entries.select(F.concat_ws(" ", F.col("i") + 1, F.col("j") + 1, F.col("value")).alias("value"))
-    head.union(body).write.text(f"{base}/{MATRIX}")  # the head is the first part
+    body = expr.join(c.select("cell_id", "j"), "cell_id").join(g.select("gene", "i"), "gene").select(F.concat_ws(" ", F.col("i") + 1, F.col("j") + 1, F.col("value")).alias("value"))
+    body.write.text(f"{base}/{MATRIX}")
+    size = f"{g.count()} {kept.count()} {spark.read.text(f'{base}/{MATRIX}').count()}"
+    write_small(spark, f"{base}/{MATRIX}/head", "%%MatrixMarket matrix coordinate real general\n%\n" + size + "\n")  # by its name before all parts
     ordered = lambda t, by, *out: t.repartitionByRange(by).sortWithinPartitions(by).select(F.concat_ws("\t", *out).alias("value"))
     ordered(c, "j", "cell_id").write.text(f"{base}/{BARCODES}")
     ordered(g, "i", "gene", "gene", F.lit(GENE_TYPES[0])).write.text(f"{base}/{FEATURES}")
-    cells.drop(cell_position).write.parquet(f"{path.rstrip('/')}/{CELLS[0]}")

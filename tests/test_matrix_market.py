@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from tessera.operators import regions
 from tessera.sources import cases, config, matrix_market
 
 RNG = random.Random(3)
@@ -125,3 +126,21 @@ def test_written_case_reads_back(spark, tmp_path):
     order = lambda c, by, name: [r[name] for r in c.orderBy(by).collect()]
     assert order(back["cells"], "row_pos", "cell_id") == BARCODES and order(back["genes"], "gene_pos", "gene") == order(case["genes"], "gene_pos", "gene")
     assert back["cells"].where("contour_id = 'c1'").count() == case["cells"].where("contour_id = 'c1'").count()
+
+
+def test_entries_by_place_and_any_white_space(spark, tmp_path):
+    lines = [(f"{i} {j} {v}", f" {i}\t{j}  {v}\t", f"{i}\t{j}\t{v}")[k % 3] for k, ((i, j), v) in enumerate(zip(ENTRIES, VALUES, strict=True))]
+    case = matrix_market.read_case(spark, folder(tmp_path, text=matrix_text(entries=lines)))
+    names, expr = brute()
+    place = {b: k for k, b in enumerate(BARCODES)}
+    assert {tuple(r) for r in case["entries"].select("row_pos", "gene", "value").collect()} == {(place[c], g, v) for c, g, v in expr}
+    by_name = regions.mean_expression(case["expr"], case["cells"], "contour_id").collect()
+    by_place = regions.mean_expression(case["entries"], case["cells"], "contour_id", key="row_pos").collect()
+    assert by_name and sorted(map(tuple, by_name)) == sorted(map(tuple, by_place))
+
+
+@pytest.mark.parametrize("bad", ["15 1 2", "1 41 2", "0 1 2", "1 0 2", "1 1 2 3", "1 1"])
+def test_one_entry_outside_or_malformed(spark, tmp_path, bad):
+    entries = ["1 1 2", bad, "14 40 3"]
+    with pytest.raises(ValueError, match="3 entries of 14 by 40 are announced, 3 are there, 1 of them"):
+        matrix_market.read_case(spark, folder(tmp_path, text=matrix_text(entries=entries)))
