@@ -7,8 +7,8 @@ Equal strings are brought together without comparing every shard with every othe
 of ``length`` bytes has a least hashed gram, and equal strings have the same one at the same
 place, so a string can be repeated only where its least gram (its anchor) occurs again.  Around
 every repeated anchor the bytes that its strings can cover are cut out as a segment; a shard
-holds all segments of its anchors, sorts their suffixes by Larsson-Sadakane refinement and
-takes common prefixes of neighbours by Kasai's rule.  An anchor with very many segments is
+holds all segments of its anchors, sorts their suffixes by Larsson-Sadakane refinement as far as
+a string is long and takes common prefixes of neighbours.  An anchor with very many segments is
 spread over sub-shards with suffix arrays of their own; these then merge: the sorted strings of
 each, byte by byte, are looked up by binary search among the earliest ones of all.  Copies of
 whole documents and equal segments of a batch are one before any of this.
@@ -186,12 +186,11 @@ def _in_order(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def suffix_array(text: np.ndarray, end: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of ``text`` in order; none is longer than ``depth``.
+    """Suffixes of ``text`` in the order of their first ``depth`` bytes or more.
 
     ``end[i]`` is where the segment of place i ends; there a suffix stops.  Ranks are
     refined by doubling (Larsson and Sadakane): only groups that are still tied are sorted
-    again, by the ranks of what follows.  Equal suffixes stand in order of place, as if each
-    segment had an end mark of its own, which Kasai's rule relies on.
+    again, by the ranks of what follows.  Suffixes that are equal so far stand in order of place.
     """
     n = len(text)
     here = np.arange(n)
@@ -241,32 +240,33 @@ def suffix_array(text: np.ndarray, end: np.ndarray, depth: int) -> np.ndarray:
 
 
 def common_prefixes(text: np.ndarray, begin: np.ndarray, end: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
-    """For each place, bytes (up to ``most``) that its suffix shares with the one before it in ``sa``.
+    """For each place, bytes (up to ``most``) that its suffix shares with the one before it in ``sa``, which may hold some of the suffixes only.
 
-    By Kasai's rule a suffix shares at least one byte less than the suffix one place before it
-    did; all segments are walked at once, one place further in each step.
+    All neighbours are compared at once, eight bytes in each step, and only those go on that were
+    equal so far: ``most`` bounds the steps, so that nothing need be carried from place to place.
+    Where segments begin doesn't matter.
     """
     n = len(text)
-    before = np.full(n, -1)
-    before[sa[1:]] = sa[:-1]
-    starts = np.unique(begin)
-    sizes = end[starts] - starts
     out = np.zeros(n, np.int64)
-    h = np.zeros(len(starts), np.int64)
-    for step in range(int(sizes.max(initial=0))):
-        live = sizes > step
-        starts, sizes, h = starts[live], sizes[live], h[live]
-        i = starts + step
-        j = before[i]
-        h = np.where(j < 0, 0, np.maximum(h - 1, 0))
-        go = np.flatnonzero(j >= 0)
-        while len(go):
-            a, b = i[go] + h[go], j[go] + h[go]
-            ok = (h[go] < most) & (a < end[i[go]]) & (b < end[j[go]])
-            go, a, b = go[ok], a[ok], b[ok]
-            go = go[text[a] == text[b]]
-            h[go] += 1
-        out[i] = h
+    padded = np.zeros(n + 8, np.uint8)
+    padded[:n] = text
+    words = np.ndarray((n + 1,), "<u8", padded, strides=(1,)).copy()  # the eight bytes from each place
+    a, b = sa[1:], sa[:-1]
+    limit = np.minimum(np.minimum(end[a] - a, end[b] - b), most)
+    live = np.arange(len(a))
+    h = 0
+    while len(live):
+        other = words[a[live] + h] ^ words[b[live] + h]
+        equal = other == 0
+        stop = live[~equal]
+        x = other[~equal]
+        lowest = x & (~x + np.uint64(1))  # a power of two, in the first byte that differs
+        out[a[stop]] = np.minimum(h + (np.log2(lowest.astype(np.float64)).astype(np.int64) >> 3), limit[stop])
+        live = live[equal]
+        h += 8
+        done = limit[live] <= h
+        out[a[live[done]]] = limit[live[done]]
+        live = live[~done]
     return out
 
 
@@ -276,10 +276,10 @@ def _strings(table: pa.Table, length: int) -> tuple[np.ndarray, ...]:
     sizes = np.diff(byte)
     seg = np.repeat(np.arange(len(sizes)), sizes)
     begin, end = byte[:-1][seg], byte[1:][seg]
-    sa = suffix_array(raw, end, int(sizes.max(initial=0)))
-    shared = common_prefixes(raw, begin, end, sa, length)
+    # Strings are in order as soon as their suffixes are in the order of so many bytes.
+    sa = suffix_array(raw, end, min(length, int(sizes.max(initial=0))))
     sa = sa[end[sa] - sa >= length]
-    # No shorter suffix stands between two equal strings: it would have to begin with them.
+    shared = common_prefixes(raw, begin, end, sa, length)
     same = np.zeros(len(sa), bool)
     if len(sa) > 1:
         same[1:] = shared[sa[1:]] >= length

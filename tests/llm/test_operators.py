@@ -534,6 +534,24 @@ def test_word_hashes():
     assert sum(len(x) for x in cut) == 6 and len(cut) > 1
 
 
+def test_prefixes_of_some_of_the_suffixes():
+    rng = np.random.default_rng(5)
+    parts = [rng.integers(0, 2, k).astype(np.uint8) * 255 for k in (40, 25, 40, 3)]
+    parts.append(parts[0])
+    text, sizes = np.concatenate(parts), np.array([len(x) for x in parts])
+    end = np.repeat(np.cumsum(sizes), sizes)
+    begin = end - np.repeat(sizes, sizes)
+    suffix = lambda i: bytes(text[i : end[i]])
+    for length in (1, 8, 13, 20):
+        sa = suffix_dedup.suffix_array(text, end, length)
+        sa = sa[end[sa] - sa >= length]
+        assert [suffix(i)[:length] for i in sa] == sorted(suffix(i)[:length] for i in sa)
+        got = suffix_dedup.common_prefixes(text, begin, end, sa, 30)
+        for a, b in zip(sa[:-1], sa[1:], strict=True):
+            pairs = zip(suffix(a), suffix(b))
+            assert got[b] == min(30, next((k for k, (x, y) in enumerate(pairs) if x != y), min(end[a] - a, end[b] - b)))
+
+
 def test_suffixes_are_sorted_with_their_places():
     rng = np.random.default_rng(5)
     for bits in (10, 62):  # with room for the place, and without
