@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import byte_bpe, dart_minhash, quality_rules, secret_scan, source_mix
-from tessera.llm.shared import ship_package
+from tessera.llm.shared import ship_package, to_table as texts_to_table
 from tessera.tables import drop_tables, to_table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -45,13 +45,15 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and the digest of the bytes that they decode to.
 
     A row for each row of ``docs``; a null or empty text has no ids; equal texts have equal ids.
+    They are written at once, as texts then go to Python in small batches.
     """
     import public_tokenizers
 
     ship_package(spark)
     ranks = byte_bpe.read_ranks(spark, public_tokenizers.path(VOCABULARY))
     coded = byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN)
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return texts_to_table(coded, "pipeline-encoded")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

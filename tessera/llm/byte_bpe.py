@@ -16,6 +16,7 @@ import base64
 import hashlib
 import os
 from collections.abc import Iterator
+from itertools import chain, groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +27,14 @@ from . import words as W
 
 #: Longest piece, in bytes, whose tree is stacked with others.
 STACKED = 64
-#: Pieces whose ids a Python worker remembers, and the longest such piece in characters; a
-#: piece that is forgotten or never kept is encoded again when it comes up.
+#: Pieces whose ids a Python worker remembers, and their characters; when there are more of
+#: either, all are forgotten, and encoded again when they come up.
 REMEMBERED = 200_000
-LONGEST_REMEMBERED = 64
+REMEMBERED_CHARS = 4_000_000
 #: Bytes of text that are encoded together.
-AT_ONCE = 1_000_000
-#: Pieces encoded in one stack.
-STACK = 20_000
+AT_ONCE = 500_000
+#: Leaves of the trees in one stack.
+STACK = 1 << 17
 NONE = np.int64(1) << 40
 
 
@@ -54,16 +55,19 @@ class Vocabulary:
             if line.strip():
                 token, rank = line.split()
                 self.rank[base64.b64decode(token)] = int(rank)
-        self.token = {r: t for t, r in self.rank.items()}
-        self.base = max(self.token) + 1
+        self.base = max(self.rank.values()) + 1
+        self.token = [b""] * self.base
+        for token, rank in self.rank.items():
+            self.token[rank] = token
+        self.size = np.fromiter(map(len, self.token), np.int64, self.base)
         self.byte = np.array([self.rank[bytes([b])] for b in range(256)], dtype=np.int64)
-        self.pair: dict[tuple[int, int], int] = {}
+        self.pair: dict[int, int] = {}
         for token, rank in self.rank.items():
             for cut in range(1, len(token)):
                 a, b = self.rank.get(token[:cut]), self.rank.get(token[cut:])
                 if a is not None and b is not None:
-                    self.pair[a, b] = rank
-        keys = np.array([a * self.base + b for a, b in self.pair], dtype=np.int64)
+                    self.pair[a * self.base + b] = rank
+        keys = np.array(list(self.pair), dtype=np.int64)
         order = np.argsort(keys)
         self.keys, self.ranks = keys[order], np.array(list(self.pair.values()), dtype=np.int64)[order]
 
@@ -128,12 +132,12 @@ class Vocabulary:
         """Ids of one piece of any length by its own segment tree."""
         n = len(piece)
         width = 1 << max(1, (n - 1).bit_length())
-        pair, none = self.pair.get, int(NONE)
+        pair, base, none = self.pair.get, self.base, int(NONE)
         ids = [int(x) for x in self.byte[np.frombuffer(piece, np.uint8)]]
         nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
         tree = [none * width] * (2 * width)
         for i in range(n - 1):
-            tree[width + i] = pair((ids[i], ids[i + 1]), none) * width + i
+            tree[width + i] = pair(ids[i] * base + ids[i + 1], none) * width + i
         for i in range(width - 1, 0, -1):
             tree[i] = min(tree[2 * i], tree[2 * i + 1])
 
@@ -157,11 +161,11 @@ class Vocabulary:
             put(gone, none)
             if after < n:
                 prv[after] = at
-                put(at, pair((rank, ids[after]), none))
+                put(at, pair(rank * base + ids[after], none))
             else:
                 put(at, none)
             if prv[at] >= 0:
-                put(prv[at], pair((ids[prv[at]], rank), none))
+                put(prv[at], pair(ids[prv[at]] * base + rank, none))
         return [i for i in ids if i >= 0]
 
     def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
@@ -178,42 +182,63 @@ class Vocabulary:
             else:
                 out[i] = self.merge_one(raw)
         short.sort(key=lambda x: len(x[1]))
-        for a in range(0, len(short), STACK):
-            part = short[a : a + STACK]
-            for (i, _), ids in zip(part, self.merge_stack([raw for _, raw in part]), strict=True):
-                out[i] = ids
+        for width, same in groupby(short, lambda x: 1 << (len(x[1]) - 1).bit_length()):
+            while part := list(islice(same, STACK // width)):
+                for (i, _), ids in zip(part, self.merge_stack([raw for _, raw in part]), strict=True):
+                    out[i] = ids
         return out
 
 
+class _Numbers(dict):
+    """Numbers of pieces; a piece that has none yet gets the next one."""
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = number = len(self)
+        return number
+
+
 class Codec:
-    """Encodes and decodes texts; remembers the ids of short pieces, up to a bound."""
+    """Encodes and decodes texts; remembers the ids of pieces, up to a bound."""
 
     def __init__(self, ranks: bytes, pattern: str) -> None:
         self.vocabulary = Vocabulary(ranks)
         import regex
 
         self.pieces = regex.compile(pattern).findall
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def learn(self, texts: list[str]) -> list[list[str]]:
-        """Pieces of each text; ids of all of them are known afterwards."""
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.chars = _Numbers(), 0
+        #: ids of all known pieces one after another, and where each piece's begin and end
+        self.ids, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def _learn(self, new: list[str]) -> None:
+        ids = self.vocabulary.encode_pieces(new)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        self.chars += sum(map(len, new))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and n + 1 places where a text's begin."""
         cut = [self.pieces(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [p for p in dict.fromkeys(p for c in cut for p in c) if p not in self.known]
-        self.known.update(zip(new, map(tuple, self.vocabulary.encode_pieces(new)), strict=True))
-        return cut
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        cut = self.learn(texts)
-        known = self.known
-        out = [[i for p in c for i in known[p]] for c in cut]
-        for p in [p for p in known if len(p) > LONGEST_REMEMBERED]:
-            del known[p]
-        return out
-
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.vocabulary.token.__getitem__, ids))
+        counts = np.fromiter(map(len, cut), np.int64, len(cut))
+        before = len(self.known)
+        piece = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64, int(counts.sum()))
+        del cut
+        if len(self.known) > before:
+            self._learn(list(islice(self.known, before, None)))
+        sizes = np.diff(self.ends)[piece]
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        out = self.ids[np.repeat(self.ends[piece] - first[:-1], sizes) + np.arange(first[-1])]
+        if len(self.known) > REMEMBERED or self.chars > REMEMBERED_CHARS:
+            self.forget()
+        return out, first[np.concatenate([[0], np.cumsum(counts)])]
+
+    def decode(self, ids: np.ndarray, first: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """Bytes of the ids, and where those of each text begin."""
+        ends = np.concatenate([[0], np.cumsum(self.vocabulary.size[ids])])
+        return b"".join(map(self.vocabulary.token.__getitem__, ids.tolist())), ends[first]
 
 
 _codecs: dict[tuple[bytes, str], Codec] = {}
@@ -227,6 +252,15 @@ def _codec(ranks: bytes, pattern: str) -> Codec:
     return _codecs[key]
 
 
+def _coded(codec: Codec, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of ``doc_id, ids, decoded`` for those of ``batch``, in parts of ``AT_ONCE`` bytes."""
+    for part in W.chunks(batch, 1, AT_ONCE):
+        ids, first = codec.encode(part.column(1).to_pylist())
+        data, at = codec.decode(ids, first)
+        decoded = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)])
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids)), decoded], names=["doc_id", "ids", "decoded"])
+
+
 def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, ``ids`` and ``decoded`` (the bytes of these ids).
 
@@ -239,11 +273,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(ranks, pattern)
         for batch in batches:
-            for part in W.chunks(batch, 1, AT_ONCE):
-                ids = codec.encode(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(map(codec.decode, ids), pa.binary())], names=["doc_id", "ids", "decoded"],
-                )
+            yield from _coded(codec, batch)
 
     return d.mapInArrow(run, schema)
 

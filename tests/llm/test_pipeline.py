@@ -4,11 +4,13 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -124,6 +126,49 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert names == ["quality rules", "MinHash near-dedup", "secret scans", "mixing sources", "byte-level BPE"]
 
 
+def test_encoding_takes_small_batches(spark, tmp_path, monkeypatch):
+    """Texts reach Python a thousand rows at a time, whatever the session's own batch is."""
+    def sizes(docs, *_):
+        def run(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([[]], pa.list_(pa.int32())), pa.array([b""])], names=["doc_id", "ids", "decoded"])
+
+        return docs.mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+
+    monkeypatch.setattr(byte_bpe, "encode", sizes)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2500")
+    try:
+        got = corpus_pipeline.encode(spark, spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.lit("a").alias("text")), str(tmp_path)).collect()
+        assert sorted(r.doc_id for r in got) == [1000] * 3 and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "2500"
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_remembered_pieces_are_bounded(monkeypatch):
+    """Ids stay right when pieces are forgotten; no more than the bounds are kept after a call, and a piece takes little."""
+    with open(public_tokenizers.path(corpus_pipeline.VOCABULARY), "rb") as f:
+        codec = byte_bpe.Codec(f.read(), public_tokenizers.PATTERN)
+    coder = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=codec.vocabulary.rank, special_tokens={})
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyzäß漢"
+    texts = [" ".join("".join(rng.choices(letters, k=rng.randint(3, 12))) for _ in range(400)) for _ in range(50)] + ["", "x" * 5000]
+    tracemalloc.start()
+    before = tracemalloc.get_traced_memory()[0]
+    codec.encode(texts)
+    taken = tracemalloc.get_traced_memory()[0] - before
+    tracemalloc.stop()
+    assert len(codec.known) > 15_000 and taken < 200 * len(codec.known)
+    for bound, most in (("REMEMBERED", 900), ("REMEMBERED_CHARS", 3000)):
+        monkeypatch.setattr(byte_bpe, bound, most)
+        for at in range(0, len(texts), 3):
+            part = texts[at : at + 3]
+            ids, first = codec.encode(part)
+            data, place = codec.decode(ids, first)
+            assert [ids[a:b].tolist() for a, b in zip(first, first[1:], strict=False)] == [coder.encode_ordinary(t) for t in part]
+            assert [data[a:b].decode() for a, b in zip(place, place[1:], strict=False)] == part
+            assert len(codec.known) <= byte_bpe.REMEMBERED and sum(map(len, codec.known)) <= byte_bpe.REMEMBERED_CHARS
+
+
 def rows_of(df):
     return sorted(map(str, df.collect()))
 
