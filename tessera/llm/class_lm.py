@@ -319,11 +319,17 @@ def gains(table: np.ndarray, classes: int, form: np.ndarray, left: np.ndarray, r
     return out
 
 
+def _planar(x: np.ndarray) -> bytes:
+    """32-bit numbers, low bytes first, as most are small."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
 def _contexts(docs: DataFrame, model: Model, slices: int) -> DataFrame:
-    """``(slice, batch, contexts)``: for the words of a batch that were not exchanged, how often they have which neighbours.
+    """``(slice, contexts)``: for the words of each batch that were not exchanged, how often they have which neighbours.
 
-    Packed are hashes, forms and numbers of codes of the words, then the codes and how often each occurs (low bytes
-    first, as most are small).  Codes are the class before, the class after (from the number of classes on), and the word itself
+    A row holds what a task has gathered for a slice, of whichever batches, so that rows grow with the texts and not
+    with batches times slices.  Packed are hashes and forms of the words and in how many batches each stands, then these batches and numbers
+    of codes in them, then the codes and how often each occurs.  Codes are the class before, the class after (from the number of classes on), and the word itself
     after; one more, with no count, names the words of texts held out.
     """
     shift = np.uint64(64 - slices.bit_length() + 1) if slices > 1 else None
@@ -336,22 +342,23 @@ def _contexts(docs: DataFrame, model: Model, slices: int) -> DataFrame:
 
         def send() -> Iterator[pa.RecordBatch]:
             b, h, f, c, n = (np.concatenate(x) for x in zip(*have, strict=True))
-            order = np.lexsort((c, h, b))
-            b, h, f, c, n = b[order], h[order], f[order], c[order], n[order]
-            at = _runs(b, h, c)
-            n, b, h, f, c = _sums(n, at).astype(np.int64), b[at], h[at], f[at], c[at]
+            key = b.astype(np.int64) << 16 | c
+            order = np.lexsort((key, h))
+            key, h, f, n = key[order], h[order], f[order], n[order]
+            at = _runs(h, key)
+            n, key, h, f = _sums(n, at).astype(np.int64), key[at], h[at], f[at]
+            b, c = key >> 16, (key & 0xFFFF).astype(np.uint16)
             s = (h >> shift).astype(np.int64) if shift is not None else np.zeros(len(h), np.int64)
-            bounds = [*_runs(b, s).tolist(), len(b)]
-            for lo in range(0, len(bounds) - 1, 4096):
-                rows = []
-                for i, j in zip(bounds[lo : lo + 4096], bounds[lo + 1 : lo + 4097], strict=False):
-                    at = _runs(h[i:j])
-                    m = np.diff(np.append(at, j - i)).astype(np.uint16)
-                    counts = n[i:j].astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
-                    rest = zlib.compress(m.tobytes() + c[i:j].tobytes() + counts, 1)
-                    rows.append((int(s[i]), int(b[i]), len(at).to_bytes(4, "little") + h[i:j][at].tobytes() + f[i:j][at].tobytes() + rest))
-                cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], names=["slice", "batch", "contexts"])
+            rows = []
+            for i, j in zip(at := _runs(s), np.append(at[1:], len(s)), strict=True):
+                word, unit = _runs(h[i:j]), _runs(h[i:j], b[i:j])
+                per_word = np.diff(np.append(np.searchsorted(unit, word), len(unit)))
+                m = np.diff(np.append(unit, j - i)).astype(np.uint16)
+                rest = zlib.compress(_planar(per_word) + _planar(b[i:j][unit]) + m.tobytes() + c[i:j].tobytes() + _planar(n[i:j]), 1)
+                rows.append((int(s[i]), len(word).to_bytes(4, "little") + len(unit).to_bytes(4, "little") + h[i:j][word].tobytes() + f[i:j][word].tobytes() + rest))
+            for lo in range(0, len(rows), 4096):
+                slice_, packed = zip(*rows[lo : lo + 4096], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(slice_, pa.int64()), pa.array(packed, pa.binary())], names=["slice", "contexts"])
 
         for batch in batches:
             for part in W.chunks(batch, 2):
@@ -375,22 +382,29 @@ def _contexts(docs: DataFrame, model: Model, slices: int) -> DataFrame:
         if n_have:
             yield from send()
 
-    return docs.select(F.expr("cast(not held_out as int)").alias("train"), "batch", "t").mapInArrow(run, "slice long, batch long, contexts binary")
+    return docs.select(F.expr("cast(not held_out as int)").alias("train"), "batch", "t").mapInArrow(run, "slice long, contexts binary")
 
 
 def _assign(table: pa.Table, model: Model) -> pa.Table:
     """``(batch, words)``: each batch's words with their training counts and classes, for one slice of the hash range."""
     size = len(model.table)
     k = size - 1 - FORMS
-    own, cols = [], []
+    cols, units = [], []
     for x in table.column("contexts").to_pylist():
-        k_ = int.from_bytes(x[:4], "little")
-        own.append(np.frombuffer(x, np.uint64, k_, 4))
-        rest = zlib.decompress(x[4 + 9 * k_ :])
-        m = np.frombuffer(rest, np.uint16, k_)
-        t = int(m.sum())
-        counts = np.frombuffer(rest, np.uint8, 4 * t, 2 * k_ + 2 * t).reshape(4, t).T.copy().view(np.uint32).ravel()
-        cols.append((np.repeat(own[-1], m), np.repeat(np.frombuffer(x, np.uint8, k_, 4 + 8 * k_), m), np.frombuffer(rest, np.uint16, t, 2 * k_), counts))
+        n_words, n_units = (int.from_bytes(x[i : i + 4], "little") for i in (0, 4))
+        rest, at = zlib.decompress(x[8 + 9 * n_words :]), 0
+
+        def take(n: int, planar: bool = False) -> np.ndarray:
+            nonlocal at
+            at += n * (4 if planar else 2)
+            return np.frombuffer(rest, np.uint8, 4 * n, at - 4 * n).reshape(4, n).T.copy().view("<u4").ravel() if planar else np.frombuffer(rest, np.uint16, n, at - 2 * n)
+
+        per_word, batch, m = take(n_words, True), take(n_units, True), take(n_units)
+        code = take(int(m.sum()))
+        word, of_unit = np.repeat(np.arange(n_words), per_word), np.frombuffer(x, np.uint64, n_words, 8)
+        of_entry = np.repeat(word, m)
+        units.append((batch, of_unit[word]))
+        cols.append((of_unit[of_entry], np.frombuffer(x, np.uint8, n_words, 8 + 8 * n_words)[of_entry], code, take(len(code), True)))
     h, f, code, n = (np.concatenate(x) for x in zip(*cols, strict=True))
     del cols
     order = np.lexsort((code, h))
@@ -409,15 +423,17 @@ def _assign(table: pa.Table, model: Model) -> pa.Table:
         # Each occurrence follows another word or itself.
         count[lo:hi] = dense[:, :size].sum(1) + dense[:, 2 * size]
         of[lo:hi] = np.argmax(gains(model.table, k, form[lo:hi], dense[:, :size], dense[:, size : 2 * size], dense[:, 2 * size]), axis=1)
-    of_batch: dict[int, list[np.ndarray]] = {}
-    for b, x in zip(table.column("batch").to_pylist(), own, strict=True):
-        of_batch.setdefault(b, []).append(x)
-    packed = []
-    for x in of_batch.values():
-        x = np.unique(np.concatenate(x))
-        at = np.searchsorted(types, x)
-        packed.append(_pack(x, count[at], of[at]))
-    return pa.table({"batch": pa.array(list(of_batch), pa.int64()), "words": pa.array(packed, pa.binary())})
+    batch, own = (np.concatenate(x) for x in zip(*units, strict=True))
+    del units
+    order = np.lexsort((own, batch))
+    batch, own = batch[order], own[order]
+    at = _runs(batch, own)
+    batch, own = batch[at], own[at]
+    first = _runs(batch)
+    place = np.searchsorted(types, own)
+    count, of = count[place], of[place]
+    packed = [_pack(own[i:j], count[i:j], of[i:j]) for i, j in zip(first, np.append(first[1:], len(own)), strict=True)]
+    return pa.table({"batch": pa.array(batch[first].astype(np.int64)), "words": pa.array(packed, pa.binary())})
 
 
 def _class_pairs(coded: DataFrame, size: int) -> np.ndarray:

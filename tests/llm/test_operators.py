@@ -465,6 +465,22 @@ def test_class_lm(docs):
         assert r.score < 0 and math.isfinite(r.score)
 
 
+def test_class_lm_contexts_do_not_grow_with_batches(docs, spark):
+    model = class_lm.Model(1, 1, 1, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.ones((1 + class_lm.FORMS + 1,) * 2))
+    d = docs.select(F.coalesce("text", F.lit("")).alias("t"), F.lit(False).alias("held_out"))
+    d = d.withColumn("batch", F.pmod(F.xxhash64("t"), F.lit(1_000_000))).coalesce(1)
+    assert d.select("batch").distinct().count() > 20
+    found = class_lm._contexts(d, model, 4).cache()
+    assert found.count() == found.select("slice").distinct().count() == 4  # one task gathers them all
+
+
+def test_class_lm_scores_are_those_of_any_batches(docs, monkeypatch):
+    few = sorted((r.doc_id or -1, r.score, r.base_score) for r in class_lm.score(docs).collect())
+    monkeypatch.setattr(class_lm, "BATCH_BYTES", 300)
+    many = sorted((r.doc_id or -1, r.score, r.base_score) for r in class_lm.score(docs).collect())
+    assert len(few) == len(many) and np.allclose(np.array(few, float), np.array(many, float), rtol=1e-9)
+
+
 def test_class_lm_against_brute_force(docs, spark, monkeypatch):
     monkeypatch.setattr(class_lm, "SHARE", 20)
     monkeypatch.setattr(class_lm, "SEEDS", 30, raising=False)
