@@ -452,6 +452,40 @@ def test_probes_reach_every_partner():
     assert pq_dedup.recall(found, all_) == 1.0 and len(all_) > 20
 
 
+def test_bands_that_nobody_shares_are_not_written(spark, monkeypatch):
+    """Only rows of shared buckets are kept; the others are as many as documents times bands."""
+    texts = [prose(80) for _ in range(30)]
+    rows = [(i, t) for i, t in enumerate([*texts, texts[0] + " end", texts[1], texts[1]])]
+    sizes = {}
+
+    def kept(df, name, to_table=dart_minhash.to_table):
+        out = to_table(df, name)
+        sizes[name] = max(sizes.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(dart_minhash, "to_table", kept)
+    got = by_id(dart_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [r.class_id for _, r in sorted(got.items())] == [*range(30), 0, 1, 1]
+    assert sizes["minhash-signed"] == 33 and max(sizes.values()) <= 2 * dart_minhash.Settings().bands
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_signatures_hardly_look_at_a_region_twice(weighted, monkeypatch):
+    rng, k, seen = np.random.default_rng(3), 125, []
+    sizes = rng.integers(1, 60, 200)
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    h = rng.integers(0, 1 << 63, first[-1]).astype(np.uint64)
+    weight = rng.integers(1, 9, first[-1]).astype(float) if weighted else None
+    monkeypatch.setattr(dart_minhash.W, "mix", lambda x, salt=0, mix=W.mix: (seen.append(x if salt == 4242 else x[:0]), mix(x, salt))[1])
+    sig = dart_minhash.signatures(h, weight, first, k, 4242)  # regions are hashed with the seed
+    regions = np.concatenate(seen).ravel()
+    # again only those that reach across the rank where a set with open coordinates went on: one an element and level of weight
+    assert len(regions) - len(np.unique(regions)) <= first[-1]
+    for i in range(200):  # the same for a set by itself
+        own = slice(first[i], first[i + 1])
+        assert (sig[i] == dart_minhash.signatures(h[own], None if weight is None else weight[own], np.array([0, sizes[i]]), k, 4242)[0]).all()
+
+
 def test_class_lm(docs):
     got = by_id(class_lm.score(docs))
     low = {c: c + 32 for c in range(65, 91)}
