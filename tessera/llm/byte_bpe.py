@@ -60,6 +60,9 @@ class Vocabulary:
         for token, rank in self.rank.items():
             self.token[rank] = token
         self.size = np.fromiter(map(len, self.token), np.int64, self.base)
+        #: bytes of all tokens one after another, and where each token's begin
+        self.flat = np.frombuffer(b"".join(self.token), np.uint8)
+        self.at = np.cumsum(self.size) - self.size
         self.byte = np.array([self.rank[bytes([b])] for b in range(256)], dtype=np.int64)
         self.pair: dict[int, int] = {}
         for token, rank in self.rank.items():
@@ -237,8 +240,10 @@ class Codec:
 
     def decode(self, ids: np.ndarray, first: np.ndarray) -> tuple[bytes, np.ndarray]:
         """Bytes of the ids, and where those of each text begin."""
-        ends = np.concatenate([[0], np.cumsum(self.vocabulary.size[ids])])
-        return b"".join(map(self.vocabulary.token.__getitem__, ids.tolist())), ends[first]
+        size = self.vocabulary.size[ids]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        # each byte's place in the tokens' bytes: as far from its token's begin there as here
+        return self.vocabulary.flat[np.repeat(self.vocabulary.at[ids] - ends[:-1], size) + np.arange(ends[-1])].tobytes(), ends[first]
 
 
 _codecs: dict[tuple[bytes, str], Codec] = {}

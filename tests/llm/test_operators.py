@@ -486,6 +486,18 @@ def test_signatures_hardly_look_at_a_region_twice(weighted, monkeypatch):
         assert (sig[i] == dart_minhash.signatures(h[own], None if weight is None else weight[own], np.array([0, sizes[i]]), k, 4242)[0]).all()
 
 
+def test_bpe_decodes_from_the_bytes_of_all_tokens():
+    """Whole arrays of ids are decoded together, without an object for each token."""
+    codec = byte_bpe.Codec(RANKS, public_tokenizers.PATTERN)
+    texts = [t or "" for t in TEXTS]
+    ids, first = codec.encode(texts)
+    codec.vocabulary.token = []
+    data, at = codec.decode(ids, first)
+    assert [data[a:b].decode() for a, b in zip(at[:-1], at[1:], strict=True)] == texts
+    data, at = codec.decode(ids[:0], first[:1])
+    assert data == b"" and at.tolist() == [0]
+
+
 def test_class_lm(docs):
     got = by_id(class_lm.score(docs))
     low = {c: c + 32 for c in range(65, 91)}
